@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanweave.llm.support import Workspace
+
 SPACE = r"\x20\x09-\x0D"
 WINDOW = 8
 #: measure: (least scale, low side counts, high side counts)
@@ -86,9 +88,12 @@ def thresholds(rates: DataFrame, spread: float = SPREAD, least_docs: int = LEAST
     return df.select(*out)
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", spread: float = SPREAD) -> DataFrame:
-    """docs without rows dropped, plus struct `quality`: the measures, base_failed, failed (names of rules) and kept."""
-    m = measured(docs, text_col)
+def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", spread: float = SPREAD, columns: list[str] | None = None) -> DataFrame:
+    """docs' columns (those named, or all) without rows dropped, plus struct `quality`: the measures, base_failed, failed
+    (names of rules) and kept. The measures are written once: both the thresholds and the result read them."""
+    carried = docs.columns if columns is None else columns
+    m = measured(docs, text_col).select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carried, lang_col, source_col])], "m")
+    m = Workspace(docs.sparkSession, "rules").write(m, "measures")
     words, base = F.col("m.n_words"), F.col("m.n_repeat_words")
     m = m.withColumn("_base_failed", (words < 20) | (100 * base > 30 * words))
     keys = {"lang": F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")), "source": F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))}
@@ -98,10 +103,10 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     joined = m.withColumn("_group", F.struct(*[c.alias(k) for k, c in keys.items()])).join(cuts, "_group", "left")
     failed = [F.when((c < F.col(f"_cuts.{r}_low")) | (c > F.col(f"_cuts.{r}_high")), F.lit(r)) for r, c in _rates().items()]
     failed = F.array_compact(F.array(*failed))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct("m.*", F.col("_base_failed").alias("base_failed"), failed.alias("failed"), (~F.col("_base_failed") & (F.size(failed) == 0)).alias("kept")).alias("quality"))
+    return joined.select(*[F.col(f"`{c}`") for c in carried], F.struct("m.*", F.col("_base_failed").alias("base_failed"), failed.alias("failed"), (~F.col("_base_failed") & (F.size(failed) == 0)).alias("kept")).alias("quality"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    out = quality_rules(docs)
+    out = quality_rules(docs, columns=["doc_id"])
     return out.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")])

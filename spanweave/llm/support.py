@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,3 +86,25 @@ def components(space: Workspace, links: DataFrame) -> DataFrame:
         if was == before:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+class Rows:
+    """A numpy array that rows are appended to at constant cost a row."""
+
+    def __init__(self, dtype: type, width: int | None = None):
+        self.held, self.n = np.empty((1024,) if width is None else (1024, width), dtype), 0
+
+    def append(self, more: np.ndarray) -> None:
+        end = self.n + len(more)
+        if end > len(self.held):
+            bigger = np.empty((max(end, 2 * len(self.held)), *self.held.shape[1:]), self.held.dtype)
+            bigger[: self.n] = self.held[: self.n]
+            self.held = bigger
+        self.held[self.n : end] = more
+        self.n = end
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.held[at]
+
+    def __len__(self) -> int:
+        return self.n

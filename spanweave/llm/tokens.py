@@ -10,6 +10,8 @@ import os
 
 import numpy as np
 
+from spanweave.llm.support import Rows
+
 #: Distinct parts remembered by one Python worker before it starts afresh.
 CACHE_PARTS = 600_000
 SENTENCE_ENDS = (".", "!", "?", "…", "。")
@@ -39,7 +41,7 @@ class PartEncoder:
 
     def _clear(self) -> None:
         self.codes = _Codes()
-        self.flat, self.start, self.length, self.ends = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        self.flat, self.start, self.length, self.ends = Rows(np.uint32), Rows(np.int64), Rows(np.int64), Rows(bool)
 
     def _learn(self) -> None:
         new, self.codes.new = self.codes.new, []
@@ -48,10 +50,10 @@ class PartEncoder:
             ids = [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
             length = np.fromiter(map(len, ids), np.int64, len(ids))
             first = len(self.flat)
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))])
-            self.start = np.concatenate([self.start, first + np.cumsum(length) - length])
-            self.length = np.concatenate([self.length, length])
-            self.ends = np.concatenate([self.ends, np.array([p == "\n" or p.rstrip(_CLOSERS).endswith(SENTENCE_ENDS) for p in some], bool)])
+            self.flat.append(np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum())))
+            self.start.append(first + np.cumsum(length) - length)
+            self.length.append(length)
+            self.ends.append(np.array([p == "\n" or p.rstrip(_CLOSERS).endswith(SENTENCE_ENDS) for p in some], bool))
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """uint32 ids, and the numbers of ids at which a sentence or line ends."""
