@@ -28,6 +28,7 @@ from spanweave.session import ship_package
 DOCUMENT, SENTENCE, INSIDE = 0.0, 8.0, 64.0
 #: Candidates are never farther apart than this.
 STRIDE = 64
+NEAR = 32
 BLOCK = 1 << 19
 #: Windows at a block's end that are decided again with the next block.
 LOOKBACK = 8
@@ -37,7 +38,7 @@ SCHEMA = "doc_id bigint, start bigint, ids binary, doc_tokens bigint, sequence_i
 def candidates(ends: np.ndarray, sentences: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Cut positions from 0 to total, ascending, and their penalties."""
     penalty = np.full(total + 1, np.inf)
-    penalty[sentences] = SENTENCE
+    penalty[sentences[np.unique(sentences // NEAR, return_index=True)[1]]] = SENTENCE  # one of several near each other
     penalty[ends] = DOCUMENT
     penalty[0] = 0
     at = np.flatnonzero(np.isfinite(penalty))
@@ -146,7 +147,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     types = [("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path).encode_slices
         packer = Packer(size, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], np.uint32)
 
@@ -155,9 +156,11 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(block[n], t) for n, t in types], [n for n, _ in types])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids, sentences = encode(text.as_py())
-                yield from made(packer.add(doc_id, np.concatenate([ids, end]), sentences))
+            names = iter(batch.column("doc_id").to_pylist())
+            for ids, bounds, sentences in encode(batch.column("text")):
+                inside = np.searchsorted(sentences, bounds, "right")
+                for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                    yield from made(packer.add(next(names), np.concatenate([ids[a:b], end]), sentences[inside[k] : inside[k + 1]] - a))
         yield from made(packer.close())
 
     return kept.mapInArrow(run, SCHEMA)

@@ -37,7 +37,7 @@ def write_token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, file = encoder(path, True).encode, TaskContext.get().partitionId()
+        encode, file = encoder(path, True).encode_slices, TaskContext.get().partitionId()
         held, size, block, count = [], 0, 0, 0
         end = np.array([eod], np.uint32)
 
@@ -47,9 +47,10 @@ def write_token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             yield row(None, None, count, batch.column("id").to_pylist())
             count += batch.num_rows
-            for text in batch.column("text"):
-                held += [encode(text.as_py())[0], end]
-                size += len(held[-2]) + 1
+            for ids, bounds, _ in encode(batch.column("text")):
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    held += [ids[a:b], end]
+                size += len(ids) + len(bounds) - 1
                 while size >= block_ids:
                     flat = np.concatenate(held)
                     yield row(block, flat[:block_ids].astype(DTYPE).tobytes(), None, None)
