@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanweave.llm.support import Rows, Workspace
+from spanweave.llm.support import Rows, Workspace, hashed_sample
 from spanweave.session import ship_package
 
 DIM_BITS = 18
@@ -208,11 +208,6 @@ def fit_linear(starts: np.ndarray, ids: np.ndarray, values: np.ndarray, target:
     return out, float(bias)
 
 
-def _sampled(ids: DataFrame, n: int) -> DataFrame:
-    """The n ids whose hashes come first: a bounded sample that does not depend on the partitions."""
-    return ids.where("id is not null").select("id").distinct().orderBy(F.xxhash64("id", F.lit(9)), "id").limit(n)
-
-
 def _sample_features(docs: DataFrame, model: Model) -> DataFrame:
     """(id, votes, features, values) of the documents, features hashed: at most DIM a document."""
 
@@ -238,7 +233,7 @@ def _sample_features(docs: DataFrame, model: Model) -> DataFrame:
 def learn_lexicons(texts: DataFrame, labels: DataFrame) -> list[frozenset[str]]:
     """Words, short and long prefixes that mark toxic documents, from at most LABELLED labelled documents."""
     toxic = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("is_toxic")).dropDuplicates(["id"])
-    chosen = F.broadcast(_sampled(toxic, LABELLED).join(toxic, "id"))  # at most LABELLED rows of 12 bytes
+    chosen = F.broadcast(hashed_sample(toxic, LABELLED, 9).join(toxic, "id"))  # at most LABELLED rows of 12 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,7 +281,7 @@ def fit(spark: SparkSession, texts: DataFrame, labels: DataFrame) -> tuple[Model
             p, a = expectation_maximisation(np.array(list(table)), np.array(list(table.values()), float))
             post[head] = dict(zip(table, p, strict=True))
             accuracies[head] = {k: (float(a[0, i, 1]), float(a[1, i, 2])) for i, k in enumerate(labellers)}
-    chosen = F.broadcast(_sampled(texts, TRAINED))  # at most TRAINED rows of 8 bytes
+    chosen = F.broadcast(hashed_sample(texts.select("id"), TRAINED, 9))  # at most TRAINED rows of 8 bytes
     sample = space.write(_sample_features(texts.join(chosen, "id").select("id", "text"), model), "sample").orderBy("id").toPandas()
     model.weights = np.zeros((2, DIM), np.float32)
     if len(sample):

@@ -117,6 +117,8 @@ def first_meeting(parts: list[tuple[int, int, int]]) -> Column:
 def near_pairs(classes: DataFrame, n_words: int, per_word: int, radius: int) -> DataFrame:
     """classes: distinct (node, fp) -> pairs (a, b, distance) at most `radius` bits apart, each once."""
     parts = segments_of(n_words, per_word)
+    # dealt out anew: the classes are small and their index is not
+    classes = classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
     index = classes.select("node", "fp", F.explode(variant_keys(parts)).alias("v")).select("node", "fp", F.col("v.sw").alias("sw"), F.col("v.k").alias("k"))
     distance = sum((F.bit_count(F.col("a.fp")[w].bitwiseXOR(F.col("b.fp")[w])) for w in range(n_words)), F.lit(0))
     met = (F.col("a.sw") == F.col("b.sw")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.node") < F.col("b.node"))

@@ -6,8 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +65,34 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def word_slices(texts: pa.Array, slice_bytes: int = 8 << 20) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """The words of words() for slices of the texts in order: the distinct ones, the codes of all into them, and where each
+    text's words begin (and the last end)."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    held = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(held, (held[at - 1] if at else 0) + slice_bytes, "right")))
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, stop - at)))
+        offsets = split.offsets.to_numpy()
+        flat = split.flatten().cast(pa.large_binary())
+        full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+        found = flat.dictionary_encode()
+        yield found.dictionary.to_pylist(), found.indices.to_numpy()[full], np.concatenate([[0], np.cumsum(full)])[offsets - offsets[0]]
+        at = stop
+
+
+def hashed_sample(ids: DataFrame, n: int, salt: int) -> DataFrame:
+    """The n values of column id whose hashes come first: bounded, and the same however the rows are partitioned.
+
+    The hash is cut first where half as many again as wanted are expected, so the tasks together send the driver about that many.
+    """
+    total = ids.count()
+    place = F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30))
+    near = ids.where("id is not null").where(place <= min(1 << 30, int((1 << 30) * (1.5 * n + 200) / max(total, 1))))
+    return near.select("id").distinct().orderBy(place, "id").limit(n)
+
+
 def components(space: Workspace, links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): (node, component), component the smallest node reached.
 
