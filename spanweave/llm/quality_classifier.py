@@ -41,7 +41,7 @@ LEXICON_SHARE = 0.015
 #: A feature of the scorers lies in this share of the sample.
 LEAST_SHARE = 0.004
 KEEP_BELOW = 0.6
-CACHE_WORDS = 500_000
+CACHE_WORDS = 350_000
 MEASURES = 11  # buckets of doc measures take the first MEASURES * 16 features
 TOXIC_LABELLERS, JUNK_LABELLERS = ("word", "short_prefix", "long_prefix"), ("symbols", "few_words_over", "phrases_over", "shouting", "no_letters", "listing", "symbol_words")
 #: (bad from, good up to) of each junk measure, in the order of JUNK_LABELLERS.

@@ -2,8 +2,8 @@
 
 A fingerprint of 64-bit words is cut into so few segments that of two fingerprints within the radius one segment differs
 by at most one bit (64 bits, radius 3: two segments of 32). Each segment is indexed once for every bit position with that
-bit a wildcard; fingerprints that meet under one key are verified over all bits. A pair meets once for each agreeing
-variant, and is kept only under the first of them. Equal fingerprints are one class, linked through the class, so copies
+bit a wildcard; fingerprints that meet under one key are verified over all bits. A pair may meet under several variants; the pairs
+that pass are made distinct. Equal fingerprints are one class, linked through the class, so copies
 are never expanded into pairs.
 
 Defined results: a null or empty text has no words and fingerprint zero, linked like any other; a null id keeps its
@@ -96,33 +96,25 @@ def _segment(fp: str, part: tuple[int, int, int]) -> Column:
 
 
 def variant_keys(parts: list[tuple[int, int, int]]) -> Column:
-    """All one-wildcard keys of column fp as array<struct<s int, w int, k bigint>>."""
+    """All one-wildcard keys of column fp: segment and wildcard place above, the segment without that bit below."""
     made = []
     for s, part in enumerate(parts):
         seg = _segment("fp", part)
-        made += [F.struct(F.lit(s * 64 + w).alias("sw"), seg.bitwiseAND(F.lit(((1 << part[2]) - 1) & ~(1 << w))).alias("k")) for w in range(part[2])]
+        made += [seg.bitwiseAND(F.lit(((1 << part[2]) - 1) & ~(1 << w))).bitwiseOR(F.lit((s * 64 + w) << 33)) for w in range(part[2])]
     return F.array(*made)
 
 
-def first_meeting(parts: list[tuple[int, int, int]]) -> Column:
-    """Segment * 64 + wildcard of the first key under which a.fp and b.fp meet."""
-    out = None
-    for s, part in reversed(list(enumerate(parts))):
-        x = _segment("a.fp", part).bitwiseXOR(_segment("b.fp", part))
-        wild = F.when(x == 0, 0).otherwise(F.bit_count(x - 1))  # one bit is set: the ones below it give its place
-        out = F.when(F.bit_count(x) <= 1, F.lit(s * 64) + wild).otherwise(out if out is not None else F.lit(-1))
-    return out
-
-
-def near_pairs(classes: DataFrame, n_words: int, per_word: int, radius: int) -> DataFrame:
-    """classes: distinct (node, fp) -> pairs (a, b, distance) at most `radius` bits apart, each once."""
+def near_pairs(classes: DataFrame, n_words: int, per_word: int, radius: int, carried: int = 1) -> DataFrame:
+    """classes: distinct (node, fp) -> distinct pairs (a, b) that agree in a segment but for one bit and differ in at most
+    `radius` bits of their first `carried` words, the only ones that the index carries."""
     parts = segments_of(n_words, per_word)
     # dealt out anew: the classes are small and their index is not
     classes = classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
-    index = classes.select("node", "fp", F.explode(variant_keys(parts)).alias("v")).select("node", "fp", F.col("v.sw").alias("sw"), F.col("v.k").alias("k"))
-    distance = sum((F.bit_count(F.col("a.fp")[w].bitwiseXOR(F.col("b.fp")[w])) for w in range(n_words)), F.lit(0))
-    met = (F.col("a.sw") == F.col("b.sw")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.node") < F.col("b.node"))
-    return index.alias("a").join(index.alias("b"), met & (distance <= radius) & (first_meeting(parts) == F.col("a.sw"))).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), distance.alias("distance"))
+    words = [F.col("fp")[w].alias(f"w{w}") for w in range(carried)]
+    index = classes.select("node", *words, F.explode(variant_keys(parts)).alias("key"))
+    distance = sum((F.bit_count(F.col(f"a.w{w}").bitwiseXOR(F.col(f"b.w{w}"))) for w in range(carried)), F.lit(0))
+    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (distance <= radius)
+    return index.alias("a").join(index.alias("b"), met).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
 
 def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
@@ -133,7 +125,7 @@ def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     space = Workspace(spark, "simhash")
     prints = space.write(with_fingerprints(docs, id_col, text_col, shingle).select("id", F.col("fp")[0].alias("fp")), "prints")
     classes = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    links = near_pairs(classes.select(F.col("fp").alias("node"), F.array("fp").alias("fp")), 1, 2, radius).select("a", "b")
+    links = near_pairs(classes.select(F.col("fp").alias("node"), F.array("fp").alias("fp")), 1, 2, radius)
     reached = components(space, links)
     placed = classes.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -145,16 +137,19 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, id_col: str = "d
     """(id, component) of documents whose shingle sets have Jaccard similarity of `similarity` or more.
 
     The fingerprints are 64 * n_words bits long: at similarity 0.8 about 15 % of the bits differ, and one of n_words *
-    per_word segments differs by at most one bit with probability 0.92 (0.98 at 0.85, over 0.99 at 0.9). Candidates within a
-    quarter of the bits are verified on the exact shingle sets. Ids must not be null; texts without words form one group.
+    per_word segments differs by at most one bit with probability 0.92 (0.98 at 0.85, over 0.99 at 0.9). Candidates within 40 of
+    the first 128 bits (19 are expected at 0.8, 64 of unrelated texts) are verified on the exact shingle sets. Ids must not be null; texts without words form one group.
     """
     ship_package(spark)
     space = Workspace(spark, "neardup")
-    made = space.write(with_fingerprints(docs, id_col, text_col, shingle, n_words, sets=True), "prints")
+    made = space.write(with_fingerprints(docs, id_col, text_col, shingle, n_words), "prints")
     classes = space.write(made.groupBy("fp").agg(F.min("id").alias("node")), "classes")
-    pairs = space.write(near_pairs(classes, n_words, per_word, 64 * n_words // 4).select("a", "b"), "pairs")
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = made.select(F.col("id").alias("node"), "shingles").join(used, "node", "left_semi").dropDuplicates(["node"])
+    carried = min(2, n_words)
+    pairs = space.write(near_pairs(classes, n_words, per_word, 20 * carried, carried), "pairs")
+    used = pairs.select(F.col("a").alias(id_col)).union(pairs.select("b")).distinct()
+    # only documents in a candidate pair have their shingle sets written
+    some = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).join(used, id_col, "left_semi")
+    sets = space.write(with_fingerprints(some, id_col, text_col, shingle, 1, sets=True).select(F.col("id").alias("node"), "shingles"), "sets").dropDuplicates(["node"])
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     links = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")

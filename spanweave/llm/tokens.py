@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from spanweave.llm.support import Rows
 
 #: Distinct parts remembered by one Python worker before it starts afresh.
-CACHE_PARTS = 1_000_000
+CACHE_PARTS = 400_000
 #: Bytes of text encoded at once.
 SLICE_BYTES = 8 << 20
 SENTENCE_ENDS = (".", "!", "?", "…", "。")
