@@ -33,7 +33,7 @@ from spanweave.session import ship_package
 
 DIM_BITS = 18
 DIM = 1 << DIM_BITS
-LABELLED, TRAINED = 4000, 3000
+LABELLED, TRAINED = 4000, 2000
 PREFIXES = (5, 7)
 RATE = 20.0
 #: A lexicon's entry lies in this share of the sample's toxic documents.
@@ -296,6 +296,8 @@ def fit(spark: SparkSession, texts: DataFrame, labels: DataFrame) -> tuple[Model
             model.weights[k], bias = fit_linear(starts, ids, values, target)
             biases.append(bias)
         model.bias = (biases[0], biases[1])
+        del sample, ids, values
+        pa.default_memory_pool().release_unused()
     return model, accuracies
 
 

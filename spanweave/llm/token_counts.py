@@ -26,7 +26,7 @@ from spanweave.llm.tokens import encoder, tokenizer_path
 from spanweave.session import ship_package
 
 END_OF_DOCUMENT = 49407  # <|endoftext|> of word_bpe_49k.json; its string in a text is encoded as ordinary text
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 16
 GROUP_BLOCKS = 256
 DTYPE = "<u2"  # the vocabulary has under 65,536 ids
 

@@ -19,7 +19,7 @@ from spanweave.llm.support import Rows
 #: Distinct parts remembered by one Python worker before it starts afresh.
 CACHE_PARTS = 400_000
 #: Bytes of text encoded at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 SENTENCE_ENDS = (".", "!", "?", "…", "。")
 _CLOSERS = "\"')]}»”’"
 _MARKS = frozenset(".,!?;:")
@@ -94,6 +94,7 @@ class PartEncoder:
             before = held[at - 1] if at else 0
             stop = max(at + 1, int(np.searchsorted(held, before + SLICE_BYTES, "right")))
             yield self._encode(texts.slice(at, stop - at))
+            pa.default_memory_pool().release_unused()
             at = stop
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
