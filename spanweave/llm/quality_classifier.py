@@ -24,6 +24,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -282,14 +283,14 @@ def fit(spark: SparkSession, texts: DataFrame, labels: DataFrame) -> tuple[Model
             post[head] = dict(zip(table, p, strict=True))
             accuracies[head] = {k: (float(a[0, i, 1]), float(a[1, i, 2])) for i, k in enumerate(labellers)}
     chosen = F.broadcast(hashed_sample(texts.select("id"), TRAINED, 9))  # at most TRAINED rows of 8 bytes
-    sample = space.write(_sample_features(texts.join(chosen, "id").select("id", "text"), model), "sample").orderBy("id").toPandas()
+    sample = space.write(_sample_features(texts.join(chosen, "id").select("id", "text"), model), "sample").orderBy("id").toArrow()
     model.weights = np.zeros((2, DIM), np.float32)
     if len(sample):
-        ids, values = np.concatenate(sample["features"].to_list()), np.concatenate(sample["values"].to_list())
-        starts = np.cumsum([0, *map(len, sample["features"])])[:-1]
+        ids, values = (np.concatenate([c.flatten().to_numpy() for c in sample[name].chunks]) for name in ("features", "values"))
+        starts = np.cumsum(np.append(0, pc.list_value_length(sample["features"]).to_numpy()))[:-1]
         biases = []
         for k, head in enumerate(("junk", "toxic")):
-            target = np.array([post[head].get(tuple(v), 0.0) for v in sample[head].map(tuple)])
+            target = np.array([post[head].get(tuple(v), 0.0) for v in sample[head].to_pylist()])
             if target.max() < 0.5:
                 biases.append(-10.0)
                 continue

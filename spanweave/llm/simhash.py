@@ -95,13 +95,15 @@ def _segment(fp: str, part: tuple[int, int, int]) -> Column:
     return F.shiftrightunsigned(F.col(fp)[word], low).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def variant_keys(parts: list[tuple[int, int, int]]) -> Column:
-    """All one-wildcard keys of column fp: segment and wildcard place above, the segment without that bit below."""
-    made = []
-    for s, part in enumerate(parts):
-        seg = _segment("fp", part)
-        made += [seg.bitwiseAND(F.lit(((1 << part[2]) - 1) & ~(1 << w))).bitwiseOR(F.lit((s * 64 + w) << 33)) for w in range(part[2])]
-    return F.array(*made)
+def variant_index(classes: DataFrame, parts: list[tuple[int, int, int]], *kept: Column | str) -> DataFrame:
+    """The kept columns and `key`, once for every one-wildcard key of column fp: segment and wildcard place above, the segment
+    without that bit below. Two explodes keep the plan's code small."""
+    cut = F.array(*[F.struct(_segment("fp", p).alias("seg"), F.lit(p[2]).alias("width")) for p in parts])
+    names = [*classes.select(*kept).columns]
+    each = classes.select(*kept, F.posexplode(cut).alias("s", "part"))
+    each = each.select(*names, "s", "part.seg", F.explode(F.sequence(F.lit(0), F.col("part.width") - 1)).alias("wild"))
+    bare = F.expr("seg & ~shiftleft(1L, wild)")
+    return each.select(*names, bare.bitwiseOR(F.expr("shiftleft(cast(s * 64 + wild as bigint), 33)")).alias("key"))
 
 
 def near_pairs(classes: DataFrame, n_words: int, per_word: int, radius: int, carried: int = 1) -> DataFrame:
@@ -111,7 +113,7 @@ def near_pairs(classes: DataFrame, n_words: int, per_word: int, radius: int, car
     # dealt out anew: the classes are small and their index is not
     classes = classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
     words = [F.col("fp")[w].alias(f"w{w}") for w in range(carried)]
-    index = classes.select("node", *words, F.explode(variant_keys(parts)).alias("key"))
+    index = variant_index(classes, parts, "node", *words)
     distance = sum((F.bit_count(F.col(f"a.w{w}").bitwiseXOR(F.col(f"b.w{w}"))) for w in range(carried)), F.lit(0))
     met = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (distance <= radius)
     return index.alias("a").join(index.alias("b"), met).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
