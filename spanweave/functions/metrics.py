@@ -66,3 +66,41 @@ def truthy(value: Column) -> Column:
 def positive_int(value: Column, default: int) -> Column:
     n = value.try_cast("int")
     return F.when(n > 0, n).otherwise(F.lit(default))
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def normalised_levenshtein(a: Column, b: Column) -> Column:
+    """Edit distance over the longer length; 0 for two empty texts."""
+    return safe_ratio(F.levenshtein(a, b), F.greatest(F.char_length(a), F.char_length(b)))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    return safe_ratio(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
+
+
+def smoothed_log(x: Column, floor: float = 1e-5) -> Column:
+    return F.log(x + F.lit(floor))
+
+
+def strip_edge_punctuation(word: Column) -> Column:
+    return F.regexp_replace(word, r"^\p{P}+|\p{P}+$", "")
+
+
+def dehyphenate(text: Column) -> Column:
+    """Words broken at a line end are joined again."""
+    return F.replace(text, F.lit("-\n"), F.lit(""))
+
+
+def repeat_until(text: Column, length: int) -> Column:
+    """A short text repeated until it has `length` characters; an empty one stays."""
+    n = F.char_length(text)
+    return F.when((n > 0) & (n < length), F.repeat(text, F.ceil(F.lit(length) / n).cast("int"))).otherwise(text)
+
+
+def perplexity(log_probs: Column) -> Column:
+    """exp of the mean negative log probability of an array; null if it is empty."""
+    n = F.size(log_probs)
+    return F.when(n > 0, F.exp(-F.aggregate(log_probs, F.lit(0.0), lambda a, x: a + x) / n))

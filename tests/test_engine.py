@@ -115,3 +115,27 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     assert {(r.window.start, r.event_type, r.n) for r in spark.table("tumbled").collect()} == want
     assert os.path.exists(tmp_path / "cp")
+
+
+def test_dependencies(spark):
+    from spanweave.operators import dependencies as D
+
+    words = spark.createDataFrame([(1, 0, 1, 0, "VERB", "root"), (1, 0, 2, 1, "NOUN", "obj"), (1, 0, 3, 2, "VERB", "acl"), (1, 0, 4, 3, "NOUN", "obj"), (1, 0, 5, 2, "DET", "det")], "doc_id long, sent long, id long, head long, upos string, deprel string")
+    assert {r["id"] for r in D.having_child(words, ["obj"]).collect()} == {1, 3}
+    assert {(r["id"], r["n_dependents"]) for r in D.n_dependents(words).collect()} == {(1, 1), (2, 2), (3, 1), (4, 0), (5, 0)}
+    assert {(r["id"], r["head_upos"]) for r in D.with_heads(words).collect()} == {(1, None), (2, "VERB"), (3, "NOUN"), (4, "VERB"), (5, "NOUN")}
+    reached = {(r["root"], r["id"]) for r in D.closures(words).collect()}
+    assert reached == {(1, 1), (1, 2), (1, 5), (2, 2), (2, 5), (3, 3), (3, 4), (4, 4), (5, 5)}
+
+
+def test_selection(spark):
+    import pytest
+
+    from spanweave.operators.selection import select_spans, shared_items
+
+    docs = spark.createDataFrame([(1, "One two. Three four.")], "doc_id long, text string")
+    assert {r["type"]: r["count"] for r in select_spans(docs, "text,sentence").groupBy("type").count().collect()} == {"text": 1, "sentence": 2}
+    with pytest.raises(ValueError):
+        select_spans(docs, "stanza")
+    sets = spark.createDataFrame([(1, ["a", "b"]), (1, ["a"]), (1, ["a", "b", "b"]), (2, ["a"])], "doc_id long, ws array<string>")
+    assert {r["doc_id"]: r["shared_mean"] for r in shared_items(sets).collect()} == {1: 4 / 3, 2: None}
