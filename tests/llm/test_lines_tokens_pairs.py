@@ -181,7 +181,7 @@ def test_simhash(spark, nasty, as_tables):
     assert got == brute_simhash(texts_of(nasty))
 
 
-def test_near_pairs_find_every_pair(spark):
+def test_near_links_find_every_component(spark):
     rng = np.random.default_rng(4)
     fps = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 40)]
     for base in fps[:20]:
@@ -192,8 +192,17 @@ def test_near_pairs_find_every_pair(spark):
             fps.append(x - 2**64 if x >= 2**63 else x)
     fps = sorted(set(fps))
     want = {(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
-    got = simhash.near_pairs(spark.createDataFrame([(f, [f]) for f in fps], "node bigint, fp array<bigint>"), 1, 2, 3).collect()
-    assert sorted((r.a, r.b) for r in got) == sorted(want)
+    table = spark.createDataFrame([(f, [f]) for f in fps], "node bigint, fp array<bigint>")
+    got = {(r.a, r.b) for r in simhash.near_links(Workspace(spark, "t"), table, 1, 2, 3).collect()}
+    assert got <= want and least_reached(fps, got) == least_reached(fps, want)
+
+
+def least_reached(nodes, links):
+    label = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
 
 
 def test_components(spark):
@@ -208,6 +217,21 @@ def test_components(spark):
     assert found == {n: c for n, c in label.items() if n not in alone}
 
 
+def test_near_copies_of_a_large_group(spark):
+    """Copies of one text at similarities around the limit, and texts that share only a passage, against all pairs."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        found = [f"x{i}-{k}" if rng.random() < rate else w for k, w in enumerate(base)] if (rate := [0.0, 0.008, 0.015, 0.04][i % 4]) else [*base, f"y{i}"]
+        rows.append((i, " ".join(found)))
+    rows += [(100 + i, " ".join([f"z{i}-{k}" for k in range(40)] + base[:60])) for i in range(20)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    want = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {r.id: r.component for r in simhash.near_duplicate_groups(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == least_reached(sorted(sets), want)
+
+
 def test_near_duplicate_groups(spark):
     words = [f"w{i}" for i in range(600)]
     near = words.copy()
