@@ -7,8 +7,8 @@ the words; its output softmax is factored into CLASSES classes and the members o
 
 Training is truncated backpropagation through time over windows of WINDOW steps with the state carried across windows. A
 first model is fitted on FIRST documents on the driver; then every partition trains on from it on all its training documents and the
-partitions' parameters are averaged, weighted by tokens, in one distributed aggregation. Each document's state is carried
-through its whole text; one window in STEP is trained on, at an offset that changes from document block to block.
+partitions' parameters are averaged, weighted by tokens, in one distributed aggregation. Whole documents are queued in lanes, a
+lane's state running from a document's first word to its end, and every window is trained on, the short ones at the end included.
 Scoring carries the state through complete documents of any length.
 
 Base scores need the count of every word: the HOT most frequent ones travel with the task, all others are joined.
@@ -19,7 +19,8 @@ through; repeated rows are scored each; an empty table gives an empty result; wi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -36,12 +37,10 @@ CLASSES, MEMBERS = 32, 32
 OUTPUTS = CLASSES * MEMBERS
 BUCKETS = 64
 HIDDEN = 16
-WINDOW, STEP = 16, 8
+WINDOW = 16
 LANES = 512
 HOT = 60_000
 FIRST = 400
-#: Tokens handled at once by a task.
-BLOCK = 1 << 20
 CACHE_WORDS = 350_000
 
 
@@ -134,7 +133,8 @@ class Recurrent:
         return out, back
 
     def gradients(self, h: np.ndarray, before: np.ndarray, ids: np.ndarray) -> tuple[dict, np.ndarray, float]:
-        """Gradients over one window (steps, lanes) from state h, the state after it and the mean log probability."""
+        """Gradients over one window (steps, lanes) from state h, the state after it and the mean log probability; places of
+        id -1, after a lane's last word, count for nothing."""
         grad = {k: np.zeros_like(v) for k, v in self.p.items()}
         states, caches = [], []
         for t in range(len(before)):
@@ -142,10 +142,12 @@ class Recurrent:
             h, cache = self.advance(h, before[t])
             states.append(h)
             caches.append(cache)
-        flat = np.concatenate(states)
-        logp, back = self.log_probs(flat, ids.ravel(), grad)
+        flat, real = np.concatenate(states), ids.ravel() >= 0
+        back = np.zeros_like(flat)
+        logp, back[real] = self.log_probs(flat[real], ids.ravel()[real], grad)
         back = back.reshape(len(before), -1, HIDDEN)
         dh = np.zeros_like(h)
+        inner = np.empty((*before.shape, 3 * HIDDEN), h.dtype)
         for t in range(len(before) - 1, -1, -1):
             dh = dh + back[t]
             was, z, r, c, uc, b = caches[t]
@@ -153,10 +155,13 @@ class Recurrent:
             dz = dh * (was - c) * z * (1 - z)
             dr = dc * uc * r * (1 - r)
             du = np.concatenate([dz, dr, dc * r], axis=1)
-            np.add.at(grad["inp"], b, np.concatenate([dz, dr, dc], axis=1))
+            np.concatenate([dz, dr, dc], axis=1, out=inner[t])
             grad["rec"] += was.T @ du
             dh = np.where(b[:, None] == OUTPUTS, np.float32(0), dh * z + du @ self.p["rec"].T)
-        n = ids.size
+        order = np.argsort(before, axis=None, kind="stable")
+        words, starts = np.unique(before.ravel()[order], return_index=True)
+        grad["inp"][words] = np.add.reduceat(inner.reshape(-1, 3 * HIDDEN)[order], starts)
+        n = len(logp)
         return {k: g / n for k, g in grad.items()}, h, float(logp.mean())
 
 
@@ -176,22 +181,32 @@ class Trainer:
             fix = np.sqrt(1 - 0.99**self.n) / (1 - 0.9**self.n)
             self.net.p[k] -= self.rate * fix * self.m[k] / (np.sqrt(self.v[k]) + 1e-6)
 
-    def stream(self, docs: list[np.ndarray], step: int, offset: int) -> None:
-        """Carry the state through the documents laid out in lanes; train on one window of `step`."""
-        before = np.concatenate([np.append(OUTPUTS, d[:-1]) for d in docs])
-        ids = np.concatenate(docs)
-        lanes = min(LANES, max(1, len(ids) // (WINDOW * 4)))
-        steps = len(ids) // lanes
-        before, ids = before[: steps * lanes].reshape(lanes, steps).T, ids[: steps * lanes].reshape(lanes, steps).T
-        h = np.zeros((lanes, HIDDEN), np.float32)
-        for k, at in enumerate(range(0, steps - WINDOW + 1, WINDOW)):
-            b, i = before[at : at + WINDOW], ids[at : at + WINDOW]
-            if k % step == offset:
-                grad, h, _ = self.net.gradients(h, b, i)
-                self.step(grad)
+    def stream(self, docs: Iterable[np.ndarray]) -> int:
+        """Train on every window of the documents, each whole in one lane; the number of tokens trained on."""
+        source, head, size = iter(docs), [], 0
+        while size < LANES * WINDOW * 4 and (doc := next(source, None)) is not None:
+            head.append(doc)
+            size += len(doc)
+        source = chain(head, source)
+        rest = [np.empty((2, 0), np.int64)] * min(LANES, max(1, size // (WINDOW * 4)))  # a lane's ids before and ids to come
+        h, tokens = np.zeros((len(rest), HIDDEN), np.float32), 0
+        while True:
+            for k, lane in enumerate(rest):
+                while lane.shape[1] < WINDOW and (doc := next(source, None)) is not None:
+                    lane = rest[k] = np.concatenate([lane, [np.append(OUTPUTS, doc[:-1]), doc]], axis=1)
+            if any(lane.shape[1] < WINDOW for lane in rest):  # no documents are left
+                held = [k for k, lane in enumerate(rest) if lane.shape[1]]
+                if not held:
+                    return tokens
+                h, rest = h[held], [rest[k] for k in held]
+                at = [np.pad(x := lane[:, :WINDOW], ((0, 0), (0, WINDOW - x.shape[1])), constant_values=-1) for lane in rest]
             else:
-                for t in range(WINDOW):
-                    h, _ = self.net.advance(np.where(b[t][:, None] == OUTPUTS, np.float32(0), h), b[t])
+                at = [lane[:, :WINDOW] for lane in rest]
+            rest = [lane[:, WINDOW:] for lane in rest]
+            before, ids = np.stack(at, axis=2)
+            tokens += int((ids >= 0).sum())
+            grad, h, _ = self.net.gradients(h, np.where(before < 0, OUTPUTS, before), ids)
+            self.step(grad)
 
 
 def score_documents(net: Recurrent, docs: list[np.ndarray]) -> np.ndarray:
@@ -368,7 +383,7 @@ def train(spark: SparkSession, texts: DataFrame, vocabulary: Vocabulary) -> Recu
     spent = 0
     for epoch in range(20):
         trainer.rate = 0.02 * 0.9**epoch
-        trainer.stream(sample, 1, 0)
+        trainer.stream(sample)
         spent += sum(map(len, sample))
         if spent > 1_500_000:
             break
@@ -377,21 +392,7 @@ def train(spark: SparkSession, texts: DataFrame, vocabulary: Vocabulary) -> Recu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Recurrent({k: v.copy() for k, v in start.value.items()})
         trainer = Trainer(own, 0.003)
-        docs, size, blocks, tokens = [], 0, 0, 0
-
-        def flush() -> None:
-            nonlocal docs, size, blocks, tokens
-            trainer.stream(docs, STEP, blocks % STEP)
-            docs, tokens, size, blocks = [], tokens + size, 0, blocks + 1
-
-        for batch in batches:
-            for ids in _documents(sent.value, batch.column("text")):
-                docs.append(ids)
-                size += len(ids)
-                if size >= BLOCK:
-                    flush()
-        if docs:
-            flush()
+        tokens = trainer.stream(ids for batch in batches for ids in _documents(sent.value, batch.column("text")))
         if tokens:
             flat = own.flat()
             for at in range(0, len(flat), 4096):

@@ -282,6 +282,25 @@ def test_lm_lanes_do_not_mix_documents():
     assert np.allclose(language_model.score_documents(net, docs), alone, rtol=1e-4)
 
 
+def test_lm_trains_on_every_token_of_whole_documents(monkeypatch):
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, language_model.OUTPUTS, n) for n in (1, 700, 3, 40, 41, 2, 90, 5000)]
+    seen, real = [], language_model.Recurrent.gradients
+
+    def gradients(net, h, before, ids):
+        seen.extend(zip(before[ids >= 0].tolist(), ids[ids >= 0].tolist(), strict=True))
+        grad, after, mean = real(net, h, before, ids)
+        assert len(after) == len(h)
+        return grad, after, mean
+
+    monkeypatch.setattr(language_model.Recurrent, "gradients", gradients)
+    trainer = language_model.Trainer(language_model.Recurrent(), 0.003)
+    trainer.stream(docs)
+    every = Counter(p for d in docs for p in zip([language_model.OUTPUTS, *d[:-1].tolist()], d.tolist(), strict=True))
+    assert Counter(seen) == every
+    assert not hasattr(language_model, "STEP")
+
+
 def test_pipeline(spark, as_tables):
     docs, labels = corpus(400)
     good = [i for i, q, t in labels if q and not t]
