@@ -240,3 +240,25 @@ def test_near_duplicate_groups(spark):
     rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(words)), (5, ""), (6, None)]
     got = {r.id: r.component for r in simhash.near_duplicate_groups(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1: 1, 2: 1, 4: 1, 3: 3, 5: 5, 6: 5}
+
+
+def groups_of(spark, rows):
+    return {r.id: r.component for r in simhash.near_duplicate_groups(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+
+
+def test_near_copies_with_repeated_passages(spark):
+    """Near copies as shingle sets, one of which repeats a passage many times."""
+    rows = []
+    for i in range(20):
+        words = [f"w{i}-{k}" for k in range(300)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:60] * 8, *words[60:], "end"]))]
+    assert groups_of(spark, rows) == {i: i - i % 2 for i in range(40)}
+
+
+def test_near_copies_at_the_limit(spark):
+    rows = []
+    for i in range(150):
+        words = [f"w{i}-{k}" for k in range(400)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:357], *[f"x{i}-{k}" for k in range(43)]]))]  # 353 of 439 shingles shared
+    got = groups_of(spark, rows)
+    assert sum(got[2 * i + 1] == 2 * i for i in range(150)) >= 146
