@@ -3,8 +3,9 @@
 A fingerprint of 64-bit words is cut into so few segments that of two fingerprints within the radius one segment differs
 by at most one bit (64 bits, radius 3: two segments of 32). Each segment is indexed once for every bit position with that
 bit a wildcard; fingerprints that meet under one key are verified over all bits. A pair may meet under several variants; the pairs
-that pass are made distinct. Equal fingerprints are one class, linked through the class, and the members of a key through its
-smallest one where that holds, so neither copies nor groups of near copies are expanded into pairs.
+that pass are made distinct. Equal fingerprints (for near copies by their shingle sets: equal sets) are one class, linked through
+the class, and the members of a key through its smallest one where that holds, so neither copies nor groups of near copies are
+expanded into pairs.
 
 Defined results: a null or empty text has no words and fingerprint zero, linked like any other; a null id keeps its
 fingerprint and gets its component's smallest id (null if there is none); repeated rows come back as often as they came;
@@ -67,25 +68,30 @@ def fingerprint(hashes: np.ndarray, n_words: int = 1) -> list[int]:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, n_words: int = 1, sets: bool = False, once: bool = False) -> DataFrame:
-    """(id, fp array<bigint>[, shingles array<bigint>, sorted distinct hashes]); with once, repeats of a shingle don't weigh."""
+    """(id, fp array<bigint>[, shingles array<bigint>, sorted distinct hashes]); with once, repeats of a shingle don't weigh and
+    there is `same`, a 128-bit hash of the set."""
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, found = [], []
+            fps, found, same = [], [], []
             for text in batch.column("text"):
                 h = shingle_hashes(words(text.as_py()), shingle)
                 if once or sets:
                     h = np.unique(h)
                 fps.append(fingerprint(h, n_words))
+                if once:
+                    same.append(xxhash.xxh3_128_digest(h.tobytes()))
                 if sets:
                     found.append(h.view(np.int64))
             columns = {"id": batch.column("id"), "fp": pa.array(fps, pa.list_(pa.int64()))}
+            if once:
+                columns["same"] = pa.array(same, pa.binary())
             if sets:
                 columns["shingles"] = pa.array(found, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_pydict(columns)
 
-    return kept.mapInArrow(run, "id bigint, fp array<bigint>" + ", shingles array<bigint>" * sets)
+    return kept.mapInArrow(run, "id bigint, fp array<bigint>" + ", same binary" * once + ", shingles array<bigint>" * sets)
 
 
 def segments_of(n_words: int, per_word: int) -> list[tuple[int, int, int]]:
@@ -187,13 +193,13 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, id_col: str = "d
 
     The fingerprints are of the sets, 64 * n_words bits long: at similarity 0.8 about 15 % of the bits differ, and one of n_words *
     per_word segments differs by at most one bit with probability 0.99 (over 0.999 from 0.85). Candidates within
-    radius_of() bits are verified on the exact shingle sets; those that the smallest nodes of their keys leave apart must share one of
+    radius_of() bits are verified on the exact shingle sets, equal fingerprints too; those that the smallest nodes of their keys leave apart must share one of
     their rarest shingles. Ids must not be null; texts without words form one group.
     """
     ship_package(spark)
     space = Workspace(spark, "neardup")
     made = space.write(with_fingerprints(docs, id_col, text_col, shingle, n_words, once=True), "prints")
-    classes = space.write(made.groupBy("fp").agg(F.min("id").alias("node")), "classes")
+    classes = space.write(made.groupBy("same").agg(F.min("id").alias("node"), F.first("fp").alias("fp")), "classes")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         # only documents in a candidate pair have their shingle sets written
@@ -222,10 +228,10 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, id_col: str = "d
 
     after = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) + 1
     reach = after >= F.lit(share - 1e-9) * (F.col("a.n") + F.col("b.n"))
-    links = near_links(space, classes, n_words, per_word, radius_of(similarity, 64 * n_words), verified, rarest, reach)
+    links = near_links(space, classes.select("node", "fp"), n_words, per_word, radius_of(similarity, 64 * n_words), verified, rarest, reach)
     reached = components(space, links)
-    placed = classes.join(reached, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return made.select("id", "fp").join(placed, "fp").select("id", "component")
+    placed = classes.join(reached, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
+    return made.select("id", "same").join(placed, "same").select("id", "component")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,3 +262,10 @@ def test_near_copies_at_the_limit(spark):
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:357], *[f"x{i}-{k}" for k in range(43)]]))]  # 353 of 439 shingles shared
     got = groups_of(spark, rows)
     assert sum(got[2 * i + 1] == 2 * i for i in range(150)) >= 146
+
+
+def test_equal_fingerprints_are_verified(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "fingerprint", lambda hashes, n_words=1: [0] * n_words)
+    texts = [" ".join(f"w{i}-{k}" for k in range(40)) for i in range(6)]
+    rows = [*enumerate(texts), (6, texts[2]), (7, texts[3] + " end")]
+    assert groups_of(spark, rows) == {i: {6: 2, 7: 3}.get(i, i) for i in range(8)}
