@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanweave.session import ship_package
+
 
 def ngrams(words: Column, most: int) -> Column:
     """All n-grams of 1..most words as structs (pos, n, phrase)."""
@@ -36,16 +42,59 @@ def fuzzy(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "key").select("a", "b").distinct().withColumn("distance", F.levenshtein("a", "b", 1)).where("distance >= 0")
 
 
+def letters(word: Column) -> Column:
+    """The letters with their numbers among equal ones: two words share as many of these as letters, repeats included."""
+    each = F.transform(F.sequence(F.lit(1), F.char_length(word)), lambda i: F.substring(word, i, F.lit(1)))
+    number = F.transform(each, lambda c, i: F.concat(c, F.size(F.filter(F.slice(each, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+    return F.when(F.char_length(word) > 0, number).otherwise(F.array().cast("array<string>"))
+
+
+def similar(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
+    """All pairs (a, b, sim) of distinct words of left (word) and right (word) with difflib's ratio 2 M / T >= cutoff > 0.
+
+    M is at most the number of letters shared, so a pair that passes shares cutoff / 2 of its letters and the lengths n and m
+    have n / m >= cutoff / (2 - cutoff). A word of n letters then shares at least cutoff / (2 - cutoff) * n of them, so both share
+    one among their first n - that + 1 by one order of all letters, rarest first.
+    """
+    if not 0 < cutoff <= 1:
+        raise ValueError("cutoff must be over 0 and at most 1")
+    ship_package(left.sparkSession)
+    least = cutoff / (2 - cutoff) - 1e-9
+
+    def numbered(words: DataFrame) -> DataFrame:
+        return words.where("word <> ''").distinct().select("word", letters(F.col("word")).alias("ls"))
+
+    a, b = numbered(left), numbered(right)
+    counts = b.select(F.explode("ls").alias("key")).groupBy("key").agg(F.count("*").alias("df"))
+
+    def first(words: DataFrame) -> DataFrame:
+        each = words.select("word", "ls", F.size("ls").alias("n"), F.explode("ls").alias("key")).join(counts, "key", "left")
+        placed = each.withColumn("place", F.row_number().over(W.partitionBy("word").orderBy(F.coalesce("df", F.lit(0)), "key")))
+        return placed.where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("key", "word", "ls", "n")
+
+    x, y = first(a).select("key", F.col("word").alias("a"), F.col("ls").alias("la"), F.col("n").alias("n")), first(b).select("key", F.col("word").alias("b"), F.col("ls").alias("lb"), F.col("n").alias("m"))
+    near = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m")
+    enough = 2 * F.size(F.array_intersect("la", "lb")) >= F.lit(cutoff - 1e-9) * (F.col("n") + F.col("m"))
+    pairs = x.join(y, "key").where(near & enough).select("a", "b").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # the name looked up comes second, as in difflib.get_close_matches
+            sims = [SequenceMatcher(None, y, x).ratio() for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())], ["a", "b", "sim"])
+
+    return pairs.mapInArrow(run, "a string, b string, sim double").where(F.col("sim") >= cutoff)
+
+
 def two_stage(left: DataFrame, right: DataFrame, cutoff: float = 0.8) -> DataFrame:
-    """left (name), right (name, value): exact match ignoring case, first row wins; the rest by one-edit neighbours whose
-    normalised similarity reaches the cutoff."""
+    """left (name), right (name, value): exact match ignoring case, first row wins; the rest by the most similar of all names
+    whose ratio (difflib's 2 M / T) reaches the cutoff."""
     first = right.groupBy(F.lower("name").alias("key")).agg(F.min(F.struct("value", "name")).alias("v"))
     exact = left.join(first, F.lower("name") == F.col("key"), "left")
     hit = exact.where("v is not null").select("name", F.col("v.value").alias("value"), F.lit("exact").alias("stage"))
     rest = exact.where("v is null").select("name")
-    near = fuzzy(rest.select(F.lower("name").alias("word")).distinct(), right.select(F.lower("name").alias("word")).distinct())
-    best = near.withColumn("sim", 1 - F.col("distance") / F.greatest(F.char_length("a"), F.char_length("b"))).where(F.col("sim") >= cutoff)
-    best = best.withColumn("n", F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))).where("n = 1")
+    near = similar(rest.select(F.lower("name").alias("word")), right.select(F.lower("name").alias("word")), cutoff)
+    best = near.withColumn("n", F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))).where("n = 1")
     found = rest.join(best, F.lower("name") == F.col("a")).join(first, F.col("b") == F.col("key")).select("name", F.col("v.value").alias("value"), F.lit("fuzzy").alias("stage"))
     return hit.unionByName(found)
 

@@ -142,6 +142,14 @@ def two_stage_match(spark, sf_dir):
     return matching.two_stage(left, n.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("value")))
 
 
+@query(None)
+def two_stage_match_edits(spark, sf_dir):
+    """Probes of two edits: the names with a letter more within and one at the end, whether near enough or not."""
+    n = table(spark, sf_dir, "nation")
+    left = n.select(F.concat(F.expr("left(n_name, 1)"), F.lit("q"), F.expr("substring(n_name, 2)"), F.lit("q")).alias("name"))
+    return matching.two_stage(left, n.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("value")))
+
+
 @query("""SELECT n_nationkey AS id, 'nation' AS provider, cast(n_nationkey AS VARCHAR) AS key, n_name AS name FROM nation WHERE n_nationkey % 2 = 0
 UNION ALL SELECT n_nationkey, 'region', cast(n_regionkey AS VARCHAR), r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 1""")
 def provider_lookup(spark, sf_dir):

@@ -139,3 +139,43 @@ def test_selection(spark):
         select_spans(docs, "stanza")
     sets = spark.createDataFrame([(1, ["a", "b"]), (1, ["a"]), (1, ["a", "b", "b"]), (2, ["a"])], "doc_id long, ws array<string>")
     assert {r["doc_id"]: r["shared_mean"] for r in shared_items(sets).collect()} == {1: 4 / 3, 2: None}
+
+
+def test_two_stage_finds_every_similar_name(spark):
+    import difflib
+    import random
+
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 16))) for _ in range(60)] + ["wolfgangmeier", "annalena"]
+    probes = ["wolfgxngmexer", "annaelna", "zz", ""]
+    for name in names:
+        cut = list(name)
+        for _ in range(rng.randrange(1, 4)):
+            cut[rng.randrange(len(cut))] = rng.choice(["", "x", "ab"])
+        probes.append("".join(cut))
+    right = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, value int")
+    left = spark.createDataFrame([(p,) for p in set(probes)], "name string")
+    for cutoff in (0.8, 0.55):
+        got = {r.name: (r.value, r.stage) for r in matching.two_stage(left, right, cutoff).collect()}
+        want = {}
+        for p in set(probes):
+            ratios = {n: difflib.SequenceMatcher(None, n, p).ratio() for n in names}
+            near = sorted((-r, n) for n, r in ratios.items() if r >= cutoff)
+            if p in names:
+                want[p] = (names.index(p), "exact")
+            elif near:
+                want[p] = (names.index(near[0][1]), "fuzzy")
+        assert got == want
+
+
+def test_two_stage_match_edits(spark):
+    import difflib
+
+    names = {r.n_name: r.n_nationkey for r in spark.read.parquet(f"{SF}/nation.parquet").collect()}
+    want = {}
+    for probe in {n[:1] + "q" + n[1:] + "q" for n in names}:
+        near = sorted((-r, n) for n in names if (r := difflib.SequenceMatcher(None, n.lower(), probe.lower()).ratio()) >= 0.8)
+        if near:
+            want[probe] = names[near[0][1]]
+    got = {r.name: r.value for r in QUERIES["two_stage_match_edits"](spark, SF).collect()}
+    assert got == want and len(got) > 0
