@@ -22,10 +22,14 @@ def ngrams(words: Column, most: int) -> Column:
     return F.concat(*[of(n) for n in range(1, most + 1)])
 
 
+def tokens(text: Column) -> Column:
+    """The lower-case words: all runs of letters and digits."""
+    return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+
+
 def tag(docs: DataFrame, dictionary: DataFrame, most: int = 3) -> DataFrame:
     """(doc_id, pos, n, phrase, entry): every dictionary phrase in the texts, an equi-join on the n-gram."""
-    words = F.filter(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-    grams = docs.select("doc_id", F.explode(ngrams(words, most)).alias("g")).select("doc_id", "g.*")
+    grams = docs.select("doc_id", F.explode(ngrams(tokens(F.col("text")), most)).alias("g")).select("doc_id", "g.*")
     return grams.join(dictionary.select(F.lower("phrase").alias("phrase"), "entry"), "phrase")
 
 

@@ -124,6 +124,20 @@ def gazetteer_tagger(spark, sf_dir):
     return matching.tag(table(spark, sf_dir, "documents"), entries, 1).groupBy("doc_id", "entry").agg(F.count("*").alias("hits"))
 
 
+_GRAMS = r"""SELECT {k}, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS phrase FROM (
+ SELECT {k}, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM (SELECT {k}, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM {t}), (VALUES (1), (2), (3)) v(n))"""
+
+
+@query(f"""WITH d AS (SELECT phrase, min(item_id) AS entry FROM ({_GRAMS.format(k='item_id', t='benchmark')}) GROUP BY phrase),
+w AS ({_GRAMS.format(k='doc_id', t='documents')})
+SELECT doc_id, entry, count(*) AS hits FROM w JOIN d USING (phrase) GROUP BY 1, 2""")
+def gazetteer_phrases(spark, sf_dir):
+    """Every phrase of one to three words of the items in the whole texts."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(matching.ngrams(matching.tokens(F.col("text")), 3)).alias("g"))
+    entries = items.select("item_id", "g.phrase").groupBy("phrase").agg(F.min("item_id").alias("entry"))
+    return matching.tag(table(spark, sf_dir, "documents"), entries, 3).groupBy("doc_id", "entry").agg(F.count("*").alias("hits"))
+
+
 _FUZZY = r"SELECT DISTINCT lower(regexp_extract(text, '^[A-Za-z]+')) AS word FROM {t} WHERE regexp_matches(text, '^[A-Za-z]+')"
 
 
@@ -134,6 +148,13 @@ def fuzzy_dictionary_join(spark, sf_dir):
     return matching.fuzzy(pick("conversations"), pick("benchmark")).select("a", "b", F.col("distance").cast("long").alias("distance"))
 
 
+@query(None)
+def fuzzy_dictionary_words(spark, sf_dir):
+    """Every word of the conversations against every word of the items. No SQL: DuckDB's levenshtein counts bytes."""
+    pick = lambda t: table(spark, sf_dir, t).select(F.explode(matching.tokens(F.col("text"))).alias("word")).distinct()
+    return matching.fuzzy(pick("conversations"), pick("benchmark")).select("a", "b", F.col("distance").cast("long").alias("distance"))
+
+
 @query("""WITH n AS (SELECT n_name, n_nationkey FROM nation) SELECT n_name AS name, n_nationkey AS value, 'exact' AS stage FROM n
 UNION ALL SELECT n_name || 'x', n_nationkey, 'fuzzy' FROM n WHERE length(n_name) >= 4""")
 def two_stage_match(spark, sf_dir):

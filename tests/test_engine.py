@@ -179,3 +179,39 @@ def test_two_stage_match_edits(spark):
             want[probe] = names[near[0][1]]
     got = {r.name: r.value for r in QUERIES["two_stage_match_edits"](spark, SF).collect()}
     assert got == want and len(got) > 0
+
+
+def test_whole_texts_are_looked_up(spark, tmp_path):
+    texts = ["Ärger im großen Haus, Cioñ!", "the mice: a mouse", "99 große Häuser", None, "", "house of the mouse"]
+    items = ["A Mouse in the house", "Cioñ", "grosse häuser", ""]
+    spark.createDataFrame(list(enumerate(texts)), "conv_id long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def words(t):
+        return "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+
+    def grams(t):
+        ws = words(t)
+        return [" ".join(ws[i : i + n]) for n in (1, 2, 3) for i in range(len(ws) - n + 1)]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, was = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(was[j] + 1, row[-1] + 1, was[j - 1] + (x != y)))
+        return row[-1]
+
+    got = {(r.a, r.b, r.distance) for r in QUERIES["fuzzy_dictionary_words"](spark, str(tmp_path)).collect()}
+    assert got == {(a, b, d) for t in texts for a in words(t) for i in items for b in words(i) if (d := edits(a, b)) <= 1}
+    entry = {}
+    for k, i in enumerate(items):
+        for p in grams(i):
+            entry.setdefault(p, k)
+    hits = {}
+    for k, t in enumerate(texts):
+        for p in grams(t):
+            if p in entry:
+                hits[k, entry[p]] = hits.get((k, entry[p]), 0) + 1
+    assert {(r.doc_id, r.entry): r.hits for r in QUERIES["gazetteer_phrases"](spark, str(tmp_path)).collect()} == hits
