@@ -115,6 +115,11 @@ def word_frequencies(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.explode(_words()).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
 
 
+@query(f"""WITH w AS (SELECT unnest({_WORDS}) AS word FROM documents) SELECT word, count(*) AS n FROM w GROUP BY word""")
+def all_word_frequencies(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.explode(_words()).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
 @query(r"""WITH d AS (SELECT DISTINCT lower(regexp_extract(text, '^[A-Za-z]+')) AS phrase, min(item_id) AS entry FROM benchmark WHERE regexp_matches(text, '^[A-Za-z]+') GROUP BY 1),
 w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS phrase FROM documents)
 SELECT doc_id, entry, count(*) AS hits FROM w JOIN d USING (phrase) GROUP BY 1, 2""")
@@ -212,6 +217,17 @@ def chunk_packing(spark, sf_dir):
     return sizes.groupBy("doc_id").agg(F.sum("k").alias("n_sentences"), F.sum("n").alias("n_chars"))
 
 
+@query(_SENT.replace("WITH", "WITH RECURSIVE", 1) + """, s AS MATERIALIZED (SELECT doc_id, pos, length(piece) AS n FROM sents), c AS (
+  SELECT doc_id, pos, n, 0 AS chunk, n AS held FROM s WHERE pos = 0
+  UNION ALL SELECT s.doc_id, s.pos, s.n, CASE WHEN held + s.n <= 800 THEN chunk ELSE chunk + 1 END, CASE WHEN held + s.n <= 800 THEN held + s.n ELSE s.n END FROM c JOIN s ON s.doc_id = c.doc_id AND s.pos = c.pos + 1
+) SELECT doc_id, chunk, count(*) AS n_sentences, cast(sum(n) AS BIGINT) AS n_chars FROM c GROUP BY doc_id, chunk""")
+def chunk_packing_chunks(spark, sf_dir):
+    """One row a chunk of at most 800 characters, or of one longer sentence."""
+    s = spans.sentences(table(spark, sf_dir, "documents"))
+    c = spans.pack_consecutive(s, 800).join(s.select("doc_id", "pos", "piece"), ["doc_id", "pos"])
+    return c.groupBy("doc_id", "chunk").agg(F.count("*").alias("n_sentences"), F.sum(F.char_length("piece")).alias("n_chars"))
+
+
 same("speech_spans", """SELECT conv_id, turn, role, cast(coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin_at,
  coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn), -1) AS next_turn FROM conversations""", "conversations")
 same("selection_average", """SELECT user_id, event_type, round(sum(value), 2) AS total, count(*) AS n FROM events GROUP BY GROUPING SETS ((user_id, event_type), (user_id))""", "events")

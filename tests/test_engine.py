@@ -215,3 +215,10 @@ def test_whole_texts_are_looked_up(spark, tmp_path):
             if p in entry:
                 hits[k, entry[p]] = hits.get((k, entry[p]), 0) + 1
     assert {(r.doc_id, r.entry): r.hits for r in QUERIES["gazetteer_phrases"](spark, str(tmp_path)).collect()} == hits
+
+
+def test_every_word_and_chunk_is_returned(spark, tmp_path):
+    spark.createDataFrame([(1, "a b. " + "c" * 790 + " d. b e."), (2, "x" * 900 + ". y.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.word, r.n) for r in QUERIES["all_word_frequencies"](spark, str(tmp_path)).collect()} == {("a", 1), ("b", 2), ("c" * 790, 1), ("d", 1), ("e", 1), ("x" * 900, 1), ("y", 1)}
+    got = {(r.doc_id, r.chunk): (r.n_sentences, r.n_chars) for r in QUERIES["chunk_packing_chunks"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): (2, 798), (1, 1): (1, 5), (2, 0): (1, 901), (2, 1): (1, 3)}
