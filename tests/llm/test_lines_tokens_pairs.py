@@ -269,3 +269,8 @@ def test_equal_fingerprints_are_verified(spark, monkeypatch):
     texts = [" ".join(f"w{i}-{k}" for k in range(40)) for i in range(6)]
     rows = [*enumerate(texts), (6, texts[2]), (7, texts[3] + " end")]
     assert groups_of(spark, rows) == {i: {6: 2, 7: 3}.get(i, i) for i in range(8)}
+
+
+def test_every_sentence_end_is_a_candidate():
+    at, penalty = packing.candidates(np.array([100]), np.array([3, 7, 9, 40, 41]), 100)
+    assert at[penalty == packing.SENTENCE].tolist() == [3, 7, 9, 40, 41]
