@@ -7,7 +7,7 @@ there are O(log batches) runs of doubling size. DataFrame operations only.
 
 Defined results: null or empty text is one empty line; empty tables give empty results; a null id sorts before all
 others and all rows with one id count as one document, so repeated rows keep the same lines; columns beside the two named
-are passed through, whatever their names.
+are passed through, whatever their names; very long texts are split whole, a row of the index a line.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.support import ASCII_SPACE, Workspace, ascii_lower
+from spanweave.llm.support import ASCII_SPACE, Workspace, ascii_lower, spare_name
 
 NULL_ID = -(2**63)
 
@@ -88,7 +88,8 @@ def mark_lines(space: Workspace, lines: DataFrame, batches: int, fanout: int = 2
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 3, fanout: int = 2) -> DataFrame:
-    """docs with text_col cut down to the lines that stay, plus kept_lines, n_lines and n_dropped in struct `line_dedup`."""
+    """docs with text_col cut down to the lines that stay, plus n_lines and n_dropped in struct `line_dedup` (with underscores behind it
+    where docs has such a column)."""
     space = Workspace(spark, "lines")
     text = F.coalesce(F.col(text_col), F.lit(""))
     row = F.xxhash64(text)
@@ -106,7 +107,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     kept = F.when(F.col("n_dropped") == 0, F.col("parts")).otherwise(stay)
     joined = joined.select("doc_row", F.array_join(kept, "\n").alias("kept"), F.size("parts").alias("n_lines"), "n_dropped")
     fields = [(F.col("kept") if c == text_col else F.col(f"doc_row.`{c}`")).alias(c) for c in docs.columns]
-    return joined.select(*fields, F.struct(F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped")).alias("line_dedup"))
+    return joined.select(*fields, F.struct(F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped")).alias(spare_name(docs, "line_dedup")))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

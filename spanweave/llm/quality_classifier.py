@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanweave.llm.support import Rows, Workspace, hashed_sample
+from spanweave.llm.support import Rows, Workspace, hashed_sample, spare_name
 from spanweave.session import ship_package
 
 DIM_BITS = 18
@@ -303,11 +303,8 @@ def fit(spark: SparkSession, texts: DataFrame, labels: DataFrame) -> tuple[Model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs plus struct `classified` (p_junk, p_toxic, kept)."""
-    columns = docs.columns
-    spare = "classified"
-    while spare in columns:
-        spare += "_"
+    """docs plus struct `classified` (p_junk, p_toxic, kept), with underscores behind it where docs has such a column."""
+    columns, spare = docs.columns, spare_name(docs, "classified")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Measurer(model)

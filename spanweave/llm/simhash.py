@@ -3,25 +3,23 @@
 A fingerprint of 64-bit words is cut into so few segments that of two fingerprints within the radius one segment differs
 by at most one bit (64 bits, radius 3: two segments of 32). Each segment is indexed once for every bit position with that
 bit a wildcard; fingerprints that meet under one key are verified over all bits. A pair may meet under several variants; the pairs
-that pass are made distinct. Equal fingerprints (for near copies by their shingle sets: equal sets) are one class, linked through
-the class, and the members of a key through its smallest one where that holds, so neither copies nor groups of near copies are
-expanded into pairs.
+that pass are made distinct. Equal fingerprints are one class, linked through the class, and the members of a key through its
+smallest one where that holds, so neither copies nor groups of near copies are expanded into pairs.
 
 Defined results: a null or empty text has no words and fingerprint zero, linked like any other; a null id keeps its
 fingerprint and gets its component's smallest id (null if there is none); repeated rows come back as often as they came;
-an empty table gives an empty result.
+very long texts are hashed whole, in blocks; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanweave.llm.support import Workspace, components, words
@@ -68,13 +66,13 @@ def fingerprint(hashes: np.ndarray, n_words: int = 1) -> list[int]:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, n_words: int = 1, sets: bool = False, once: bool = False) -> DataFrame:
-    """(id, fp array<bigint>[, shingles array<bigint>, sorted distinct hashes]); with once, repeats of a shingle don't weigh and
-    there is `same`, a 128-bit hash of the set."""
+    """(id, fp array<bigint>). With once, repeats of a shingle don't weigh, and there are `same`, a 128-bit hash of the set of shingles,
+    and n, its size; with sets, `shingles` array<bigint> holds the sorted distinct hashes."""
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, found, same = [], [], []
+            fps, found, same, sizes = [], [], [], []
             for text in batch.column("text"):
                 h = shingle_hashes(words(text.as_py()), shingle)
                 if once or sets:
@@ -82,16 +80,17 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int,
                 fps.append(fingerprint(h, n_words))
                 if once:
                     same.append(xxhash.xxh3_128_digest(h.tobytes()))
+                    sizes.append(len(h))
                 if sets:
                     found.append(h.view(np.int64))
             columns = {"id": batch.column("id"), "fp": pa.array(fps, pa.list_(pa.int64()))}
             if once:
-                columns["same"] = pa.array(same, pa.binary())
+                columns |= {"same": pa.array(same, pa.binary()), "n": pa.array(sizes, pa.int64())}
             if sets:
                 columns["shingles"] = pa.array(found, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_pydict(columns)
 
-    return kept.mapInArrow(run, "id bigint, fp array<bigint>" + ", same binary" * once + ", shingles array<bigint>" * sets)
+    return kept.mapInArrow(run, "id bigint, fp array<bigint>" + ", same binary, n bigint" * once + ", shingles array<bigint>" * sets)
 
 
 def segments_of(n_words: int, per_word: int) -> list[tuple[int, int, int]]:
@@ -116,16 +115,15 @@ def variant_index(classes: DataFrame, parts: list[tuple[int, int, int]], *kept:
     return each.select(*names, bare.bitwiseOR(F.expr("shiftleft(cast(s * 64 + wild as bigint), 33)")).alias("key"))
 
 
-def radius_of(similarity: float, bits: int) -> int:
-    """Differing bits of `bits` that a pair of Jaccard similarity `similarity` exceeds by chance in under one case of 1000: each
-    bit differs with probability acos(c) / pi, c = 2 s / (1 + s) being the cosine of two sets of one size."""
+def radius_of(similarity: float, bits: int, spread: float = 3.2) -> int:
+    """Differing bits of `bits` that a pair of Jaccard similarity `similarity` exceeds by chance in under one case of 1000 (`spread`
+    deviations): each bit differs with probability acos(c) / pi, c = 2 s / (1 + s) being the cosine of two sets of one size."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * p + 3.2 * math.sqrt(bits * p * (1 - p)))
+    return math.ceil(bits * p + spread * math.sqrt(bits * p * (1 - p)))
 
 
-def apart_pairs(rows: DataFrame, prints: DataFrame, n_words: int, radius: int, also: Column) -> DataFrame:
-    """rows (key, node, comp), prints (node, fp) -> distinct pairs (a, b) of one key, of different components, within `radius` and
-    with condition `also` on the rows a and b.
+def apart_pairs(rows: DataFrame, prints: DataFrame, n_words: int, radius: int) -> DataFrame:
+    """rows (key, node, comp), prints (node, fp) -> distinct pairs (a, b) of one key, of different components and within `radius`.
 
     Keys of one component are left out, and in the others only members outside the component of the smallest node look for
     partners, so a large component costs nothing by itself.
@@ -134,7 +132,7 @@ def apart_pairs(rows: DataFrame, prints: DataFrame, n_words: int, radius: int, a
     mixed = rows.join(tops.where("low <> high").select("key", "top"), "key").join(prints, "node")
     apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp"))
     once = (F.col("b.comp") == F.col("b.top")) | (F.col("a.node") < F.col("b.node"))
-    met = mixed.where("comp <> top").alias("a").join(mixed.alias("b"), apart & once & also & (distance("a.fp", "b.fp", n_words) <= radius))
+    met = mixed.where("comp <> top").alias("a").join(mixed.alias("b"), apart & once & (distance("a.fp", "b.fp", n_words) <= radius))
     return met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
 
@@ -142,16 +140,14 @@ def distance(a: str, b: str, n_words: int) -> Column:
     return sum((F.bit_count(F.col(a)[w].bitwiseXOR(F.col(b)[w])) for w in range(n_words)), F.lit(0))
 
 
-def near_links(space: Workspace, classes: DataFrame, n_words: int, per_word: int, radius: int, verified: Callable | None = None, narrowed: Callable | None = None, also: Column | None = None) -> DataFrame:
-    """classes: distinct (node, fp) -> links (a, b) with the components of all pairs that agree in a segment but for one bit,
-    differ in at most `radius` bits and pass `verified` ((a, b) -> the (a, b) that hold).
+def near_links(space: Workspace, classes: DataFrame, n_words: int, per_word: int, radius: int) -> DataFrame:
+    """classes: a written table of distinct (node, fp) -> links (a, b) with the components of all pairs that agree in a segment but for
+    one bit and differ in at most `radius` bits.
 
     The index carries nodes alone; fingerprints are joined to the rows of keys that several nodes share. The members of a key
-    are first compared with its smallest node. Pairs left are those of different components so far, under the same keys or,
-    where `narrowed` ((node) -> (key, node, ...)) is given, under its keys: any pair that passes must share one of them and hold
-    `also` there. So a group of near copies costs rows as its members, not as its pairs, and no pair that could join two components is left out.
+    are first compared with its smallest node. Pairs left are those of different components so far, under the same keys. So a group
+    of near copies costs rows as its members, not as its pairs, and no pair that could join two components is left out.
     """
-    verified = verified or (lambda pairs: pairs)
     # dealt out anew: the classes are small and their index is not
     classes = classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
     index = variant_index(classes, segments_of(n_words, per_word), "node")
@@ -160,16 +156,12 @@ def near_links(space: Workspace, classes: DataFrame, n_words: int, per_word: int
     shared = space.write(index.join(held, "key"), "shared")
     met = shared.where("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     met = met.join(prints.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(prints.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
-    links = space.write(verified(space.write(met.where(distance("fa", "fb", n_words) <= radius).select("a", "b"), "stars")), "links")
+    links = space.write(met.where(distance("fa", "fb", n_words) <= radius).select("a", "b"), "links")
     placed = space.write(components(space, links).select("node", F.col("component").alias("comp")), "placed")
     rest = shared.where("n > 2").select("key", "node").join(placed, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    if narrowed:
-        mixed = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        nodes = space.write(rest.join(mixed, "key", "left_semi").select("node", "comp").distinct(), "nodes")
-        rest = narrowed(nodes.select("node")).join(nodes, "node")
-    pairs = space.write(apart_pairs(rest, prints, n_words, radius, F.lit(True) if also is None else also), "pairs")
+    pairs = space.write(apart_pairs(rest, prints, n_words, radius), "pairs")
     space.drop(shared)
-    return links if pairs.isEmpty() else links.union(space.write(verified(pairs), "links"))
+    return links.union(pairs)
 
 
 def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
@@ -179,7 +171,7 @@ def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     ship_package(spark)
     space = Workspace(spark, "simhash")
     prints = space.write(with_fingerprints(docs, id_col, text_col, shingle).select("id", F.col("fp")[0].alias("fp")), "prints")
-    classes = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    classes = space.write(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
     links = near_links(space, classes.select(F.col("fp").alias("node"), F.array("fp").alias("fp")), 1, 2, radius)
     reached = components(space, links)
     placed = classes.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
@@ -188,52 +180,6 @@ def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     return prints.join(found, "fp").select("id", "fp", F.col("component_id").alias("component"))
 
 
-def near_duplicate_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, n_words: int = 10, per_word: int = 3) -> DataFrame:
-    """(id, component) of documents whose shingle sets have Jaccard similarity of `similarity` or more.
-
-    The fingerprints are of the sets, 64 * n_words bits long: at similarity 0.8 about 15 % of the bits differ, and one of n_words *
-    per_word segments differs by at most one bit with probability 0.99 (over 0.999 from 0.85). Candidates within
-    radius_of() bits are verified on the exact shingle sets, equal fingerprints too; those that the smallest nodes of their keys leave apart must share one of
-    their rarest shingles. Ids must not be null; texts without words form one group.
-    """
-    ship_package(spark)
-    space = Workspace(spark, "neardup")
-    made = space.write(with_fingerprints(docs, id_col, text_col, shingle, n_words, once=True), "prints")
-    classes = space.write(made.groupBy("same").agg(F.min("id").alias("node"), F.first("fp").alias("fp")), "classes")
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        # only documents in a candidate pair have their shingle sets written
-        some = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).join(nodes.select(F.col("node").alias(id_col)), id_col, "left_semi")
-        return space.write(with_fingerprints(some, id_col, text_col, shingle, 1, sets=True).select(F.col("id").alias("node"), "shingles"), "sets").dropDuplicates(["node"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-
-    # two sets of sizes n <= m share at least share * (n + m) shingles if they pass, so the smaller one holds a shared shingle among
-    # its first n - 2 * share * n + 1, the larger one among its first m - similarity * m + 1, by one order of all, rarest first
-    share = similarity / (1 + similarity)
-
-    def first(part: float) -> Column:
-        return F.col("place") <= F.col("n") - F.ceil(F.lit(part - 1e-9) * F.col("n")) + 1
-
-    def rarest(nodes: DataFrame) -> DataFrame:
-        each = sets_of(nodes).select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
-        counts = each.groupBy("key").agg(F.count("*").alias("df"))
-        ordered = each.join(counts, "key").withColumn("place", F.row_number().over(W.partitionBy("node").orderBy("df", "key")))
-        found = space.write(ordered.where("df > 1").where(first(similarity)).select("key", "node", "n", "place"), "rarest")
-        return found.join(found.where(first(2 * share)).select("key").distinct(), "key", "left_semi")
-
-    after = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) + 1
-    reach = after >= F.lit(share - 1e-9) * (F.col("a.n") + F.col("b.n"))
-    links = near_links(space, classes.select("node", "fp"), n_words, per_word, radius_of(similarity, 64 * n_words), verified, rarest, reach)
-    reached = components(space, links)
-    placed = classes.join(reached, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
-    return made.select("id", "same").join(placed, "same").select("id", "component")
-
-
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = simhash_components(spark, docs)

@@ -20,11 +20,13 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set."""
+    """The cluster's shared folder; a folder of our own only where none is set and all tasks run in the driver."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not getattr(context, "_spanweave_shared", None):
         context._spanweave_shared = tempfile.mkdtemp(prefix="spanweave-shared-")
         atexit.register(shutil.rmtree, context._spanweave_shared, ignore_errors=True)
@@ -37,14 +39,14 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/spanweave/{name}-{uuid.uuid4().hex[:12]}"
-        self.count = 0
+        self.made: list[DataFrame] = []
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        self.count += 1
-        path = f"{self.root}/{self.count:03d}-{name}"
+        path = f"{self.root}/{len(self.made) + 1:03d}-{name}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._spanweave_path = path
+        self.made.append(out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -55,6 +57,14 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spare_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone. lower() is the same on pure ASCII and much faster than translate()."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, ASCII_UPPER, ASCII_UPPER.lower()))
