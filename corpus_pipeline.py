@@ -1,7 +1,9 @@
 """A corpus pipeline: quality classifier, line dedup, SimHash near-dedup, benchmark decontamination, packing.
 
 Each stage is (spark, docs, sf_dir) -> DataFrame; its result is written as Parquet and read again as the next one's docs.
-All stages but the last keep the columns of documents. Null ids can't be grouped, so such documents pass near-dedup.
+All stages but the last keep the columns of documents, further columns too, whatever their names. Null and empty texts are documents
+like any other; null ids can't be grouped, so such documents pass near-dedup; rows that repeat an id with other texts are documents of
+their own; repeated rows are near copies of each other; very long texts are taken whole; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -11,9 +13,9 @@ from pyspark.sql import functions as F
 
 from spanweave.llm.decontaminate import without_leaks
 from spanweave.llm.line_dedup import dedup_lines
+from spanweave.llm.near_dedup import without_near_duplicates
 from spanweave.llm.packing import pack_documents
 from spanweave.llm.quality_classifier import classify
-from spanweave.llm.simhash import near_duplicate_groups
 from spanweave.llm.support import Workspace
 from spanweave.session import ship_package
 
@@ -21,7 +23,7 @@ from spanweave.session import ship_package
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for junk or toxic go."""
     judged = classify(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.where("classified.kept").select(*docs.columns)
+    return judged.where(F.col(f"{judged.columns[-1]}.kept")).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +34,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of the smallest id stays, once."""
-    groups = near_duplicate_groups(spark, docs.where("doc_id is not null"))
-    first = groups.where("id = component").select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    return without_near_duplicates(spark, docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
