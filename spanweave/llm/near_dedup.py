@@ -4,16 +4,20 @@ Documents of equal shingle sets are one class. A class has a fingerprint of N_WO
 segments of WIDTH bits: at similarity 0.8 about 15 % of the bits differ, and one of the 16 segments differs by at most one bit
 with probability 0.95 (0.99 from 0.85). Candidates come in three ways, each verified on the exact shingle sets:
 
-1. Exact segments: every class is compared with the smallest classes of its segments' buckets, and tried with the two nearest
+1. Exact segments: every class is compared with the smallest classes of its segments' buckets, and tried with the NEAREST
    of those within the radius. This joins groups of near copies early, at a few rows a member.
-2. One-wildcard variants: each segment is indexed once for every bit with that bit left out. Classes that meet under a key, lie in
-   different components so far and pass a 32-bit check of other bits are candidates. Of the pairs between two
-   components a batch of keys gives SOME and marks the two; where they are still apart afterwards, all pairs of their classes are
-   taken by a second run over the index. So no pair is left out, and a group of copies costs rows as its members.
+2. One-wildcard variants: each segment is indexed once for every bit with that bit left out. The variants whose wildcards lie in
+   one QUARTER of a segment share its other bits; by these the class is dealt, once a quarter and with its whole fingerprint, and the
+   task joins the quarter's variants on equality. Classes that meet are candidates if they lie in different components so far, their
+   sizes allow the similarity and their fingerprints lie within the radius; a pair comes up once, under the first of its segments.
+   Of the pairs between two components a batch of keys gives SOME and marks the two; where they are still
+   apart afterwards, all pairs of their classes are taken by a second run over the index. So no pair is left out, and a group of copies
+   costs rows as its members.
 3. Short sets, of at most SHORT shingles, whose fingerprints have few votes a bit: prefix filter on their rarest shingles, which
    finds every pair.
 
-Keys are grouped by one shuffle and a sort; a task reads its groups as a stream and holds one group at a time.
+Keys are grouped by one shuffle and a sort; a task reads its groups as a stream and holds one group at a time. A group of variants
+holds all classes that agree in 15 bits of a segment, 1 in 32768 of unrelated ones: beyond some 10^9 classes WIDTH and N_WORDS must grow.
 
 Defined results: a null or empty text has no shingles and all such texts are one class; a text of fewer words than a shingle
 has its whole sequence as one shingle; a null id is not grouped by near_duplicate_groups and kept by without_near_duplicates;
@@ -32,18 +36,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanweave.llm.simhash import distance, radius_of, shingle_hashes, with_fingerprints
+from spanweave.llm.simhash import radius_of, shingle_hashes, with_fingerprints
 from spanweave.llm.support import Workspace, components, spare_name, words
 from spanweave.session import ship_package
 
-N_WORDS, WIDTH = 5, 20
-CHECK_BITS = 32
+N_WORDS, WIDTH, QUARTER = 5, 20, 5
 #: Pairs that two components give in a batch of keys of the first run over the index.
-SOME = 16
-#: Classes of a bucket that others are compared with; what they leave apart is found by the variants.
-LEADERS = 16
+SOME = 8
+#: Classes of a bucket that others are compared with, and of those the ones a class is tried with; what they leave apart is found
+#: by the variants.
+LEADERS, NEAREST = 16, 4
 SHORT = 24
-_GROUP, _OWN = CHECK_BITS + 1, CHECK_BITS
+#: A key's low bits: a quarter's value and a size.
+_VALUE, _GROUP = 32, 32 + QUARTER
 
 
 def bits_of(fp: str, low: int, width: int) -> Column:
@@ -65,18 +70,16 @@ def exact_index(classes: DataFrame, n_words: int) -> DataFrame:
     return classes.select(F.explode(cut).alias("key"), "node", "fp")
 
 
-def variant_keys(classes: DataFrame, n_words: int) -> DataFrame:
-    """(key, node, comp): a row for every segment and wildcard place. From above, the key holds segment, place, the segment without
-    that bit (together the group), the bit itself, and CHECK_BITS bits of the fingerprint's other half."""
-    lows = segment_lows(n_words)
-    half, last = 32 * n_words, 64 * n_words - CHECK_BITS
-    cut = F.array(*[F.struct(bits_of("fp", low, WIDTH).alias("seg"), bits_of("fp", min((low + half) % (64 * n_words), last), CHECK_BITS).alias("check")) for low in lows])
-    each = classes.select("node", "comp", F.posexplode(cut).alias("s", "part"))
-    each = each.select("node", "comp", "s", "part.seg", "part.check", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))).alias("wild"))
-    group = F.expr(f"(shiftleft(cast(s * 32 + wild as bigint), {WIDTH}) | (seg & ~shiftleft(1L, wild)))")
-    own = F.expr("shiftrightunsigned(seg, wild) & 1L")
-    key = F.shiftleft(group, _GROUP).bitwiseOR(F.shiftleft(own, _OWN)).bitwiseOR(F.col("check"))
-    return each.select(key.alias("key"), "node", "comp")
+def variant_index(classes: DataFrame, n_words: int) -> DataFrame:
+    """(key, node, comp, fp): a row for every quarter of every segment. From above, the key holds segment, quarter, the segment without
+    the quarter (together the group), the quarter's value and the size of the set."""
+    cut = F.array(*[bits_of("fp", low, WIDTH) for low in segment_lows(n_words)])
+    each = classes.select("node", "comp", "fp", "n", F.posexplode(cut).alias("s", "seg"))
+    each = each.select("node", "comp", "fp", "n", "s", "seg", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - QUARTER), F.lit(QUARTER))).alias("low"))
+    rest = f"((seg & (shiftleft(1L, low) - 1)) | shiftleft(shiftrightunsigned(seg, low + {QUARTER}), low))"
+    value = f"(shiftrightunsigned(seg, low) & {(1 << QUARTER) - 1}L)"
+    place = f"shiftleft(cast(s * {WIDTH // QUARTER} + low div {QUARTER} as bigint), {WIDTH - QUARTER})"
+    return each.select(F.expr(f"shiftleft({place} | {rest}, {_GROUP}) | shiftleft({value}, {_VALUE}) | least(n, {(1 << _VALUE) - 1}L)").alias("key"), "node", "comp", "fp")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[pa.Table]:
@@ -140,75 +143,136 @@ def _some(a: np.ndarray, b: np.ndarray, comp: np.ndarray, some: int | None) -> t
     return a[order], b[order], cut
 
 
-def apart_pairs(batches: Iterator[pa.RecordBatch], most: int, some: int | None, signed: bool) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, node, comp) -> (a, b, ca, cb, cut): places of one group in different components whose check bits differ in at
-    most `most`. Signed keys hold the wildcard's bit: nodes that agree in it are equal in the whole segment and meet under place 0 only."""
+def _met(group: np.ndarray, comp: np.ndarray, test: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b) of one group, in different components, that pass the test; groups lie together."""
+    if not len(group):
+        return
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    sizes = np.diff(np.append(starts, len(group)))
+    mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
+    few = mixed & (sizes <= 32)
+    here = np.flatnonzero(np.repeat(few, sizes))
+    for step in range(1, int(sizes[few].max(initial=1))):
+        here = here[here + step < len(group)]
+        here = here[group[here] == group[here + step]]
+        some = here[comp[here] != comp[here + step]]
+        ok = test(some, some + step)
+        yield some[ok], some[ok] + step
+    for start, size in zip(starts[mixed & (sizes > 32)], sizes[mixed & (sizes > 32)], strict=True):
+        at = np.arange(start, start + size)
+        values, times = np.unique(comp[at], return_counts=True)
+        large = values[times.argmax()]
+        outside = at[comp[at] != large]
+        block = max(1, (1 << 18) // size)
+        for k in range(0, len(outside), block):
+            a, b = np.repeat(outside[k : k + block], size), np.tile(at, len(outside[k : k + block]))
+            ok = (comp[a] != comp[b]) & ((comp[b] == large) | (a < b))
+            a, b = a[ok], b[ok]
+            ok = test(a, b)
+            yield a[ok], b[ok]
+
+
+def _rows(node: np.ndarray, comp: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]], some: int | None) -> Iterator[pa.RecordBatch]:
+    """(a, b, ca, cb, cut) of the places found: all of them, or `some` of those between two components."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def out(a: np.ndarray, b: np.ndarray, cut: np.ndarray) -> pa.RecordBatch:
+        columns = (np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b]), cut)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b", "ca", "cb", "cut"])
+
+    for a, b in found:
+        if not len(a):
+            continue
+        if some is None:
+            yield out(a, b, np.zeros(len(a), bool))
+        else:  # one more than are given, so that the mark can be made below
+            a, b, _ = _some(a, b, comp, some + 1)
+            held.append((a, b))
+    if held:
+        yield out(*_some(np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held]), comp, some))
+
+
+def _comps(table: pa.Table, node: np.ndarray) -> np.ndarray:
+    column = table.column("comp").combine_chunks()
+    return np.where(column.is_null().to_numpy(zero_copy_only=False), node, column.fill_null(0).to_numpy(zero_copy_only=False))
+
+
+def variant_pairs(batches: Iterator[pa.RecordBatch], n_words: int, similarity: float, some: int | None) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of variant_index -> (a, b, ca, cb, cut): pairs of different components of which a segment differs by at most one bit
+    and the whole fingerprints by no more than the sizes and the similarity allow; each pair under the first such segment only."""
+    lows, share, bits = segment_lows(n_words), similarity / (1 + similarity), 64 * n_words
     for table in whole_groups(batches, _GROUP):
         key, node = _numpy(table, "key"), _numpy(table, "node")
-        comp = _numpy(table, "comp") if not table.column("comp").null_count else np.where(table.column("comp").combine_chunks().is_null().to_numpy(zero_copy_only=False), node, table.column("comp").combine_chunks().fill_null(0).to_numpy(zero_copy_only=False))
-        group = key >> _GROUP
-        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
-        sizes = np.diff(np.append(starts, len(key)))
-        keep = np.repeat(mixed, sizes)
-        key, node, comp, group = key[keep], node[keep], comp[keep], group[keep]
-        check = key & ((1 << CHECK_BITS) - 1)
-        own = (key >> _OWN) & 1
-        first = ((group >> WIDTH) & 31) == 0 if signed else np.ones(len(key), bool)
-
-        def met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            return (comp[a] != comp[b]) & (first[a] | (own[a] != own[b])) & (np.bitwise_count(check[a] ^ check[b]) <= most)  # noqa: B023
-
-        def out(a: np.ndarray, b: np.ndarray, cut: np.ndarray) -> pa.RecordBatch:
-            columns = (np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b]), cut)  # noqa: B023
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b", "ca", "cb", "cut"])
-
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        sizes = sizes[mixed]
-        ends = np.cumsum(sizes)
-        small = np.repeat(sizes <= 32, sizes)
-        here = np.flatnonzero(small)
-        for step in range(1, int(sizes[sizes <= 32].max(initial=1))):
-            here = here[here + step < len(key)]
-            here = here[group[here] == group[here + step]]
-            ok = met(here, here + step)
-            found.append((here[ok], here[ok] + step))
-        for end, size in zip(ends[sizes > 32], sizes[sizes > 32], strict=True):
-            at = np.arange(end - size, end)
-            values, times = np.unique(comp[at], return_counts=True)
-            large = values[times.argmax()]
-            outside = at[comp[at] != large]
-            block = max(1, (1 << 21) // size)
-            for k in range(0, len(outside), block):
-                some_rows = outside[k : k + block]
-                a, b = np.repeat(some_rows, size), np.tile(at, len(some_rows))
-                ok = met(a, b) & ((comp[b] == large) | (a < b))
-                a, b, _ = (x[ok] for x in (a, b, a))
-                if some is not None:  # bounds what is held; the marks are made below
-                    a, b, _ = _some(a, b, comp, some + 1)
-                    found.append((a, b))
-                elif len(a):
-                    yield out(a, b, np.zeros(len(a), bool))
-        if not found:
-            continue
-        a, b = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-        a, b, cut = _some(a, b, comp, some)
-        if len(a):
-            yield out(a, b, cut)
+        comp, fps = _comps(table, node), table.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, n_words)
+        group, value = key >> _GROUP, key >> _VALUE & ((1 << QUARTER) - 1)
+        n = (key & ((1 << _VALUE) - 1)).astype(np.float64)
+        place = group >> (WIDTH - QUARTER)
+        segment, quarter = place // (WIDTH // QUARTER), place % (WIDTH // QUARTER)
+
+        def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            x = fps[a] ^ fps[b]  # noqa: B023
+            # shingles shared at least, over the geometric mean of the sizes, is the least cosine
+            root = np.sqrt(n[a] * n[b])  # noqa: B023
+            p = np.arccos(np.clip(np.divide(share * (n[a] + n[b]), root, out=np.ones(len(a)), where=root > 0), 0, 1)) / np.pi  # noqa: B023
+            ok = np.minimum(n[a], n[b]) >= (similarity - 1e-9) * np.maximum(n[a], n[b])  # noqa: B023
+            ok &= np.bitwise_count(x).sum(axis=1) <= np.ceil(bits * p + 3.2 * np.sqrt(bits * p * (1 - p)))
+            at = np.flatnonzero(ok)
+            x, own = x[at], segment[a[at]]  # noqa: B023
+            earlier = np.zeros(len(at), bool)
+            for s, low in enumerate(lows):
+                word, shift = divmod(low, 64)
+                part = x[:, word] >> np.uint64(shift)
+                if shift + WIDTH > 64:
+                    part = part | (x[:, word + 1] << np.uint64(64 - shift))
+                earlier |= (s < own) & (np.bitwise_count(part & np.uint64((1 << WIDTH) - 1)) <= 1)
+            ok[at[earlier]] = False
+            return ok
+
+        def each() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            same = np.flatnonzero(quarter == 0)  # noqa: B023  equal segments meet under every quarter
+            whole = (group << QUARTER | value)[same]  # noqa: B023
+            for a, b in _met(whole, comp[same], lambda a, b: near(same[a], same[b])):  # noqa: B023
+                yield same[a], same[b]
+            for bit in range(QUARTER):
+                wild = group << QUARTER | value & ~(1 << bit)  # noqa: B023
+                order = np.argsort(wild, kind="stable")
+                own = (value >> bit & 1)[order]  # noqa: B023
+
+                def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                    ok = own[a] != own[b]  # noqa: B023
+                    ok[ok] = near(order[a[ok]], order[b[ok]])  # noqa: B023
+                    return ok
+
+                for a, b in _met(wild[order], comp[order], apart):  # noqa: B023
+                    yield order[a], order[b]
+
+        yield from _rows(node, comp, each(), some)
+
+
+def key_pairs(batches: Iterator[pa.RecordBatch], some: int | None) -> Iterator[pa.RecordBatch]:
+    """Sorted (key, node, comp) -> (a, b, ca, cb, cut): the pairs of one key and different components."""
+    for table in whole_groups(batches, 0):
+        node = _numpy(table, "node")
+        comp = _comps(table, node)
+        yield from _rows(node, comp, _met(_numpy(table, "key"), comp, lambda a, b: np.ones(len(a), bool)), some)
+
+
+PAIRS = "a bigint, b bigint, ca bigint, cb bigint, cut boolean"
 
 
-def _dealt(rows: DataFrame, group: Column, *order: str) -> DataFrame:
+def _dealt(rows: DataFrame, group: Column) -> DataFrame:
     """One shuffle by the group and a sort."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), group).sortWithinPartitions(*order)
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), group).sortWithinPartitions("key", "node")
 
 
-PAIRS = "a bigint, b bigint, ca bigint, cb bigint, cut boolean"
+def met_under_variants(classes: DataFrame, n_words: int, similarity: float, some: int | None) -> DataFrame:
+    dealt = _dealt(variant_index(classes, n_words), F.shiftright("key", _GROUP))
+    return dealt.mapInArrow(lambda batches: variant_pairs(batches, n_words, similarity, some), PAIRS)
 
 
-def met_under_keys(rows: DataFrame, most: int, some: int | None, signed: bool = True) -> DataFrame:
-    """rows (key, node, comp) -> distinct (a, b, ca, cb) with whether the two components had more pairs."""
-    dealt = _dealt(rows, F.shiftright("key", _GROUP), "key", "node")
-    found = dealt.mapInArrow(lambda batches: apart_pairs(batches, most, some, signed), PAIRS)
+def met_under_keys(rows: DataFrame, some: int | None) -> DataFrame:
+    """rows (key, node, comp) -> distinct (a, b, ca, cb), and whether the two components had more."""
+    found = _dealt(rows, F.col("key")).mapInArrow(lambda batches: key_pairs(batches, some), PAIRS)
     return found.groupBy("a", "b", "ca", "cb").agg(F.max("cut").alias("cut"))
 
 
@@ -218,7 +282,6 @@ class Finder:
     def __init__(self, space: Workspace, docs: DataFrame, shingle: int, similarity: float, n_words: int):
         self.space, self.docs, self.shingle, self.similarity, self.n_words = space, docs, shingle, similarity, n_words
         self.radius = radius_of(similarity, 64 * n_words)
-        self.check = radius_of(similarity, CHECK_BITS, 3.0)
         made = with_fingerprints(docs, "id", "text", shingle, n_words, once=True).withColumn("row", F.monotonically_increasing_id())
         self.prints = space.write(made, "prints")
         self.classes = space.write(self.prints.groupBy("same").agg(F.min_by(F.struct("row", "id", "n", "fp"), "row").alias("f")).select(F.col("f.row").alias("node"), "f.id", "f.n", "f.fp", "same"), "classes")
@@ -246,12 +309,6 @@ class Finder:
         passed = both.where(shared >= F.lit(self.similarity - 1e-12) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
         self.links.append(self.space.write(passed, "links"))
 
-    def within(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose whole fingerprints lie within the radius."""
-        fp = self.classes.select("node", "fp")
-        both = pairs.join(fp.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(fp.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
-        return both.where(distance("fa", "fb", self.n_words) <= self.radius).drop("fa", "fb")
-
     def reached(self) -> DataFrame:
         """(node, comp) of the linked nodes."""
         links = self.links[0]
@@ -265,17 +322,16 @@ class Finder:
 
     def by_exact_segments(self) -> None:
         n_words, radius = self.n_words, self.radius
-        rows = _dealt(exact_index(self.classes, n_words), F.col("key"), "key", "node")
-        found = rows.mapInArrow(lambda batches: leader_pairs(batches, n_words, radius), "a bigint, node bigint, d int")
-        near = found.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "a"))), 1, 2).alias("near"))  # at most LEADERS a segment
+        found = _dealt(exact_index(self.classes, n_words), F.col("key")).mapInArrow(lambda batches: leader_pairs(batches, n_words, radius), "a bigint, node bigint, d int")
+        near = found.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "a"))), 1, NEAREST).alias("near"))  # at most one a segment
         self.verify(self.space.write(near.select(F.explode("near.a").alias("a"), F.col("node").alias("b")), "nearest"))
 
     def by_variants(self) -> None:
-        met = self.space.write(met_under_keys(variant_keys(self.placed("fp"), self.n_words), self.check, SOME), "met")
-        self.verify(self.space.write(self.within(met.select("a", "b")), "candidates"))
-        self._finish(met, "fp", lambda placed: met_under_keys(variant_keys(placed, self.n_words), self.check, None), self.within)
+        met = self.space.write(met_under_variants(self.placed("fp", "n"), self.n_words, self.similarity, SOME), "met")
+        self.verify(met.select("a", "b"))
+        self._finish(met, ["fp", "n"], lambda rest: met_under_variants(rest, self.n_words, self.similarity, None))
 
-    def _finish(self, met: DataFrame, column: str, again: Callable, narrowed: Callable) -> None:
+    def _finish(self, met: DataFrame, columns: list[str], again: Callable) -> None:
         """All pairs of the components that had more than SOME pairs and are still apart."""
         cut = met.where("cut").select("ca", "cb").distinct()
         if cut.isEmpty():
@@ -286,9 +342,9 @@ class Finder:
         apart = self.space.write(apart.select(F.col("ca_now").alias("c")).union(apart.select("cb_now")).distinct(), "apart")
         if apart.isEmpty():
             return
-        placed = self.classes.select("node", column).join(comp, "node", "left")
+        placed = self.classes.select("node", *columns).join(comp, "node", "left")
         rest = placed.join(apart, F.coalesce("comp", "node") == F.col("c"), "left_semi")
-        self.verify(self.space.write(narrowed(again(rest).select("a", "b")), "candidates"))
+        self.verify(self.space.write(again(rest).select("a", "b"), "candidates"))
 
     def by_short_sets(self) -> None:
         """Two sets of sizes n <= m that pass share similarity * m or more, so both hold a shared shingle among their first
@@ -300,11 +356,10 @@ class Finder:
         counts = each.groupBy("key").agg(F.count("*").alias("df"))
         place = F.row_number().over(W.partitionBy("node").orderBy("df", "key"))
         ordered = each.join(counts, "key").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(self.similarity - 1e-9) * F.col("n")) + 1)
-        # the check bits are zero and the group is 31 bits of the shingle's hash; the set sizes are compared with the sets
-        keys = self.space.write(ordered.where("df > 1").select(F.shiftleft(F.shiftrightunsigned("key", 33), _GROUP).alias("key"), "node"), "prefixes")
-        met = self.space.write(met_under_keys(keys.join(self.reached(), "node", "left"), 0, SOME, False), "met")
-        self.verify(self.space.write(met.select("a", "b"), "candidates"))
-        self._finish(met, "n", lambda rest: met_under_keys(keys.join(rest.select("node", "comp"), "node"), 0, None, False), lambda pairs: pairs)
+        keys = self.space.write(ordered.where("df > 1").select("key", "node"), "prefixes")
+        met = self.space.write(met_under_keys(keys.join(self.reached(), "node", "left"), SOME), "met")
+        self.verify(met.select("a", "b"))
+        self._finish(met, [], lambda rest: met_under_keys(keys.join(rest, "node"), None))
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, n_words: int = N_WORDS) -> DataFrame:

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from spanweave.llm import line_dedup, near_dedup, packing, simhash, token_counts
@@ -295,16 +296,30 @@ def test_two_large_groups_of_one_passage(spark, monkeypatch):
 
 
 def test_pairs_left_out_are_marked():
-    key = np.arange(50, dtype=np.int64) // 50
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_arrays([pa.array(key << 33), pa.array(np.arange(50)), pa.array(np.where(np.arange(50) < 40, 0, 40))], ["key", "node", "comp"])
-    cut, = near_dedup.apart_pairs(iter([batch]), 0, 3, False)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(50, np.int64)), pa.array(np.arange(50)), pa.array(np.where(np.arange(50) < 40, 0, 40))], ["key", "node", "comp"])
+    (cut,) = near_dedup.key_pairs(iter([batch]), 3)
     assert cut.num_rows == 3 and all(cut.column("cut").to_pylist())
-    every, = near_dedup.apart_pairs(iter([batch.slice(0, 20), batch.slice(20)]), 0, None, False)
+    every = pa.Table.from_batches(near_dedup.key_pairs(iter([batch.slice(0, 20), batch.slice(20)]), None))
     assert every.num_rows == 400 and not any(every.column("cut").to_pylist())
 
 
+def test_variants_meet_once(spark):
+    """Pairs of equal sizes within the radius of which a segment differs by at most one bit, against all pairs."""
+    rng = np.random.default_rng(12)
+    fps = rng.integers(0, 2**63, (30, 5)).astype(np.uint64)
+    fps = np.concatenate([fps, *[fps ^ np.packbits(rng.random((30, 320)) < rate, axis=1).view("<u8") for rate in (0.01, 0.1, 0.14, 0.18)]])
+    rows = [(i, fp.view(np.int64).tolist(), 100, None if i % 3 else i) for i, fp in enumerate(fps)]
+    whole = [int.from_bytes(fp.tobytes(), "little") for fp in fps]
+    want = set()
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            x = whole[a] ^ whole[b]
+            if x.bit_count() <= simhash.radius_of(0.8, 320) and any((x >> low & (1 << 20) - 1).bit_count() <= 1 for low in range(0, 320, 20)):
+                want.add((a, b))
+    got = [(r.a, r.b) for r in near_dedup.met_under_variants(spark.createDataFrame(rows, "node bigint, fp array<bigint>, n bigint, comp bigint"), 5, 0.8, None).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
 def test_rows_of_one_id_are_documents_of_their_own(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [(1, " ".join(words), "a"), (1, "quite another text of seven words", "b"), (2, " ".join(words), "c"), (2, "a third text that nobody else has", "d"), (3, " ".join(words[1:]), "e"), (None, " ".join(words), "f"), (4, " ".join(words), "g"), (4, " ".join(words), "g")]
