@@ -75,9 +75,9 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def word_slices(texts: pa.Array, slice_bytes: int = 8 << 20) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+def word_slices(texts: pa.Array, slice_bytes: int = 8 << 20) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """The words of words() for slices of the texts in order: the distinct ones, the codes of all into them, and where each
-    text's words begin (and the last end)."""
+    text's words begin (and the last end). A longer text is a slice of its own."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     held = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     at = 0
@@ -87,8 +87,11 @@ def word_slices(texts: pa.Array, slice_bytes: int = 8 << 20) -> Iterator[tuple[l
         offsets = split.offsets.to_numpy()
         flat = split.flatten().cast(pa.large_binary())
         full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+        if not full.all():
+            offsets = np.concatenate([[0], np.cumsum(full)])[offsets - offsets[0]]
+            flat = flat.filter(pa.array(full))
         found = flat.dictionary_encode()
-        yield found.dictionary.to_pylist(), found.indices.to_numpy()[full], np.concatenate([[0], np.cumsum(full)])[offsets - offsets[0]]
+        yield found.dictionary, found.indices.to_numpy(), (offsets - offsets[0]).astype(np.int64)
         at = stop
 
 

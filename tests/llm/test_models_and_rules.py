@@ -234,7 +234,6 @@ def brute_base(rows):
 
 def test_lm_scoring(spark, nasty, as_tables, monkeypatch):
     monkeypatch.setattr(language_model, "HOT", 8)
-    monkeypatch.setattr(language_model, "FIRST", 20)
     folder = as_tables(documents=nasty)
     rows = rows_of(language_model.op10_lm_scoring(spark, folder))
     got = Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in rows)
@@ -274,17 +273,32 @@ def test_lm_gradients_and_distribution():
     assert abs(np.exp(every).sum() - 1) < 1e-6
 
 
+def lm_docs(rng, *sizes):
+    docs = [rng.integers(0, language_model.OUTPUTS, n).astype(np.int16) for n in sizes]
+    return [np.append(d[d != language_model.END_ID], language_model.END_ID).astype(np.int16) for d in docs]
+
+
 def test_lm_lanes_do_not_mix_documents():
-    rng = np.random.default_rng(1)
     net = language_model.Recurrent()
-    docs = [rng.integers(0, language_model.OUTPUTS, n) for n in (1, 700, 3, 40, 41, 2, 90)]
+    docs = lm_docs(np.random.default_rng(1), 0, 700, 3, 40, 41, 2, 90)
     alone = [language_model.score_documents(net, [d])[0] for d in docs]
     assert np.allclose(language_model.score_documents(net, docs), alone, rtol=1e-4)
 
 
+def test_lm_words_and_buckets():
+    import pyarrow as pa
+
+    found = pa.array([b"a", b"ab", b"abc", "é".encode(), b"\xff"], pa.large_binary())
+    for part in (found, found.slice(2)):
+        assert language_model.buckets(part).tolist() == [language_model.bucket(w) for w in part.to_pylist()]
+    vocabulary = language_model.Vocabulary([(b"abc", 9), (b"zz", 4)], 3, 40, 7, [(5, 2)] * 64)
+    hot, ids = vocabulary.find(found)
+    assert hot.tolist() == [-1, -1, 0, -1, -1] and ids[2] == 0 and ids[0] == language_model.OUTPUTS - 64 + language_model.bucket(b"a")
+
+
 def test_lm_trains_on_every_token_of_whole_documents(monkeypatch):
     rng = np.random.default_rng(2)
-    docs = [rng.integers(0, language_model.OUTPUTS, n) for n in (1, 700, 3, 40, 41, 2, 90, 5000)]
+    docs = lm_docs(rng, 0, 700, 3, 40, 41, 2, 90, 5000, *[12] * 300)
     seen, real = [], language_model.Recurrent.gradients
 
     def gradients(net, h, before, ids):
