@@ -1,6 +1,7 @@
 """Benchmark decontamination by CGK embedding.
 
-Texts and items are word sequences (lower-cased runs of letters, digits and marks). An item leaks where a stretch of a text is within
+Texts and items are word sequences (lower-cased runs of letters, digits and marks; each letter by itself in scripts that are
+written without blanks). An item leaks where a stretch of a text is within
 `rate` times the item's words of it in edit distance. The search has three steps:
 
 1. A count filter that loses nothing: a stretch within k edits of an item of n words holds n - k of its words. Items are
@@ -11,10 +12,13 @@ Texts and items are word sequences (lower-cased runs of letters, digits and mark
    recall of over 0.99 at the largest distance allowed (tests measure it).
 3. Every candidate is verified by the exact edit distance, bit-parallel over the item's words.
 
+Items of under MIN_WORDS words leak where a text holds all their words in a row, without an edit: each place's next words are looked up
+by their hash among those of the items of that length, and compared.
+
 Items come to the workers in blocks of at most BLOCK_ITEMS items and BLOCK_WORDS words, one pass over the texts a block.
 
-Defined results: null or empty texts and items hold nothing; items of under MIN_WORDS words are not searched, as any text holds them by
-chance; a null id is passed through; repeated rows are found each; an empty table gives an empty result.
+Defined results: null or empty texts and items, and items without a word, hold nothing; a null id of a document is passed through, items without an id are not searched; repeated rows are found each; very long texts are searched whole, one at
+a time; an empty table of either kind gives no leaks; further columns are passed through by without_leaks, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +40,9 @@ CLASSES = 16
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 250_000
 #: Words of texts handled at once.
 CHUNK = 1 << 19
-_WORD = re.compile(r"\w+")
+#: Thai to Tibetan, Burmese, Khmer, kana, Han ideographs.
+_ALONE = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(f"[^\\W{_ALONE}]+|[{_ALONE}]")
 
 
 def edits_allowed(n: int, rate: float) -> int:
@@ -80,11 +86,16 @@ class Items:
     def __init__(self, items: list[tuple[int, list[str]]], rate: float):
         self.rate = rate
         kept = sorted((x for x in items if len(x[1]) >= MIN_WORDS), key=lambda x: len(x[1]))
-        self.ids = [i for i, _ in kept]
+        short = sorted((x for x in items if 0 < len(x[1]) < MIN_WORDS), key=lambda x: len(x[1]))
+        self.ids = [i for i, _ in kept + short]
         self.codes: dict[str, int] = {}
-        self.words = [[self.codes.setdefault(w, len(self.codes) + 1) for w in ws] for _, ws in kept]
+        self.words = [[self.codes.setdefault(w, len(self.codes) + 1) for w in ws] for _, ws in kept + short]
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in sorted({len(ws) for _, ws in short}):
+            part = np.array([i for i in range(len(kept), len(self.words)) if len(self.words[i]) == n])
+            self.short[n] = self._table(self._row_keys(np.array([self.words[i] for i in part]).T), part)
         self.classes: list[dict] = []
-        parts = [p for p in np.array_split(np.arange(len(kept)), min(CLASSES, max(1, len({len(w) for w in self.words})))) if len(p)]
+        parts = [p for p in np.array_split(np.arange(len(kept)), min(CLASSES, max(1, len({len(w) for _, w in kept})))) if len(p)]
         self.masks = np.zeros(len(self.codes) + 1, np.uint32)
         # the walks' random functions: bit t of a word's hash says if step t moves on
         blocks = 2 * max((len(w) for w in self.words), default=1) // 64 + 1
@@ -102,7 +113,7 @@ class Items:
                 row[: len(self.words[i])] = self.words[i]
             group["tables"] = [[self._table(keys, part) for keys in self._samples(padded, group, w)] for w in range(WALKS)]
             self.classes.append(group)
-        self.reach = max((g["span"] for g in self.classes), default=0)
+        self.reach = max((g["span"] for g in self.classes), default=MIN_WORDS)
 
     @staticmethod
     def _table(keys: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +133,24 @@ class Items:
             at += ((self.steps[walk, t >> 6][word] >> np.uint64(t & 63)) & np.uint64(1)).view(np.int64)
         return [out[a] * (len(self.codes) + 1) + out[b] for a, b in group["places"][walk]]
 
+    @staticmethod
+    def _row_keys(places: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of the words of each column."""
+        return np.add.reduce([mix(row, k + 1) for k, row in enumerate(places)])
+
+    def _search_short(self, stream: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        for n, (known, items) in self.short.items():
+            padded = np.append(stream, np.zeros(n, stream.dtype))
+            keys = self._row_keys(np.stack([padded[k : k + len(stream)] for k in range(n)]))
+            first, last = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
+            for at in np.flatnonzero(last > first).tolist():
+                for item in items[first[at] : last[at]].tolist():
+                    if padded[at : at + n].tolist() == self.words[item]:
+                        yield at, at + n, item, 0
+
     def search(self, stream: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(start, end, item, distance) of verified leaks in a stream of word codes; texts in it lie `reach` zeros apart."""
+        yield from self._search_short(stream)
         mask = self.masks[stream]
         for c, group in enumerate(self.classes):
             inside = np.concatenate([[0], np.cumsum((mask >> np.uint32(c)) & np.uint32(1), dtype=np.int32)])
