@@ -7,7 +7,8 @@ half-interquartile range (or the rule's least scale, so that a group without var
 thresholds are then joined to the documents.
 
 Defined results: a null or empty text has no words and fails the base rule; a null language or source counts as an empty
-one; repeated rows are judged each; an empty table gives an empty result; a null id is passed through.
+one; repeated rows are judged each; very long texts are measured whole, at some 40 bytes a word; an empty table gives an empty result; other
+columns, a null id among them, are passed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.support import Workspace
+from spanweave.llm.support import Workspace, spare_name
 
 SPACE = r"\x20\x09-\x0D"
 WINDOW = 8
@@ -38,10 +39,9 @@ def _repeat_words(hashes: Column) -> Column:
     return F.when(n < 2, F.array().cast("array<bigint>")).otherwise(windows)
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (struct `m`)."""
-    names = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    df = docs.select(names.alias("r"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
+def measured(docs: DataFrame, text_col: str, carried: Column) -> DataFrame:
+    """(r, m): the struct carried, and n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
+    df = docs.select(carried.alias("r"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
     lines = F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
     df = df.select(
         "r",
@@ -60,7 +60,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.drop("v").withColumn("p", F.when(F.col("again"), F.sort_array(F.transform(at, lambda p: p["i"])))).drop("o")
     covered = F.aggregate(F.transform("p", lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get("p", i + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x)
     longs = {c: F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")}
-    return df.select("r.*", F.struct(*longs.values(), F.coalesce(F.when(F.col("again"), covered), F.lit(0)).cast("long").alias("n_repeat_words")).alias("m"))
+    return df.select("r", F.struct(*longs.values(), F.coalesce(F.when(F.col("again"), covered), F.lit(0)).cast("long").alias("n_repeat_words")).alias("m"))
 
 
 def _rates() -> dict[str, Column]:
@@ -89,21 +89,23 @@ def thresholds(rates: DataFrame, spread: float = SPREAD, least_docs: int = LEAST
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", spread: float = SPREAD, columns: list[str] | None = None) -> DataFrame:
-    """docs' columns (those named, or all) without rows dropped, plus struct `quality`: the measures, base_failed, failed
-    (names of rules) and kept. The measures are written once: both the thresholds and the result read them."""
-    carried = docs.columns if columns is None else columns
-    m = measured(docs, text_col).select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carried, lang_col, source_col])], "m")
-    m = Workspace(docs.sparkSession, "rules").write(m, "measures")
-    words, base = F.col("m.n_words"), F.col("m.n_repeat_words")
-    m = m.withColumn("_base_failed", (words < 20) | (100 * base > 30 * words))
-    keys = {"lang": F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")), "source": F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))}
-    rates = m.where(words > 0).select(*[c.alias(k) for k, c in keys.items()], *[c.alias(k) for k, c in _rates().items()])
+    """docs' columns (those named, or all) without rows dropped, plus struct `quality` (with underscores behind it where docs has such a
+    column): the measures, base_failed, failed (names of rules) and kept. The measures are written once: both the thresholds and the
+    result read them."""
+    names = docs.columns if columns is None else columns
+    keys = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(k) for c, k in ((lang_col, "lang"), (source_col, "source"))]
+    # the columns of docs lie in a struct of their own, by number, and can't clash with ours
+    own = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]) if names else F.struct(F.lit(0))
+    m = measured(docs, text_col, F.struct(F.struct(*keys).alias("group"), own.alias("own")))
+    m = Workspace(docs.sparkSession, "rules").write(m.select("r.group", "r.own", "m"), "measures")
+    words, repeats = F.col("m.n_words"), F.col("m.n_repeat_words")
+    rates = m.where(words > 0).select("group.lang", "group.source", *[c.alias(k) for k, c in _rates().items()])
     cuts = thresholds(rates, spread)
-    cuts = cuts.select(F.struct("lang", "source").alias("_group"), F.struct(*[c for c in cuts.columns if c not in keys]).alias("_cuts"))
-    joined = m.withColumn("_group", F.struct(*[c.alias(k) for k, c in keys.items()])).join(cuts, "_group", "left")
-    failed = [F.when((c < F.col(f"_cuts.{r}_low")) | (c > F.col(f"_cuts.{r}_high")), F.lit(r)) for r, c in _rates().items()]
-    failed = F.array_compact(F.array(*failed))
-    return joined.select(*[F.col(f"`{c}`") for c in carried], F.struct("m.*", F.col("_base_failed").alias("base_failed"), failed.alias("failed"), (~F.col("_base_failed") & (F.size(failed) == 0)).alias("kept")).alias("quality"))
+    cuts = cuts.select(F.struct("lang", "source").alias("group"), F.struct(*[c for c in cuts.columns if c not in ("lang", "source")]).alias("cuts"))
+    joined = m.withColumn("base_failed", (words < 20) | (100 * repeats > 30 * words)).join(cuts, "group", "left")
+    failed = F.array_compact(F.array(*[F.when((c < F.col(f"cuts.{r}_low")) | (c > F.col(f"cuts.{r}_high")), F.lit(r)) for r, c in _rates().items()]))
+    verdict = F.struct("m.*", "base_failed", failed.alias("failed"), (~F.col("base_failed") & (F.size(failed) == 0)).alias("kept"))
+    return joined.select(*[F.col(f"own.c{i}").alias(c) for i, c in enumerate(names)], verdict.alias(spare_name(docs, "quality")))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
