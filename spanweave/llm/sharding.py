@@ -6,8 +6,12 @@ dimension, so that per-file minima and maxima prune files on any of them. The gl
 cells (at most 2**12, each salted 16-fold by a hash of the id) are prefix-summed, and rows are ranked within their salted
 cell.
 
-Defined results: null texts have size 1; nulls sort before all in each dimension; repeated rows get a place each; an empty
-table gives an empty result.
+Numbers are quantised at percentile_approx, strings at exact quantiles of the whole strings: counts of distinct values are sorted by
+range and prefix-summed, and only the cuts reach the driver.
+
+Defined results: null texts have size 1; nulls sort before all in each dimension; repeated rows get a place each, and rows that tie in
+every column of the order may swap places; very long texts are read whole for their size and checksum and not shuffled; an
+empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanweave.llm.support import Workspace
+
 SALTS = 16
 CELL_BITS = 12
 
@@ -50,13 +56,32 @@ def hilbert_table(dims: int, bits: int) -> list[int]:
     return out
 
 
-def text_order(value: Column) -> Column:
-    """A number in the order of the first seven bytes of a string."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
-
-
-def hilbert_index(rows: DataFrame, dims: list[str], bits: int) -> Column:
-    cuts = rows.agg(*[F.percentile_approx(d, [(i + 1) / (1 << bits) for i in range((1 << bits) - 1)], 2000).alias(d) for d in dims]).first()
+def string_cuts(space: Workspace, rows: DataFrame, dim: str, n: int) -> list[str]:
+    """n - 1 values of a string column that cut its rows into n parts of near equal size."""
+    counts = rows.where(F.col(dim).isNotNull()).groupBy(F.col(dim).alias("v")).agg(F.count("*").alias("c"))
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the counts are written before they are read twice, so that a range keeps its number
+    counts = space.write(counts.repartitionByRange(spread, "v").select("v", "c", F.spark_partition_id().alias("part")), "values")
+    base, wanted, total = 0, [], 0
+    parts = sorted(((r["low"], r["part"], r["c"]) for r in counts.groupBy("part").agg(F.min("v").alias("low"), F.sum("c").alias("c")).collect()))  # one row a range
+    total = sum(c for *_, c in parts)
+    for _, part, c in parts:
+        wanted += [(part, total * k / n - base) for k in range(1, n) if base < total * k / n <= base + c]
+        base += c
+    if not wanted:
+        return []
+    running = F.sum("c").over(W.partitionBy("part").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    placed = counts.where(F.col("part").isin([p for p, _ in wanted])).select("v", "part", running.alias("reach"))
+    found = placed.agg(*[F.min(F.when((F.col("part") == p) & (F.col("reach") >= r), F.col("v"))).alias(f"k{k}") for k, (p, r) in enumerate(wanted)]).first()
+    return sorted({v for v in found if v is not None})
+
+
+def hilbert_index(space: Workspace, rows: DataFrame, dims: list[str], bits: int) -> Column:
+    texts = [d for d in dims if rows.schema[d].dataType.typeName() == "string"]
+    shares = [(i + 1) / (1 << bits) for i in range((1 << bits) - 1)]
+    numbers = [d for d in dims if d not in texts]
+    cuts = rows.agg(F.lit(0), *[F.percentile_approx(d, shares, 2000).alias(d) for d in numbers]).first().asDict()
+    cuts |= {d: string_cuts(space, rows, d, 1 << bits) for d in texts}
     cell = F.lit(0)
     for d in dims:
         level = sum((F.when(F.col(d) > F.lit(c), 1).otherwise(0) for c in sorted(set(cuts[d] or []))), F.lit(0))
@@ -66,9 +91,11 @@ def hilbert_index(rows: DataFrame, dims: list[str], bits: int) -> Column:
 
 
 def hilbert_shards(rows: DataFrame, dims: list[str], shards: int, salt: str, tie: list[str]) -> DataFrame:
-    """rows plus hilbert, shard and slot: row counts at most one apart, slots gapless along the curve."""
-    bits = CELL_BITS // len(dims)
-    placed = rows.withColumn("hilbert", hilbert_index(rows, dims, bits)).withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    """rows plus hilbert, shard and slot, without the strings among the dims: row counts at most one apart, slots gapless along the
+    curve. The dims are numbers or strings."""
+    bits, space = CELL_BITS // len(dims), Workspace(rows.sparkSession, "sharding")
+    texts = [d for d in dims if rows.schema[d].dataType.typeName() == "string"]
+    placed = rows.withColumn("hilbert", hilbert_index(space, rows, dims, bits)).drop(*texts).withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
     # at most 2**12 cells * 16 salts = 65,536 rows of 24 bytes, whatever the input
     counts = placed.groupBy("hilbert", "_salt").agg(F.count("*").alias("_n"))
     order = W.orderBy("hilbert", "_salt")
@@ -80,16 +107,16 @@ def hilbert_shards(rows: DataFrame, dims: list[str], shards: int, salt: str, tie
 
 
 def document_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, text_crc32, lang and source order, hilbert, shard, slot); no text is shuffled."""
+    """(doc_id, size, text_crc32, hilbert, shard, slot); no text is shuffled."""
     raw = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
-        F.coalesce(text_order(F.col(lang_col)), F.lit(-1)).alias("lang_order"),
-        F.coalesce(text_order(F.col(source_col)), F.lit(-1)).alias("source_order"),
+        F.col(lang_col).cast("string").alias("lang"),
+        F.col(source_col).cast("string").alias("source"),
     )
-    return hilbert_shards(rows, ["lang_order", "source_order", "size"], shards, "doc_id", ["doc_id", "text_crc32", "size"])
+    return hilbert_shards(rows, ["lang", "source", "size"], shards, "doc_id", ["doc_id", "text_crc32", "size"])
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id") -> None:
