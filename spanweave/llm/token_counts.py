@@ -7,7 +7,7 @@ the groups, gives every block the number of documents closed before it and the i
 
 Defined results: a null or empty text counts 0; a null id is passed through; repeated rows are counted each; an empty
 table gives an empty result; ids after a file's last separator are one unfinished document (closed = false); empty
-documents count 0.
+documents count 0; very long texts are encoded whole, in slices; further columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from spanweave.llm.support import Workspace
 from spanweave.llm.tokens import encoder, tokenizer_path
@@ -28,12 +29,19 @@ from spanweave.session import ship_package
 END_OF_DOCUMENT = 49407  # <|endoftext|> of word_bpe_49k.json; its string in a text is encoded as ordinary text
 BLOCK_IDS = 1 << 16
 GROUP_BLOCKS = 256
-DTYPE = "<u2"  # the vocabulary has under 65,536 ids
+DTYPE = "<u2"  # of word_bpe_49k.json: the vocabulary has under 65,536 ids
+
+
+def id_type(tokenizer: str, eod: int) -> str:
+    """The narrowest of two types that holds every id of the tokenizer and the end of a document."""
+    return "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(True) - 1, eod) < 1 << 16 else "<u4"
 
 
 def write_token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, eod: int = END_OF_DOCUMENT, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """A partition becomes one flat file, given as blocks (file, block, data), and rows (file, first, docs) that list which documents went into it in order."""
+    """A partition becomes one flat file of ids of id_type(), given as blocks (file, block, data), and rows (file, first, docs) that list
+    which documents went into it in order."""
     path = tokenizer or tokenizer_path()
+    dtype = id_type(path, eod)
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,10 +61,10 @@ def write_token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 size += len(ids) + len(bounds) - 1
                 while size >= block_ids:
                     flat = np.concatenate(held)
-                    yield row(block, flat[:block_ids].astype(DTYPE).tobytes(), None, None)
+                    yield row(block, flat[:block_ids].astype(dtype).tobytes(), None, None)
                     held, size, block = [flat[block_ids:]], size - block_ids, block + 1
         if size:
-            yield row(block, np.concatenate(held).astype(DTYPE).tobytes(), None, None)
+            yield row(block, np.concatenate(held).astype(dtype).tobytes(), None, None)
 
     return kept.mapInArrow(run, "file bigint, block bigint, data binary, first bigint, docs array<bigint>")
 
@@ -123,6 +131,6 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = Workspace(spark, "tokens")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     written = space.write(write_token_blocks(docs), "files")
-    counts = space.write(count_tokens(written.where("block is not null")), "counts")
+    counts = space.write(count_tokens(written.where("block is not null"), END_OF_DOCUMENT, id_type(tokenizer_path(), END_OF_DOCUMENT)), "counts")
     listed = written.where("docs is not null").select("file", "first", F.posexplode("docs").alias("k", "doc_id")).select("file", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id")
     return listed.join(counts.where("closed"), ["file", "ordinal"]).select("doc_id", "n_tokens")
