@@ -8,11 +8,11 @@ whose features are rates of words and word prefixes and buckets of document meas
 The toxicity labellers look words up in lexicons that are read off a bounded sample of labelled documents, by
 document frequency in either class; without labels the lexicons are empty and nothing is judged toxic.
 
-Bounds: LABELLED documents for the lexicons and TRAINED for the scorers, those whose hashed ids come first, and at most
-2**DIM_BITS features; only hashed features of the latter and the lexicons' entries reach the driver.
+Bounds, which are parameters: LABELLED documents for the lexicons and TRAINED for the scorers, those whose hashed ids come first,
+and at most 2**DIM_BITS features; only hashed features of the latter and the lexicons' entries reach the driver.
 
 Defined results: a null or empty text has no words and is judged by its measures alone; a null id is passed through (and
-never sampled); repeated rows are judged each; an empty table gives an empty result; other columns are passed through.
+never sampled); repeated rows are judged each; very long texts are measured whole; an empty table gives an empty result; other columns are passed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +49,7 @@ TOXIC_LABELLERS, JUNK_LABELLERS = ("word", "short_prefix", "long_prefix"), ("sym
 #: (bad from, good up to) of each junk measure, in the order of JUNK_LABELLERS.
 JUNK_CUTS = ((0.25, 0.02), (0.65, 0.55), (0.25, 0.05), (0.5, 0.1), (0.2, 0.05), (0.5, 0.1), (0.2, 0.02))
 TOXIC_CUTS = ((0.008, 0.003), (0.012, 0.006), (0.012, 0.006))
+_ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 _PUNCT = ".,;:!?\"'()[]{}«»„“”…*#$%&|<>-"
 
 
@@ -98,6 +100,7 @@ class Measurer:
         self.table = _Table()
         self.attrs = Rows(np.float32, 11)
         self.features = Rows(np.int64, 1 + len(PREFIXES))
+        self.marks = Rows(np.uint64)
 
     def _learn(self, keep: bool) -> None:
         new, self.table.new = self.table.new, []
@@ -121,6 +124,7 @@ class Measurer:
             if keep:
                 self.features.append(hashes)
         self.attrs.append(attrs)
+        self.marks.append(np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new)))
 
     def measure(self, text: str | None, keep: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(junk measures, toxic rates, sums of the scorers' word weights); with keep, self.last has the document's codes."""
@@ -135,8 +139,9 @@ class Measurer:
         if not n:
             return np.zeros(8), np.zeros(3), np.zeros(2)
         rates = self.attrs[codes].sum(axis=0, dtype=np.float64) / n
-        mixed = codes * 1_000_003
-        mixed = mixed[:-3] ^ (mixed[1:-2] << 9) ^ (mixed[2:-1] << 18) ^ (mixed[3:] << 27) if n > 3 else mixed[:0]
+        # of the words themselves, so that they are the same whatever was read before
+        marks = self.marks[codes]
+        mixed = marks[:-3] + marks[1:-2] * _ODD[0] + marks[2:-1] * _ODD[1] + marks[3:] * _ODD[2] if n > 3 else marks[:0]
         phrases = 1 - len(np.unique(mixed)) / len(mixed) if len(mixed) else 0.0
         # of n words of a natural text about n**0.85 are distinct; what is missing is said over and over
         over = 1 - len(np.unique(codes)) / n if n >= 12 else 0.0
@@ -231,10 +236,10 @@ def _sample_features(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, junk array<int>, toxic array<int>, features array<int>, values array<float>")
 
 
-def learn_lexicons(texts: DataFrame, labels: DataFrame) -> list[frozenset[str]]:
-    """Words, short and long prefixes that mark toxic documents, from at most LABELLED labelled documents."""
+def learn_lexicons(texts: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> list[frozenset[str]]:
+    """Words, short and long prefixes that mark toxic documents, from at most `labelled` labelled documents."""
     toxic = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("is_toxic")).dropDuplicates(["id"])
-    chosen = F.broadcast(hashed_sample(toxic, LABELLED, 9).join(toxic, "id"))  # at most LABELLED rows of 12 bytes
+    chosen = F.broadcast(hashed_sample(toxic, labelled, 9).join(toxic, "id"))  # at most that many rows of 12 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,9 +265,9 @@ def learn_lexicons(texts: DataFrame, labels: DataFrame) -> list[frozenset[str]]:
     return [frozenset(r["mark"] for r in marks if r["kind"] == k) for k in range(3)]
 
 
-def fit(spark: SparkSession, texts: DataFrame, labels: DataFrame) -> tuple[Model, dict]:
+def fit(spark: SparkSession, texts: DataFrame, labels: DataFrame, labelled: int = LABELLED, trained: int = TRAINED) -> tuple[Model, dict]:
     """texts: (id, text). The model, and the labellers' estimated accuracies."""
-    model = Model(learn_lexicons(texts, labels))
+    model = Model(learn_lexicons(texts, labels, labelled))
     space = Workspace(spark, "weak")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +287,7 @@ def fit(spark: SparkSession, texts: DataFrame, labels: DataFrame) -> tuple[Model
             p, a = expectation_maximisation(np.array(list(table)), np.array(list(table.values()), float))
             post[head] = dict(zip(table, p, strict=True))
             accuracies[head] = {k: (float(a[0, i, 1]), float(a[1, i, 2])) for i, k in enumerate(labellers)}
-    chosen = F.broadcast(hashed_sample(texts.select("id"), TRAINED, 9))  # at most TRAINED rows of 8 bytes
+    chosen = F.broadcast(hashed_sample(texts.select("id"), trained, 9))  # at most that many rows of 8 bytes
     sample = space.write(_sample_features(texts.join(chosen, "id").select("id", "text"), model), "sample").orderBy("id").toArrow()
     model.weights = np.zeros((2, DIM), np.float32)
     if len(sample):
@@ -321,10 +326,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(spare, verdict)]))
 
 
-def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, trained: int = TRAINED) -> DataFrame:
+    """score() by a model fitted on docs and on labels (doc_id, toxic); labelled and trained bound the documents sampled for the
+    lexicons and for the scorers."""
     ship_package(spark)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    model, _ = fit(spark, texts, labels)
+    model, _ = fit(spark, texts, labels, labelled, trained)
     return score(docs, model, id_col, text_col)
 
 
