@@ -86,6 +86,17 @@ class PartVisitor:
         self.out.expanded_tokens += tokens
 
 
+def parts_of(content: str) -> list[dict]:
+    """The parts of a JSON list of objects; any other content is one part of plain text."""
+    try:
+        found = json.loads(content)
+    except ValueError:
+        found = None
+    if isinstance(found, list) and all(isinstance(x, dict) for x in found):
+        return found
+    return [{"type": "text", "text": content}]
+
+
 SCHEMA = "conv_id bigint, formatted string, begin bigint, loss_begin bigint, loss_end bigint, attachments array<struct<number:int,kind:string,ref:string,tokens:bigint>>, expanded_tokens bigint"
 _ARROW = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("begin", pa.int64()), ("loss_begin", pa.int64()), ("loss_end", pa.int64()), ("attachments", pa.list_(pa.struct([("number", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))), ("expanded_tokens", pa.int64())])
 
@@ -93,7 +104,7 @@ _ARROW = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("begin
 def format_turns(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", content_col: str = "text", parts_json: bool = False, loss_role: str = "assistant") -> DataFrame:
     """One row a turn, in order within a conversation: its formatted string, where that begins in the conversation's and the
     loss mask (begin and end in the conversation's string, null where the role gets no loss). parts_json: the content is a
-    JSON list of parts rather than a plain text."""
+    JSON list of parts rather than a plain text (what is not such a list counts as plain text; a part of unknown type is an error)."""
     kept = turns.select(F.col(id_col).cast("long").alias("c"), F.col(turn_col).alias("n"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("r"), F.coalesce(F.col(content_col).cast("string"), F.lit("")).alias("t"))
     ordered = kept.repartition("c").sortWithinPartitions("c", "n", "r", "t")
 
@@ -105,7 +116,7 @@ def format_turns(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
                 if conv != last:
                     at, attached, last = 0, 0, conv
                 raw = text.as_py()
-                flat = PartVisitor(attached).visit(json.loads(raw) if parts_json else [{"type": "text", "text": raw}])
+                flat = PartVisitor(attached).visit(parts_of(raw) if parts_json else [{"type": "text", "text": raw}])
                 head, content = f"<turn {escape(role)}>\n", "".join(flat.text)
                 whole = f"{head}{content}</turn>\n"
                 loss = (at + len(head), at + len(head) + len(content)) if role == loss_role else (None, None)

@@ -157,6 +157,25 @@ def test_scan_stitches_any_blocks(spark, tmp_path, monkeypatch):
     assert Counter((r.n_tokens, r.closed) for r in got) == Counter(want)
 
 
+def test_ids_of_a_large_vocabulary_stay_whole(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    words = {f"w{i}": i for i in range(70_000)}
+    t = Tokenizer(models.WordLevel(words, unk_token="w0"))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    path = str(tmp_path / "t.json")
+    t.save(path)
+    assert token_counts.id_type(path, 5) == "<u4" and token_counts.id_type(tokenizer_path(), 49407) == "<u2"
+    assert token_counts.id_type(tokenizer_path(), 70_000) == "<u4"
+
+
+def test_line_dedup_passes_clashing_columns_through(spark):
+    docs = spark.createDataFrame([(1, "a line of some length\nb", 7, "x"), (2, "A line of some length", 8, "y")], "doc_id bigint, text string, line_dedup int, doc string")
+    out = line_dedup.dedup_lines(spark, docs)
+    assert out.columns == [*docs.columns, "line_dedup_"]
+    assert sorted(tuple(r)[:4] for r in out.collect()) == [(1, "a line of some length\nb", 7, "x"), (2, "", 8, "y")]
+
+
 def brute_simhash(rows):
     prints = []
     for i, t in rows:

@@ -69,6 +69,22 @@ def test_decontamination(spark, as_tables):
     assert Counter(r["doc_id"] for r in rows_of(kept)) == Counter(d for d, _ in docs if d not in {x for x, _ in got})
 
 
+def test_short_items_are_found_exactly(spark):
+    items = [(1, "Which colour is it?"), (2, "北京的首都是哪里"), (3, "yes"), (4, "!?"), (5, "colour is"), (6, None), (None, "no id here")]
+    docs = [(1, "he asked: which COLOUR, is it then"), (2, "昨天他问：北京的首都是哪里呢"), (3, "which color is it"), (4, "No."), (5, "Yes!"), (6, "which colour"), (7, "北京的首都是")]
+    found = rows_of(decontaminate.leaks(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")))
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 1), (1, 5), (2, 2), (5, 3)}
+    assert next((r["first_word"], r["end_word"], r["distance"]) for r in found if r["item_id"] == 1) == (2, 6, 0)
+
+
+def test_decontamination_of_empty_tables(spark):
+    docs, items = spark.createDataFrame([(1, "some text", 3)], "doc_id bigint, text string, item_id int"), spark.createDataFrame([(1, "some text")], "item_id bigint, text string")
+    assert decontaminate.leaks(spark, docs.limit(0), items).collect() == [] and decontaminate.leaks(spark, docs, items.limit(0)).collect() == []
+    assert decontaminate.without_leaks(spark, docs, items.limit(0)).collect() == docs.collect()
+    assert decontaminate.without_leaks(spark, docs, items).collect() == []
+    assert decontaminate.without_leaks(spark, docs.limit(0), items).columns == docs.columns
+
+
 def test_recall_at_largest_distance():
     rng = random.Random(7)
     items, _, _ = leak_fixture(rng)
@@ -117,6 +133,9 @@ def test_chat_parts(spark):
     rows = rows_of(chat.format_turns(spark.createDataFrame([(1, 0, "user", content), (1, 1, "assistant", '[{"type":"image","ref":"d.png"}]')], "conv_id bigint, turn int, role string, text string"), parts_json=True))
     assert rows[0]["formatted"] == "<turn user>\nsee \\limage 0\\g<image 0><audio 1><document 2></turn>\n"
     assert [(a["number"], a["kind"], a["ref"], a["tokens"]) for r in rows for a in r["attachments"]] == [(0, "image", "a.png", 8), (1, "audio", "b.wav", 38), (2, "document", "c.pdf", 512), (3, "image", "d.png", 1)]
+    odd = [None, "", "plain", '{"type":"text"}', "[1]", "[]", '[{"type":"text"}]']
+    rows = rows_of(chat.format_turns(spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(odd)], "conv_id bigint, turn int, role string, text string"), parts_json=True))
+    assert [r["formatted"] for r in rows] == [f"<turn user>\n{chat.escape(t)}</turn>\n" for t in ("", "", "plain", '{"type":"text"}', "[1]", "", "")]
     with pytest.raises(ValueError):
         chat.PartVisitor().visit([{"type": "video"}])
 
@@ -143,6 +162,14 @@ def test_quality_rules(spark, nasty, as_tables):
     assert quality_rules.quality_rules(spark.createDataFrame([], nasty.schema)).collect() == []
 
 
+def test_rules_pass_clashing_columns_through(spark, nasty):
+    named = {"m": "id", "_base_failed": "n_chars", "quality": "doc_id", "r": "doc_id", "group": "source"}
+    docs = nasty.select("*", *[nasty[c].alias(k) for k, c in named.items()])
+    out = quality_rules.quality_rules(docs)
+    assert out.columns == [*docs.columns, "quality_"]
+    assert Counter(tuple(r)[:-1] for r in out.collect()) == Counter(tuple(r) for r in docs.collect())
+
+
 def test_adaptive_thresholds(spark):
     rng = random.Random(4)
     rows = []
@@ -171,6 +198,16 @@ def test_sharding(spark, nasty, as_tables):
     assert sharding.op8_sharding(spark, as_tables(documents=nasty.limit(0))).collect() == []
 
 
+def test_strings_are_cut_at_their_quantiles(spark):
+    """Values that differ only behind a long common beginning, one of them hot."""
+    values = [f"https://example.org/{i:04d}" for i in range(1000)] + ["https://example.org/0500"] * 1000 + [None] * 5
+    rows = spark.createDataFrame([(v,) for v in values], "v string").repartition(5)
+    cuts = sharding.string_cuts(sharding.Workspace(spark, "t"), rows, "v", 8)
+    whole = sorted(v for v in values if v)
+    assert cuts == sorted({whole[-(-len(whole) * k // 8) - 1] for k in range(1, 8)})
+    assert sharding.string_cuts(sharding.Workspace(spark, "t"), rows.where("v is null"), "v", 8) == []
+
+
 @pytest.mark.parametrize(("dims", "bits"), [(2, 3), (3, 4), (4, 3)])
 def test_hilbert_curve_is_continuous(dims, bits):
     table = sharding.hilbert_table(dims, bits)
