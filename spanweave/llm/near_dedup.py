@@ -1,8 +1,8 @@
 """Near-dedup of documents by shingle sets, on SimHash fingerprints with deletion-variant signatures.
 
-Documents of equal shingle sets are one class. A class has a fingerprint of N_WORDS 64-bit words over its distinct shingles, cut into
-segments of WIDTH bits: at similarity 0.8 about 15 % of the bits differ, and one of the 16 segments differs by at most one bit
-with probability 0.95 (0.99 from 0.85). Candidates come in three ways, each verified on the exact shingle sets:
+Documents of equal shingle sets are one class. A class has a fingerprint of N_WORDS 64-bit words over its distinct shingles, the first
+INDEXED of which are cut into segments of WIDTH bits: at similarity 0.8 about 15 % of the bits differ, and one of the 19 segments differs by at most one bit
+with probability 0.97 (0.99 from 0.85). Candidates come in three ways, each verified on the exact shingle sets:
 
 1. Exact segments: every class is compared with the smallest classes of its segments' buckets, and tried with the NEAREST
    of those within the radius. This joins groups of near copies early, at a few rows a member.
@@ -36,13 +36,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanweave.llm.simhash import radius_of, shingle_hashes, with_fingerprints
+from spanweave.llm.simhash import SPREAD, radius_of, shingle_hashes, with_fingerprints
 from spanweave.llm.support import Workspace, components, spare_name, words
 from spanweave.session import ship_package
 
-N_WORDS, WIDTH, QUARTER = 5, 20, 5
+N_WORDS, INDEXED, WIDTH, QUARTER = 8, 6, 20, 5
 #: Pairs that two components give in a batch of keys of the first run over the index.
-SOME = 8
+SOME = 2
 #: Classes of a bucket that others are compared with, and of those the ones a class is tried with; what they leave apart is found
 #: by the variants.
 LEADERS, NEAREST = 16, 4
@@ -61,7 +61,7 @@ def bits_of(fp: str, low: int, width: int) -> Column:
 
 
 def segment_lows(n_words: int) -> list[int]:
-    return list(range(0, 64 * n_words - WIDTH + 1, WIDTH))
+    return list(range(0, 64 * min(n_words, INDEXED) - WIDTH + 1, WIDTH))
 
 
 def exact_index(classes: DataFrame, n_words: int) -> DataFrame:
@@ -215,7 +215,7 @@ def variant_pairs(batches: Iterator[pa.RecordBatch], n_words: int, similarity: f
             root = np.sqrt(n[a] * n[b])  # noqa: B023
             p = np.arccos(np.clip(np.divide(share * (n[a] + n[b]), root, out=np.ones(len(a)), where=root > 0), 0, 1)) / np.pi  # noqa: B023
             ok = np.minimum(n[a], n[b]) >= (similarity - 1e-9) * np.maximum(n[a], n[b])  # noqa: B023
-            ok &= np.bitwise_count(x).sum(axis=1) <= np.ceil(bits * p + 3.2 * np.sqrt(bits * p * (1 - p)))
+            ok &= np.bitwise_count(x).sum(axis=1) <= np.ceil(bits * p + SPREAD * np.sqrt(bits * p * (1 - p)))
             at = np.flatnonzero(ok)
             x, own = x[at], segment[a[at]]  # noqa: B023
             earlier = np.zeros(len(at), bool)
@@ -293,6 +293,8 @@ class Finder:
         wanted = self.classes.select("node", "id", "same").join(nodes, "node", "left_semi")
         for held in self.sets:
             wanted = wanted.join(held.select("node"), "node", "left_anti")
+        # written first, so that the planner knows its size and does not shuffle the texts for a few ids
+        wanted = self.space.write(wanted, "wanted")
         some = self.docs.join(wanted.select("id"), "id", "left_semi")
         made = with_fingerprints(some, "id", "text", self.shingle, 0, sets=True, once=True).join(wanted.select("node", "same"), "same")
         self.sets.append(self.space.write(made.select("node", "shingles"), "sets"))

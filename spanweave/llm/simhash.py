@@ -25,10 +25,9 @@ from pyspark.sql import functions as F
 from spanweave.llm.support import Workspace, components, words
 from spanweave.session import ship_package
 
-_LANES = (np.arange(8) * 256).astype(np.uint16)
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 #: Hashes handled at once: bounds the memory a very long text takes.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 
 def shingle_hashes(found: list[bytes], size: int) -> np.ndarray:
@@ -54,15 +53,15 @@ def spread(hashes: np.ndarray, word: int) -> np.ndarray:
 
 def fingerprint(hashes: np.ndarray, n_words: int = 1) -> list[int]:
     """Signed 64-bit words; a bit is 1 if set in over half the hashes."""
-    out = []
-    for word in range(n_words):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), _BLOCK):
-            lanes = np.ascontiguousarray(spread(hashes[at : at + _BLOCK], word), dtype="<u8").view(np.uint8).reshape(-1, 8)
-            ones += (np.bincount((lanes + _LANES).ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
-        bits = np.packbits((ones * 2 > len(hashes)).astype(np.uint8), bitorder="little")
-        out.append(int(bits.view("<i8")[0]))
-    return out
+    if not n_words:
+        return []
+    ones = np.zeros((8 * n_words, 8))
+    offsets = (np.arange(8 * n_words, dtype=np.uint16) * 256).reshape(n_words, 1, 8)
+    for at in range(0, len(hashes), _BLOCK):
+        part = np.array([spread(hashes[at : at + _BLOCK], word) for word in range(n_words)], "<u8")
+        lanes = part.view(np.uint8).reshape(n_words, -1, 8) + offsets
+        ones += np.bincount(lanes.ravel(), minlength=2048 * n_words).reshape(-1, 256) @ _BITS
+    return np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").ravel().view("<i8").tolist()
 
 
 def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, n_words: int = 1, sets: bool = False, once: bool = False) -> DataFrame:
@@ -115,11 +114,15 @@ def variant_index(classes: DataFrame, parts: list[tuple[int, int, int]], *kept:
     return each.select(*names, bare.bitwiseOR(F.expr("shiftleft(cast(s * 64 + wild as bigint), 33)")).alias("key"))
 
 
+#: Deviations above its mean to which the number of differing bits of a pair is allowed for: one pair in 44 at the limit exceeds it, one in 200 at similarity 0.82.
+SPREAD = 2.0
+
+
 def radius_of(similarity: float, bits: int) -> int:
-    """Differing bits of `bits` that a pair of Jaccard similarity `similarity` exceeds by chance in under one case of 1000: each
+    """Differing bits of `bits` that a pair of Jaccard similarity `similarity` has at most, but for the chance that SPREAD leaves: each
     bit differs with probability acos(c) / pi, c = 2 s / (1 + s) being the cosine of two sets of one size."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * p + 3.2 * math.sqrt(bits * p * (1 - p)))
+    return math.ceil(bits * p + SPREAD * math.sqrt(bits * p * (1 - p)))
 
 
 def apart_pairs(rows: DataFrame, prints: DataFrame, n_words: int, radius: int) -> DataFrame:
