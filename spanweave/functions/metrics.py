@@ -19,22 +19,6 @@ def syllables(word: Column) -> Column:
     return F.greatest(F.size(F.regexp_extract_all(F.lower(word), F.lit("[aeiouyäöüáéíóúàèêôû]+"), 0)), F.lit(1))
 
 
-def readability(words: Column, sents: Column, chars: Column, syll: Column, long_words: Column, poly: Column) -> dict[str, Column]:
-    """Nine classic scores from counts."""
-    w, s = F.nullif(words.cast("double"), F.lit(0.0)), F.nullif(sents.cast("double"), F.lit(0.0))
-    return {
-        "flesch": 206.835 - 1.015 * (w / s) - 84.6 * (syll / w),
-        "kincaid": 0.39 * (w / s) + 11.8 * (syll / w) - 15.59,
-        "fog": 0.4 * (w / s + 100.0 * poly / w),
-        "smog": 1.043 * F.sqrt(30.0 * poly / s) + 3.1291,
-        "ari": 4.71 * (chars / w) + 0.5 * (w / s) - 21.43,
-        "coleman_liau": 5.88 * (chars / w) - 29.6 * (s / w) - 15.8,
-        "lix": w / s + 100.0 * long_words / w,
-        "rix": long_words / s,
-        "wstf": 0.1935 * (100.0 * poly / w) + 0.1672 * (w / s) + 0.1297 * (100.0 * long_words / w) - 3.3377,
-    }
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -48,9 +32,10 @@ def euclidean(a: Column, b: Column) -> Column:
 
 
 def softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    shifted = F.transform(scores, lambda x: F.exp(x - top))
-    return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda s, y: s + y))
+    """exp(x - max) / sum, each of the two computed once an array: a one-element array is the scope that holds them."""
+    once = F.transform(F.array(F.struct(scores.alias("x"), F.array_max(scores).alias("top"))), lambda a: F.transform(a["x"], lambda x: F.exp(x - a["top"])))
+    summed = F.transform(once, lambda e: F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda s, y: s + y).alias("sum")))
+    return F.transform(summed, lambda a: F.transform(a["e"], lambda x: x / a["sum"]))[0]
 
 
 def timestamp_seconds(stamp: Column) -> Column:

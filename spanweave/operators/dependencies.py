@@ -48,3 +48,30 @@ def closures(words: DataFrame, stop_upos: str = "VERB", stop_deprel: str | None
         return pd.DataFrame(rows, columns=["doc_id", "sent", "root", "id"])
 
     return words.select(*KEYS, "id", "head", "upos", "deprel").groupBy(*KEYS).applyInPandas(run, "doc_id bigint, sent bigint, root bigint, id bigint")
+
+
+CLAUSES = ("advcl", "ccomp", "acl", "xcomp")
+MODIFIERS = ("amod", "nmod", "compound", "poss", "acl", "appos")
+
+
+def syntactic_complexity(words: DataFrame) -> DataFrame:
+    """The 14 ratios of second-language syntactic complexity of words (doc_id, sent, id, head, upos, feats, deprel): (doc_id, label,
+    value), 0 over a zero count. Children are found by one semi-join a kind, on the sentence and the head."""
+    child = lambda kinds, flag: words.where(F.col("deprel").isin(*kinds)).select(*KEYS, F.col("head").alias("id")).distinct().withColumn(flag, F.lit(1))
+    w = words.join(child(CLAUSES, "clause"), [*KEYS, "id"], "left").join(child(MODIFIERS, "modified"), [*KEYS, "id"], "left")
+    verb, rel, root = F.col("upos") == "VERB", F.col("deprel"), F.col("deprel") == "root"
+    counts = {
+        "W": F.col("upos") != "PUNCT",
+        "VP": verb & F.coalesce(F.col("feats"), F.lit("")).contains("VerbForm=Fin"),
+        "C": verb & rel.isin("root", *CLAUSES),
+        "DC": verb & rel.isin(*CLAUSES),
+        "T": root,
+        "CT": root & F.col("clause").isNotNull(),
+        "CP": rel.isin("cc", "conj"),
+        "CN": (F.col("upos") == "NOUN") & F.col("modified").isNotNull(),
+    }
+    sents = w.groupBy(*KEYS).agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in counts.items()])
+    d = sents.groupBy("doc_id").agg(F.count("*").alias("S"), *[F.sum(k).alias(k) for k in counts])
+    ratios = {"MLC": ("W", "C"), "MLS": ("W", "S"), "MLT": ("W", "T")} | {f"{a}/{b}": (a, b) for a, b in (("C", "S"), ("C", "T"), ("CT", "T"), ("DC", "C"), ("DC", "T"), ("CP", "C"), ("CP", "T"), ("T", "S"), ("CN", "C"), ("CN", "T"), ("VP", "T"))}
+    rows = F.array(*[F.struct(F.lit(k).alias("label"), F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0)).alias("value")) for k, (a, b) in ratios.items()])
+    return d.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*")

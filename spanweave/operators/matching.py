@@ -13,24 +13,30 @@ from pyspark.sql import functions as F
 from spanweave.session import ship_package
 
 
-def ngrams(words: Column, most: int) -> Column:
-    """All n-grams of 1..most words as structs (pos, n, phrase)."""
-    def of(n: int) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice(words, i + 1, F.lit(n)), " ").alias("phrase")))
-        return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<struct<pos:int,n:int,phrase:string>>"))
-
-    return F.concat(*[of(n) for n in range(1, most + 1)])
-
-
 def tokens(text: Column) -> Column:
     """The lower-case words: all runs of letters and digits."""
     return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
 
-def tag(docs: DataFrame, dictionary: DataFrame, most: int = 3) -> DataFrame:
-    """(doc_id, pos, n, phrase, entry): every dictionary phrase in the texts, an equi-join on the n-gram."""
-    grams = docs.select("doc_id", F.explode(ngrams(tokens(F.col("text")), most)).alias("g")).select("doc_id", "g.*")
-    return grams.join(dictionary.select(F.lower("phrase").alias("phrase"), "entry"), "phrase")
+def phrases(docs: DataFrame, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, pos, n, phrase): all n-grams of 1..most words. The words come out of an explode, so that they are made once and not again
+    for every n-gram: the work grows with the text."""
+    whole = docs.select(F.col(id_col).alias(id_col), F.explode(F.array(tokens(F.col(text_col)))).alias("w")).where("size(w) > 0")
+    grams = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.slice(F.col("w"), i + 1, F.lit(most)))
+    each = whole.select(id_col, F.posexplode(grams).alias("pos", "g"))
+    sized = each.select(id_col, "pos", "g", F.explode(F.sequence(F.lit(1), F.size("g"))).alias("n"))
+    return sized.select(id_col, "pos", "n", F.array_join(F.slice("g", F.lit(1), F.col("n")), " ").alias("phrase"))
+
+
+def tag(docs: DataFrame, dictionary: DataFrame, most: int = 3, result_selection: str = "all") -> DataFrame:
+    """(doc_id, pos, n, phrase, entry): every dictionary phrase of at most `most` words in the texts, an equi-join on the n-gram; with
+    result_selection first or last, one entry a phrase, the smallest or the largest."""
+    entries = dictionary.select(F.lower("phrase").alias("phrase"), "entry")
+    if result_selection not in ("all", "first", "last"):
+        raise ValueError("result_selection is all, first or last")
+    if result_selection != "all":
+        entries = entries.groupBy("phrase").agg((F.min if result_selection == "first" else F.max)("entry").alias("entry"))
+    return phrases(docs, most).join(entries, "phrase")
 
 
 def deletions(word: Column) -> Column:

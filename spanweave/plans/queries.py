@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanweave.functions import metrics as M
-from spanweave.operators import matching, spans
+from spanweave.functions.readability import FORMULAS
+from spanweave.operators import matching, spans, text_measures
 from spanweave.session import table, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,21 +73,17 @@ def _words(text="text"):
     return F.filter(F.split(F.lower(text), "[^a-zäöüáéíóúñàèêôûçß]+"), lambda w: w != "")
 
 
-@query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS s FROM documents),
+_SCORES = {"flesch": "flesch_reading_ease", "kincaid": "flesch_kincaid_grade", "fog": "gunning_fog", "smog": "smog_index", "ari": "automated_readability_index", "coleman_liau": "coleman_liau_index", "lix": "lix", "rix": "rix", "wstf": "wiener_sachtextformel_1"}
+
+
+@query(f"""WITH w0 AS (SELECT doc_id, {_WORDS} AS ws, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS s FROM documents),
 c AS (SELECT doc_id, s::DOUBLE AS s, len(ws)::DOUBLE AS w, list_sum(list_transform(ws, lambda x: length(x)))::DOUBLE AS chars,
- list_sum(list_transform(ws, lambda x: greatest(len(regexp_extract_all(x, '[aeiouyäöüáéíóúàèêôû]+')), 1)))::DOUBLE AS syll,
- len(list_filter(ws, lambda x: length(x) > 6))::DOUBLE AS lw, len(list_filter(ws, lambda x: greatest(len(regexp_extract_all(x, '[aeiouyäöüáéíóúàèêôû]+')), 1) >= 3))::DOUBLE AS poly FROM w WHERE len(ws) > 0)
-SELECT doc_id, round(206.835 - 1.015*(w/s) - 84.6*(syll/w), 4) AS flesch, round(0.39*(w/s) + 11.8*(syll/w) - 15.59, 4) AS kincaid, round(0.4*(w/s + 100.0*poly/w), 4) AS fog,
- round(1.043*sqrt(30.0*poly/s) + 3.1291, 4) AS smog, round(4.71*(chars/w) + 0.5*(w/s) - 21.43, 4) AS ari, round(5.88*(chars/w) - 29.6*(s/w) - 15.8, 4) AS coleman_liau,
- round(w/s + 100.0*lw/w, 4) AS lix, round(lw/s, 4) AS rix, round(0.1935*(100.0*poly/w) + 0.1672*(w/s) + 0.1297*(100.0*lw/w) - 3.3377, 4) AS wstf FROM c""")
+ list_sum(list_transform(ws, lambda x: greatest(len(regexp_extract_all(x, '[aeiouyäöüáéíóúàèêôû]+')), 1)))::DOUBLE AS syll, len(list_filter(ws, lambda x: greatest(len(regexp_extract_all(x, '[aeiouyäöüáéíóúàèêôû]+')), 1) = 1))::DOUBLE AS mono,
+ len(list_filter(ws, lambda x: length(x) > 6))::DOUBLE AS long7, len(list_filter(ws, lambda x: greatest(len(regexp_extract_all(x, '[aeiouyäöüáéíóúàèêôû]+')), 1) >= 3))::DOUBLE AS poly FROM w0 WHERE len(ws) > 0)
+SELECT doc_id, {", ".join(f"({FORMULAS[f]})::DOUBLE AS {k}" for k, f in _SCORES.items())} FROM c""")
 def readability_scores(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", _words().alias("ws"), F.greatest(F.size(F.regexp_extract_all("text", F.lit("[.!?]+"), 0)), F.lit(1)).alias("s")).where(F.size("ws") > 0)
-    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
-    syll = F.transform("ws", M.syllables)
-    d = d.select("doc_id", "s", F.size("ws").alias("w"), total(F.transform("ws", F.char_length)).alias("chars"), syll.alias("y"), F.size(F.filter("ws", lambda x: F.char_length(x) > 6)).alias("lw"))
-    d = d.select("*", total(F.col("y")).alias("syll"), F.size(F.filter("y", lambda x: x >= 3)).alias("poly"))
-    scores = M.readability(F.col("w"), F.col("s"), F.col("chars"), F.col("syll"), F.col("lw"), F.col("poly"))
-    return d.select("doc_id", *[F.round(c, 4).alias(k) for k, c in scores.items()])
+    counts = text_measures.text_counts(table(spark, sf_dir, "documents"), [])
+    return counts.select("doc_id", *[F.expr(FORMULAS[f]).cast("double").alias(k) for k, f in _SCORES.items()])
 
 
 @query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents)
@@ -138,8 +135,7 @@ w AS ({_GRAMS.format(k='doc_id', t='documents')})
 SELECT doc_id, entry, count(*) AS hits FROM w JOIN d USING (phrase) GROUP BY 1, 2""")
 def gazetteer_phrases(spark, sf_dir):
     """Every phrase of one to three words of the items in the whole texts."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(matching.ngrams(matching.tokens(F.col("text")), 3)).alias("g"))
-    entries = items.select("item_id", "g.phrase").groupBy("phrase").agg(F.min("item_id").alias("entry"))
+    entries = matching.phrases(table(spark, sf_dir, "benchmark"), 3, "item_id").groupBy("phrase").agg(F.min("item_id").alias("entry"))
     return matching.tag(table(spark, sf_dir, "documents"), entries, 3).groupBy("doc_id", "entry").agg(F.count("*").alias("hits"))
 
 
