@@ -239,17 +239,23 @@ def _mtld(words: list[str], limit: float = 0.72, least: int = 10) -> float:
     return len(words) / factors if factors else float(len(words))
 
 
+def expected_ratios(words: list[str], sizes: np.ndarray) -> np.ndarray:
+    """Expected type-token ratios of samples of some sizes without replacement: a type of c tokens is missing from a sample of s of n
+    tokens with the product of (n - c - i) / (n - i) over i < s."""
+    n, counts = len(words), np.unique(words, return_counts=True)[1].astype(np.float64)
+    out = np.empty(len(sizes))
+    for k, size in enumerate(sizes):
+        steps = np.arange(int(size), dtype=np.float64)
+        out[k] = (1 - np.prod(np.clip(n - counts[:, None] - steps, 0, None) / (n - steps), axis=1)).sum() / size
+    return out
+
+
 def _vocd(words: list[str]) -> float | None:
     """The D whose curve lies nearest to the expected type-token ratios of samples of 35 to 50 words."""
-    n = len(words)
-    if n < 50:
+    if len(words) < 50:
         return None
-    counts = np.unique(words, return_counts=True)[1].astype(np.float64)
     sizes = np.arange(35, 51, dtype=np.float64)
-    absent, steps = np.ones((len(sizes), len(counts))), np.arange(50, dtype=np.float64)
-    for k, size in enumerate(sizes):  # a type of c tokens is missing from a sample with the product of (n - c - i) / (n - i)
-        absent[k] = np.prod(np.clip(n - counts[:, None] - steps[None, : int(size)], 0, None) / (n - steps[: int(size)]), axis=1)
-    ratios = (1 - absent).sum(1) / sizes
+    ratios = expected_ratios(words, sizes)
     low, high = -3.0, 9.0
     for _ in range(40):
         grid = np.linspace(low, high, 9)

@@ -80,12 +80,14 @@ def test_ordered_diversity(spark, tokens):
         assert got[doc, "LDMTLDa"][0] == pytest.approx(sum(both) / 2)
         if len(ws) < 50:
             assert got[doc, "LDVOCDa"] == (None, "no value")
-    # the expected ratios are those that many random samples have
     ws = [t.text for s in sentences(tokens)[5].values() for t in s if not t.is_punct]
-    d, rng = got[5, "LDVOCDa"][0], np.random.default_rng(1)
-    for n in (35, 50):
-        sampled = np.mean([len(set(rng.choice(ws, n, replace=False))) / n for _ in range(3000)])
-        assert d / n * (math.sqrt(1 + 2 * n / d) - 1) == pytest.approx(sampled, abs=0.02)
+    sizes, rng = np.arange(35.0, 51.0), np.random.default_rng(1)
+    ratios = cohesion.expected_ratios(ws, sizes)
+    sampled = [np.mean([len(set(rng.choice(ws, int(n), replace=False))) / n for _ in range(2000)]) for n in sizes[[0, -1]]]
+    assert ratios[[0, -1]] == pytest.approx(sampled, abs=0.005)
+    off = lambda d: ((d / sizes * (np.sqrt(1 + 2 * sizes / d) - 1) - ratios) ** 2).sum()
+    d = got[5, "LDVOCDa"][0]
+    assert off(d) <= min(off(x) for x in np.linspace(0.5, 100, 2000)) + 1e-9
 
 
 def test_second_language_readability_is_null_if_a_part_is(spark):
