@@ -1,62 +1,24 @@
-"""What several operators of this subpackage share: shared-folder tables, ASCII text rules, components of a link graph."""
+"""What several operators of this subpackage share: ASCII text rules, words of whole texts, samples, and the engine's written tables and
+components."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanweave.operators.graphs import components  # noqa: F401 - shared with the engine
+from spanweave.workspace import Workspace, shared_dir  # noqa: F401
+
 #: The white space of all contracts: space and the controls from tab to carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set and all tasks run in the driver."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not getattr(context, "_spanweave_shared", None):
-        context._spanweave_shared = tempfile.mkdtemp(prefix="spanweave-shared-")
-        atexit.register(shutil.rmtree, context._spanweave_shared, ignore_errors=True)
-    return "file://" + context._spanweave_shared
-
-
-class Workspace:
-    """Tables written to the shared folder: they cut lineage and outlive any executor."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/spanweave/{name}-{uuid.uuid4().hex[:12]}"
-        self.made: list[DataFrame] = []
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{len(self.made) + 1:03d}-{name}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._spanweave_path = path
-        self.made.append(out)
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Remove tables that no later step reads."""
-        jvm = self.spark._jvm
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._spanweave_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def spare_name(df: DataFrame, name: str) -> str:
     """The name, with underscores behind it until no column of df has it."""
     taken = {c.lower() for c in df.columns}
@@ -106,32 +68,6 @@ def hashed_sample(ids: DataFrame, n: int, salt: int) -> DataFrame:
     return near.select("id").distinct().orderBy(place, "id").limit(n)
 
 
-def components(space: Workspace, links: DataFrame) -> DataFrame:
-    """Connected components of links (a, b): (node, component), component the smallest node reached.
-
-    Alternating large-star and small-star steps; every minimum is a map-side-combined aggregate, so a hub costs one row a
-    map task. Each round is a written table. An empty link table gives an empty result.
-    """
-    edges = space.write(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-
-    def print_of(t: DataFrame) -> tuple:
-        return tuple(t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-
-    before = print_of(edges)
-    while before[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = space.write(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        space.drop(edges)
-        edges, was, before = after, before, print_of(after)
-        if was == before:
-            break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
 class Rows:
     """A numpy array that rows are appended to at constant cost a row."""
 
