@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanweave.llm.support import tidied
 from spanweave.session import ship_package
 
 RATE = 0.2
@@ -259,7 +260,7 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: st
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "first_word", "end_word", "distance"])
 
-        found = kept.mapInArrow(run, schema)
+        found = kept.mapInArrow(lambda batches, run=run: tidied(run(batches)), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -278,7 +279,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, te
                     found = find_leaks(some.column(text_col).to_pylist(), items)
                     yield some.filter(pa.array([not x for x in found]))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lambda batches, run=run: tidied(run(batches)), docs.schema)
     return docs
 
 

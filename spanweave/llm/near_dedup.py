@@ -7,8 +7,8 @@ with probability 0.97 (0.99 from 0.85). Candidates come in three ways, each veri
 1. Exact segments: every class is compared with the smallest classes of its segments' buckets, and tried with the NEAREST
    of those within the radius. This joins groups of near copies early, at a few rows a member.
 2. One-wildcard variants: each segment is indexed once for every bit with that bit left out. The variants whose wildcards lie in
-   one QUARTER of a segment share its other bits; by these the class is dealt, once a quarter and with its whole fingerprint, and the
-   task joins the quarter's variants on equality. Classes that meet are candidates if they lie in different components so far, their
+   one HALF of a segment share its other bits; by these the class is dealt, once a half and with its whole fingerprint, and the
+   task joins the half's variants on equality. Classes that meet are candidates if they lie in different components so far, their
    sizes allow the similarity and their fingerprints lie within the radius; a pair comes up once, under the first of its segments.
    Of the pairs between two components a batch of keys gives SOME and marks the two; where they are still
    apart afterwards, all pairs of their classes are taken by a second run over the index. So no pair is left out, and a group of copies
@@ -17,7 +17,8 @@ with probability 0.97 (0.99 from 0.85). Candidates come in three ways, each veri
    finds every pair.
 
 Keys are grouped by one shuffle and a sort; a task reads its groups as a stream and holds one group at a time. A group of variants
-holds all classes that agree in 15 bits of a segment, 1 in 32768 of unrelated ones: beyond some 10^9 classes WIDTH and N_WORDS must grow.
+holds all classes that agree in half a segment, 1 in 1024 of unrelated ones at some 100 bytes each: beyond some 10^9 classes WIDTH and
+INDEXED must grow, with a smaller HALF.
 
 Defined results: a null or empty text has no shingles and all such texts are one class; a text of fewer words than a shingle
 has its whole sequence as one shingle; a null id is not grouped by near_duplicate_groups and kept by without_near_duplicates;
@@ -37,18 +38,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanweave.llm.simhash import SPREAD, radius_of, shingle_hashes, with_fingerprints
-from spanweave.llm.support import Workspace, components, spare_name, words
+from spanweave.llm.support import Workspace, components, spare_name, tidied, words
 from spanweave.session import ship_package
 
-N_WORDS, INDEXED, WIDTH, QUARTER = 8, 6, 20, 5
+N_WORDS, INDEXED, WIDTH, HALF = 8, 6, 20, 10
 #: Pairs that two components give in a batch of keys of the first run over the index.
 SOME = 2
 #: Classes of a bucket that others are compared with, and of those the ones a class is tried with; what they leave apart is found
 #: by the variants.
 LEADERS, NEAREST = 16, 4
 SHORT = 24
-#: A key's low bits: a quarter's value and a size.
-_VALUE, _GROUP = 32, 32 + QUARTER
+#: A key's low bits: a half's value and a size.
+_VALUE, _GROUP = 32, 32 + HALF
 
 
 def bits_of(fp: str, low: int, width: int) -> Column:
@@ -71,14 +72,14 @@ def exact_index(classes: DataFrame, n_words: int) -> DataFrame:
 
 
 def variant_index(classes: DataFrame, n_words: int) -> DataFrame:
-    """(key, node, comp, fp): a row for every quarter of every segment. From above, the key holds segment, quarter, the segment without
-    the quarter (together the group), the quarter's value and the size of the set."""
+    """(key, node, comp, fp): a row for every half of every segment. From above, the key holds segment, half, the segment without
+    the half (together the group), the half's value and the size of the set."""
     cut = F.array(*[bits_of("fp", low, WIDTH) for low in segment_lows(n_words)])
     each = classes.select("node", "comp", "fp", "n", F.posexplode(cut).alias("s", "seg"))
-    each = each.select("node", "comp", "fp", "n", "s", "seg", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - QUARTER), F.lit(QUARTER))).alias("low"))
-    rest = f"((seg & (shiftleft(1L, low) - 1)) | shiftleft(shiftrightunsigned(seg, low + {QUARTER}), low))"
-    value = f"(shiftrightunsigned(seg, low) & {(1 << QUARTER) - 1}L)"
-    place = f"shiftleft(cast(s * {WIDTH // QUARTER} + low div {QUARTER} as bigint), {WIDTH - QUARTER})"
+    each = each.select("node", "comp", "fp", "n", "s", "seg", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - HALF), F.lit(HALF))).alias("low"))
+    rest = f"((seg & (shiftleft(1L, low) - 1)) | shiftleft(shiftrightunsigned(seg, low + {HALF}), low))"
+    value = f"(shiftrightunsigned(seg, low) & {(1 << HALF) - 1}L)"
+    place = f"shiftleft(cast(s * {WIDTH // HALF} + low div {HALF} as bigint), {WIDTH - HALF})"
     return each.select(F.expr(f"shiftleft({place} | {rest}, {_GROUP}) | shiftleft({value}, {_VALUE}) | least(n, {(1 << _VALUE) - 1}L)").alias("key"), "node", "comp", "fp")
 
 
@@ -163,7 +164,7 @@ def _met(group: np.ndarray, comp: np.ndarray, test: Callable[[np.ndarray, np.nda
         values, times = np.unique(comp[at], return_counts=True)
         large = values[times.argmax()]
         outside = at[comp[at] != large]
-        block = max(1, (1 << 18) // size)
+        block = max(1, (1 << 16) // size)
         for k in range(0, len(outside), block):
             a, b = np.repeat(outside[k : k + block], size), np.tile(at, len(outside[k : k + block]))
             ok = (comp[a] != comp[b]) & ((comp[b] == large) | (a < b))
@@ -204,10 +205,10 @@ def variant_pairs(batches: Iterator[pa.RecordBatch], n_words: int, similarity: f
     for table in whole_groups(batches, _GROUP):
         key, node = _numpy(table, "key"), _numpy(table, "node")
         comp, fps = _comps(table, node), table.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, n_words)
-        group, value = key >> _GROUP, key >> _VALUE & ((1 << QUARTER) - 1)
+        group, value = key >> _GROUP, key >> _VALUE & ((1 << HALF) - 1)
         n = (key & ((1 << _VALUE) - 1)).astype(np.float64)
-        place = group >> (WIDTH - QUARTER)
-        segment, quarter = place // (WIDTH // QUARTER), place % (WIDTH // QUARTER)
+        place = group >> (WIDTH - HALF)
+        segment, half = place // (WIDTH // HALF), place % (WIDTH // HALF)
 
         def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             x = fps[a] ^ fps[b]  # noqa: B023
@@ -229,12 +230,12 @@ def variant_pairs(batches: Iterator[pa.RecordBatch], n_words: int, similarity: f
             return ok
 
         def each() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            same = np.flatnonzero(quarter == 0)  # noqa: B023  equal segments meet under every quarter
-            whole = (group << QUARTER | value)[same]  # noqa: B023
+            same = np.flatnonzero(half == 0)  # noqa: B023  equal segments meet under either half
+            whole = (group << HALF | value)[same]  # noqa: B023
             for a, b in _met(whole, comp[same], lambda a, b: near(same[a], same[b])):  # noqa: B023
                 yield same[a], same[b]
-            for bit in range(QUARTER):
-                wild = group << QUARTER | value & ~(1 << bit)  # noqa: B023
+            for bit in range(HALF):
+                wild = group << HALF | value & ~(1 << bit)  # noqa: B023
                 order = np.argsort(wild, kind="stable")
                 own = (value >> bit & 1)[order]  # noqa: B023
 
@@ -267,7 +268,7 @@ def _dealt(rows: DataFrame, group: Column) -> DataFrame:
 
 def met_under_variants(classes: DataFrame, n_words: int, similarity: float, some: int | None) -> DataFrame:
     dealt = _dealt(variant_index(classes, n_words), F.shiftright("key", _GROUP))
-    return dealt.mapInArrow(lambda batches: variant_pairs(batches, n_words, similarity, some), PAIRS)
+    return dealt.mapInArrow(lambda batches: tidied(variant_pairs(batches, n_words, similarity, some)), PAIRS)
 
 
 def met_under_keys(rows: DataFrame, some: int | None) -> DataFrame:
@@ -324,7 +325,7 @@ class Finder:
 
     def by_exact_segments(self) -> None:
         n_words, radius = self.n_words, self.radius
-        found = _dealt(exact_index(self.classes, n_words), F.col("key")).mapInArrow(lambda batches: leader_pairs(batches, n_words, radius), "a bigint, node bigint, d int")
+        found = _dealt(exact_index(self.classes, n_words), F.col("key")).mapInArrow(lambda batches: tidied(leader_pairs(batches, n_words, radius)), "a bigint, node bigint, d int")
         near = found.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "a"))), 1, NEAREST).alias("near"))  # at most one a segment
         self.verify(self.space.write(near.select(F.explode("near.a").alias("a"), F.col("node").alias("b")), "nearest"))
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanweave.llm.support import Rows, Workspace, hashed_sample, spare_name
+from spanweave.llm.support import Rows, Workspace, hashed_sample, spare_name, tidied
 from spanweave.session import ship_package
 
 DIM_BITS = 18
@@ -43,7 +43,7 @@ LEXICON_SHARE = 0.015
 #: A feature of the scorers lies in this share of the sample.
 LEAST_SHARE = 0.004
 KEEP_BELOW = 0.6
-CACHE_WORDS = 350_000
+CACHE_WORDS = 250_000
 MEASURES = 11  # buckets of doc measures take the first MEASURES * 16 features
 TOXIC_LABELLERS, JUNK_LABELLERS = ("word", "short_prefix", "long_prefix"), ("symbols", "few_words_over", "phrases_over", "shouting", "no_letters", "listing", "symbol_words")
 #: (bad from, good up to) of each junk measure, in the order of JUNK_LABELLERS.
@@ -233,7 +233,7 @@ def _sample_features(docs: DataFrame, model: Model) -> DataFrame:
                 out["values"].append(np.concatenate([np.ones(len(buckets)), times * (RATE / max(len(m.last), 1))]).astype(np.float32))
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "junk": pa.array(out["junk"], pa.list_(pa.int32())), "toxic": pa.array(out["toxic"], pa.list_(pa.int32())), "features": pa.array(out["features"], pa.list_(pa.int32())), "values": pa.array(out["values"], pa.list_(pa.float32()))})
 
-    return docs.mapInArrow(run, "id bigint, junk array<int>, toxic array<int>, features array<int>, values array<float>")
+    return docs.mapInArrow(lambda batches: tidied(run(batches)), "id bigint, junk array<int>, toxic array<int>, features array<int>, values array<float>")
 
 
 def learn_lexicons(texts: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> list[frozenset[str]]:
@@ -276,7 +276,7 @@ def fit(spark: SparkSession, texts: DataFrame, labels: DataFrame, labelled: int
             found = [votes(*m.measure(text.as_py())[:2]) for text in batch.column("text")]
             yield pa.RecordBatch.from_pydict({"junk": pa.array([j for j, _ in found], pa.list_(pa.int32())), "toxic": pa.array([t for _, t in found], pa.list_(pa.int32()))})
 
-    cast = texts.select("text").mapInArrow(run, "junk array<int>, toxic array<int>").groupBy("junk", "toxic").count()
+    cast = texts.select("text").mapInArrow(lambda batches: tidied(run(batches)), "junk array<int>, toxic array<int>").groupBy("junk", "toxic").count()
     patterns = cast.collect()  # at most 3**10 rows
     accuracies, post = {}, {}
     for head, labellers in (("junk", JUNK_LABELLERS), ("toxic", TOXIC_LABELLERS)):
@@ -323,7 +323,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*columns, spare])
 
     verdict = T.StructType().add("p_junk", "double").add("p_toxic", "double").add("kept", "boolean")
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(spare, verdict)]))
+    return docs.mapInArrow(lambda batches: tidied(run(batches)), T.StructType([*docs.schema.fields, T.StructField(spare, verdict)]))
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, trained: int = TRAINED) -> DataFrame:

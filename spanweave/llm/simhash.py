@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.support import Workspace, components, words
+from spanweave.llm.support import Workspace, components, tidied, words
 from spanweave.session import ship_package
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
@@ -89,7 +89,7 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int,
                 columns["shingles"] = pa.array(found, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_pydict(columns)
 
-    return kept.mapInArrow(run, "id bigint, fp array<bigint>" + ", same binary, n bigint" * once + ", shingles array<bigint>" * sets)
+    return kept.mapInArrow(lambda batches: tidied(run(batches)), "id bigint, fp array<bigint>" + ", same binary, n bigint" * once + ", shingles array<bigint>" * sets)
 
 
 def segments_of(n_words: int, per_word: int) -> list[tuple[int, int, int]]:

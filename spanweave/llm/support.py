@@ -3,6 +3,9 @@ components."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,6 +60,17 @@ def word_slices(texts: pa.Array, slice_bytes: int = 8 << 20) -> Iterator[tuple[p
         at = stop
 
 
+def tidied(rows: Iterator) -> Iterator:
+    """The rows, and at the end what the task held goes back to the system: workers are used again by other stages."""
+    try:
+        yield from rows
+    finally:
+        pa.default_memory_pool().release_unused()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def hashed_sample(ids: DataFrame, n: int, salt: int) -> DataFrame:
     """The n values of column id whose hashes come first: bounded, and the same however the rows are partitioned.
 
