@@ -46,6 +46,8 @@ WINDOW = 16
 LANES = 512
 HOT = 60_000
 FIRST, FIRST_TOKENS = 400, 1_000_000
+#: The first model's passes over its sample: at most so many, none begun after FIRST_READ tokens in all.
+FIRST_EPOCHS, FIRST_READ = 20, 1_500_000
 #: Windows that a lane's documents are fetched for at once.
 AHEAD = 16
 SLICE_BYTES = 4 << 20
@@ -413,11 +415,11 @@ def train(space: Workspace, texts: DataFrame, vocabulary: Vocabulary, first_docs
         return net
     trainer = Trainer(net, 0.02)
     spent = 0
-    for epoch in range(20):
+    for epoch in range(FIRST_EPOCHS):
         trainer.rate = 0.02 * 0.9**epoch
         trainer.stream(sample)
         spent += sum(map(len, sample))
-        if spent > 1_500_000:
+        if spent > FIRST_READ:
             break
     start = spark.sparkContext.broadcast(net.p)
 

@@ -271,6 +271,7 @@ def brute_base(rows):
 
 def test_lm_scoring(spark, nasty, as_tables, monkeypatch):
     monkeypatch.setattr(language_model, "HOT", 8)
+    monkeypatch.setattr(language_model, "FIRST_EPOCHS", 2)  # a text of 20,000 words is one lane: 1,250 steps an epoch
     folder = as_tables(documents=nasty)
     rows = rows_of(language_model.op10_lm_scoring(spark, folder))
     got = Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in rows)
