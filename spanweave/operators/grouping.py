@@ -98,6 +98,15 @@ def by_begin(rows: DataFrame, *collected: str) -> DataFrame:
     return rows.groupBy("doc_id", "begin").agg(F.min("end").alias("end"), *[F.array_sort(F.collect_set(c)).alias(c) for c in collected])
 
 
+def differences(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Rows that one layer has more often than the other, with the side that has them and how many more; nulls equal nulls. Both
+    layers are counted in one aggregation, so that equal layers cost one shuffle of partial counts."""
+    cols = first.columns
+    signed = first.withColumn("_sign", F.lit(1)).unionByName(second.select(*cols).withColumn("_sign", F.lit(-1)))
+    left = signed.groupBy(*cols).agg(F.sum("_sign").alias("n")).where("n <> 0")
+    return left.select(*cols, F.when(F.col("n") > 0, "first").otherwise("second").alias("side"), F.abs("n").alias("n"))
+
+
 def unified(parts: list[DataFrame]) -> DataFrame:
     """One table of parts of different columns; a missing one is null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

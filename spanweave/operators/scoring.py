@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -23,6 +24,24 @@ class Annotator:
     deterministic: bool = True
 
 
+class LoadedModels:
+    """At most `most` models held by one worker; the one that was used longest ago goes first."""
+
+    def __init__(self, most: int = 2):
+        if most < 1:
+            raise ValueError("most must be 1 or more")
+        self.most = most
+        self.held: OrderedDict[Hashable, Scorer] = OrderedDict()
+
+    def get(self, key: Hashable, load: Callable[[], Scorer]) -> Scorer:
+        if key not in self.held:
+            while len(self.held) >= self.most:
+                self.held.popitem(last=False)
+            self.held[key] = load()
+        self.held.move_to_end(key)
+        return self.held[key]
+
+
 def annotate(spans: DataFrame, annotator: Annotator, text_col: str = "text") -> DataFrame:
     """spans plus scores map<string,double>, the top label and provenance; languages that aren't supported get an error."""
     known = F.lit(True) if not annotator.languages else F.coalesce(F.col("lang").isin(*annotator.languages), F.lit(False))

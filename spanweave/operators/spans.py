@@ -94,6 +94,15 @@ def longest_of_overlaps(layer: DataFrame, score: str = "score", kind: str = "typ
     return kept.select("doc_id", F.col("x.begin").alias("begin"), (-F.col("x.minus_end")).alias("end"), F.col("x.kind").alias(kind), F.col("x.score").alias(score))
 
 
+def fixed_chunks(layer: DataFrame, length: Column, size: int, id_col: str = "doc_id") -> DataFrame:
+    """(id, chunk, begin, end): stretches of `size` from 0 that cover the length, the last one cut off; none for a length of 0 or null.
+    An offset within a chunk is restored by adding its begin."""
+    n = F.ceil(length / size).cast("int")
+    each = layer.where(length > 0).select(id_col, length.alias("_length"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
+    begin = F.col("chunk").cast("long") * size
+    return each.select(id_col, "chunk", begin.alias("begin"), F.least(begin + size, F.col("_length")).cast("long").alias("end"))
+
+
 def redact(text: Column, spans: Column, placeholder: str = "<REDACTED>") -> Column:
     """Splice a placeholder over sorted, disjoint spans array<struct<begin,end>>; later spans that overlap a used one are skipped."""
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))

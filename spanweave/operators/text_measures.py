@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,3 +94,15 @@ def ngram_diversity(docs: DataFrame, most: int = 4) -> DataFrame:
     each = phrases(docs, most).groupBy("doc_id", "n", "phrase").count()
     shares = each.groupBy("doc_id", "n").agg((F.count("*") / F.sum("count")).alias("share"))
     return shares.groupBy("doc_id").agg(F.sum("share").alias("value"))
+
+
+def compression_ratio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, value): bytes of a text by its bytes under gzip, to three decimals; null for a null or empty text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_col, "UTF-8").alias("raw"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [round(len(raw) / len(gzip.compress(raw, mtime=0)), 3) if raw else None for raw in map(lambda x: x.as_py(), batch.column("raw"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.float64())], ["doc_id", "value"])
+
+    return rows.mapInArrow(run, "doc_id bigint, value double")

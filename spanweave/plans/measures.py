@@ -137,6 +137,12 @@ def cohmetrix_all_pairs(spark, sf_dir):
     return _rounded(cohesion.all_pairs(_tokens(spark, sf_dir)))
 
 
+@query(None)
+def compression_ratio(spark, sf_dir):
+    """gzip has no SQL; tested against the library."""
+    return text_measures.compression_ratio(table(spark, sf_dir, "documents"))
+
+
 @query(None)
 def cohmetrix_diversity(spark, sf_dir):
     """MTLD and VOCD: folds over the words in order, tested by brute force."""

@@ -166,3 +166,18 @@ def tolerant_json(spark, sf_dir):
     body = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.concat(F.lit('"'), F.replace("props", F.lit('"'), F.lit('\\"')), F.lit('"')))
     return _events(spark, sf_dir).select("event_id", values.tolerant_json(body, "k bigint")["k"].alias("k"))
 
+
+
+@query("""WITH a AS (SELECT doc_id, toxic FROM labels), b AS (SELECT doc_id, CASE WHEN quality = 0 THEN 0 ELSE toxic END AS toxic FROM labels)
+SELECT *, 'first' AS side, count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY ALL
+UNION ALL SELECT *, 'second', count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY ALL""")
+def layer_differences(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    changed = labels.select("doc_id", F.when(F.col("quality") == 0, 0).otherwise(F.col("toxic")).alias("toxic"))
+    return grouping.differences(labels.select("doc_id", "toxic"), changed)
+
+
+@query("""SELECT doc_id, c::INTEGER AS chunk, c * 1000 AS begin, least(c * 1000 + 1000, n) AS "end" FROM
+(SELECT doc_id, length(text) AS n, unnest(range(0, (length(text) + 999) // 1000)) AS c FROM documents)""")
+def fixed_chunks(spark, sf_dir):
+    return spans.fixed_chunks(table(spark, sf_dir, "documents"), F.char_length("text"), 1000)

@@ -1,5 +1,6 @@
 """Operators that no SQL checks: small fixtures and brute force."""
 
+import gzip
 import math
 import random
 from itertools import combinations
@@ -9,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanweave.functions import values
-from spanweave.operators import cohesion, dependencies, filters, graphs, grouping, matching, tagging
+from spanweave.operators import cohesion, dependencies, filters, graphs, grouping, matching, scoring, spans, tagging, text_measures
+from spanweave.sources import documents
 from spanweave.workspace import Workspace
 
 _PICK = random.Random(3)
@@ -201,3 +203,39 @@ def test_ngrams_are_linear_and_selected(spark):
     dictionary = spark.createDataFrame([("New York", 5), ("new york", 3)], "phrase string, entry int")
     assert sorted(r.entry for r in matching.tag(docs, dictionary, 2).collect()) == [3, 5]
     assert [r.entry for r in matching.tag(docs, dictionary, 2, "first").collect()] == [3]
+
+
+def test_differences_count_repeated_rows(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (3, "y")], "doc_id bigint, word string")
+    b = spark.createDataFrame([("x", 1), (None, 2), ("z", 3)], "word string, doc_id bigint")
+    got = {(r.doc_id, r.word, r.side, r.n) for r in grouping.differences(a, b).collect()}
+    assert got == {(1, "x", "first", 1), (3, "y", "first", 1), (3, "z", "second", 1)}
+    assert grouping.differences(a, a).collect() == []
+
+
+def test_fixed_chunks_cover_each_length(spark):
+    lengths = spark.createDataFrame([(1, 25), (2, 20), (3, 0), (4, None), (5, 1)], "doc_id bigint, seconds bigint")
+    got = {(r.doc_id, r.chunk, r.begin, r.end) for r in spans.fixed_chunks(lengths, F.col("seconds"), 10).collect()}
+    assert got == {(1, 0, 0, 10), (1, 1, 10, 20), (1, 2, 20, 25), (2, 0, 0, 10), (2, 1, 10, 20), (5, 0, 0, 1)}
+
+
+def test_compression_ratio(spark):
+    texts = [(1, "ab " * 500), (2, "é"), (3, ""), (4, None)]
+    got = {r.doc_id: r.value for r in text_measures.compression_ratio(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert got == {i: round(len(t.encode()) / len(gzip.compress(t.encode())), 3) if t else None for i, t in texts}
+    assert got[1] > 20 > 1 > got[2]
+
+
+def test_loaded_models_evict_the_least_recent():
+    loads, models = [], scoring.LoadedModels(2)
+    for key in ("a", "b", "a", "c", "a", "b"):
+        models.get(key, lambda k=key: loads.append(k))
+    assert loads == ["a", "b", "c", "b"] and list(models.held) == ["a", "b"]
+
+
+def test_dictionaries_of_gzipped_files(spark, tmp_path):
+    for name, rows in (("a", "Haus;3\nhaus;2\n"), ("b", "Maus;1\n")):
+        (tmp_path / name).mkdir()
+        with gzip.open(tmp_path / name / "list.gz", "wt") as out:
+            out.write(rows)
+    assert {(r.word, r.n) for r in documents.read_dictionary(spark, f"{tmp_path}/*/*.gz", ";").collect()} == {("haus", 5), ("maus", 1)}
