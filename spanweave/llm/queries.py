@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanweave.llm import chat, decontaminate, language_model, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash, spelling, token_counts
+from spanweave.llm import chat, conversation_repair, decontaminate, language_model, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash, spelling, token_counts
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_lm_scoring": language_model.op10_lm_scoring,
     "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 ORACLE_SQL = {"op1_line_dedup": line_dedup.OP1_SQL, "op6_chat": chat.OP6_SQL}
