@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanweave.llm import chat, conversation_repair, decontaminate, language_model, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash, spelling, token_counts
+from spanweave.llm import chat, conversation_repair, decontaminate, language_model, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash, spelling, token_counts, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_lm_scoring": language_model.op10_lm_scoring,
+    "op11_toxicity": toxicity.op11_toxicity,
     "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
