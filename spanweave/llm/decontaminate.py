@@ -9,9 +9,13 @@ written without blanks). An item leaks where a stretch of a text is within
 2. At each start kept, the CGK random walk (copy the word under the pointer, move on if the step's random function of the
    word says so) embeds an item-sized window so that edit distance becomes Hamming distance. Samples of two places of the
    embedding are looked up among the items' samples; walks and samples are repeated, WALKS * SAMPLES tables in all, for
-   recall of over 0.99 at the largest distance allowed (tests measure it).
+   recall of over 0.95 at the largest distance allowed (tests measure it, from 10 to 2,000 words).
 3. Every candidate is verified by the exact edit distance, bit-parallel over the item's words.
 
+A walk drifts over a long item, so one of over LONG words is cut into even pieces of at most PIECE words, and each is searched like an item. Of
+the pieces of a stretch within the item's distance, at least one is within its own, and more of them make a loss less likely. Where a piece is
+found, the whole item is verified around it.
+
 Items of under MIN_WORDS words leak where a text holds all their words in a row, without an edit: each place's next words are looked up
 by their hash among those of the items of that length, and compared.
 
@@ -38,6 +42,7 @@ RATE = 0.2
 MIN_WORDS = 8
 WALKS, SAMPLES = 4, 10
 CLASSES = 16
+LONG, PIECE = 120, 80
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 250_000
 #: Words of texts handled at once.
 CHUNK = 1 << 19
@@ -81,16 +86,28 @@ def edit_ends(item: list[int], text: list[int]) -> tuple[int, int]:
     return best, end
 
 
+def even_pieces(n: int) -> list[tuple[int, int]]:
+    """[begin, end) of the fewest pieces of near equal length that have at most PIECE words."""
+    cuts = [round(i * n / -(-n // PIECE)) for i in range(-(-n // PIECE) + 1)]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
 class Items:
     """One block of items, ready for search."""
 
     def __init__(self, items: list[tuple[int, list[str]]], rate: float):
         self.rate = rate
-        kept = sorted((x for x in items if len(x[1]) >= MIN_WORDS), key=lambda x: len(x[1]))
+        whole = [x for x in items if len(x[1]) > LONG]
+        # (place in whole, first word) of each piece stands for an id
+        pieces = [((k, at), ws[at:end]) for k, (_, ws) in enumerate(whole) for at, end in even_pieces(len(ws))]
+        kept = sorted([x for x in items if MIN_WORDS <= len(x[1]) <= LONG] + pieces, key=lambda x: len(x[1]))
         short = sorted((x for x in items if 0 < len(x[1]) < MIN_WORDS), key=lambda x: len(x[1]))
-        self.ids = [i for i, _ in kept + short]
         self.codes: dict[str, int] = {}
-        self.words = [[self.codes.setdefault(w, len(self.codes) + 1) for w in ws] for _, ws in kept + short]
+        # items and pieces that are searched, then the items that pieces belong to
+        self.words = [[self.codes.setdefault(w, len(self.codes) + 1) for w in ws] for _, ws in kept + short + whole]
+        first = len(kept) + len(short)
+        self.ids = [None if isinstance(i, tuple) else i for i, _ in kept + short + whole]
+        self.piece_of = {n: (first + i[0], i[1]) for n, (i, _) in enumerate(kept) if isinstance(i, tuple)}
         self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in sorted({len(ws) for _, ws in short}):
             part = np.array([i for i in range(len(kept), len(self.words)) if len(self.words[i]) == n])
@@ -99,7 +116,7 @@ class Items:
         parts = [p for p in np.array_split(np.arange(len(kept)), min(CLASSES, max(1, len({len(w) for _, w in kept})))) if len(p)]
         self.masks = np.zeros(len(self.codes) + 1, np.uint32)
         # the walks' random functions: bit t of a word's hash says if step t moves on
-        blocks = 2 * max((len(w) for w in self.words), default=1) // 64 + 1
+        blocks = 2 * max((len(w) for w in self.words[:first]), default=1) // 64 + 1
         self.steps = np.stack([np.stack([mix(np.arange(len(self.codes) + 1), walk * 4096 + b + 1) for b in range(blocks)]) for walk in range(WALKS)])
         for c, part in enumerate(parts):
             sizes = [len(self.words[i]) for i in part]
@@ -114,7 +131,7 @@ class Items:
                 row[: len(self.words[i])] = self.words[i]
             group["tables"] = [[self._table(keys, part) for keys in self._samples(padded, group, w)] for w in range(WALKS)]
             self.classes.append(group)
-        self.reach = max((g["span"] for g in self.classes), default=MIN_WORDS)
+        self.reach = max([MIN_WORDS, *[g["span"] for g in self.classes], *[len(ws) + 6 * edits_allowed(len(ws), rate) for _, ws in whole]])
 
     @staticmethod
     def _table(keys: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,6 +168,7 @@ class Items:
 
     def search(self, stream: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(start, end, item, distance) of verified leaks in a stream of word codes; texts in it lie `reach` zeros apart."""
+        self.tried: dict[int, list[int]] = {}
         yield from self._search_short(stream)
         mask = self.masks[stream]
         for c, group in enumerate(self.classes):
@@ -158,7 +176,30 @@ class Items:
             stop = np.minimum(np.arange(len(stream)) + group["span"], len(stream))
             starts = np.flatnonzero((inside[stop] - inside[:-1] >= group["need"]) & (stream > 0))
             for at in range(0, len(starts), 20_000):
-                yield from self._verify(stream, group, starts[at : at + 20_000])
+                yield from self._wholes(stream, self._verify(stream, group, starts[at : at + 20_000]))
+
+    def _wholes(self, stream: np.ndarray, found: Iterator[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+        """Items as they are found; in place of a piece its whole item, where that is near enough."""
+        for start, end, item, distance in found:
+            if item not in self.piece_of:
+                yield start, end, item, distance
+                continue
+            item, offset = self.piece_of[item]
+            words = self.words[item]
+            k, about = edits_allowed(len(words), self.rate), start - offset
+            near = self.tried.setdefault(item, [])
+            # a stretch begins within k of where its piece tells; one trial takes in all that begin within 2 * k
+            if any(abs(about - x) <= k for x in near[-64:]):
+                continue
+            near.append(about)
+            low = max(0, about - 2 * k)
+            text = stream[low : about + len(words) + 3 * k].tolist()
+            if len(set(words) & set(text)) < len(set(words)) - k:
+                continue
+            distance, stop = edit_ends(words, text)
+            if distance <= k:
+                _, back = edit_ends(words[::-1], text[:stop][::-1])
+                yield low + stop - back, low + stop, item, distance
 
     def _verify(self, stream: np.ndarray, group: dict, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         padded = np.append(stream, np.zeros(group["span"], stream.dtype))
@@ -268,6 +309,9 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: st
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE) -> DataFrame:
     """The documents that hold no item, all columns; a filter without a shuffle."""
     ship_package(spark)
+    # mapInArrow can't take a name with a dot, so columns go by number
+    names, place = docs.columns, docs.columns.index(text_col)
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
     for block in item_blocks(spark, benchmark, item_col, item_text_col):
         sent = spark.sparkContext.broadcast(block)
 
@@ -276,11 +320,11 @@ def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, te
             for batch in batches:
                 for at in range(0, batch.num_rows, 1000):
                     some = batch.slice(at, 1000)
-                    found = find_leaks(some.column(text_col).to_pylist(), items)
+                    found = find_leaks(some.column(place).to_pylist(), items)
                     yield some.filter(pa.array([not x for x in found]))
 
         docs = docs.mapInArrow(lambda batches, run=run: tidied(run(batches)), docs.schema)
-    return docs
+    return docs.toDF(*names)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
