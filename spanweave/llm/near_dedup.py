@@ -388,20 +388,21 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, id_col: str = "d
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies; rows without an id stay."""
     groups = near_duplicate_groups(spark, docs, id_col, text_col, shingle, similarity)
+    # no column of docs has these names
+    kept_id, kept_same, spare = (spare_name(docs, x) for x in ("kept_id", "kept_same", "same_set"))
     held = groups.groupBy("id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    spare = spare_name(docs, "same_set")
-    key = docs[f"`{id_col}`"]
-    chosen = held.where("kept")
-    once = docs.join(chosen.where("n = 1").select("id"), key.cast("long") == F.col("id"), "left_semi")
-    out = once.unionByName(docs.where(key.isNull()))
-    many = chosen.where("n > 1").select("id")
+    key = F.col(f"`{id_col}`").cast("long")
+    chosen = held.where("kept").select(F.col("id").alias(kept_id), "n")
+    once = docs.join(chosen.where("n = 1").select(kept_id), key == F.col(kept_id), "left_semi")
+    out = once.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    many = chosen.where("n > 1").select(kept_id)
     if many.isEmpty():
         return out
 
     def same(texts: pa.Array) -> pa.Array:
         return pa.array([xxhash.xxh3_128_digest(np.unique(shingle_hashes(words(t.as_py()), shingle)).tobytes()) for t in texts], pa.binary())
 
-    again = docs.join(many, key.cast("long") == F.col("id"), "left_semi").withColumn(spare, F.arrow_udf(same, "binary")(F.col(f"`{text_col}`").cast("string")))
-    ours = groups.where("kept").select(F.col("id").alias("_kept_id"), F.col("same").alias("_kept_same")).distinct()
-    again = again.join(ours, (again[f"`{id_col}`"].cast("long") == F.col("_kept_id")) & (again[spare] == F.col("_kept_same")), "left_semi")
+    again = docs.join(many, key == F.col(kept_id), "left_semi").withColumn(spare, F.arrow_udf(same, "binary")(F.col(f"`{text_col}`").cast("string")))
+    ours = groups.where("kept").select(F.col("id").alias(kept_id), F.col("same").alias(kept_same)).distinct()
+    again = again.join(ours, (key == F.col(kept_id)) & (F.col(spare) == F.col(kept_same)), "left_semi")
     return out.unionByName(again.dropDuplicates([id_col, spare]).drop(spare))
