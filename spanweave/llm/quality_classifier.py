@@ -309,21 +309,24 @@ def fit(spark: SparkSession, texts: DataFrame, labels: DataFrame, labelled: int
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs plus struct `classified` (p_junk, p_toxic, kept), with underscores behind it where docs has such a column."""
-    columns, spare = docs.columns, spare_name(docs, "classified")
+    columns, spare, place = docs.columns, spare_name(docs, "classified"), docs.columns.index(text_col)
+    # mapInArrow can't take a name with a dot, so columns go by number
+    numbered = [f"c{i}" for i in range(len(columns))]
+    docs = docs.toDF(*numbered)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Measurer(model)
         for batch in batches:
             z = np.zeros((batch.num_rows, 2))
-            for i, text in enumerate(batch.column(text_col)):
+            for i, text in enumerate(batch.column(place)):
                 measures, rates, sums = m.measure(text.as_py())
                 z[i] = sums + model.weights[:, bucket_features(measures, rates)].sum(axis=1) + model.bias
             p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             found = pa.StructArray.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array((p < KEEP_BELOW).all(axis=1))], ["p_junk", "p_toxic", "kept"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*columns, spare])
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*numbered, "classified"])
 
     verdict = T.StructType().add("p_junk", "double").add("p_toxic", "double").add("kept", "boolean")
-    return docs.mapInArrow(lambda batches: tidied(run(batches)), T.StructType([*docs.schema.fields, T.StructField(spare, verdict)]))
+    return docs.mapInArrow(lambda batches: tidied(run(batches)), T.StructType([*docs.schema.fields, T.StructField("classified", verdict)])).toDF(*columns, spare)
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, trained: int = TRAINED) -> DataFrame:
