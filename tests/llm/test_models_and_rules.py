@@ -7,9 +7,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanweave.llm import chat, decontaminate, language_model, quality_classifier, quality_rules, sharding
+from spanweave.llm import chat, decontaminate, language_model, near_dedup, quality_classifier, quality_rules, sharding
 
 
 def rows_of(df):
@@ -102,6 +103,36 @@ def test_recall_at_largest_distance():
     assert np.mean(hits) > 0.95
 
 
+@pytest.mark.parametrize(("n", "texts_of"), [(50, 60), (121, 40), (200, 40), (400, 24), (1000, 12), (2000, 8)])
+def test_recall_of_long_items_at_largest_distance(n, texts_of):
+    rng = random.Random(n)
+    word = lambda: f"w{rng.randrange(3000)}"
+    items = [(i, [word() for _ in range(n)]) for i in range(4)]
+    ready = decontaminate.Items(items, 0.2)
+    texts, want = [], []
+    for j in range(texts_of):
+        part = items[j % 4][1].copy()
+        for _ in range(int(n * 0.2)):
+            at, kind = rng.randrange(len(part)), rng.randrange(3)
+            part[at : at + (kind != 1)] = [word()] if kind else []
+        texts.append(" ".join([word() for _ in range(40)] + part + [word() for _ in range(40)]))
+        want.append((j % 4, len(part)))
+    found = decontaminate.find_leaks([*texts, " ".join(items[0][1][: n // 2]), ""], ready)
+    assert found[-1] == [] and (n <= 40 or found[-2] == [])  # half an item is no leak
+    hits = [[x for x in f if ready.ids[x[0]] == i] for f, (i, _) in zip(found, want, strict=False)]
+    assert np.mean([bool(h) for h in hits]) >= 0.95
+    for h, (_, size) in zip(hits, want, strict=True):
+        for _, first, end, distance in h:
+            assert distance <= int(n * 0.2) and abs(first - 40) <= 0.05 * n + 3 and abs(end - 40 - size) <= 0.05 * n + 3
+
+
+def test_whole_long_item_is_found_where_it_stands():
+    words = [f"w{i}" for i in range(700)]
+    ready = decontaminate.Items([(9, words)], 0.2)
+    got = decontaminate.find_leaks([" ".join(["x"] * 33 + words + ["y"] * 5), " ".join(words[:500])], ready)
+    assert [[(ready.ids[i], a, b, d) for i, a, b, d in f] for f in got] == [[(9, 33, 733, 0)], []]
+
+
 CONVERSATIONS = [
     (1, 0, "system", "be nice"), (1, 1, "user", None), (1, 2, "assistant", "<turn user>\nhi</turn>\n \\l \\\\ #"), (2, 0, None, "x"), (2, 0, "assistant", "tie"),
     (2, None, "user", "first"), (None, 0, "user", "no id"), (3, 0, "assistant", ""), (3, 0, "assistant", ""), (-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok"),
@@ -183,6 +214,20 @@ def test_adaptive_thresholds(spark):
     assert {i for i, f in out.items() if f} == {i for i in range(600) if i % 50 == 1}
 
 
+def test_thresholds_do_not_depend_on_order_or_partitions(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["en", "de"]), rng.choice("ab"), rng.lognormvariate(1, 1), rng.random() * rng.choice([0, 1]), 0.0, rng.random()) for _ in range(3000)]
+    schema = "lang string, source string, " + ", ".join(f"{r} double" for r in quality_rules.RULES)
+    found = []
+    for n in (1, 7, 3):
+        rng.shuffle(rows)
+        found.append(sorted(map(tuple, quality_rules.thresholds(spark.createDataFrame(rows, schema).repartition(n)).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 4
+    q = quality_rules.quartiles(quality_rules.sketches(spark.createDataFrame(rows, schema))).where("level = 2 and rule = 'mean_word'").first()["q"]
+    exact = np.quantile([r[2] for r in rows], [0.25, 0.5, 0.75], method="inverted_cdf")
+    assert np.allclose(q, exact, rtol=0.0011)
+
+
 def test_sharding(spark, nasty, as_tables):
     rows = rows_of(sharding.op8_sharding(spark, as_tables(documents=nasty)))
     want = Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in nasty.collect())
@@ -369,3 +414,28 @@ def test_pipeline(spark, as_tables):
     rejected = {i for i, q, t in labels if not q or t}
     assert not out & {1000, 1002} and len(out & rejected) <= 0.03 * len(rejected) and len(set(good) - out) <= 0.03 * len(good) + 1
     assert len(out & {1001, 1003, 1004}) <= 1  # emptied by line dedup or empty: one group
+
+
+def hard_names(df):
+    """Columns that clash with names in use, and one with a dot."""
+    return df.withColumns({"id": F.lit("clash"), "a.b": F.lit(1), "kept": F.lit(2), "component": F.lit("x")})
+
+
+def test_pipeline_stages_pass_any_column_names(spark, nasty, as_tables):
+    docs = hard_names(nasty)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id bigint, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, "alpha beta nothing like this is in any text of the table at all")], "item_id bigint, text string")
+    folder = as_tables(documents=nasty, labels=labels, benchmark=benchmark)
+    for name, stage in corpus_pipeline.STAGES[1:-1]:  # the classifier is tested by itself
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        assert 0 < out.count() <= docs.count(), name
+    out = corpus_pipeline.quality(spark, docs, folder)
+    assert out.columns == docs.columns and out.count() <= docs.count()
+    assert near_dedup.without_near_duplicates(spark, docs.limit(0)).columns == docs.columns
+
+
+def test_pipeline_on_an_empty_table(spark, as_tables):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    folder = as_tables(documents=spark.createDataFrame([], schema), labels=spark.createDataFrame([], "doc_id bigint, quality int, toxic int"), benchmark=spark.createDataFrame([], "item_id bigint, text string"))
+    assert corpus_pipeline.run(spark, folder).collect() == []
