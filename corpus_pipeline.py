@@ -8,7 +8,7 @@ their own; repeated rows are near copies of each other; very long texts are take
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.llm.decontaminate import without_leaks
@@ -20,15 +20,19 @@ from spanweave.llm.support import Workspace
 from spanweave.session import ship_package
 
 
+def _named(names: list[str]) -> list[Column]:
+    return [F.col(f"`{c.replace('`', '``')}`") for c in names]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for junk or toxic go."""
     judged = classify(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.where(F.col(f"{judged.columns[-1]}.kept")).select(*docs.columns)
+    return judged.where(F.col(f"`{judged.columns[-1]}`.kept")).select(*_named(docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds go; a document left without lines stays, empty."""
-    kept = dedup_lines(spark, docs).select(*docs.columns)
+    kept = dedup_lines(spark, docs).select(*_named(docs.columns))
     return kept.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
