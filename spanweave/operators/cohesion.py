@@ -2,7 +2,7 @@
 rows (doc_id, label, value, error). An index that a document gives no number for is null with an error, and removes no other.
 
 Tokens are first gathered a sentence (one shuffle by document, whose sentences then lie together); what compares
-neighbours is a lag over them. All-pairs indices count within a document over sets of word numbers, in blocks of sentences.
+neighbours is a lag over them. Texts without a pair of neighbours or paragraphs, and without a root, have SYNMED*, SYNSTRUT* and SYNLE 0. All-pairs indices count within a document over sets of word numbers, in blocks of sentences.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from spanweave.operators.matching import phrases
 
 NOUNS, CONTENT = ("NOUN", "PROPN"), ("NOUN", "VERB", "ADJ", "ADV")
 ROOTS = ("--", "ROOT", "root")
+#: Words of letters alone.
+ALPHA = r"^\p{L}+$"
 #: Pronouns by person and number, English and German.
 PERSONS = {
     "WRDPRP1s": ("i", "me", "my", "mine", "myself", "ich", "mich", "mir"),
@@ -56,6 +58,11 @@ def _pick(field: str, *coarse: str) -> Column:
     return F.array_distinct(F.transform(F.filter("toks", lambda t: t["pos_coarse"].isin(*coarse)), lambda t: t[field]))
 
 
+def _nodes() -> Column:
+    """The distinct pairs of dependency and part of speech of the words."""
+    return F.array_distinct(F.transform(F.filter("toks", lambda t: ~t["is_punct"]), lambda t: F.concat_ws(" ", t["dep_type"], t["pos_coarse"])))
+
+
 def _field(name: str) -> Column:
     return F.transform("toks", lambda t: t[name])
 
@@ -64,7 +71,7 @@ def descriptive(tokens: DataFrame) -> DataFrame:
     words = F.filter("toks", lambda t: ~t["is_punct"])
     s = tokens.groupBy("doc_id", "para", "sent").agg(F.collect_list(F.struct("text", "is_punct")).alias("toks")).select("doc_id", "para", F.explode(F.array(words)).alias("ws"))
     total = lambda f: F.aggregate("ws", F.lit(0), lambda a, t: a + f(t)).cast("double")
-    letters, sylls = lambda t: F.char_length(t["text"]), lambda t: syllables(t["text"])
+    letters, sylls = lambda t: F.char_length(F.regexp_replace(t["text"], r"[^\p{L}]", "")), lambda t: syllables(t["text"])
     s = s.select("doc_id", "para", F.size("ws").alias("w"), total(letters).alias("l"), total(lambda t: letters(t) * letters(t)).alias("l2"), total(sylls).alias("y"), total(lambda t: sylls(t) * sylls(t)).alias("y2"))
     p = s.groupBy("doc_id", "para").agg(F.count("*").alias("k"), *[F.sum(c).alias(c) for c in ("w", "l", "l2", "y", "y2")], F.sum(F.col("w") * F.col("w")).alias("w2"))
     d = p.groupBy("doc_id").agg(F.count("*").alias("DESPC"), F.sum("k").alias("DESSC"), F.sum("w").alias("DESWC"), F.avg("k").alias("DESPL"), F.stddev_pop("k").alias("DESPLd"), *[F.sum(c).alias(c) for c in ("l", "l2", "y", "y2", "w2")])
@@ -86,9 +93,10 @@ def word_information(tokens: DataFrame) -> DataFrame:
     per = lambda c: 1000 * F.count_if(c) / F.nullif(F.count_if(word), F.lit(0))
     counts = [per(F.col("pos_coarse").isin(*v)).alias(k) for k, v in coarse.items()]
     counts += [per((F.col("pos_coarse") == "PRON") & F.lower("text").isin(*v)).alias(k) for k, v in PERSONS.items()]
-    content = F.when(F.col("pos_coarse").isin(*CONTENT), F.col("lemma"))
+    alpha = F.col("text").rlike(ALPHA)
+    content = F.when(alpha & F.col("pos_coarse").isin(*CONTENT), F.lower(F.coalesce(F.nullif("lemma", F.lit("")), "text")))
     # first a row a word and document, so that the distinct counts need no sets
-    types = tokens.where(word).groupBy("doc_id", "text").agg(F.count("*").alias("n")).groupBy("doc_id").agg((F.count("*") / F.sum("n")).alias("LDTTRa"))
+    types = tokens.where(alpha).groupBy("doc_id", F.lower("text").alias("text")).agg(F.count("*").alias("n")).groupBy("doc_id").agg((F.count("*") / F.sum("n")).alias("LDTTRa"))
     lemmas = tokens.select("doc_id", content.alias("lemma")).where("lemma is not null").groupBy("doc_id", "lemma").agg(F.count("*").alias("n")).groupBy("doc_id").agg((F.count("*") / F.sum("n")).alias("LDTTRc"))
     tense = tokens.where("tense is not null").groupBy("doc_id", "tense").agg(F.count("*").alias("n")).groupBy("doc_id").agg((F.max("n") / F.sum("n")).alias("SMTEMP"))
     wide = tokens.groupBy("doc_id").agg(*counts).join(types, "doc_id", "left").join(lemmas, "doc_id", "left").join(tense, "doc_id", "left")
@@ -96,11 +104,14 @@ def word_information(tokens: DataFrame) -> DataFrame:
 
 
 def densities(tokens: DataFrame, lang: str = "en") -> DataFrame:
-    """DR incidences a 1000 words. A noun phrase ends at a noun that no noun follows; the infinitive looks one word ahead."""
+    """DR incidences a 1000 words. A noun phrase ends at a noun that no noun follows; an infinitive follows `to` or `zu`, or a modal verb at one or two
+    words' distance. A German passive is werden or sein with a participle in the sentence."""
     after = W.partitionBy("doc_id", "para", "sent").orderBy("pos")
-    t = tokens.select("*", F.lead("pos_coarse").over(after).alias("next"), F.lead("tag").over(after).alias("next_tag"), F.lag("pos").over(after).isNotNull().alias("inner"))
+    ahead = lambda k: (F.coalesce(F.lead("tag", k).over(after) == "VVINF", F.lit(False)) & (F.lead("pos_coarse", k).over(after) == "VERB"))
+    t = tokens.select("*", F.lead("pos_coarse").over(after).alias("next"), F.lead("tag").over(after).alias("next_tag"), F.lag("pos").over(after).isNotNull().alias("inner"), (ahead(1) | ahead(2)).alias("infinitive"))
     noun = F.col("pos_coarse").isin(*NOUNS)
-    passive = F.upper("dep_type").isin("AUXPASS", "NSUBJPASS") if lang != "de" else F.lower("lemma").isin("werden", "sein")
+    auxiliary = F.upper("dep_type").isin("AUXPASS", "NSUBJPASS") if lang != "de" else F.lower("lemma").isin("werden", "sein")
+    participle = F.col("tag") == "VVPP" if lang == "de" else F.lit(True)
     found = {
         "DRNP": noun & ~F.coalesce(F.col("next").isin(*NOUNS), F.lit(False)),
         "DRVP": F.col("pos_coarse") == "VERB",
@@ -109,9 +120,11 @@ def densities(tokens: DataFrame, lang: str = "en") -> DataFrame:
         "DRNEG": F.col("dep_type").isin("NEG", "NG"),
         "DRGERUND": (F.col("tag") == "VBG") & F.lit(lang != "de"),
         "DRINF": F.lower("text").isin("to", "zu") & F.col("inner") & F.col("next_tag").isin("VB", "VVINF") & (F.col("next") == "VERB"),
+        "modal": (F.col("tag") == "VM") & (F.col("pos_coarse") == "VERB") & F.col("inner") & F.col("infinitive"),
     }
-    s = t.groupBy("doc_id", "para", "sent").agg(*[F.count_if(c).alias(k) for k, c in found.items()], F.max(passive).cast("int").alias("DRPVAL"), F.count_if(~F.col("is_punct")).alias("w"))
-    labels = [*found, "DRPVAL"]
+    s = t.groupBy("doc_id", "para", "sent").agg(*[F.count_if(c).alias(k) for k, c in found.items()], (F.max(auxiliary) & F.max(participle)).cast("int").alias("DRPVAL"), F.count_if(~F.col("is_punct")).alias("w"))
+    s = s.withColumn("DRINF", F.col("DRINF") + F.col("modal"))
+    labels = [*[k for k in found if k != "modal"], "DRPVAL"]
     d = s.groupBy("doc_id").agg(*[(1000 * F.sum(k) / F.nullif(F.sum("w"), F.lit(0))).alias(k) for k in labels])
     return rows_of(d, labels)
 
@@ -123,7 +136,8 @@ def incidences(tokens: DataFrame, lexicon: DataFrame, most: int = 4) -> DataFram
     s = gathered(tokens).select("doc_id", F.array_join(words, " ").alias("text"), F.size(words).alias("w"))
     sizes = s.groupBy("doc_id").agg(F.sum("w").alias("w"))
     found = phrases(s, most).join(lexicon.select("label", F.lower("phrase").alias("phrase")).distinct(), "phrase").groupBy("doc_id", "label").agg(F.count("*").alias("n"))
-    every = sizes.join(F.broadcast(lexicon.select("label").distinct().limit(200)))  # a lexicon has a few labels
+    labels = lexicon.agg(F.sort_array(F.collect_set("label")).alias("labels"))  # one row
+    every = sizes.crossJoin(F.broadcast(labels)).select("doc_id", "w", F.explode("labels").alias("label"))
     wide = every.join(found, ["doc_id", "label"], "left").select("doc_id", "label", (1000 * F.coalesce("n", F.lit(0)) / F.nullif("w", F.lit(0))).alias("value"))
     return wide.withColumn("error", F.when(F.col("value").isNull(), F.lit("no value")))
 
@@ -155,7 +169,7 @@ def adjacent(tokens: DataFrame) -> DataFrame:
     """Indices over neighbouring sentences: overlap of nouns, arguments, stems and content words, edit distance, syntax similarity."""
     s = gathered(tokens).select(
         "doc_id", "n", _pick("text", *NOUNS).alias("nouns"), _pick("lemma", *NOUNS).alias("stems"), _pick("text", "PRON").alias("prons"), _pick("lemma", *CONTENT).alias("content"),
-        F.array_distinct(F.transform("toks", lambda t: F.concat_ws(" ", t["dep_type"], t["pos_coarse"]))).alias("syntax"),
+        _nodes().alias("syntax"),
         *[F.array_join(_field(c), " ").alias(k) for k, c in (("p", "pos_coarse"), ("x", "text"), ("l", "lemma"))],
         F.transform(F.filter("toks", lambda t: ~t["is_punct"]), lambda t: t["dep_type"].isin(*ROOTS)).alias("roots"),
     )
@@ -172,14 +186,15 @@ def adjacent(tokens: DataFrame) -> DataFrame:
     aggs = [F.avg(F.when(pair, c)).alias(k) for k, c in value.items()] + [F.stddev_pop(F.when(pair, value["CRFCWO1"])).alias("CRFCWO1d")]
     place = F.array_position("roots", True) - 1
     wide = b.groupBy("doc_id").agg(*aggs, F.avg(F.when(place >= 0, place)).alias("SYNLE"))
-    return rows_of(wide, [*value, "CRFCWO1d", "SYNLE"])
+    zeros = {k: F.coalesce(k, F.lit(0.0)) for k in ("SYNSTRUTa", "SYNMEDpos", "SYNMEDwrd", "SYNMEDlem", "SYNLE")}
+    return rows_of(wide.withColumns(zeros), [*value, "CRFCWO1d", "SYNLE"])
 
 
 def all_pairs(tokens: DataFrame, block: int = 256) -> DataFrame:
-    """Indices over all pairs of a document's sentences, and the syntax similarity of those in different paragraphs. A document is one
-    task; of its pairs `block` rows are held at once."""
+    """Indices over all pairs of a document's sentences, and the syntax similarity of all pairs of its paragraphs, each the union of its sentences'
+    nodes. A document is one task; of its pairs `block` rows are held at once."""
     s = gathered(tokens).select("doc_id", "n", "para", _pick("text", *NOUNS).alias("nouns"), _pick("lemma", *NOUNS).alias("stems"), _pick("text", "PRON").alias("prons"), _pick("lemma", *CONTENT).alias("content"),
-                               F.array_distinct(F.transform("toks", lambda t: F.concat_ws(" ", t["dep_type"], t["pos_coarse"]))).alias("syntax"))
+                               _nodes().alias("syntax"))
     labels = ["CRFNOa", "CRFAOa", "CRFSOa", "CRFCWOa", "CRFCWOad", "SYNSTRUTt"]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -201,8 +216,8 @@ def all_pairs(tokens: DataFrame, block: int = 256) -> DataFrame:
             return out
 
         (nouns,), (stems, content), (prons,), (syntax,) = matrix("nouns"), matrix("stems", "content"), matrix("prons"), matrix("syntax")
-        n_content, n_syntax = content.sum(1), syntax.sum(1)
-        sums, pairs, across = np.zeros(6), 0, 0
+        n_content = content.sum(1)
+        sums, pairs = np.zeros(5), 0
         for at in range(0, size, block):
             rows = np.arange(at, min(at + block, size))
             later = np.arange(size)[None, :] > rows[:, None]
@@ -212,15 +227,17 @@ def all_pairs(tokens: DataFrame, block: int = 256) -> DataFrame:
             binary = [(nouns[rows] @ nouns.T > 0)[later], ((stems[rows] @ stems.T > 0) | (prons[rows] @ prons.T > 0))[later], (stems[rows] @ content.T > 0)[later]]
             sums[:5] += [*[b.sum() for b in binary], share.sum(), (share**2).sum()]
             pairs += int(later.sum())
-            apart = later & (para[rows][:, None] != para[None, :])
-            same = syntax[rows] @ syntax.T
-            sums[5] += (same / np.maximum(n_syntax[rows][:, None] + n_syntax[None, :] - same, 1))[apart].astype(np.float64).sum()
-            across += int(apart.sum())
-        if pairs:
-            mean = sums[:4] / pairs
-            values = [*mean, float(np.sqrt(max(sums[4] / pairs - mean[3] ** 2, 0))), sums[5] / across if across else None]
-        else:
-            values = [None] * 6
+        numbers = np.unique(para, return_inverse=True)[1]
+        united = np.zeros((int(numbers.max()) + 1, syntax.shape[1]), np.float32)
+        np.maximum.at(united, numbers, syntax)
+        n_nodes, alike, across = united.sum(1), 0.0, len(united) * (len(united) - 1) // 2
+        for at in range(0, len(united), block):
+            rows = np.arange(at, min(at + block, len(united)))
+            same = united[rows] @ united.T
+            either = np.maximum(n_nodes[rows][:, None] + n_nodes[None, :] - same, 1)
+            alike += (same / either)[np.arange(len(united))[None, :] > rows[:, None]].astype(np.float64).sum()
+        mean = sums[:4] / pairs if pairs else [None] * 4
+        values = [*mean, float(np.sqrt(max(sums[4] / pairs - mean[3] ** 2, 0))) if pairs else None, alike / across if across else 0.0]
         return pd.DataFrame([[group["doc_id"].iloc[0], *values]], columns=["doc_id", *labels])
 
     wide = s.groupBy("doc_id").applyInPandas(run, f"doc_id {dict(tokens.dtypes)['doc_id']}, " + ", ".join(f"{k} double" for k in labels))

@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanweave.operators import spans
+from spanweave.operators.cohesion import ALPHA
 from spanweave.session import ship_package
 
 #: Places in a group's order that one part spans.
@@ -101,7 +102,7 @@ def sentence_vectors(tokens: DataFrame, words: DataFrame) -> DataFrame:
     The means are sums a sentence, folded in a stream."""
     sized = words.select(F.col("word").alias("text"), F.col("vector").cast("array<double>").alias("vector"))
     width = sized.select(F.size("vector").alias("n")).first()
-    alpha = F.when(F.col("text").rlike(r"^[\p{L}\p{M}]+$"), F.col("text")).alias("text")
+    alpha = F.when(F.col("text").rlike(ALPHA), F.col("text")).alias("text")
     each = tokens.select("doc_id", "para", "sent", "pos", alpha).join(sized, "text", "left")
     zero = F.array_repeat(F.lit(0.0), width["n"] if width else 0)
     marked = each.select("doc_id", "para", "sent", "pos", F.array_append(F.coalesce("vector", zero), F.when(F.col("vector").isNull(), 0.0).otherwise(1.0)).alias("vector"))
@@ -207,8 +208,8 @@ def paragraph_similarity(vectors: DataFrame, part: int = PART) -> DataFrame:
     """(doc_id, LSASSp, LSASSpd): mean and standard deviation of the cosines of all pairs of a paragraph's sentences, over all paragraphs."""
     sums = pair_sums(vectors, ["doc_id", "para"], "sent", part)
     d = sums.groupBy("doc_id").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("k"), F.sum("total").alias("t"), F.sum("squares").alias("q"))
-    mean = F.col("t") / F.nullif("k", F.lit(0.0))
-    return d.select("doc_id", mean.alias("LSASSp"), F.sqrt(F.greatest(F.col("q") / F.nullif("k", F.lit(0.0)) - mean * mean, F.lit(0.0))).alias("LSASSpd"))
+    mean, squares = F.col("t") / F.nullif("k", F.lit(0.0)), F.col("q") / F.nullif("k", F.lit(0.0))
+    return d.select("doc_id", mean.alias("LSASSp"), F.when(F.col("k") > 0, F.sqrt(F.greatest(squares - mean * mean, F.lit(0.0)))).alias("LSASSpd"))
 
 
 def verb_similarity(verbs: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-TOKEN = "[a-z]+|[,;:]"
+#: Letters with their marks, digits, and the punctuation inside a sentence.
+TOKEN = r"[\p{L}\p{M}\p{N}]+|[,;:]"
+LETTER = r"\p{L}"
 
 
 def _among(words: str) -> str:
@@ -24,7 +26,7 @@ ADP = "in on at of with for from by von mit auf"
 CCONJ = "and or but und oder aber"
 NEG = "not no never nicht kein"
 
-COARSE = f"""CASE WHEN text IN (',', ';', ':') THEN 'PUNCT' WHEN {_among(DET)} THEN 'DET' WHEN {_among(PRON)} THEN 'PRON' WHEN {_among(ADP)} THEN 'ADP'
+COARSE = f"""CASE WHEN text IN (',', ';', ':') THEN 'PUNCT' WHEN substring(text, 1, 1) BETWEEN '0' AND '9' THEN 'NUM' WHEN {_among(DET)} THEN 'DET' WHEN {_among(PRON)} THEN 'PRON' WHEN {_among(ADP)} THEN 'ADP'
  WHEN {_among(CCONJ)} THEN 'CCONJ' WHEN {_among(NEG)} OR text = 'to' THEN 'PART' WHEN text LIKE '%ly' THEN 'ADV' WHEN text LIKE '%ed' OR text LIKE '%ing' OR text LIKE '%en' THEN 'VERB'
  WHEN text LIKE '%al' OR text LIKE '%ous' OR text LIKE '%ic' OR text LIKE '%ive' THEN 'ADJ' ELSE 'NOUN' END"""
 TAG = "CASE WHEN text LIKE '%ing' THEN 'VBG' WHEN text LIKE '%ed' THEN 'VBD' WHEN text LIKE '%en' THEN 'VB' ELSE 'X' END"
@@ -35,11 +37,11 @@ DEP = f"""CASE WHEN {_among(NEG)} THEN 'NEG' WHEN pos_coarse = 'VERB' AND verb_n
 
 
 def rule_tokens(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text). Paragraphs are lines with a letter, sentences end in marks; both are numbered from 0 within the document."""
+    """docs (doc_id, text). Paragraphs are lines with a letter of any script, sentences with one end in marks; both are numbered from 0 within the document."""
     lower = F.lower(F.coalesce("text", F.lit("")))
-    paras = docs.select("doc_id", F.explode(F.array(F.filter(F.split(lower, "\n"), lambda x: x.rlike("[a-z]")))).alias("ps"))
+    paras = docs.select("doc_id", F.explode(F.array(F.filter(F.split(lower, "\n"), lambda x: x.rlike(LETTER)))).alias("ps"))
     paras = paras.select("doc_id", F.posexplode("ps").alias("para", "p"))
-    sents = paras.select("doc_id", "para", F.explode(F.array(F.filter(F.split("p", "[.!?]+"), lambda x: x.rlike("[a-z]")))).alias("ss")).select("doc_id", "para", F.posexplode("ss").alias("sent", "s"))
+    sents = paras.select("doc_id", "para", F.explode(F.array(F.filter(F.split("p", "[.!?]+"), lambda x: x.rlike(LETTER)))).alias("ss")).select("doc_id", "para", F.posexplode("ss").alias("sent", "s"))
     each = sents.select("doc_id", "para", "sent", F.posexplode(F.regexp_extract_all("s", F.lit(TOKEN), 0)).alias("pos", "text"))
     each = each.select("*", F.expr(COARSE).alias("pos_coarse"), F.expr(TAG).alias("tag"), F.expr(TENSE).alias("tense"), F.expr(LEMMA).alias("lemma"))
     sentence = W.partitionBy("doc_id", "para", "sent").orderBy("pos")
@@ -48,8 +50,8 @@ def rule_tokens(docs: DataFrame) -> DataFrame:
 
 
 #: The same rows in DuckDB, as the table `tok`.
-SQL = f"""paras AS (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS para FROM (SELECT doc_id, list_filter(string_split(lower(coalesce(text, '')), chr(10)), lambda x: regexp_matches(x, '[a-z]')) AS ps FROM documents)),
-sent0 AS (SELECT doc_id, para, unnest(ss) AS s, unnest(range(len(ss))) AS sent FROM (SELECT doc_id, para, list_filter(regexp_split_to_array(p, '[.!?]+'), lambda x: regexp_matches(x, '[a-z]')) AS ss FROM paras)),
+SQL = f"""paras AS (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS para FROM (SELECT doc_id, list_filter(string_split(lower(coalesce(text, '')), chr(10)), lambda x: regexp_matches(x, '{LETTER}')) AS ps FROM documents)),
+sent0 AS (SELECT doc_id, para, unnest(ss) AS s, unnest(range(len(ss))) AS sent FROM (SELECT doc_id, para, list_filter(regexp_split_to_array(p, '[.!?]+'), lambda x: regexp_matches(x, '{LETTER}')) AS ss FROM paras)),
 tok0 AS (SELECT doc_id, para, sent, unnest(ts) AS text, unnest(range(len(ts))) AS pos FROM (SELECT doc_id, para, sent, regexp_extract_all(s, '{TOKEN}') AS ts FROM sent0)),
 tok1 AS (SELECT *, {COARSE} AS pos_coarse, {TAG} AS tag, {TENSE} AS tense, {LEMMA} AS lemma FROM tok0),
 tok2 AS (SELECT *, sum(CASE WHEN pos_coarse = 'VERB' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, para, sent ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS verb_no FROM tok1),

@@ -67,11 +67,13 @@ def ngram_diversity(spark, sf_dir):
 
 
 _TOK = "WITH RECURSIVE " + tagging.SQL
+_LETTERS = r"length(regexp_replace(text, '[^\p{L}]', '', 'g'))"
+_ALPHA = r"regexp_matches(text, '^\p{L}+$')"
 _N = lambda k: f"{k} / nullif(DESWC, 0)"
 _SD = lambda s2, s, n: f"sqrt(greatest({s2} / nullif({n}, 0) - ({s} / nullif({n}, 0)) * ({s} / nullif({n}, 0)), 0))"
 
 
-@query(_TOK + f""", s AS (SELECT doc_id, para, sent, sum(CASE WHEN NOT is_punct THEN 1 ELSE 0 END)::DOUBLE AS w, sum(CASE WHEN NOT is_punct THEN length(text) ELSE 0 END)::DOUBLE AS l, sum(CASE WHEN NOT is_punct THEN length(text) * length(text) ELSE 0 END)::DOUBLE AS l2,
+@query(_TOK + f""", s AS (SELECT doc_id, para, sent, sum(CASE WHEN NOT is_punct THEN 1 ELSE 0 END)::DOUBLE AS w, sum(CASE WHEN NOT is_punct THEN {_LETTERS} ELSE 0 END)::DOUBLE AS l, sum(CASE WHEN NOT is_punct THEN {_LETTERS} * {_LETTERS} ELSE 0 END)::DOUBLE AS l2,
  sum(CASE WHEN NOT is_punct THEN {_SYLL.replace('(x,', '(text,')} ELSE 0 END)::DOUBLE AS y, sum(CASE WHEN NOT is_punct THEN {_SYLL.replace('(x,', '(text,')} * {_SYLL.replace('(x,', '(text,')} ELSE 0 END)::DOUBLE AS y2 FROM tok GROUP BY 1, 2, 3),
 p AS (SELECT doc_id, para, count(*) AS k, sum(w) AS w, sum(w * w) AS w2, sum(l) AS l, sum(l2) AS l2, sum(y) AS y, sum(y2) AS y2 FROM s GROUP BY 1, 2),
 d AS (SELECT doc_id, count(*) AS DESPC, sum(k) AS DESSC, sum(w) AS DESWC, avg(k) AS DESPL, stddev_pop(k) AS DESPLd, sum(w2) AS w2, sum(l) AS l, sum(l2) AS l2, sum(y) AS y, sum(y2) AS y2 FROM p GROUP BY 1) """
@@ -86,9 +88,9 @@ _CONTENT = "pos_coarse IN ('NOUN', 'VERB', 'ADJ', 'ADV')"
 
 
 @query(_TOK + f""", d AS (SELECT doc_id, count(*) FILTER (WHERE NOT is_punct) AS w, {", ".join(f"count(*) FILTER (WHERE {c}) AS {k}" for k, c in _COARSE.items())},
- count(DISTINCT CASE WHEN NOT is_punct THEN text END) AS t, count(DISTINCT CASE WHEN {_CONTENT} THEN lemma END) AS ct, count(*) FILTER (WHERE {_CONTENT}) AS cn, count(tense) AS tn,
+ count(DISTINCT CASE WHEN {_ALPHA} THEN lower(text) END) AS t, count(*) FILTER (WHERE {_ALPHA}) AS tw, count(DISTINCT CASE WHEN {_CONTENT} AND {_ALPHA} THEN lower(lemma) END) AS ct, count(*) FILTER (WHERE {_CONTENT} AND {_ALPHA}) AS cn, count(tense) AS tn,
  greatest(count(*) FILTER (WHERE tense = 'Past'), count(*) FILTER (WHERE tense = 'Pres'), count(*) FILTER (WHERE tense = 'Inf')) AS tm FROM tok GROUP BY doc_id) """
-       + _union("d", {k: f"1000 * {k}::DOUBLE / nullif(w, 0)" for k in _COARSE} | {"LDTTRa": "t::DOUBLE / nullif(w, 0)", "LDTTRc": "ct::DOUBLE / nullif(cn, 0)", "SMTEMP": "tm::DOUBLE / nullif(tn, 0)"}))
+       + _union("d", {k: f"1000 * {k}::DOUBLE / nullif(w, 0)" for k in _COARSE} | {"LDTTRa": "t::DOUBLE / nullif(tw, 0)", "LDTTRc": "ct::DOUBLE / nullif(cn, 0)", "SMTEMP": "tm::DOUBLE / nullif(tn, 0)"}))
 def cohmetrix_words(spark, sf_dir):
     return _rounded(cohesion.word_information(_tokens(spark, sf_dir)))
 
@@ -106,9 +108,11 @@ def cohmetrix_densities(spark, sf_dir):
     return _rounded(cohesion.densities(_tokens(spark, sf_dir)))
 
 
+#: DuckDB's levenshtein counts bytes, so its words are spelt with one byte a letter: those of Latin-1 as letters and marks that lower-case words lack.
+_LATIN = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ[]^_{}"
 _GATHER = f""", g AS (SELECT doc_id, para, sent, row_number() OVER (PARTITION BY doc_id ORDER BY para, sent) AS n, list_distinct(list(text) FILTER (WHERE pos_coarse IN ('NOUN', 'PROPN'))) AS nouns, list_distinct(list(lemma) FILTER (WHERE pos_coarse IN ('NOUN', 'PROPN'))) AS stems,
- list_distinct(list(text) FILTER (WHERE pos_coarse = 'PRON')) AS prons, list_distinct(list(lemma) FILTER (WHERE {_CONTENT})) AS content, list_distinct(list(dep_type || ' ' || pos_coarse)) AS syntax,
- string_agg(pos_coarse, ' ' ORDER BY pos) AS p, string_agg(text, ' ' ORDER BY pos) AS x, string_agg(lemma, ' ' ORDER BY pos) AS l, min(CASE WHEN dep_type = 'ROOT' THEN pos END) AS root_at FROM tok GROUP BY doc_id, para, sent),
+ list_distinct(list(text) FILTER (WHERE pos_coarse = 'PRON')) AS prons, list_distinct(list(lemma) FILTER (WHERE {_CONTENT})) AS content, list_distinct(coalesce(list(dep_type || ' ' || pos_coarse) FILTER (WHERE NOT is_punct), [])) AS syntax,
+ string_agg(pos_coarse, ' ' ORDER BY pos) AS p, translate(string_agg(text, ' ' ORDER BY pos), '{_LATIN[0]}', '{_LATIN[1]}') AS x, translate(string_agg(lemma, ' ' ORDER BY pos), '{_LATIN[0]}', '{_LATIN[1]}') AS l, min(CASE WHEN dep_type = 'ROOT' THEN pos END) AS root_at FROM tok GROUP BY doc_id, para, sent),
 r AS (SELECT g.doc_id, g.para, g.sent, CASE WHEN min(root_at) IS NOT NULL THEN count(*) FILTER (WHERE NOT is_punct AND tok.pos < root_at) END AS before FROM g JOIN tok ON g.doc_id = tok.doc_id AND g.para = tok.para AND g.sent = tok.sent GROUP BY 1, 2, 3),
 e AS (SELECT doc_id, para, n, coalesce(nouns, []) AS nouns, coalesce(stems, []) AS stems, coalesce(prons, []) AS prons, coalesce(content, []) AS content, syntax, p, x, l FROM g)"""
 
@@ -125,7 +129,7 @@ _BINARY = {"CRFNO": "len(list_intersect(a.nouns, b.nouns)) > 0", "CRFAO": "len(l
 
 
 @query(_TOK + _GATHER + f""", j AS (SELECT a.doc_id, ({_BINARY['CRFNO']})::INT AS no, ({_BINARY['CRFAO']})::INT AS ao, (len(list_intersect(b.stems, a.content)) > 0)::INT AS so, {_jac('content')} AS cw, {_jac('syntax')} AS sy, {_edit('p')} AS dp, {_edit('x')} AS dx, {_edit('l')} AS dl FROM e a JOIN e b ON a.doc_id = b.doc_id AND b.n = a.n + 1),
-d AS (SELECT q.doc_id, CRFNO1, CRFAO1, CRFSO1, CRFCWO1, SYNSTRUTa, SYNMEDpos, SYNMEDwrd, SYNMEDlem, CRFCWO1d, SYNLE FROM (SELECT doc_id, avg(before) AS SYNLE FROM r GROUP BY doc_id) q LEFT JOIN (SELECT doc_id, avg(no) AS CRFNO1, avg(ao) AS CRFAO1, avg(so) AS CRFSO1, avg(cw) AS CRFCWO1, avg(sy) AS SYNSTRUTa, avg(dp) AS SYNMEDpos, avg(dx) AS SYNMEDwrd, avg(dl) AS SYNMEDlem, stddev_pop(cw) AS CRFCWO1d FROM j GROUP BY doc_id) z ON q.doc_id = z.doc_id) """
+d AS (SELECT q.doc_id, CRFNO1, CRFAO1, CRFSO1, CRFCWO1, coalesce(SYNSTRUTa, 0) AS SYNSTRUTa, coalesce(SYNMEDpos, 0) AS SYNMEDpos, coalesce(SYNMEDwrd, 0) AS SYNMEDwrd, coalesce(SYNMEDlem, 0) AS SYNMEDlem, CRFCWO1d, coalesce(SYNLE, 0) AS SYNLE FROM (SELECT doc_id, avg(before) AS SYNLE FROM r GROUP BY doc_id) q LEFT JOIN (SELECT doc_id, avg(no) AS CRFNO1, avg(ao) AS CRFAO1, avg(so) AS CRFSO1, avg(cw) AS CRFCWO1, avg(sy) AS SYNSTRUTa, avg(dp) AS SYNMEDpos, avg(dx) AS SYNMEDwrd, avg(dl) AS SYNMEDlem, stddev_pop(cw) AS CRFCWO1d FROM j GROUP BY doc_id) z ON q.doc_id = z.doc_id) """
        + _union("d", {k: k for k in ("CRFNO1", "CRFAO1", "CRFSO1", "CRFCWO1", "SYNSTRUTa", "SYNMEDpos", "SYNMEDwrd", "SYNMEDlem", "CRFCWO1d", "SYNLE")}))
 def cohmetrix_adjacent(spark, sf_dir):
     return _rounded(cohesion.adjacent(_tokens(spark, sf_dir)))
@@ -168,14 +172,14 @@ def cohmetrix_incidences(spark, sf_dir):
     return _rounded(cohesion.incidences(_tokens(spark, sf_dir), lexicon))
 
 
-@query(_TOK + f""", fr AS (SELECT text AS word, count(*)::DOUBLE AS f FROM tok WHERE NOT is_punct GROUP BY text HAVING count(*) > 1),
+@query(_TOK + f""", fr AS (SELECT text AS word, count(*)::DOUBLE AS f FROM tok WHERE NOT is_punct GROUP BY text),
 j AS (SELECT t.doc_id, t.para, t.sent, ({_CONTENT}) AS c, coalesce(f, 0) AS f, ln(coalesce(f, 0) + 1e-5::DOUBLE) AS lf FROM tok t LEFT JOIN fr ON t.text = fr.word WHERE NOT is_punct),
 s AS (SELECT doc_id, sum(CASE WHEN c THEN f END) AS cf, count(*) FILTER (WHERE c) AS cn, sum(lf) AS al, count(*) AS an, min(CASE WHEN c THEN lf END) AS low FROM j GROUP BY doc_id, para, sent),
 d AS (SELECT doc_id, sum(cf) / nullif(sum(cn), 0) AS a, sum(al) / sum(an) AS b, avg(low) AS c FROM s GROUP BY doc_id) """ + _union("d", {"WRDFRQc_wiki10000": "a", "WRDFRQa_wiki10000": "b", "WRDFRQmc_wiki10000": "c"}))
 def cohmetrix_frequencies(spark, sf_dir):
-    """The frequency list is that of the documents' own words that occur twice."""
+    """The frequency list is that of the documents' own words."""
     tokens = _tokens(spark, sf_dir)
-    counts = tokens.where(~F.col("is_punct")).groupBy(F.col("text").alias("word")).agg(F.count("*").alias("f")).where("f > 1")
+    counts = tokens.where(~F.col("is_punct")).groupBy(F.col("text").alias("word")).agg(F.count("*").alias("f"))
     return _rounded(cohesion.frequency_means(tokens, counts))
 
 

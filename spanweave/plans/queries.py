@@ -117,12 +117,14 @@ def all_word_frequencies(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.explode(_words()).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query(r"""WITH d AS (SELECT DISTINCT lower(regexp_extract(text, '^[A-Za-z]+')) AS phrase, min(item_id) AS entry FROM benchmark WHERE regexp_matches(text, '^[A-Za-z]+') GROUP BY 1),
-w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS phrase FROM documents)
+_EACH = r"SELECT {k}, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS phrase FROM {t}"
+
+
+@query(f"""WITH d AS (SELECT phrase, min(item_id) AS entry FROM ({_EACH.format(k='item_id', t='benchmark')}) GROUP BY phrase), w AS ({_EACH.format(k='doc_id', t='documents')})
 SELECT doc_id, entry, count(*) AS hits FROM w JOIN d USING (phrase) GROUP BY 1, 2""")
 def gazetteer_tagger(spark, sf_dir):
-    first = F.lower(F.regexp_extract("text", "^[A-Za-z]+", 0))
-    entries = table(spark, sf_dir, "benchmark").select(first.alias("phrase"), "item_id").where("phrase <> ''").groupBy("phrase").agg(F.min("item_id").alias("entry"))
+    """Every word of the items in the whole texts."""
+    entries = matching.phrases(table(spark, sf_dir, "benchmark"), 1, "item_id").groupBy("phrase").agg(F.min("item_id").alias("entry"))
     return matching.tag(table(spark, sf_dir, "documents"), entries, 1).groupBy("doc_id", "entry").agg(F.count("*").alias("hits"))
 
 
@@ -139,13 +141,15 @@ def gazetteer_phrases(spark, sf_dir):
     return matching.tag(table(spark, sf_dir, "documents"), entries, 3).groupBy("doc_id", "entry").agg(F.count("*").alias("hits"))
 
 
-_FUZZY = r"SELECT DISTINCT lower(regexp_extract(text, '^[A-Za-z]+')) AS word FROM {t} WHERE regexp_matches(text, '^[A-Za-z]+')"
+_ASCII = r"SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM {t}"
 
 
-@query(f"""WITH a AS ({_FUZZY.format(t='conversations')}), b AS ({_FUZZY.format(t='benchmark')})
-SELECT a.word AS a, b.word AS b, cast(levenshtein(a.word, b.word) AS BIGINT) AS distance FROM a, b WHERE levenshtein(a.word, b.word) <= 1""")
+@query(f"""WITH a AS ({_ASCII.format(t='conversations')}), b AS ({_ASCII.format(t='benchmark')})
+SELECT a.word AS a, b.word AS b, cast(levenshtein(a.word, b.word) AS BIGINT) AS distance FROM a JOIN b ON length(a.word) = length(b.word) AND hamming(a.word, b.word) <= 1
+UNION ALL SELECT a.word, b.word, 1 FROM a JOIN b ON abs(length(a.word) - length(b.word)) = 1 AND levenshtein(a.word, b.word) = 1""")
 def fuzzy_dictionary_join(spark, sf_dir):
-    pick = lambda t: table(spark, sf_dir, t).select(F.lower(F.regexp_extract("text", "^[A-Za-z]+", 0)).alias("word")).where("word <> ''").distinct()
+    """Every run of ASCII letters of the conversations against every one of the items."""
+    pick = lambda t: table(spark, sf_dir, t).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word")).distinct()
     return matching.fuzzy(pick("conversations"), pick("benchmark")).select("a", "b", F.col("distance").cast("long").alias("distance"))
 
 

@@ -45,18 +45,21 @@ def test_all_pairs_of_sentences(spark, tokens):
         got = values_of(cohesion.all_pairs(tokens, block))
         for doc, sents in sentences(tokens).items():
             found = {k: [] for k in ("CRFNOa", "CRFAOa", "CRFSOa", "CRFCWOa", "SYNSTRUTt")}
-            for (pa, a), (pb, b) in combinations(sents.items(), 2):
+            for (_, a), (_, b) in combinations(sents.items(), 2):
                 pick = lambda s, f, *c: {getattr(t, f) for t in s if t.pos_coarse in c}
                 noun = [pick(s, "text", "NOUN") for s in (a, b)]
                 stem, pron = [pick(s, "lemma", "NOUN") for s in (a, b)], [pick(s, "text", "PRON") for s in (a, b)]
                 content = [pick(s, "lemma", "NOUN", "VERB", "ADJ", "ADV") for s in (a, b)]
-                syntax = [{(t.dep_type, t.pos_coarse) for t in s} for s in (a, b)]
                 found["CRFNOa"].append(bool(noun[0] & noun[1]))
                 found["CRFAOa"].append(bool(stem[0] & stem[1] or pron[0] & pron[1]))
                 found["CRFSOa"].append(bool(stem[0] & content[1]))
                 found["CRFCWOa"].append(len(content[0] & content[1]) / len(content[0] | content[1]) if content[0] | content[1] else 0)
-                if pa[0] != pb[0]:
-                    found["SYNSTRUTt"].append(len(syntax[0] & syntax[1]) / len(syntax[0] | syntax[1]))
+            paras = {}
+            for (p, _), s in sents.items():
+                paras.setdefault(p, set()).update((t.dep_type, t.pos_coarse) for t in s if not t.is_punct)
+            alike = [len(a & b) / len(a | b) for a, b in combinations(paras.values(), 2)]
+            assert got[doc, "SYNSTRUTt"][0] == pytest.approx(np.mean(alike) if alike else 0.0, abs=1e-6)
+            del found["SYNSTRUTt"]
             for k, v in found.items():
                 value, error = got[doc, k]
                 assert (value is None and error) if not v else value == pytest.approx(np.mean(v), abs=1e-6)
@@ -239,3 +242,54 @@ def test_dictionaries_of_gzipped_files(spark, tmp_path):
         with gzip.open(tmp_path / name / "list.gz", "wt") as out:
             out.write(rows)
     assert {(r.word, r.n) for r in documents.read_dictionary(spark, f"{tmp_path}/*/*.gz", ";").collect()} == {("haus", 5), ("maus", 1)}
+
+
+TOKEN_ROWS = "doc_id int, para int, sent int, pos int, text string, lemma string, pos_coarse string, tag string, dep_type string, is_punct boolean, tense string"
+
+
+def token_rows(spark, sentences):
+    """(doc, para, sent, [text/lemma/coarse/tag/dep ...]) as token rows."""
+    rows = []
+    for d, p, s, words in sentences:
+        for i, w in enumerate(words.split()):
+            text, lemma, coarse, tag, dep = w.split("/")
+            rows.append((d, p, s, i, text, lemma, coarse, tag, dep, coarse == "PUNCT", None))
+    return spark.createDataFrame(rows, TOKEN_ROWS)
+
+
+def test_syntax_leaves_punctuation_out_and_compares_paragraphs(spark):
+    a, b = "Dogs/dog/NOUN/N/NSUBJ ,/,/PUNCT/P/PUNCT bark/bark/VERB/V/ROOT", "Red/red/ADJ/A/AMOD ,/,/PUNCT/P/PUNCT cars/car/NOUN/N/OBJ"
+    t = token_rows(spark, [(1, 0, 0, a), (1, 0, 1, b), (2, 0, 0, a), (2, 0, 1, b), (2, 1, 0, b), (2, 1, 1, a), (3, 0, 0, "Red/red/ADJ/A/AMOD")])
+    near, far = values_of(cohesion.adjacent(t)), values_of(cohesion.all_pairs(t))
+    assert near[1, "SYNSTRUTa"] == (0.0, None)
+    assert far[2, "SYNSTRUTt"] == (1.0, None) and far[1, "SYNSTRUTt"] == (0.0, None)
+    # a text of one sentence without a root
+    assert all(near[3, k] == (0.0, None) for k in ("SYNLE", "SYNMEDpos", "SYNMEDwrd", "SYNMEDlem", "SYNSTRUTa")) and near[3, "CRFNO1"][0] is None
+    assert near[1, "SYNLE"] == (1.0, None)  # words before the root of the sentence that has one
+
+
+def test_german_passives_and_infinitives(spark):
+    t = token_rows(spark, [(1, 0, 0, "Haus/Haus/NOUN/NN/SB wird/werden/AUX/VAFIN/ROOT"), (2, 0, 0, "Haus/Haus/NOUN/NN/SB wird/werden/AUX/VAFIN/ROOT gebaut/bauen/VERB/VVPP/OC"), (3, 0, 0, "Er/er/PRON/P/SB will/wollen/VERB/VM/ROOT es/es/PRON/P/OA bauen/bauen/VERB/VVINF/OC"),
+                           (4, 0, 0, "will/wollen/VERB/VM/ROOT bauen/bauen/VERB/VVINF/OC"), (5, 0, 0, "Sie/sie/PRON/P/SB will/wollen/VERB/VM/ROOT es/es/PRON/P/OA nie/nie/ADV/A/MO bauen/bauen/VERB/VVINF/OC"), (6, 0, 0, "Er/er/PRON/P/SB hofft/hoffen/VERB/V/ROOT zu/zu/PART/T/PM bauen/bauen/VERB/VVINF/OC")])
+    got = values_of(cohesion.densities(t, "de"))
+    assert [got[d, "DRPVAL"][0] for d in (1, 2)] == [0.0, pytest.approx(1000 / 3)]
+    assert [got[d, "DRINF"][0] for d in (3, 4, 5, 6)] == [250.0, 0.0, 0.0, 250.0]
+
+
+def test_diversity_folds_case_and_keeps_letters(spark):
+    t = token_rows(spark, [(1, 0, 0, "Dogs/dog/NOUN/N/X dogs/Dog/NOUN/N/X 2024/2024/NUM/C/X it's//PRON/P/X Zürich/Zürich/NOUN/N/X")])
+    got = values_of(cohesion.word_information(t))
+    assert got[1, "LDTTRa"][0] == pytest.approx(2 / 3) and got[1, "LDTTRc"][0] == pytest.approx(2 / 3)
+    assert values_of(cohesion.descriptive(t))[1, "DESWLlt"][0] == pytest.approx((4 + 4 + 0 + 3 + 6) / 5)
+
+
+def test_tokens_of_all_letters(spark):
+    got = tagging.rule_tokens(spark.createDataFrame([(1, "Über die Größe 2024 niño.\n9. ")], "doc_id bigint, text string")).orderBy("pos").collect()
+    assert [r.text for r in got] == ["über", "die", "größe", "2024", "niño"] and got[3].pos_coarse == "NUM"
+
+
+def test_lexicons_of_many_labels(spark):
+    t = token_rows(spark, [(1, 0, 0, "a/a/X/X/X b/b/X/X/X")])
+    lexicon = spark.createDataFrame([(f"L{i}", "b" if i == 250 else "z") for i in range(300)], "label string, phrase string")
+    got = values_of(cohesion.incidences(t, lexicon))
+    assert len(got) == 300 and got[1, "L250"] == (500.0, None) and got[1, "L0"] == (0.0, None)
