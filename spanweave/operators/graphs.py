@@ -99,16 +99,12 @@ def overlapping_boxes(a: DataFrame, b: DataFrame, cell: float = 64.0) -> DataFra
     return binned(a, "a").join(binned(b, "b"), ["page", "cx", "cy"]).where(hit).select("page", "a_id", "b_id").distinct()
 
 
-def matched_documents(entities: DataFrame, threshold: float = 0.0, block: int = 1) -> DataFrame:
-    """Entities (pipeline_id, doc_index, entity_id, text) of different documents of one pipeline that begin with the same letters (a block of
-    `block` characters): (pipeline_id, doc_a, doc_b, entity_a, entity_b, similarity) of similarity 1 - normalised edit distance."""
-    from spanweave.functions.metrics import normalised_levenshtein
-
-    texts = entities.withColumn("key", F.substring(F.lower("text"), 1, block))
-    a = texts.select("pipeline_id", "key", F.col("doc_index").alias("doc_a"), F.col("entity_id").alias("entity_a"), F.lower("text").alias("x"))
-    b = texts.select("pipeline_id", "key", F.col("doc_index").alias("doc_b"), F.col("entity_id").alias("entity_b"), F.lower("text").alias("y"))
-    pairs = a.join(b, ["pipeline_id", "key"]).where("doc_a < doc_b").withColumn("similarity", 1 - normalised_levenshtein(F.col("x"), F.col("y")))
-    return pairs.where(F.col("similarity") >= threshold).select("pipeline_id", "doc_a", "doc_b", "entity_a", "entity_b", "similarity")
+def matched_documents(entities: DataFrame, threshold: float) -> DataFrame:
+    """Entities (pipeline_id, doc_index, entity_id, text) of different documents of one pipeline: (pipeline_id, doc_a, doc_b, entity_a, entity_b, similarity)
+    of similarity 1 - normalised edit distance of at least threshold > 0. All pairs that reach it."""
+    from spanweave.streaming.matching import matches
+
+    return matches(entities.withColumn("seq", F.lit(0).cast("long")), threshold).drop("seq")
 
 
 def turns_with_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:

@@ -96,6 +96,39 @@ def similar(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
     return pairs.mapInArrow(run, "a string, b string, sim double").where(F.col("sim") >= cutoff)
 
 
+def _numbered(parts: Column) -> Column:
+    """Each part with its number among equal ones."""
+    return F.transform(parts, lambda c, i: F.concat(c, F.lit(" "), F.size(F.filter(F.slice(parts, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+
+
+def near_texts(texts: DataFrame, threshold: float) -> DataFrame:
+    """(group, a, b, similarity): the pairs a <= b of distinct texts of a group, a text with itself too, with 1 - edit distance / longer length >=
+    threshold, for 0 < threshold <= 1.
+
+    Within d edits, d <= (1 - threshold) * n for the longer one's n letters, two texts share n - d letters and, padded at both ends, n + 1 - 2 d
+    pairs of letters, repeats included: threshold * n and (2 * threshold - 1) * n + 1 at least, which is less for the shorter one. So both
+    hold a shared part among their first (all - that + 1) by any one order, rarest first; pairs of letters are taken where they tell
+    enough, single letters below a threshold of 0.6.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be over 0 and at most 1")
+    pairs = threshold >= 0.6
+    n = F.char_length("text")
+    padded = F.concat(F.lit("\x02"), F.col("text"), F.lit("\x03"))
+    parts = F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.substring(padded, i, F.lit(2))) if pairs else letters(F.col("text"))
+    all_of = n + 1 if pairs else n
+    shared = F.ceil(F.lit(2 * threshold - 1) * n + 1 - 1e-9) if pairs else F.ceil(F.lit(threshold) * n - 1e-9)
+    held = texts.select("group", "text").distinct().where(n > 0)
+    each = held.select("group", "text", n.alias("n"), (all_of - shared + 1).alias("first"), F.explode(_numbered(parts) if pairs else parts).alias("key"))
+    counts = each.groupBy("group", "key").agg(F.count("*").alias("df"))
+    place = F.row_number().over(W.partitionBy("group", "text").orderBy("df", "key"))
+    first = each.join(counts, ["group", "key"]).withColumn("place", place).where("place <= first and df > 1")
+    x, y = (first.select("group", "key", F.col("text").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
+    met = x.join(y, ["group", "key"]).where((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.lit(threshold - 1e-9) * F.greatest("n_a", "n_b"))).select("group", "a", "b", F.greatest("n_a", "n_b").alias("longer")).distinct()
+    told = met.withColumn("similarity", 1 - F.levenshtein("a", "b") / F.col("longer")).where(F.col("similarity") >= threshold - 1e-12).select("group", "a", "b", "similarity")
+    return told.unionByName(held.select("group", F.col("text").alias("a"), F.col("text").alias("b"), F.lit(1.0).alias("similarity")))
+
+
 def two_stage(left: DataFrame, right: DataFrame, cutoff: float = 0.8) -> DataFrame:
     """left (name), right (name, value): exact match ignoring case, first row wins; the rest by the most similar of all names
     whose ratio (difflib's 2 M / T) reaches the cutoff."""
