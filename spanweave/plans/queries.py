@@ -247,5 +247,4 @@ same("graph_edges", """SELECT r_name AS source, n_name AS target, 'contains' AS
 same("recursive_closure", """WITH RECURSIVE e AS (SELECT n_nationkey AS child, n_nationkey % 5 AS parent FROM nation WHERE n_nationkey >= 5), c(root, node) AS (SELECT parent, child FROM e UNION ALL SELECT c.root, e.child FROM c JOIN e ON e.parent = c.node) SELECT root, node FROM c""", "nation")
 same("tumbling_windows", """SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2""", "events")
 same("json_property", """SELECT event_id, cast(get_json_object(props, '$.k') AS BIGINT) AS k FROM events""", "events", oracle="""SELECT event_id, cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
-same("timex_type", """SELECT doc_id, CASE WHEN lower(text) LIKE '% today %' THEN 'DATE' WHEN lower(text) LIKE '% every %' THEN 'SET' WHEN lower(text) LIKE '% for %' THEN 'DURATION' ELSE 'NONE' END AS timex FROM documents""", "documents")
 same("page_titles", r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages""", "pages")
