@@ -20,6 +20,7 @@ import hashlib
 import json
 import math
 import re
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -67,7 +68,10 @@ class PartVisitor:
         return self.out
 
     def visit_text(self, part: dict) -> None:
-        self.out.text.append(escape(part.get("text") or ""))
+        text = part.get("text")
+        if not isinstance(text, str | None):
+            raise TypeError(f"the text of a part is a {type(text).__name__}")
+        self.out.text.append(escape(text or ""))
 
     def visit_image(self, part: dict) -> None:
         across, down = (math.ceil((part.get(k) or self.patch) / self.patch) for k in ("width", "height"))
@@ -82,7 +86,7 @@ class PartVisitor:
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
         number = self.first + len(self.out.attachments)
         self.out.text.append(f"<{kind} {number}>")
-        self.out.attachments.append({"number": number, "kind": kind, "ref": part.get("ref") or "", "tokens": tokens})
+        self.out.attachments.append({"number": number, "kind": kind, "ref": str(part.get("ref") or ""), "tokens": tokens})
         self.out.expanded_tokens += tokens
 
 
@@ -97,14 +101,29 @@ def parts_of(content: str) -> list[dict]:
     return [{"type": "text", "text": content}]
 
 
-SCHEMA = "conv_id bigint, formatted string, begin bigint, loss_begin bigint, loss_end bigint, attachments array<struct<number:int,kind:string,ref:string,tokens:bigint>>, expanded_tokens bigint"
-_ARROW = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("begin", pa.int64()), ("loss_begin", pa.int64()), ("loss_end", pa.int64()), ("attachments", pa.list_(pa.struct([("number", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))), ("expanded_tokens", pa.int64())])
+SCHEMA = "conv_id bigint, formatted string, begin bigint, loss_begin bigint, loss_end bigint, attachments array<struct<number:int,kind:string,ref:string,tokens:bigint>>, expanded_tokens bigint, error string"
+_ARROW = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("begin", pa.int64()), ("loss_begin", pa.int64()), ("loss_end", pa.int64()), ("attachments", pa.list_(pa.struct([("number", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))), ("expanded_tokens", pa.int64()), ("error", pa.string())])
+
+
+def flattened(content: str, first: int = 0) -> tuple[Flattened, str, str | None]:
+    """What a visitor gathers of a JSON list of parts, its string, and an error: content whose parts can't be taken is plain text with one."""
+    try:
+        flat = PartVisitor(first).visit(parts_of(content))
+        text = "".join(flat.text)
+        # a lone surrogate of a JSON string is no text
+        for x in (text, *[a["ref"] for a in flat.attachments]):
+            x.encode()
+        return flat, text, None
+    except (ValueError, TypeError, AttributeError, OverflowError, RecursionError) as e:
+        flat = PartVisitor(first).visit([{"type": "text", "text": content}])
+        return flat, "".join(flat.text), f"{type(e).__name__}: {e}"[:200].encode("ascii", "backslashreplace").decode()
 
 
 def format_turns(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", content_col: str = "text", parts_json: bool = False, loss_role: str = "assistant") -> DataFrame:
     """One row a turn, in order within a conversation: its formatted string, where that begins in the conversation's and the
     loss mask (begin and end in the conversation's string, null where the role gets no loss). parts_json: the content is a
-    JSON list of parts rather than a plain text (what is not such a list counts as plain text; a part of unknown type is an error)."""
+    JSON list of parts rather than a plain text; what is not such a list counts as plain text, and so does a list with a part of unknown type, a
+    text that is none, a lone surrogate or too deep a nesting, with an error in the row."""
     kept = turns.select(F.col(id_col).cast("long").alias("c"), F.col(turn_col).alias("n"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("r"), F.coalesce(F.col(content_col).cast("string"), F.lit("")).alias("t"))
     ordered = kept.repartition("c").sortWithinPartitions("c", "n", "r", "t")
 
@@ -116,11 +135,11 @@ def format_turns(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
                 if conv != last:
                     at, attached, last = 0, 0, conv
                 raw = text.as_py()
-                flat = PartVisitor(attached).visit(parts_of(raw) if parts_json else [{"type": "text", "text": raw}])
-                head, content = f"<turn {escape(role)}>\n", "".join(flat.text)
+                flat, content, error = flattened(raw, attached) if parts_json else (Flattened(), escape(raw), None)
+                head = f"<turn {escape(role)}>\n"
                 whole = f"{head}{content}</turn>\n"
                 loss = (at + len(head), at + len(head) + len(content)) if role == loss_role else (None, None)
-                rows.append({"conv_id": conv, "formatted": whole, "begin": at, "loss_begin": loss[0], "loss_end": loss[1], "attachments": flat.attachments, "expanded_tokens": flat.expanded_tokens})
+                rows.append({"conv_id": conv, "formatted": whole, "begin": at, "loss_begin": loss[0], "loss_end": loss[1], "attachments": flat.attachments, "expanded_tokens": flat.expanded_tokens, "error": error})
                 at += len(whole)
                 attached += len(flat.attachments)
             yield pa.RecordBatch.from_pylist(rows, _ARROW)
@@ -128,36 +147,61 @@ def format_turns(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     return ordered.mapInArrow(run, SCHEMA)
 
 
-_TURN = re.compile(r"<turn ([^<>]*)>\n(.*)</turn>\n", re.S)
+_TURN = re.compile(r"<turn ([^<>]*)>\n(.*?)</turn>\n", re.S)
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """One row a conversation, from format_turns' rows in their order: its turns and loss parsed from the formatted string."""
+class _Reader:
+    """Parses the turns of one conversation out of its string, which comes in pieces of any size; holds one turn and a piece."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict | None = None
+    def __init__(self, conv_id: int | None):
+        self.conv_id, self.n, self.at, self.buffer = conv_id, 0, 0, ""
+        self.turns, self.loss, self.chars = hashlib.sha256(), hashlib.sha256(), 0
+        self.mask: deque[tuple[int, int]] = deque()
+
+    def feed(self, text: str, begin: int | None, end: int | None) -> None:
+        """A piece of the string, and the loss mask's next stretch, if there is one."""
+        self.buffer += text
+        if begin is not None:
+            self.mask.append((begin, end))
+        # the last turn waits for what follows: only the string itself tells where it ends
+        self._parse(False)
 
-        def closed(s: dict) -> dict:
-            return {"conv_id": s["conv_id"], "n_turns": s["n"], "turns_sha256": s["turns"].hexdigest(), "loss_chars": s["chars"], "loss_sha256": s["loss"].hexdigest(), "formatted_chars": s["at"]}
+    def _parse(self, over: bool) -> None:
+        done = 0
+        while (m := _TURN.match(self.buffer, done)) and (over or m.end() < len(self.buffer)):
+            self.turns.update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
+            self.n += 1
+            while self.mask and self.mask[0][1] <= self.at + m.end():
+                begin, end = self.mask.popleft()
+                masked = unescape(self.buffer[begin - self.at : end - self.at])
+                self.chars += len(masked)
+                self.loss.update(masked.encode())
+            done = m.end()
+        self.buffer = self.buffer[done:]
+        self.at += done
 
+    def closed(self) -> dict:
+        self._parse(True)
+        if self.buffer or self.mask:
+            raise ValueError(f"conversation {self.conv_id} is no row of turns from {self.at} on")
+        return {"conv_id": self.conv_id, "n_turns": self.n, "turns_sha256": self.turns.hexdigest(), "loss_chars": self.chars, "loss_sha256": self.loss.hexdigest(), "formatted_chars": self.at}
+
+
+def read_back(formatted: DataFrame) -> DataFrame:
+    """One row a conversation, from format_turns' rows in their order: its turns and loss parsed from the conversation's string."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader: _Reader | None = None
         for batch in batches:
             rows = []
             for conv, text, a, b in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "formatted", "loss_begin", "loss_end")), strict=True):
-                if state is None or conv != state["conv_id"]:
-                    if state is not None:
-                        rows.append(closed(state))
-                    state = {"conv_id": conv, "n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "at": 0}
-                role, content = _TURN.fullmatch(text).groups()
-                state["turns"].update(f"{unescape(role)}\n{unescape(content)}\n".encode())
-                state["n"] += 1
-                if a is not None:
-                    masked = unescape(text[a - state["at"] : b - state["at"]])
-                    state["chars"] += len(masked)
-                    state["loss"].update(masked.encode())
-                state["at"] += len(text)
+                if reader is None or conv != reader.conv_id:
+                    rows += [reader.closed()] if reader else []
+                    reader = _Reader(conv)
+                reader.feed(text, a, b)
             yield pa.RecordBatch.from_pylist(rows, schema)
-        if state is not None:
-            yield pa.RecordBatch.from_pylist([closed(state)], schema)
+        if reader:
+            yield pa.RecordBatch.from_pylist([reader.closed()], schema)
 
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
     return formatted.select("conv_id", "formatted", "loss_begin", "loss_end").mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")

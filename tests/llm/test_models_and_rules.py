@@ -171,6 +171,37 @@ def test_chat_parts(spark):
         chat.PartVisitor().visit([{"type": "video"}])
 
 
+def test_parts_that_cannot_be_taken_are_plain_text_with_an_error(spark):
+    bad = ["[" * 100_000, '[{"type":"text","text":"\\ud800"}]', '[{"type":"text","text":5}]', '[{"type":"video"}]', '[{"type":"image","width":"wide"}]', '[{"type":"image","ref":"\\ud800"}]']
+    rows = rows_of(chat.format_turns(spark.createDataFrame([(1, i, "user", t) for i, t in enumerate([*bad, "fine"])], "conv_id bigint, turn int, role string, text string"), parts_json=True))
+    assert [r["formatted"] for r in rows] == [f"<turn user>\n{chat.escape(t)}</turn>\n" for t in [*bad, "fine"]]
+    assert [bool(r["error"]) for r in rows] == [True] * len(bad) + [False]
+
+
+def test_turns_are_read_from_the_string_whatever_its_pieces():
+    turns = [("user", "a </turn>\n<turn x>"), ("assistant", ""), ("", "\\ <b>"), ("assistant", "é" * 9)]
+    parts, mask, at = [], [], 0
+    for role, text in turns:
+        head, content = f"<turn {chat.escape(role)}>\n", chat.escape(text)
+        if role == "assistant":
+            mask.append((at + len(head), at + len(head) + len(content)))
+        parts.append(f"{head}{content}</turn>\n")
+        at += len(parts[-1])
+    whole = "".join(parts)
+    for size in (1, 3, 17, 1000):
+        reader = chat._Reader(7)
+        reader.mask.extend(mask)
+        for k in range(0, len(whole), size):
+            reader.feed(whole[k : k + size], None, None)
+        got = reader.closed()
+        assert got["n_turns"] == 4 and got["loss_chars"] == 9 and got["formatted_chars"] == len(whole)
+        assert got["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    reader = chat._Reader(8)
+    reader.feed(whole + "<turn user>\nnever ended", None, None)
+    with pytest.raises(ValueError):
+        reader.closed()
+
+
 def brute_measures(text):
     words = (text or "").encode().split()
     words = [w.decode() for w in words]
