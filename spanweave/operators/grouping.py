@@ -28,9 +28,10 @@ def polarity(rows: DataFrame, key: str, label: Column, value: Column, positive:
 
 
 def islands(rows: DataFrame, key: str, order: list[str], cue: Column) -> DataFrame:
-    """rows plus grp: a new group begins at each cue; what comes before the first one is group 0."""
+    """rows plus grp: a new group begins at each cue; what comes before the first one is of the first cue's group, 1, and so are all rows of a key
+    without a cue."""
     w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("grp", F.sum(F.when(cue, 1).otherwise(0)).over(w))
+    return rows.withColumn("grp", F.greatest(F.sum(F.when(cue, 1).otherwise(0)).over(w), F.lit(1).cast("long")))
 
 
 def totals(rows: DataFrame, key: str, label: str, value: Column) -> DataFrame:

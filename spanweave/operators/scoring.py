@@ -42,6 +42,15 @@ class LoadedModels:
         return self.held[key]
 
 
+#: The models of this worker process.
+_LOADED = LoadedModels()
+
+
+def loaded(annotator: Annotator) -> Scorer:
+    """The annotator's model: the one that this worker holds, or a new one in place of the one used longest ago."""
+    return _LOADED.get((annotator.name, annotator.version), annotator.load)
+
+
 def annotate(spans: DataFrame, annotator: Annotator, text_col: str = "text") -> DataFrame:
     """spans plus scores map<string,double>, the top label and provenance; languages that aren't supported get an error."""
     known = F.lit(True) if not annotator.languages else F.coalesce(F.col("lang").isin(*annotator.languages), F.lit(False))
@@ -49,7 +58,7 @@ def annotate(spans: DataFrame, annotator: Annotator, text_col: str = "text") ->
     fields = spans.schema.simpleString()[len("struct<") : -1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = annotator.load()
+        score = loaded(annotator)
         for pdf in batches:
             pdf["scores"] = None
             ok = pdf.index[pdf["_ok"]]

@@ -24,8 +24,7 @@ def text_counts(docs: DataFrame, easy: list[str], id_col: str = "doc_id", text_c
     t = F.col(text_col)
     # the words come out of an explode so that they are made once
     d = docs.select(F.col(id_col).alias("doc_id"), t.alias("t"), F.explode(F.array(text_words(t))).alias("ws")).where("size(ws) > 0")
-    known = F.array(*[F.lit(w) for w in easy]) if easy else F.array().cast("array<string>")
-    marks = F.transform("ws", lambda w: F.struct(F.char_length(w).alias("n"), syllables(w).alias("y"), (~F.array_contains(known, w)).alias("new")))
+    marks = F.transform("ws", lambda w: F.struct(F.char_length(w).alias("n"), syllables(w).alias("y"), (~w.isin(*easy) if easy else F.lit(True)).alias("new")))
     d = d.select("doc_id", "t", "ws", F.explode(F.array(marks)).alias("m"))
     total = lambda f: F.aggregate("m", F.lit(0), lambda a, x: a + f(x))
     many = lambda f: F.size(F.filter("m", f))
@@ -88,12 +87,16 @@ def sentence_beginnings(docs: DataFrame) -> DataFrame:
 
 
 def ngram_diversity(docs: DataFrame, most: int = 4) -> DataFrame:
-    """(doc_id, value): the sum over n of distinct n-grams by all n-grams."""
-    from spanweave.operators.matching import phrases
-
-    each = phrases(docs, most).groupBy("doc_id", "n", "phrase").count()
-    shares = each.groupBy("doc_id", "n").agg((F.count("*") / F.sum("count")).alias("share"))
-    return shares.groupBy("doc_id").agg(F.sum("share").alias("value"))
+    """(doc_id, value): the sum over n of distinct n-grams by all n-grams, n-grams by their 64-bit hashes; no shuffle."""
+    from spanweave.operators.matching import tokens
+
+    d = docs.select("doc_id", F.explode(F.array(F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)))).alias("h")).where("size(h) > 0")
+    value = F.lit(0.0)
+    for n in range(1, most + 1):
+        count = F.size("h") - (n - 1)
+        grams = F.transform(F.sequence(F.lit(1), count), lambda i, n=n: F.xxhash64(F.slice("h", i, F.lit(n)))) if n > 1 else F.col("h")
+        value = value + F.when(count > 0, F.size(F.array_distinct(grams)) / count).otherwise(0.0)
+    return d.select("doc_id", value.alias("value"))
 
 
 def compression_ratio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

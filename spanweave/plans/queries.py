@@ -232,8 +232,8 @@ same("speech_spans", """SELECT conv_id, turn, role, cast(coalesce(sum(length(tex
  coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn), -1) AS next_turn FROM conversations""", "conversations")
 same("selection_average", """SELECT user_id, event_type, round(sum(value), 2) AS total, count(*) AS n FROM events GROUP BY GROUPING SETS ((user_id, event_type), (user_id))""", "events")
 same("polarity", """SELECT user_id, round(sum(CASE WHEN event_type = 'click' THEN value ELSE 0 END) - sum(CASE WHEN event_type = 'error' THEN value ELSE 0 END), 4) AS polarity FROM events GROUP BY user_id""", "events")
-same("cue_groups", """SELECT user_id, grp, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM events) GROUP BY user_id, grp""", "events",
-     oracle="""SELECT user_id, cast(grp AS BIGINT) AS grp, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM events) GROUP BY user_id, grp""")
+same("cue_groups", """SELECT user_id, grp, count(*) AS n FROM (SELECT user_id, greatest(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS grp FROM events) GROUP BY user_id, grp""", "events",
+     oracle="""SELECT user_id, cast(grp AS BIGINT) AS grp, count(*) AS n FROM (SELECT user_id, greatest(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS grp FROM events) GROUP BY user_id, grp""")
 same("top_label", """SELECT user_id, event_type AS label FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY sum(value) DESC, event_type) AS rn FROM events GROUP BY user_id, event_type) WHERE rn = 1""", "events")
 same("normalised_share", """SELECT user_id, event_type, round(sum(value) / sum(sum(value)) OVER (PARTITION BY user_id), 6) AS share FROM events GROUP BY user_id, event_type""", "events")
 same("mode_share", """SELECT user_id, round(max(n) * 1.0 / sum(n), 4) AS share FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type) GROUP BY user_id""", "events",
