@@ -91,12 +91,14 @@ def ngram_diversity(docs: DataFrame, most: int = 4) -> DataFrame:
     from spanweave.operators.matching import tokens
 
     d = docs.select("doc_id", F.explode(F.array(F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)))).alias("h")).where("size(h) > 0")
-    value = F.lit(0.0)
-    for n in range(1, most + 1):
+
+    def share(n: int) -> Column:
         count = F.size("h") - (n - 1)
-        grams = F.transform(F.sequence(F.lit(1), count), lambda i, n=n: F.xxhash64(F.slice("h", i, F.lit(n)))) if n > 1 else F.col("h")
-        value = value + F.when(count > 0, F.size(F.array_distinct(grams)) / count).otherwise(0.0)
-    return d.select("doc_id", value.alias("value"))
+        grams = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice("h", i, F.lit(n)))) if n > 1 else F.col("h")
+        return F.when(count > 0, F.size(F.array_distinct(grams)) / count).otherwise(0.0)
+
+    shares = [share(n) for n in range(1, most + 1)]
+    return d.select("doc_id", sum(shares[1:], shares[0]).alias("value"))
 
 
 def compression_ratio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
