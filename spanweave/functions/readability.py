@@ -2,7 +2,8 @@
 
 Counts (doubles): w words, s sentences, p paragraphs, chars characters of words, syll syllables, mono and poly words of one and of three or
 more syllables, long7 words of over six letters, hard words of two or more syllables that no easy-word list has, hard3 those of three
-or more, mini words of at most three characters, body characters that are not blanks, types distinct words.
+or more, mini words of at most three characters, body characters that are not blanks, types distinct words; w100, s100 and poly100 of the first
+hundred words between blanks.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ FORMULAS = {
     "coleman_liau_index": "5.88 * (chars / w) - 29.6 * (s / w) - 15.8",
     "lix": "w / s + 100 * (long7 / w)",
     "rix": "long7 / s",
-    "linsear_write_formula": "CASE WHEN ((w - poly) + 3 * poly) / s > 20 THEN ((w - poly) + 3 * poly) / s / 2 ELSE (((w - poly) + 3 * poly) / s - 2) / 2 END",
+    "linsear_write_formula": "CASE WHEN ((w100 - poly100) + 3 * poly100) / s100 > 20 THEN ((w100 - poly100) + 3 * poly100) / s100 / 2 ELSE (((w100 - poly100) + 3 * poly100) / s100 - 2) / 2 END",
     "dale_chall_readability_score": "0.1579 * (100 * (hard / w)) + 0.0496 * (w / s) + CASE WHEN hard / w > 0.05 THEN 3.6365 ELSE 0 END",
     "spache_readability": "0.141 * (w / s) + 0.086 * (100 * (hard / w)) + 0.839",
     "mcalpine_eflaw": "(w + mini) / s",

@@ -142,6 +142,22 @@ def incidences(tokens: DataFrame, lexicon: DataFrame, most: int = 4) -> DataFram
     return wide.withColumn("error", F.when(F.col("value").isNull(), F.lit("no value")))
 
 
+def situation(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """SMCAUSv, SMCAUSvp and SMINTEp, incidences a 1000 words, and the ratios of particles to verbs SMCAUSr and SMINTEr, 0 without a verb. lexicon (kind, word) has
+    the kinds causal_verb and intentional_verb, whose words are lemmas that count for verbs alone, and causal_particle and
+    intentional_particle, whose words are forms of any part of speech."""
+    rows = lexicon.select("kind", F.lower("word").alias("word")).distinct()
+    flags = lambda end: rows.where(F.col("kind").endswith(end)).groupBy("word").agg(*[F.max(F.col("kind") == f"{k}_{end}").alias(f"{k}_{end}") for k in ("causal", "intentional")])
+    t = tokens.select("doc_id", "is_punct", F.when(F.col("pos_coarse") == "VERB", F.lower("lemma")).alias("lemma"), F.lower("text").alias("form"))
+    t = t.join(flags("verb").withColumnRenamed("word", "lemma"), "lemma", "left").join(flags("particle").withColumnRenamed("word", "form"), "form", "left")
+    kinds = [f"{k}_{end}" for k in ("causal", "intentional") for end in ("verb", "particle")]
+    d = t.groupBy("doc_id").agg(F.count_if(~F.col("is_punct")).alias("w"), *[F.count_if(k).alias(k) for k in kinds])
+    per = lambda n: 1000 * n / F.nullif("w", F.lit(0))
+    part = lambda k: F.coalesce(F.col(f"{k}_particle") / F.nullif(f"{k}_verb", F.lit(0)), F.lit(0.0))
+    wide = d.select("doc_id", per(F.col("causal_verb")).alias("SMCAUSv"), per(F.col("causal_verb") + F.col("causal_particle")).alias("SMCAUSvp"), per(F.col("intentional_verb")).alias("SMINTEp"), part("causal").alias("SMCAUSr"), part("intentional").alias("SMINTEr"))
+    return rows_of(wide, ["SMCAUSv", "SMCAUSvp", "SMINTEp", "SMCAUSr", "SMINTEr"])
+
+
 def ratio(found: DataFrame, label: str, over: str, under: str) -> DataFrame:
     """(doc_id, label, value, error): a ratio of two labels of incidences(), such as particles to verbs (SMCAUSr, SMINTEr)."""
     wide = found.groupBy("doc_id").agg(F.max(F.when(F.col("label") == over, F.col("value"))).alias("a"), F.max(F.when(F.col("label") == under, F.col("value"))).alias("b"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,8 +14,8 @@ LAYERS = {"text": spans.whole_text, "sentence": spans.sentences, "paragraph": sp
 
 
 def select_spans(docs: DataFrame, selection: str) -> DataFrame:
-    """(doc_id, type, begin, end) of every layer that the comma-separated selection names; an unknown name is an error."""
-    names = [n.strip().lower() for n in selection.split(",") if n.strip()]
+    """(doc_id, type, begin, end) of every layer that the selection names, between commas or semicolons; an unknown name is an error."""
+    names = [n.strip().lower() for n in re.split("[,;]", selection) if n.strip()]
     if unknown := [n for n in names if n not in LAYERS]:
         raise ValueError(f"no such layer: {', '.join(unknown)}")
     if not names:

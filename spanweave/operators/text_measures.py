@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from spanweave.functions import readability as R
 from spanweave.functions.metrics import syllables
 
+#: Words that Linsear's formula takes.
+HEAD = 100
 WORD_BREAK = "[^a-zäöüáéíóúñàèêôûçß]+"
 
 
@@ -26,6 +28,10 @@ def text_counts(docs: DataFrame, easy: list[str], id_col: str = "doc_id", text_c
     d = docs.select(F.col(id_col).alias("doc_id"), t.alias("t"), F.explode(F.array(text_words(t))).alias("ws")).where("size(ws) > 0")
     marks = F.transform("ws", lambda w: F.struct(F.char_length(w).alias("n"), syllables(w).alias("y"), (~w.isin(*easy) if easy else F.lit(True)).alias("new")))
     d = d.select("doc_id", "t", "ws", F.explode(F.array(marks)).alias("m"))
+    # the first hundred words between blanks, as one text
+    head = F.array_join(F.slice(F.filter(F.split("t", "[ \\t\\n\\r]+"), lambda x: x != ""), 1, HEAD), " ")
+    head_words = F.size(text_words(F.col("head")))
+    d = d.withColumn("head", head)
     total = lambda f: F.aggregate("m", F.lit(0), lambda a, x: a + f(x))
     many = lambda f: F.size(F.filter("m", f))
     counts = {
@@ -42,6 +48,10 @@ def text_counts(docs: DataFrame, easy: list[str], id_col: str = "doc_id", text_c
         "mini": many(lambda x: x["n"] <= 3),
         "body": F.char_length(F.regexp_replace("t", "[ \\t\\n\\r]", "")),
         "types": F.size(F.array_distinct("ws")),
+        "w100": head_words,
+        "s100": F.greatest(F.size(F.regexp_extract_all("head", F.lit("[.!?]+"), 0)), F.lit(1)),
+        # words come in order, so the first hundred's are the first of all
+        "poly100": F.size(F.filter(F.slice("m", F.lit(1), F.greatest(head_words, F.lit(1))), lambda x: x["y"] >= 3)),
     }
     return d.select("doc_id", "ws", *[c.cast("double").alias(k) for k, c in counts.items()])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.operators import semantics
+from spanweave.operators import cohesion, semantics
 from spanweave.operators.cohesion import rows_of
 from spanweave.plans.measures import _ALPHA, _TOK, _rounded, _tokens, _union
 from spanweave.plans.queries import query
@@ -74,3 +74,17 @@ def verb_vectors(spark, sf_dir):
     verbs = tokens.where("pos_coarse = 'VERB'").join(_word_vectors(spark, sf_dir, tokens).withColumnRenamed("word", "text"), "text")
     placed = verbs.select("doc_id", (F.col("para") * 1_000_000 + F.col("sent") * 1000 + F.col("pos")).alias("place"), "vector")
     return _rounded(rows_of(semantics.verb_similarity(placed), ["SMCAUSlsa"]))
+
+
+_KINDS = "SELECT DISTINCT CASE WHEN length(lemma) % 2 = 0 THEN 'causal_verb' ELSE 'intentional_verb' END AS kind, lemma AS word FROM tok WHERE pos_coarse = 'VERB' AND length(lemma) < 9 UNION SELECT DISTINCT CASE WHEN length(text) % 2 = 0 THEN 'causal_particle' ELSE 'intentional_particle' END, text FROM tok WHERE pos_coarse = 'ADV'"
+
+
+@query(_TOK + f""", lx AS ({_KINDS}), k AS (SELECT doc_id, count(*) FILTER (WHERE NOT is_punct)::DOUBLE AS w, count(*) FILTER (WHERE pos_coarse = 'VERB' AND lemma IN (SELECT word FROM lx WHERE kind = 'causal_verb'))::DOUBLE AS cv, count(*) FILTER (WHERE pos_coarse = 'VERB' AND lemma IN (SELECT word FROM lx WHERE kind = 'intentional_verb'))::DOUBLE AS iv,
+ count(*) FILTER (WHERE text IN (SELECT word FROM lx WHERE kind = 'causal_particle'))::DOUBLE AS cp, count(*) FILTER (WHERE text IN (SELECT word FROM lx WHERE kind = 'intentional_particle'))::DOUBLE AS ip FROM tok GROUP BY doc_id) """
+       + _union("k", {"SMCAUSv": "1000 * cv / nullif(w, 0)", "SMCAUSvp": "1000 * (cv + cp) / nullif(w, 0)", "SMINTEp": "1000 * iv / nullif(w, 0)", "SMCAUSr": "coalesce(cp / nullif(cv, 0), 0)", "SMINTEr": "coalesce(ip / nullif(iv, 0), 0)"}))
+def situation_model(spark, sf_dir):
+    """Verbs and particles of the documents' own: short verbs and adverbs, of two kinds by their length."""
+    tokens = _tokens(spark, sf_dir)
+    verbs = tokens.where("pos_coarse = 'VERB' AND length(lemma) < 9").select(F.expr("CASE WHEN length(lemma) % 2 = 0 THEN 'causal_verb' ELSE 'intentional_verb' END").alias("kind"), F.col("lemma").alias("word"))
+    adverbs = tokens.where("pos_coarse = 'ADV'").select(F.expr("CASE WHEN length(text) % 2 = 0 THEN 'causal_particle' ELSE 'intentional_particle' END").alias("kind"), F.col("text").alias("word"))
+    return _rounded(cohesion.situation(tokens, verbs.unionByName(adverbs)))

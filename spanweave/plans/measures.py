@@ -14,8 +14,9 @@ EASY = sorted({w for words in R.USAGE.values() for w in words})
 _Y = "[aeiouyäöüáéíóúàèêôû]+"
 _SYLL = f"greatest(len(regexp_extract_all(x, '{_Y}')), 1)"
 _LIST = "[" + ", ".join(f"'{w}'" for w in EASY) + "]"
-_COUNTS = f"""WITH w0 AS (SELECT doc_id, text AS t, {_WORDS} AS ws FROM documents),
-c AS (SELECT doc_id, ws, len(ws)::DOUBLE AS w, greatest(len(regexp_extract_all(t, '[.!?]+')), 1)::DOUBLE AS s, greatest(len(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '')), 1)::DOUBLE AS p,
+_HEAD = "array_to_string(list_slice(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> ''), 1, 100), ' ')"
+_COUNTS = f"""WITH h0 AS (SELECT doc_id, text, {_HEAD} AS head FROM documents), w0 AS (SELECT doc_id, text AS t, {_WORDS} AS ws, head, {_WORDS.replace('text', 'head')} AS hs FROM h0),
+c AS (SELECT doc_id, ws, len(hs)::DOUBLE AS w100, greatest(len(regexp_extract_all(head, '[.!?]+')), 1)::DOUBLE AS s100, len(list_filter(hs, lambda x: {_SYLL} >= 3))::DOUBLE AS poly100, len(ws)::DOUBLE AS w, greatest(len(regexp_extract_all(t, '[.!?]+')), 1)::DOUBLE AS s, greatest(len(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '')), 1)::DOUBLE AS p,
  list_sum(list_transform(ws, lambda x: length(x)))::DOUBLE AS chars, list_sum(list_transform(ws, lambda x: {_SYLL}))::DOUBLE AS syll, len(list_filter(ws, lambda x: {_SYLL} = 1))::DOUBLE AS mono,
  len(list_filter(ws, lambda x: {_SYLL} >= 3))::DOUBLE AS poly, len(list_filter(ws, lambda x: length(x) > 6))::DOUBLE AS long7, len(list_filter(ws, lambda x: {_SYLL} >= 2 AND NOT list_contains({_LIST}, x)))::DOUBLE AS hard,
  len(list_filter(ws, lambda x: length(x) <= 3))::DOUBLE AS mini, length(regexp_replace(t, '[ \\t\\n\\r]', '', 'g'))::DOUBLE AS body, len(list_distinct(ws))::DOUBLE AS types FROM w0 WHERE len(ws) > 0)"""

@@ -293,3 +293,19 @@ def test_lexicons_of_many_labels(spark):
     lexicon = spark.createDataFrame([(f"L{i}", "b" if i == 250 else "z") for i in range(300)], "label string, phrase string")
     got = values_of(cohesion.incidences(t, lexicon))
     assert len(got) == 300 and got[1, "L250"] == (500.0, None) and got[1, "L0"] == (0.0, None)
+
+
+def test_situation_model_by_lemma_and_part_of_speech(spark):
+    t = token_rows(spark, [(1, 0, 0, "made/make/VERB/V/ROOT make/make/NOUN/N/X so/so/ADV/A/X wants/Want/VERB/V/X"), (2, 0, 0, "so/so/ADV/A/X")])
+    lexicon = spark.createDataFrame([("causal_verb", "make"), ("intentional_verb", "want"), ("causal_particle", "so"), ("intentional_particle", "so"), ("causal_verb", "so")], "kind string, word string")
+    got = values_of(cohesion.situation(t, lexicon))
+    assert [got[1, k][0] for k in ("SMCAUSv", "SMCAUSvp", "SMINTEp", "SMCAUSr", "SMINTEr")] == [250.0, 500.0, 250.0, 1.0, 1.0]
+    assert [got[2, k][0] for k in ("SMCAUSv", "SMCAUSvp", "SMINTEp", "SMCAUSr", "SMINTEr")] == [0.0, 1000.0, 0.0, 0.0, 0.0]
+
+
+def test_linsear_takes_the_first_hundred_words(spark):
+    from spanweave.operators.text_measures import readability_rows
+
+    head = "plain words here. " * 33 + "last"
+    rows = readability_rows(spark.createDataFrame([(1, head), (2, head + " " + "complicated considerations" * 50)], "doc_id int, text string"), [], ["linsear_write_formula"]).collect()
+    assert len({r.value for r in rows}) == 1 and rows[0].value == pytest.approx((100 / 33 - 2) / 2)
