@@ -9,6 +9,7 @@ from spanweave.functions import readability as R
 from spanweave.operators import cohesion, dependencies, tagging, text_measures
 from spanweave.plans.queries import _SENT, _WORDS, query
 from spanweave.session import table
+from spanweave.workspace import Workspace
 
 EASY = sorted({w for words in R.USAGE.values() for w in words})
 _Y = "[aeiouyäöüáéíóúàèêôû]+"
@@ -33,7 +34,14 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def _tokens(spark, sf_dir) -> DataFrame:
-    return tagging.rule_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The token rows of a folder's documents, tagged once an application and written; every later query reads the table."""
+    context = spark.sparkContext
+    held = context.__dict__.setdefault("_spanweave_tokens", {})
+    if sf_dir not in held:
+        made = Workspace(spark, "tokens").write(tagging.rule_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")), "rows")
+        held[sf_dir] = made._spanweave_path, made.schema
+    path, schema = held[sf_dir]
+    return spark.read.schema(schema).parquet(path)
 
 
 @query(_COUNTS + " " + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS label, ({f})::DOUBLE AS value, CAST(NULL AS VARCHAR) AS error FROM c" for k, f in R.FORMULAS.items()))
