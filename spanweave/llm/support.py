@@ -74,12 +74,14 @@ def tidied(rows: Iterator) -> Iterator:
 def hashed_sample(ids: DataFrame, n: int, salt: int) -> DataFrame:
     """The n values of column id whose hashes come first: bounded, and the same however the rows are partitioned.
 
-    The hash is cut first where half as many again as wanted are expected, so the tasks together send the driver about that many.
+    The hash is cut first where half as many again as wanted are expected, so the tasks together send the driver about that many. Ids that repeat
+    count once.
     """
+    ids = ids.select("id").where("id is not null").distinct()
     total = ids.count()
     place = F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30))
-    near = ids.where("id is not null").where(place <= min(1 << 30, int((1 << 30) * (1.5 * n + 200) / max(total, 1))))
-    return near.select("id").distinct().orderBy(place, "id").limit(n)
+    near = ids.where(place <= min(1 << 30, int((1 << 30) * (1.5 * n + 200) / max(total, 1))))
+    return near.orderBy(place, "id").limit(n)
 
 
 class Rows:

@@ -470,3 +470,12 @@ def test_pipeline_on_an_empty_table(spark, as_tables):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     folder = as_tables(documents=spark.createDataFrame([], schema), labels=spark.createDataFrame([], "doc_id bigint, quality int, toxic int"), benchmark=spark.createDataFrame([], "item_id bigint, text string"))
     assert corpus_pipeline.run(spark, folder).collect() == []
+
+
+def test_samples_count_distinct_ids(spark):
+    from spanweave.llm.support import hashed_sample
+
+    ids = spark.range(10_000).selectExpr("id", "explode(sequence(1, if(id % 100 = 0, 900, 1))) AS k").select("id")
+    ids = ids.unionByName(spark.createDataFrame([(None,)] * 3, "id bigint"))
+    got = [r.id for r in hashed_sample(ids, 2000, 3).collect()]
+    assert len(got) == len(set(got)) == 2000 and got == [r.id for r in hashed_sample(spark.range(10_000).repartition(7), 2000, 3).collect()]
