@@ -1,4 +1,4 @@
-"""Tables in the folder that driver and executors share: they cut lineage and outlive any executor."""
+"""Tables in the folder that driver and executors share: they cut lineage, outlive any executor, and go when the application ends."""
 
 from __future__ import annotations
 
@@ -35,6 +35,10 @@ class Workspace:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{len(self.made) + 1:03d}-{name}"
         df.write.parquet(path)
+        if not self.made:
+            # a result may still be read from them, so the tables stay as long as the application does
+            root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._spanweave_path = path
         self.made.append(out)
