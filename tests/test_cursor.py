@@ -1,6 +1,7 @@
 """The pull source: each document once over restarts, a batch replayed alike, progress counted."""
 
 import json
+import time
 
 import pytest
 
@@ -24,7 +25,10 @@ def test_every_document_once_over_restarts(spark, tmp_path):
         stream = spark.readStream.format("document_folder").option("path", str(folder)).option("run", 4).load()
         q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(processingTime="0 seconds").start()
         q.processAllAvailable()
-        progress.append(str(q.lastProgress["sources"][0]["endOffset"]))
+        deadline = time.time() + 30
+        while not q.recentProgress and time.time() < deadline:  # reported a little behind the batch
+            time.sleep(0.2)
+        progress.append(" ".join(str(p["sources"][0]["endOffset"]) for p in q.recentProgress))
         q.stop()
 
     put(folder, range(11))
