@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from spanweave.session import ship_package
 
 #: Words of the dictionary in one trie, words looked up in one, and lengths that share blocks.
-BLOCK, CHUNK, BAND = 20_000, 5_000, 4
+BLOCK, CHUNK, BAND = 20_000, 500, 4
 _OTHER = ""
 
 
@@ -138,6 +138,9 @@ def within_edits(words: DataFrame, dictionary: DataFrame, max_dist: int, min_len
         return pd.DataFrame(rows, columns=["word", "entry", "distance", "error"]).astype({"distance": "Int64"})
 
     keys = ["band", "b", "c"]
+    # few bytes, but much work: a number that is asked for isn't cut down to fit the bytes
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = left.repartition(parts, *keys), right.repartition(parts, *keys)
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "word string, entry string, distance bigint, error string")
     bad = found.where("error is not null").distinct()
     good = found.where("error is null")
