@@ -7,7 +7,7 @@ neighbours is a lag over them. Texts without a pair of neighbours or paragraphs,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -206,9 +206,39 @@ def adjacent(tokens: DataFrame) -> DataFrame:
     return rows_of(wide.withColumns(zeros), [*value, "CRFCWO1d", "SYNLE"])
 
 
-def all_pairs(tokens: DataFrame, block: int = 256) -> DataFrame:
+#: Cells of a sentence by word matrix that is multiplied as a whole; a document with more is counted through the sentences of each word.
+DENSE = 1 << 22
+
+
+def _meetings(left: list[np.ndarray], right: list[np.ndarray], n_codes: int, dense: int) -> Callable[[np.ndarray], np.ndarray]:
+    """For given rows, how many codes each left row has in common with every right row. Codes of a row are distinct."""
+    if max(len(left), len(right)) * n_codes <= dense:
+
+        def matrix(rows: list[np.ndarray]) -> np.ndarray:
+            m = np.zeros((len(rows), max(n_codes, 1)), np.float32)
+            m[np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)] = 1
+            return m
+
+        a, b = matrix(left), matrix(right)
+        return lambda rows: a[rows] @ b.T
+    codes = np.concatenate(right)
+    order = np.argsort(codes, kind="stable")
+    holders = np.repeat(np.arange(len(right)), [len(r) for r in right])[order]
+    starts = np.searchsorted(codes[order], np.arange(n_codes + 1))
+
+    def count(rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), len(right)), np.float32)
+        for k, i in enumerate(rows):
+            for c in left[i]:
+                out[k, holders[starts[c] : starts[c + 1]]] += 1
+        return out
+
+    return count
+
+
+def all_pairs(tokens: DataFrame, block: int = 256, dense: int = DENSE) -> DataFrame:
     """Indices over all pairs of a document's sentences, and the syntax similarity of all pairs of its paragraphs, each the union of its sentences'
-    nodes. A document is one task; of its pairs `block` rows are held at once."""
+    nodes. A document is one task; of its pairs `block` rows are held at once, and memory grows with its words, not with sentences times words."""
     s = gathered(tokens).select("doc_id", "n", "para", _pick("text", *NOUNS).alias("nouns"), _pick("lemma", *NOUNS).alias("stems"), _pick("text", "PRON").alias("prons"), _pick("lemma", *CONTENT).alias("content"),
                                _nodes().alias("syntax"))
     labels = ["CRFNOa", "CRFAOa", "CRFSOa", "CRFCWOa", "CRFCWOad", "SYNSTRUTt"]
@@ -217,41 +247,35 @@ def all_pairs(tokens: DataFrame, block: int = 256) -> DataFrame:
         group = group.sort_values("n")
         size, para = len(group), group["para"].to_numpy()
 
-        def matrix(*columns: str) -> list[np.ndarray]:
+        def coded(*columns: str) -> tuple[list[list[np.ndarray]], int]:
             codes: dict[str, int] = {}
-            for c in columns:
-                for row in group[c]:
-                    for w in row:
-                        codes.setdefault(w, len(codes))
-            out = []
-            for c in columns:
-                lengths = [len(r) for r in group[c]]
-                m = np.zeros((size, max(len(codes), 1)), np.float32)
-                m[np.repeat(np.arange(size), lengths), [codes[w] for r in group[c] for w in r]] = 1
-                out.append(m)
-            return out
-
-        (nouns,), (stems, content), (prons,), (syntax,) = matrix("nouns"), matrix("stems", "content"), matrix("prons"), matrix("syntax")
-        n_content = content.sum(1)
+            out = [[np.array(sorted({codes.setdefault(w, len(codes)) for w in row}), np.int64) for row in group[c]] for c in columns]
+            return out, len(codes)
+
+        ((nouns,), n1), ((stems, content), n2), ((prons,), n3), ((syntax,), n4) = coded("nouns"), coded("stems", "content"), coded("prons"), coded("syntax")
+        shared = [_meetings(a, b, n, dense) for a, b, n in ((nouns, nouns, n1), (stems, stems, n2), (prons, prons, n3), (stems, content, n2), (content, content, n2))]
+        n_content = np.array([len(r) for r in content], np.float32)
         sums, pairs = np.zeros(5), 0
         for at in range(0, size, block):
             rows = np.arange(at, min(at + block, size))
             later = np.arange(size)[None, :] > rows[:, None]
-            over = content[rows] @ content.T
+            noun, stem, pron, reach, over = [f(rows) for f in shared]
             either = n_content[rows][:, None] + n_content[None, :] - over
             share = np.divide(over, either, out=np.zeros_like(over), where=either > 0)[later].astype(np.float64)
-            binary = [(nouns[rows] @ nouns.T > 0)[later], ((stems[rows] @ stems.T > 0) | (prons[rows] @ prons.T > 0))[later], (stems[rows] @ content.T > 0)[later]]
+            binary = [(noun > 0)[later], ((stem > 0) | (pron > 0))[later], (reach > 0)[later]]
             sums[:5] += [*[b.sum() for b in binary], share.sum(), (share**2).sum()]
             pairs += int(later.sum())
-        numbers = np.unique(para, return_inverse=True)[1]
-        united = np.zeros((int(numbers.max()) + 1, syntax.shape[1]), np.float32)
-        np.maximum.at(united, numbers, syntax)
-        n_nodes, alike, across = united.sum(1), 0.0, len(united) * (len(united) - 1) // 2
-        for at in range(0, len(united), block):
-            rows = np.arange(at, min(at + block, len(united)))
-            same = united[rows] @ united.T
+        united: dict[int, set[int]] = {}
+        for p, row in zip(para, syntax, strict=True):
+            united.setdefault(p, set()).update(row)
+        nodes = [np.array(sorted(u), np.int64) for u in united.values()]
+        alike, across, same_nodes = 0.0, len(nodes) * (len(nodes) - 1) // 2, _meetings(nodes, nodes, n4, dense)
+        n_nodes = np.array([len(u) for u in nodes], np.float32)
+        for at in range(0, len(nodes), block):
+            rows = np.arange(at, min(at + block, len(nodes)))
+            same = same_nodes(rows)
             either = np.maximum(n_nodes[rows][:, None] + n_nodes[None, :] - same, 1)
-            alike += (same / either)[np.arange(len(united))[None, :] > rows[:, None]].astype(np.float64).sum()
+            alike += (same / either)[np.arange(len(nodes))[None, :] > rows[:, None]].astype(np.float64).sum()
         mean = sums[:4] / pairs if pairs else [None] * 4
         values = [*mean, float(np.sqrt(max(sums[4] / pairs - mean[3] ** 2, 0))) if pairs else None, alike / across if across else 0.0]
         return pd.DataFrame([[group["doc_id"].iloc[0], *values]], columns=["doc_id", *labels])

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanweave.operators.folds import ordered_fold
+
 SENTENCE = r"[^.!?]*[.!?]+|[^.!?]+$"
 TOKEN = r"[^ \t\n\r]+|[ \t\n\r]+"
 #: Spans are binned for range joins, so a document of any length is many join keys.
@@ -60,11 +62,20 @@ def first_container(outer: DataFrame, inner: DataFrame) -> DataFrame:
     return contained(outer, inner).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def _binned(layer: DataFrame, side: str) -> DataFrame:
+    spans = layer.select(*[F.col(c).alias(f"{side}_{c}") for c in layer.columns])
+    begin, end = F.col(f"{side}_begin"), F.col(f"{side}_end")
+    return spans.withColumn("_bin", F.explode(F.sequence(F.floor(begin / BIN), F.floor(F.greatest(end - 1, begin) / BIN))))
+
+
 def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Half-open overlaps with their length."""
-    x, y = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns]), b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
-    joined = x.join(y, (x["a_doc_id"] == y["b_doc_id"]) & (x["a_begin"] < y["b_end"]) & (y["b_begin"] < x["a_end"]))
-    return joined.withColumn("overlap", F.least("a_end", "b_end") - F.greatest("a_begin", "b_begin"))
+    """Half-open overlaps with their length: an equi-join on document and bin, each pair in the bin where the later of the two begins. Spans without
+    a begin or an end meet none."""
+    x, y = _binned(a, "a"), _binned(b, "b")
+    met = (x["a_doc_id"] == y["b_doc_id"]) & (x["_bin"] == y["_bin"]) & (x["a_begin"] < y["b_end"]) & (y["b_begin"] < x["a_end"])
+    begin = F.greatest("a_begin", "b_begin")
+    joined = x.join(y, met & (x["_bin"] == F.floor(begin / BIN))).drop("_bin")
+    return joined.withColumn("overlap", F.least("a_end", "b_end") - begin)
 
 
 def close_gaps(layer: DataFrame, length: Column) -> DataFrame:
@@ -78,20 +89,28 @@ def clip(layer: DataFrame, length: Column) -> DataFrame:
 
 
 def longest_of_overlaps(layer: DataFrame, score: str = "score", kind: str = "type") -> DataFrame:
-    """Dedupe on (begin, end, type) by best score, then keep the longest of overlapping spans: an ordered fold a document."""
+    """Dedupe on (begin, end, type) by best score, then keep the longest of overlapping spans, of equal ones the first: a stream in a document's order
+    that holds one span."""
     best = layer.groupBy("doc_id", "begin", "end", kind).agg(F.max(score).alias(score))
-    spans = best.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("begin", (-F.col("end")).alias("minus_end"), F.col(kind).alias("kind"), F.col(score).alias("score")))).alias("s"))
-    empty = F.slice("s", 1, 0)
-    clash = lambda acc, x: F.get(acc, F.size(acc) - 1)
+    rows = best.select("doc_id", "begin", "end", kind, score, (-F.col("end")).alias("_minus_end"))
+
+    class Longest:
+        def __init__(self):
+            self.last = None
 
-    def step(acc: Column, x: Column) -> Column:
-        last = clash(acc, x)
-        over = (F.size(acc) > 0) & (x["begin"] < -last["minus_end"])
-        longer = (-x["minus_end"] - x["begin"]) > (-last["minus_end"] - last["begin"])
-        return F.when(~over, F.concat(acc, F.array(x))).when(longer, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x))).otherwise(acc)
+        def take(self, begin, end, *more):
+            last = self.last
+            if last is None or begin >= last[1]:
+                self.last = (begin, end, *more)
+                return [] if last is None else [last]
+            if end - begin > last[1] - last[0]:
+                self.last = (begin, end, *more)
+            return []
 
-    kept = spans.select("doc_id", F.explode(F.aggregate("s", empty, step)).alias("x"))
-    return kept.select("doc_id", F.col("x.begin").alias("begin"), (-F.col("x.minus_end")).alias("end"), F.col("x.kind").alias(kind), F.col("x.score").alias(score))
+        def end(self):
+            return [self.last]
+
+    return ordered_fold(rows, ["doc_id"], ["begin", "_minus_end", kind, score], ["begin", "end", kind, score], Longest, best.select("begin", "end", kind, score).schema)
 
 
 def fixed_chunks(layer: DataFrame, length: Column, size: int, id_col: str = "doc_id") -> DataFrame:
@@ -116,13 +135,21 @@ def redact(text: Column, spans: Column, placeholder: str = "<REDACTED>") -> Colu
 
 
 def pack_consecutive(layer: DataFrame, size: int) -> DataFrame:
-    """Greedy packing of consecutive spans into chunks of at most `size` characters: a running sum with reset, as a fold."""
-    spans = layer.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.char_length("piece").alias("n")))).alias("s"))
-    zero = F.struct(F.array().cast("array<struct<pos:int,chunk:int>>").alias("out"), F.lit(0).alias("chunk"), F.lit(0).alias("held"))
+    """Greedy packing of consecutive spans into chunks of at most `size` characters: a running sum with reset, as a stream in a document's order."""
+    rows = layer.select("doc_id", "pos", F.char_length("piece").alias("_n"))
+
+    class Pack:
+        def __init__(self):
+            self.chunk, self.held, self.any = 0, 0, False
+
+        def take(self, pos, n):
+            n = n or 0
+            if self.any and self.held + n > size:
+                self.chunk, self.held = self.chunk + 1, 0
+            self.held, self.any = self.held + n, True
+            return [(pos, self.chunk)]
 
-    def step(a: Column, x: Column) -> Column:
-        fits = (a["held"] + x["n"] <= size) | (F.size(a["out"]) == 0)
-        chunk = F.when(fits, a["chunk"]).otherwise(a["chunk"] + 1)
-        return F.struct(F.concat(a["out"], F.array(F.struct(x["pos"].alias("pos"), chunk.alias("chunk")))).alias("out"), chunk.alias("chunk"), F.when(fits, a["held"] + x["n"]).otherwise(x["n"]).alias("held"))
+        def end(self):
+            return []
 
-    return spans.select("doc_id", F.explode(F.aggregate("s", zero, step, lambda a: a["out"])).alias("x")).select("doc_id", "x.pos", "x.chunk")
+    return ordered_fold(rows, ["doc_id"], ["pos", "_n"], ["pos", "_n"], Pack, rows.select("pos", F.lit(0).alias("chunk")).schema)

@@ -121,3 +121,30 @@ def compression_ratio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.float64())], ["doc_id", "value"])
 
     return rows.mapInArrow(run, "doc_id bigint, value double")
+
+
+#: Arabic short vowels, letters that lengthen them, doubled and nunated marks, all marks, and the letters of classical words.
+_SHORT, _LONG, _STRESS, _MARKS = "َُِ", "اوي", "ًٌٍّ", "ً-ٓٗ٘"
+_CLASSICAL = "[ئءؤذظ]|وا|ون"
+
+
+def _arabic_syllables(text: Column) -> Column:
+    """Short vowels once, lengthened, doubled and nunated ones twice; without marks the letters that are neither alef nor punctuation, less two."""
+    many = lambda p: F.size(F.regexp_extract_all(text, F.lit(p), 0))
+    long = many(f"[{_SHORT}][^\\p{{L}}\\p{{N}}_\\s'{_MARKS}]*[{_LONG}]")
+    short = many(f"[{_SHORT}]") - long
+    bare = F.char_length(F.regexp_replace(text, "[اى?.!,\\s*]", "")) - 2
+    return F.when(short == 0, bare).otherwise(short) + 2 * (long + many(f"[{_STRESS}]"))
+
+
+def osman(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, value): Osman's readability of Arabic, of each text with a word; words lie between blanks. No shuffle."""
+    t = F.coalesce(text_col, F.lit(""))
+    d = docs.select(F.col(id_col).alias("doc_id"), t.alias("t"), F.explode(F.array(F.filter(F.split(t, "\\s+"), lambda w: w != ""))).alias("ws")).where("size(ws) > 0")
+    many = lambda f: F.size(F.filter("ws", f))
+    long = many(lambda w: F.char_length(F.regexp_replace(F.regexp_replace(w, f"[{_MARKS}]", ""), "[^\\p{L}\\p{N}_]", "")) > 5)
+    complex_ = many(lambda w: F.size(F.regexp_extract_all(w, F.lit("[ً-ّ]"), 0)) > 5)
+    classical = many(lambda w: (_arabic_syllables(w) > 5) & w.rlike(_CLASSICAL))
+    s = F.greatest(F.size(F.regexp_extract_all("t", F.lit("[.!?]+"), 0)), F.lit(1))
+    of = (complex_ + long + _arabic_syllables(F.col("t")) + classical) / F.size("ws")
+    return d.select("doc_id", (200.791 - 1.015 * (F.size("ws") / s) - 24.181 * of).alias("value"))

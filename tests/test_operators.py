@@ -41,8 +41,8 @@ def values_of(df):
 
 
 def test_all_pairs_of_sentences(spark, tokens):
-    for block in (256, 3):
-        got = values_of(cohesion.all_pairs(tokens, block))
+    for block, dense in ((256, cohesion.DENSE), (3, cohesion.DENSE), (3, 0), (256, 40)):
+        got = values_of(cohesion.all_pairs(tokens, block, dense))
         for doc, sents in sentences(tokens).items():
             found = {k: [] for k in ("CRFNOa", "CRFAOa", "CRFSOa", "CRFCWOa", "SYNSTRUTt")}
             for (_, a), (_, b) in combinations(sents.items(), 2):
