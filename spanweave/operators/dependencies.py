@@ -75,3 +75,10 @@ def syntactic_complexity(words: DataFrame) -> DataFrame:
     ratios = {"MLC": ("W", "C"), "MLS": ("W", "S"), "MLT": ("W", "T")} | {f"{a}/{b}": (a, b) for a, b in (("C", "S"), ("C", "T"), ("CT", "T"), ("DC", "C"), ("DC", "T"), ("CP", "C"), ("CP", "T"), ("T", "S"), ("CN", "C"), ("CN", "T"), ("VP", "T"))}
     rows = F.array(*[F.struct(F.lit(k).alias("label"), F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0)).alias("value")) for k, (a, b) in ratios.items()])
     return d.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*")
+
+
+def arc_nodes(arcs: DataFrame, tokens: DataFrame, node: str = "dependent") -> DataFrame:
+    """Each arc with the token that its column `node` (governor or dependent) refers to by id: columns node_* of the token, null for an arc that refers to
+    none, as a root's governor does."""
+    met = tokens.select(*[F.col(c).alias(c if c in KEYS else node if c == "id" else f"node_{c}") for c in tokens.columns])
+    return arcs.join(met, [*KEYS, node], "left")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spanweave.functions import metrics
 from spanweave.operators import matching, scoring, spans
-from spanweave.plans import indices, measures, relations  # noqa: F401 - they register their queries
+from spanweave.plans import indices, lexical, measures, relations  # noqa: F401 - they register their queries
 from spanweave.plans.queries import ORACLE, QUERIES
 from spanweave.sources import documents
 from spanweave.streaming import events
