@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from spanweave.llm.support import Workspace, components, tidied, words
 from spanweave.session import ship_package
+from spanweave.workspace import dealt
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 #: Hashes handled at once: bounds the memory a very long text takes.
@@ -132,10 +133,10 @@ def apart_pairs(rows: DataFrame, prints: DataFrame, n_words: int, radius: int) -
     partners, so a large component costs nothing by itself.
     """
     tops = rows.groupBy("key").agg(F.min(F.struct("node", "comp"))["comp"].alias("top"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    mixed = rows.join(tops.where("low <> high").select("key", "top"), "key").join(prints, "node")
+    mixed = rows.join(dealt(tops.where("low <> high").select("key", "top")), "key").join(dealt(prints), "node")
     apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp"))
     once = (F.col("b.comp") == F.col("b.top")) | (F.col("a.node") < F.col("b.node"))
-    met = mixed.where("comp <> top").alias("a").join(mixed.alias("b"), apart & once & (distance("a.fp", "b.fp", n_words) <= radius))
+    met = mixed.where("comp <> top").alias("a").join(dealt(mixed.alias("b")), apart & once & (distance("a.fp", "b.fp", n_words) <= radius))
     return met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
 
@@ -156,12 +157,12 @@ def near_links(space: Workspace, classes: DataFrame, n_words: int, per_word: int
     index = variant_index(classes, segments_of(n_words, per_word), "node")
     prints = classes.select("node", "fp")
     held = index.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
-    shared = space.write(index.join(held, "key"), "shared")
+    shared = space.write(index.join(dealt(held), "key"), "shared")
     met = shared.where("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    met = met.join(prints.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(prints.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
+    met = met.join(dealt(prints.select(F.col("node").alias("a"), F.col("fp").alias("fa"))), "a").join(dealt(prints.select(F.col("node").alias("b"), F.col("fp").alias("fb"))), "b")
     links = space.write(met.where(distance("fa", "fb", n_words) <= radius).select("a", "b"), "links")
     placed = space.write(components(space, links).select("node", F.col("component").alias("comp")), "placed")
-    rest = shared.where("n > 2").select("key", "node").join(placed, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rest = shared.where("n > 2").select("key", "node").join(dealt(placed), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     pairs = space.write(apart_pairs(rest, prints, n_words, radius), "pairs")
     space.drop(shared)
     return links.union(pairs)
@@ -177,10 +178,10 @@ def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     classes = space.write(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
     links = near_links(space, classes.select(F.col("fp").alias("node"), F.array("fp").alias("fp")), 1, 2, radius)
     reached = components(space, links)
-    placed = classes.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    placed = classes.join(dealt(reached.withColumnRenamed("node", "fp")), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = placed.join(least, "component").select("fp", "component_id")
-    return prints.join(found, "fp").select("id", "fp", F.col("component_id").alias("component"))
+    found = placed.join(dealt(least), "component").select("fp", "component_id")
+    return prints.join(dealt(found), "fp").select("id", "fp", F.col("component_id").alias("component"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

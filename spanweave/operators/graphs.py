@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanweave.operators import spans
-from spanweave.workspace import Workspace
+from spanweave.workspace import Workspace, dealt
 
 
 def components(space: Workspace, links: DataFrame) -> DataFrame:
@@ -28,9 +28,9 @@ def components(space: Workspace, links: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(dealt(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(dealt(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = space.write(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         space.drop(edges)
         edges, was, before = after, before, print_of(after)

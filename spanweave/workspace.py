@@ -24,6 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + context._spanweave_shared
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The side of a join that grows with the input: both are dealt over the tasks. Spark takes written tables for small by their packed size and
+    would gather them in the driver, where a row takes many times that."""
+    return df.hint("merge")
+
+
 class Workspace:
     """Written tables of one operator's run."""
 

@@ -359,3 +359,13 @@ def test_equal_fingerprints_are_verified(spark, monkeypatch):
 def test_every_sentence_end_is_a_candidate():
     at, penalty = packing.candidates(np.array([100]), np.array([3, 7, 9, 40, 41]), 100)
     assert at[penalty == packing.SENTENCE].tolist() == [3, 7, 9, 40, 41]
+
+
+def test_simhash_sends_no_table_whole(spark, nasty, monkeypatch):
+    """Tables that grow with the input are dealt over the tasks, small as they are here."""
+    plans, write = [], Workspace.write
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(Workspace, "write", lambda self, df, name: (plan(df), write(self, df, name))[1])
+    plan(simhash.simhash_components(spark, nasty))
+    assert sum("Join" in p for p in plans) > 3
+    assert not [p for p in plans if "Broadcast" in p]
