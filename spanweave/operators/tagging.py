@@ -6,8 +6,9 @@ Rows: (doc_id, para, sent, pos, text, lemma, pos_coarse, tag, dep_type, is_punct
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Letters with their marks, digits, and the punctuation inside a sentence.
@@ -36,17 +37,45 @@ DEP = f"""CASE WHEN {_among(NEG)} THEN 'NEG' WHEN pos_coarse = 'VERB' AND verb_n
  WHEN pos_coarse = 'ADP' THEN 'PREP' WHEN pos_coarse = 'CCONJ' THEN 'CC' ELSE 'DEP' END"""
 
 
-def rule_tokens(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text). Paragraphs are lines with a letter of any script, sentences with one end in marks; both are numbered from 0 within the document."""
+#: The same classes, with one look into the set of all closed words in place of one into each.
+_CLOSED = " ".join([", ; :", DET, PRON, ADP, CCONJ, NEG, "to"])
+_CLASS = f"CASE WHEN {_among(_CLOSED)} THEN {COARSE} ELSE CASE WHEN substring(text, 1, 1) BETWEEN '0' AND '9' THEN 'NUM'" + COARSE[COARSE.index(" WHEN text LIKE '%ly'") :] + " END"
+_VERB = f"{_CLASS} = 'VERB'"
+#: The fields of a token but for its place, text and part of speech. verb_no = 1 at a sentence's first verb alone, whose place is `root_at`.
+_FIELDS = {"lemma": LEMMA, "tag": TAG, "dep_type": DEP.replace("verb_no = 1", "pos = root_at"), "is_punct": "text IN (',', ';', ':')", "tense": TENSE}
+FIELDS = ("pos", "text", "lemma", "pos_coarse", "tag", "dep_type", "is_punct", "tense")
+
+
+def _words(docs: DataFrame) -> DataFrame:
+    """A row a sentence: (doc_id, n, para, sent, ts), ts its tokens' texts. Arrays come out of an explode, so that each is made once."""
     lower = F.lower(F.coalesce("text", F.lit("")))
-    paras = docs.select("doc_id", F.explode(F.array(F.filter(F.split(lower, "\n"), lambda x: x.rlike(LETTER)))).alias("ps"))
-    paras = paras.select("doc_id", F.posexplode("ps").alias("para", "p"))
-    sents = paras.select("doc_id", "para", F.explode(F.array(F.filter(F.split("p", "[.!?]+"), lambda x: x.rlike(LETTER)))).alias("ss")).select("doc_id", "para", F.posexplode("ss").alias("sent", "s"))
-    each = sents.select("doc_id", "para", "sent", F.posexplode(F.regexp_extract_all("s", F.lit(TOKEN), 0)).alias("pos", "text"))
-    each = each.select("*", F.expr(COARSE).alias("pos_coarse"), F.expr(TAG).alias("tag"), F.expr(TENSE).alias("tense"), F.expr(LEMMA).alias("lemma"))
-    sentence = W.partitionBy("doc_id", "para", "sent").orderBy("pos")
-    each = each.withColumn("verb_no", F.sum(F.when(F.col("pos_coarse") == "VERB", 1).otherwise(0)).over(sentence.rowsBetween(W.unboundedPreceding, 0)))
-    return each.select("doc_id", "para", "sent", "pos", "text", "lemma", "pos_coarse", "tag", F.expr(DEP).alias("dep_type"), (F.col("pos_coarse") == "PUNCT").alias("is_punct"), "tense")
+    lettered = lambda parts: F.filter(parts, lambda x: x.rlike(LETTER))
+    within = lambda p, i: F.transform(lettered(F.split(p, "[.!?]+")), lambda s, j: F.struct(i.alias("para"), j.alias("sent"), s.alias("s")))
+    sents = docs.select("doc_id", F.posexplode(F.flatten(F.transform(lettered(F.split(lower, "\n")), within))).alias("n", "x"))
+    return sents.select("doc_id", (F.col("n") + 1).alias("n"), "x.para", "x.sent", F.explode(F.array(F.regexp_extract_all("x.s", F.lit(TOKEN), 0))).alias("ts"))
+
+
+def rule_sentences(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """docs (doc_id, text) -> a row a sentence: (doc_id, n, para, sent, toks), n its number in the document from 1, toks the named fields of its tokens. Paragraphs
+    are lines with a letter of any script, sentences with one end in marks; both are numbered from 0 within the document. The sentences of a document are
+    made out of its row, lie together and come in order; nothing is shuffled. A doc_id is one row's."""
+    keys = ["doc_id", "n", "para", "sent"]
+    classed = F.transform("ts", lambda text, pos: F.struct(pos.alias("pos"), text.alias("text")))
+    if {"pos_coarse", "dep_type"} & {*fields}:
+        classed = F.expr(f"transform(ts, (text, pos) -> named_struct('pos', pos, 'text', text, 'pos_coarse', {_CLASS}))")
+    each = _words(docs).select(*keys, F.explode(F.array(classed)).alias("classed"))
+    if "dep_type" in fields:
+        each = each.withColumn("root_at", F.array_position(F.col("classed.pos_coarse"), "VERB").cast("int") - 1)
+    given = {k: re.sub(r"\b(text|pos_coarse|pos)\b", r"t.\1", _FIELDS.get(k, k)) for k in fields}
+    return each.select(*keys, F.expr("transform(classed, t -> named_struct(" + ", ".join(f"'{k}', {v}" for k, v in given.items()) + "))").alias("toks"))
+
+
+def rule_tokens(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> a row a token, made out of the document's row."""
+    rooted = _words(docs).withColumn("root_at", F.array_position(F.expr(f"transform(ts, text -> {_VERB})"), True).cast("int") - 1)
+    each = rooted.select("doc_id", "para", "sent", "root_at", F.posexplode("ts").alias("pos", "text"))
+    each = each.withColumn("pos_coarse", F.expr(COARSE))
+    return each.select("doc_id", "para", "sent", *[F.expr(_FIELDS.get(k, k)).alias(k) for k in FIELDS])
 
 
 #: The same rows in DuckDB, as the table `tok`.
