@@ -8,14 +8,18 @@ neighbours is a lag over them. Texts without a pair of neighbours or paragraphs,
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from spanweave.functions.metrics import jaccard, normalised_levenshtein, syllables
+from spanweave.operators.lookup import lookup
 from spanweave.operators.matching import phrases
 
 NOUNS, CONTENT = ("NOUN", "PROPN"), ("NOUN", "VERB", "ADJ", "ADV")
@@ -47,7 +51,10 @@ def not_computed(docs: DataFrame) -> DataFrame:
 
 
 def gathered(tokens: DataFrame) -> DataFrame:
-    """A row a sentence: (doc_id, para, sent, toks array of structs in order, n number of the sentence in its document from 1)."""
+    """A row a sentence: (doc_id, para, sent, toks array of structs in order, n number of the sentence in its document from 1). Sentence rows, as a tagger
+    makes them out of a document's row, are taken as they are, without a shuffle."""
+    if "toks" in tokens.columns:
+        return tokens
     fields = [c for c in ("pos", "text", "lemma", "pos_coarse", "tag", "dep_type", "is_punct", "tense") if c in tokens.columns]
     each = tokens.groupBy("doc_id", "para", "sent").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("toks"))
     return each.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("para", "sent")))
@@ -68,11 +75,12 @@ def _field(name: str) -> Column:
 
 
 def descriptive(tokens: DataFrame) -> DataFrame:
-    words = F.filter("toks", lambda t: ~t["is_punct"])
-    s = tokens.groupBy("doc_id", "para", "sent").agg(F.collect_list(F.struct("text", "is_punct")).alias("toks")).select("doc_id", "para", F.explode(F.array(words)).alias("ws"))
-    total = lambda f: F.aggregate("ws", F.lit(0), lambda a, t: a + f(t)).cast("double")
-    letters, sylls = lambda t: F.char_length(F.regexp_replace(t["text"], r"[^\p{L}]", "")), lambda t: syllables(t["text"])
-    s = s.select("doc_id", "para", F.size("ws").alias("w"), total(letters).alias("l"), total(lambda t: letters(t) * letters(t)).alias("l2"), total(sylls).alias("y"), total(lambda t: sylls(t) * sylls(t)).alias("y2"))
+    """Sums of whole numbers a sentence: tokens of one part of the rows are added up before anything is shuffled."""
+    word = ~F.col("is_punct")
+    letters, sylls = F.char_length(F.regexp_replace("text", r"[^\p{L}]", "")), syllables(F.col("text"))
+    each = tokens.select("doc_id", "para", "sent", word.cast("int").alias("w"), F.when(word, letters).otherwise(0).alias("l"), F.when(word, sylls).otherwise(0).alias("y"))
+    sums = [F.sum(c).cast("double").alias(k) for k, c in {"l": F.col("l"), "l2": F.col("l") * F.col("l"), "y": F.col("y"), "y2": F.col("y") * F.col("y")}.items()]
+    s = each.groupBy("doc_id", "para", "sent").agg(F.sum("w").alias("w"), *sums)
     p = s.groupBy("doc_id", "para").agg(F.count("*").alias("k"), *[F.sum(c).alias(c) for c in ("w", "l", "l2", "y", "y2")], F.sum(F.col("w") * F.col("w")).alias("w2"))
     d = p.groupBy("doc_id").agg(F.count("*").alias("DESPC"), F.sum("k").alias("DESSC"), F.sum("w").alias("DESWC"), F.avg("k").alias("DESPL"), F.stddev_pop("k").alias("DESPLd"), *[F.sum(c).alias(c) for c in ("l", "l2", "y", "y2", "w2")])
 
@@ -129,13 +137,21 @@ def densities(tokens: DataFrame, lang: str = "en") -> DataFrame:
     return rows_of(d, labels)
 
 
+#: Phrases up to which a lexicon is sent to every task.
+LISTED = 20_000
+
+
 def incidences(tokens: DataFrame, lexicon: DataFrame, most: int = 4) -> DataFrame:
     """(doc_id, label, value): phrases of a lexicon (label, phrase), of at most `most` words, a 1000 words: connectives (CNC*) and causal or
     intentional verbs and particles (SM*). An equi-join on the n-gram of the words of a sentence."""
     words = F.transform(F.filter("toks", lambda t: ~t["is_punct"]), lambda t: F.lower(t["text"]))
     s = gathered(tokens).select("doc_id", F.array_join(words, " ").alias("text"), F.size(words).alias("w"))
     sizes = s.groupBy("doc_id").agg(F.sum("w").alias("w"))
-    found = phrases(s, most).join(lexicon.select("label", F.lower("phrase").alias("phrase")).distinct(), "phrase").groupBy("doc_id", "label").agg(F.count("*").alias("n"))
+    lists = lexicon.select("label", F.lower("phrase").alias("phrase")).distinct()
+    # lists written by hand go to the texts, so that no n-gram is shuffled; only a longer one is met by a shuffle of the n-grams
+    if lists.limit(LISTED + 1).count() <= LISTED:
+        lists = F.broadcast(lists)
+    found = phrases(s, most).join(lists, "phrase").groupBy("doc_id", "label").agg(F.count("*").alias("n"))
     labels = lexicon.agg(F.sort_array(F.collect_set("label")).alias("labels"))  # one row
     every = sizes.crossJoin(F.broadcast(labels)).select("doc_id", "w", F.explode("labels").alias("label"))
     wide = every.join(found, ["doc_id", "label"], "left").select("doc_id", "label", (1000 * F.coalesce("n", F.lit(0)) / F.nullif("w", F.lit(0))).alias("value"))
@@ -146,12 +162,17 @@ def situation(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """SMCAUSv, SMCAUSvp and SMINTEp, incidences a 1000 words, and the ratios of particles to verbs SMCAUSr and SMINTEr, 0 without a verb. lexicon (kind, word) has
     the kinds causal_verb and intentional_verb, whose words are lemmas that count for verbs alone, and causal_particle and
     intentional_particle, whose words are forms of any part of speech."""
-    rows = lexicon.select("kind", F.lower("word").alias("word")).distinct()
-    flags = lambda end: rows.where(F.col("kind").endswith(end)).groupBy("word").agg(*[F.max(F.col("kind") == f"{k}_{end}").alias(f"{k}_{end}") for k in ("causal", "intentional")])
-    t = tokens.select("doc_id", "is_punct", F.when(F.col("pos_coarse") == "VERB", F.lower("lemma")).alias("lemma"), F.lower("text").alias("form"))
-    t = t.join(flags("verb").withColumnRenamed("word", "lemma"), "lemma", "left").join(flags("particle").withColumnRenamed("word", "form"), "form", "left")
+    lists = lexicon.select("kind", F.lower("word").alias("word")).distinct()
+    flags = lambda end: lists.where(F.col("kind").endswith(end)).groupBy("word").agg(*[F.max(F.col("kind") == f"{k}_{end}").alias(f"{k}_{end}") for k in ("causal", "intentional")])
+    # words are counted a document before they are looked up; what is no verb has no lemma and meets no list
+    def met(words: Column, end: str) -> DataFrame:
+        counts = tokens.select("doc_id", words.alias("word")).where("word is not null").groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+        return counts.join(flags(end), "word").select("doc_id", *[F.when(F.col(f"{k}_{end}"), F.col("n")).alias(f"{k}_{end}") for k in ("causal", "intentional")])
+
     kinds = [f"{k}_{end}" for k in ("causal", "intentional") for end in ("verb", "particle")]
-    d = t.groupBy("doc_id").agg(F.count_if(~F.col("is_punct")).alias("w"), *[F.count_if(k).alias(k) for k in kinds])
+    sizes = tokens.groupBy("doc_id").agg(F.count_if(~F.col("is_punct")).alias("w"))
+    rows = sizes.unionByName(met(F.when(F.col("pos_coarse") == "VERB", F.lower("lemma")), "verb"), allowMissingColumns=True).unionByName(met(F.lower("text"), "particle"), allowMissingColumns=True)
+    d = rows.groupBy("doc_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("w", *kinds)])
     per = lambda n: 1000 * n / F.nullif("w", F.lit(0))
     part = lambda k: F.coalesce(F.col(f"{k}_particle") / F.nullif(f"{k}_verb", F.lit(0)), F.lit(0.0))
     wide = d.select("doc_id", per(F.col("causal_verb")).alias("SMCAUSv"), per(F.col("causal_verb") + F.col("causal_particle")).alias("SMCAUSvp"), per(F.col("intentional_verb")).alias("SMINTEp"), part("causal").alias("SMCAUSr"), part("intentional").alias("SMINTEr"))
@@ -167,14 +188,16 @@ def ratio(found: DataFrame, label: str, over: str, under: str) -> DataFrame:
 def word_means(tokens: DataFrame, norms: DataFrame, measures: dict[str, str], coarse: tuple[str, ...] = CONTENT) -> DataFrame:
     """Means of norms (word, measures...) over the words of some parts of speech that have a rating: age of acquisition, familiarity,
     concreteness, imagery, meaningfulness, polysemy, hypernymy. measures: label -> column."""
-    rated = tokens.where(F.col("pos_coarse").isin(*coarse)).select("doc_id", F.lower("text").alias("word")).join(norms, "word")
-    return rows_of(rated.groupBy("doc_id").agg(*[F.avg(c).alias(k) for k, c in measures.items()]), list(measures))
+    counts = tokens.where(F.col("pos_coarse").isin(*coarse)).select("doc_id", F.lower("text").alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("times"))
+    rated = counts.join(norms, "word")
+    # words are counted a document before they are looked up
+    return rows_of(rated.groupBy("doc_id").agg(*[(F.sum(F.col(c) * F.col("times")) / F.nullif(F.sum(F.when(F.col(c).isNotNull(), F.col("times"))), F.lit(0))).alias(k) for k, c in measures.items()]), list(measures))
 
 
 def frequency_means(tokens: DataFrame, frequencies: DataFrame, floor: float = 1e-5) -> DataFrame:
     """WRDFRQ indices over a frequency list (word, f); words that it lacks count 0."""
-    each = tokens.where(~F.col("is_punct")).select("doc_id", "para", "sent", "pos_coarse", F.lower("text").alias("word")).join(frequencies, "word", "left")
-    each = each.withColumn("f", F.coalesce(F.col("f").cast("double"), F.lit(0.0)))
+    each = tokens.where(~F.col("is_punct")).select("doc_id", "para", "sent", "pos_coarse", F.lower("text").alias("word"))
+    each = lookup(each, frequencies.select("word", "f"), "word").withColumn("f", F.coalesce(F.col("f").cast("double"), F.lit(0.0)))
     log, content = F.log(F.col("f") + F.lit(floor)), F.col("pos_coarse").isin(*CONTENT)
     s = each.groupBy("doc_id", "para", "sent").agg(F.sum(F.when(content, F.col("f"))).alias("cf"), F.count_if(content).alias("cn"), F.sum(log).alias("al"), F.count("*").alias("an"), F.min(F.when(content, log)).alias("low"))
     d = s.groupBy("doc_id").agg((F.sum("cf") / F.nullif(F.sum("cn"), F.lit(0))).alias("WRDFRQc_wiki10000"), (F.sum("al") / F.sum("an")).alias("WRDFRQa_wiki10000"), F.avg("low").alias("WRDFRQmc_wiki10000"))
@@ -323,17 +346,33 @@ def _vocd(words: list[str]) -> float | None:
 
 
 def ordered_diversity(tokens: DataFrame) -> DataFrame:
-    """MTLD, the mean of both directions, and VOCD with the expectation of its samples in place of random ones. The words of a document are
-    one row; batches of rows go to the workers."""
-    words = tokens.where(~F.col("is_punct")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para", "sent", "pos", F.lower("text").alias("text")))).alias("t"))
-    words = words.select("doc_id", F.transform("t", lambda x: x["text"]).alias("ws"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            lists = [list(w) for w in b["ws"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "LDMTLDa": [(_mtld(w) + _mtld(w[::-1])) / 2 for w in lists], "LDVOCDa": pd.Series([_vocd(w) for w in lists], dtype="float64")})
-
-    return rows_of(words.mapInPandas(run, f"doc_id {dict(tokens.dtypes)['doc_id']}, LDMTLDa double, LDVOCDa double"), ["LDMTLDa", "LDVOCDa"])
+    """MTLD, the mean of both directions, and VOCD with the expectation of its samples in place of random ones. The words of a document are gathered in a
+    worker: sentence rows lie together in the order of the document as they are, token rows are brought there by a shuffle."""
+    if "toks" in tokens.columns:
+        words = tokens.select("doc_id", F.expr("transform(filter(toks, t -> NOT t.is_punct), t -> lower(t.text))").alias("ws"), (F.col("n") == 1).alias("first"))
+    else:
+        words = tokens.where(~F.col("is_punct")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para", "sent", "pos", F.lower("text").alias("text")))).alias("t"))
+        words = words.select("doc_id", F.transform("t", lambda x: x["text"]).alias("ws"), F.lit(True).alias("first"))
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held, found = None, []
+        for batch in batches:
+            for doc, ws, first in zip(batch.column("doc_id").to_pylist(), batch.column("ws").to_pylist(), batch.column("first").to_pylist(), strict=True):
+                if first:
+                    if found:
+                        yield held, found
+                    held, found = doc, []
+                found += ws
+        if found:
+            yield held, found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = documents(batches)
+        while some := list(islice(((doc, (_mtld(ws) + _mtld(ws[::-1])) / 2, _vocd(ws)) for doc, ws in rows), 1000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], ["doc_id", "LDMTLDa", "LDVOCDa"])
+
+    kinds = [to_arrow_type(tokens.schema["doc_id"].dataType), pa.float64(), pa.float64()]
+    return rows_of(words.mapInArrow(run, f"doc_id {dict(tokens.dtypes)['doc_id']}, LDMTLDa double, LDVOCDa double"), ["LDMTLDa", "LDVOCDa"])
 
 
 def second_language(found: DataFrame, label: str = "RDL2_synstruta", syntax: str = "SYNSTRUTa") -> DataFrame:

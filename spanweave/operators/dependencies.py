@@ -56,7 +56,23 @@ MODIFIERS = ("amod", "nmod", "compound", "poss", "acl", "appos")
 
 def syntactic_complexity(words: DataFrame) -> DataFrame:
     """The 14 ratios of second-language syntactic complexity of words (doc_id, sent, id, head, upos, feats, deprel): (doc_id, label,
-    value), 0 over a zero count. Children are found by one semi-join a kind, on the sentence and the head."""
+    value), 0 over a zero count. Children are found by one semi-join a kind, on the sentence and the head; in sentence rows (doc_id, sent, ws array of
+    structs of the other fields), which are taken where they are, among the sentence's own words."""
+    if "ws" in words.columns:
+        heads = lambda kinds: F.transform(F.filter("ws", lambda w: w["deprel"].isin(*kinds)), lambda w: w["head"])
+        lists = words.select(*KEYS, "ws", F.explode(F.array(F.struct(heads(CLAUSES).alias("clauses"), heads(MODIFIERS).alias("modified")))).alias("heads"))
+        count = lambda told: F.size(F.filter("ws", told))
+        told = {
+            "W": lambda w: w["upos"] != "PUNCT",
+            "VP": lambda w: (w["upos"] == "VERB") & w["feats"].contains("VerbForm=Fin"),
+            "C": lambda w: (w["upos"] == "VERB") & w["deprel"].isin("root", *CLAUSES),
+            "DC": lambda w: (w["upos"] == "VERB") & w["deprel"].isin(*CLAUSES),
+            "T": lambda w: w["deprel"] == "root",
+            "CT": lambda w: (w["deprel"] == "root") & F.array_contains(F.col("heads.clauses"), w["id"]),
+            "CP": lambda w: w["deprel"].isin("cc", "conj"),
+            "CN": lambda w: (w["upos"] == "NOUN") & F.array_contains(F.col("heads.modified"), w["id"]),
+        }
+        return _ratios(lists.select(*KEYS, *[count(c).alias(k) for k, c in told.items()]), list(told))
     child = lambda kinds, flag: words.where(F.col("deprel").isin(*kinds)).select(*KEYS, F.col("head").alias("id")).distinct().withColumn(flag, F.lit(1))
     w = words.join(child(CLAUSES, "clause"), [*KEYS, "id"], "left").join(child(MODIFIERS, "modified"), [*KEYS, "id"], "left")
     verb, rel, root = F.col("upos") == "VERB", F.col("deprel"), F.col("deprel") == "root"
@@ -71,6 +87,10 @@ def syntactic_complexity(words: DataFrame) -> DataFrame:
         "CN": (F.col("upos") == "NOUN") & F.col("modified").isNotNull(),
     }
     sents = w.groupBy(*KEYS).agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in counts.items()])
+    return _ratios(sents, list(counts))
+
+
+def _ratios(sents: DataFrame, counts: list[str]) -> DataFrame:
     d = sents.groupBy("doc_id").agg(F.count("*").alias("S"), *[F.sum(k).alias(k) for k in counts])
     ratios = {"MLC": ("W", "C"), "MLS": ("W", "S"), "MLT": ("W", "T")} | {f"{a}/{b}": (a, b) for a, b in (("C", "S"), ("C", "T"), ("CT", "T"), ("DC", "C"), ("DC", "T"), ("CP", "C"), ("CP", "T"), ("T", "S"), ("CN", "C"), ("CN", "T"), ("VP", "T"))}
     rows = F.array(*[F.struct(F.lit(k).alias("label"), F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0)).alias("value")) for k, (a, b) in ratios.items()])
@@ -82,3 +102,10 @@ def arc_nodes(arcs: DataFrame, tokens: DataFrame, node: str = "dependent") -> Da
     none, as a root's governor does."""
     met = tokens.select(*[F.col(c).alias(c if c in KEYS else node if c == "id" else f"node_{c}") for c in tokens.columns])
     return arcs.join(met, [*KEYS, node], "left")
+
+
+def sentence_governors(sentences: DataFrame) -> DataFrame:
+    """(doc_id, sent, deprel, governor): each arc with its governor's text, null for an arc from outside the sentence. sentences (doc_id, sent, ws), whose words
+    are in the order of their ids, 1 and on: a governor is looked up in its sentence, without a join."""
+    arcs = F.transform("ws", lambda w: F.struct(w["deprel"].alias("deprel"), F.get("ws", w["head"] - 1)["text"].alias("governor")))
+    return sentences.select(*KEYS, F.inline(arcs))

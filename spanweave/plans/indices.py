@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spanweave.functions import metrics as M
 from spanweave.operators import selection, spans
+from spanweave.operators.lookup import lookup
 from spanweave.plans.queries import _SENT, _WORDS, _words, query, same
 from spanweave.session import table
 
@@ -45,7 +46,7 @@ SELECT doc_id, round(avg(rarest), 6) AS rarest_mean FROM r GROUP BY doc_id""")
 def rarest_word(spark, sf_dir):
     s = spans.sentences(table(spark, sf_dir, "documents")).select("doc_id", "pos", F.explode(F.array_distinct(_words("piece"))).alias("word"))
     counts = table(spark, sf_dir, "documents").select(F.explode(_words()).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    rarest = s.join(counts, "word", "left").groupBy("doc_id", "pos").agg(F.min(M.smoothed_log(F.coalesce("n", F.lit(0)))).alias("rarest"))
+    rarest = lookup(s, counts, "word").groupBy("doc_id", "pos").agg(F.min(M.smoothed_log(F.coalesce("n", F.lit(0)))).alias("rarest"))
     return rarest.groupBy("doc_id").agg(F.round(F.avg("rarest"), 6).alias("rarest_mean"))
 
 

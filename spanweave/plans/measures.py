@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,11 @@ def _tokens(spark, sf_dir) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _sentences(spark, sf_dir, *fields: str) -> DataFrame:
+    """The sentence rows of a folder's documents with some fields of their tokens, made out of the documents' rows."""
+    return tagging.rule_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"), fields)
+
+
 @query(_COUNTS + " " + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS label, ({f})::DOUBLE AS value, CAST(NULL AS VARCHAR) AS error FROM c" for k, f in R.FORMULAS.items()))
 def readability_measures(spark, sf_dir):
     return text_measures.readability_rows(table(spark, sf_dir, "documents"), EASY)
@@ -141,13 +148,13 @@ _BINARY = {"CRFNO": "len(list_intersect(a.nouns, b.nouns)) > 0", "CRFAO": "len(l
 d AS (SELECT q.doc_id, CRFNO1, CRFAO1, CRFSO1, CRFCWO1, coalesce(SYNSTRUTa, 0) AS SYNSTRUTa, coalesce(SYNMEDpos, 0) AS SYNMEDpos, coalesce(SYNMEDwrd, 0) AS SYNMEDwrd, coalesce(SYNMEDlem, 0) AS SYNMEDlem, CRFCWO1d, coalesce(SYNLE, 0) AS SYNLE FROM (SELECT doc_id, avg(before) AS SYNLE FROM r GROUP BY doc_id) q LEFT JOIN (SELECT doc_id, avg(no) AS CRFNO1, avg(ao) AS CRFAO1, avg(so) AS CRFSO1, avg(cw) AS CRFCWO1, avg(sy) AS SYNSTRUTa, avg(dp) AS SYNMEDpos, avg(dx) AS SYNMEDwrd, avg(dl) AS SYNMEDlem, stddev_pop(cw) AS CRFCWO1d FROM j GROUP BY doc_id) z ON q.doc_id = z.doc_id) """
        + _union("d", {k: k for k in ("CRFNO1", "CRFAO1", "CRFSO1", "CRFCWO1", "SYNSTRUTa", "SYNMEDpos", "SYNMEDwrd", "SYNMEDlem", "CRFCWO1d", "SYNLE")}))
 def cohmetrix_adjacent(spark, sf_dir):
-    return _rounded(cohesion.adjacent(_tokens(spark, sf_dir)))
+    return _rounded(cohesion.adjacent(_sentences(spark, sf_dir, "text", "lemma", "pos_coarse", "dep_type", "is_punct")))
 
 
 @query(None)
 def cohmetrix_all_pairs(spark, sf_dir):
     """No SQL: a join of all pairs of sentences takes minutes. Tested by brute force."""
-    return _rounded(cohesion.all_pairs(_tokens(spark, sf_dir)))
+    return _rounded(cohesion.all_pairs(_sentences(spark, sf_dir, "text", "lemma", "pos_coarse", "dep_type", "is_punct")))
 
 
 @query(None)
@@ -159,7 +166,7 @@ def compression_ratio(spark, sf_dir):
 @query(None)
 def cohmetrix_diversity(spark, sf_dir):
     """MTLD and VOCD: folds over the words in order, tested by brute force."""
-    return _rounded(cohesion.ordered_diversity(_tokens(spark, sf_dir)))
+    return _rounded(cohesion.ordered_diversity(_sentences(spark, sf_dir, "text", "is_punct")))
 
 
 #: Connectives and situation-model verbs and particles of the queries (label, phrase), English and German.
@@ -178,7 +185,7 @@ sz AS (SELECT doc_id, sum(len(ws)) AS w FROM ws GROUP BY doc_id), f AS (SELECT d
 SELECT sz.doc_id, k.label, round(1000 * coalesce(n, 0)::DOUBLE / nullif(w, 0), 6) AS value, CASE WHEN nullif(w, 0) IS NULL THEN 'no value' END AS error FROM sz CROSS JOIN (SELECT DISTINCT label FROM lex) k LEFT JOIN f ON f.doc_id = sz.doc_id AND f.label = k.label""")
 def cohmetrix_incidences(spark, sf_dir):
     lexicon = spark.createDataFrame([(k, p) for k, v in LEXICON.items() for p in v], "label string, phrase string")
-    return _rounded(cohesion.incidences(_tokens(spark, sf_dir), lexicon))
+    return _rounded(cohesion.incidences(_sentences(spark, sf_dir, "text", "is_punct"), lexicon))
 
 
 @query(_TOK + f""", fr AS (SELECT text AS word, count(*)::DOUBLE AS f FROM tok WHERE NOT is_punct GROUP BY text),
@@ -224,12 +231,13 @@ k AS (SELECT doc_id, count(DISTINCT sent) AS S, count(*) FILTER (WHERE upos <> '
  count(*) FILTER (WHERE upos = 'VERB' AND deprel IN ('advcl', 'ccomp', 'acl', 'xcomp')) AS DC, count(*) FILTER (WHERE deprel = 'root') AS T, count(*) FILTER (WHERE deprel = 'root' AND clause) AS CT, count(*) FILTER (WHERE deprel IN ('cc', 'conj')) AS CP, count(*) FILTER (WHERE upos = 'NOUN' AND modified) AS CN FROM x GROUP BY doc_id) """
        + _union("k", {k: f"CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0.0 END" for k, (a, b) in _RATIOS.items()}, False))
 def syntactic_complexity(spark, sf_dir):
-    return _rounded(dependencies.syntactic_complexity(_words(_tokens(spark, sf_dir))))
-
+    return _rounded(dependencies.syntactic_complexity(_words(spark, sf_dir)))
 
-def _words(tokens: DataFrame) -> DataFrame:
-    """Dependency rows of rule-tagged tokens: the sentence's first verb is the root, adjectives hang on the next word."""
-    from pyspark.sql import Window as W
 
-    rooted = tokens.withColumn("root_at", F.min(F.when(F.col("dep_type") == "ROOT", F.col("pos"))).over(W.partitionBy("doc_id", "para", "sent")))
-    return rooted.select("doc_id", F.expr("para * 100000 + sent").alias("sent"), (F.col("pos") + 1).alias("id"), F.expr(_L2).alias("head"), F.col("pos_coarse").alias("upos"), F.expr(_FEATS).alias("feats"), F.expr(_REL).alias("deprel"))
+def _words(spark, sf_dir) -> DataFrame:
+    """Dependency words of rule-tagged sentences (doc_id, sent, ws): the sentence's first verb is the root, adjectives hang on the next word."""
+    rooted = _sentences(spark, sf_dir, "pos", "text", "pos_coarse", "tag", "dep_type").withColumn("root_at", F.expr("cast(nullif(array_position(toks.dep_type, 'ROOT'), 0) - 1 as int)"))
+    fields = {"id": "pos + 1", "head": _L2, "upos": "pos_coarse", "feats": _FEATS, "deprel": _REL, "text": "text"}
+    of = lambda rule: re.sub(r"\b(pos_coarse|dep_type|text|tag|pos)\b", r"t.\1", rule)
+    ws = F.expr("transform(toks, t -> named_struct(" + ", ".join(f"'{k}', {of(v)}" for k, v in fields.items()) + "))")
+    return rooted.select("doc_id", F.expr("para * 100000 + sent").alias("sent"), F.explode(F.array(ws)).alias("ws"))

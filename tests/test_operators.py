@@ -309,3 +309,26 @@ def test_linsear_takes_the_first_hundred_words(spark):
     head = "plain words here. " * 33 + "last"
     rows = readability_rows(spark.createDataFrame([(1, head), (2, head + " " + "complicated considerations" * 50)], "doc_id int, text string"), [], ["linsear_write_formula"]).collect()
     assert len({r.value for r in rows}) == 1 and rows[0].value == pytest.approx((100 / 33 - 2) / 2)
+
+
+def test_tokens_and_sentences_are_made_without_a_shuffle(spark):
+    docs = spark.createDataFrame(TEXTS, "doc_id bigint, text string")
+    flat, rows = tagging.rule_tokens(docs), tagging.rule_sentences(docs)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (flat, rows, cohesion.ordered_diversity(rows))]
+    assert not any("Exchange" in p or "Window" in p for p in plans)
+    again = rows.selectExpr("doc_id", "para", "sent", "inline(toks)").select(*flat.columns)
+    assert sorted(map(repr, flat.collect())) == sorted(map(repr, again.collect()))
+
+
+def test_sentence_rows_give_what_token_rows_give(spark, tokens):
+    rows = tagging.rule_sentences(spark.createDataFrame(TEXTS, "doc_id bigint, text string"))
+    lexicon = spark.createDataFrame([("L", "the"), ("L", "red of"), ("M", "jumped")], "label string, phrase string")
+    for f in (cohesion.ordered_diversity, cohesion.adjacent, lambda t: cohesion.incidences(t, lexicon)):
+        assert values_of(f(rows)) == values_of(f(tokens))
+
+
+def test_words_that_are_no_verbs_are_not_looked_up(spark, tokens):
+    """The rows that a lookup of verbs shuffles have a lemma, so no task gets all the others."""
+    lexicon = spark.createDataFrame([("causal_verb", "jumped")], "kind string, word string")
+    plan = cohesion.situation(tokens, lexicon)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan
