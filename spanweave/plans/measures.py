@@ -35,12 +35,17 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("value", F.round("value", 6))
 
 
+def _docs(spark, sf_dir) -> DataFrame:
+    """The texts, dealt over the tasks: what is made out of a text takes long, and a file may have few parts."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+
+
 def _tokens(spark, sf_dir) -> DataFrame:
     """The token rows of a folder's documents, tagged once an application and written; every later query reads the table."""
     context = spark.sparkContext
     held = context.__dict__.setdefault("_spanweave_tokens", {})
     if sf_dir not in held:
-        made = Workspace(spark, "tokens").write(tagging.rule_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")), "rows")
+        made = Workspace(spark, "tokens").write(tagging.rule_tokens(_docs(spark, sf_dir)), "rows")
         held[sf_dir] = made._spanweave_path, made.schema
     path, schema = held[sf_dir]
     return spark.read.schema(schema).parquet(path)
@@ -48,7 +53,7 @@ def _tokens(spark, sf_dir) -> DataFrame:
 
 def _sentences(spark, sf_dir, *fields: str) -> DataFrame:
     """The sentence rows of a folder's documents with some fields of their tokens, made out of the documents' rows."""
-    return tagging.rule_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"), fields)
+    return tagging.rule_sentences(_docs(spark, sf_dir), fields)
 
 
 @query(_COUNTS + " " + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS label, ({f})::DOUBLE AS value, CAST(NULL AS VARCHAR) AS error FROM c" for k, f in R.FORMULAS.items()))
