@@ -101,14 +101,18 @@ def _numbered(parts: Column) -> Column:
     return F.transform(parts, lambda c, i: F.concat(c, F.lit(" "), F.size(F.filter(F.slice(parts, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
 
 
-def near_texts(texts: DataFrame, threshold: float) -> DataFrame:
-    """(group, a, b, similarity): the pairs a <= b of distinct texts of a group, a text with itself too, with 1 - edit distance / longer length >=
-    threshold, for 0 < threshold <= 1.
+#: Numbers of edits that are counted in a band.
+BANDED = 4
+
+
+def near_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+    """(group, a, b, similarity): the pairs a < b of texts (group, text), each once a group, with 1 - edit distance / longer length >= threshold, for 0 < threshold <= 1.
 
     Within d edits, d <= (1 - threshold) * n for the longer one's n letters, two texts share n - d letters and, padded at both ends, n + 1 - 2 d
     pairs of letters, repeats included: threshold * n and (2 * threshold - 1) * n + 1 at least, which is less for the shorter one. So both
-    hold a shared part among their first (all - that + 1) by any one order, rarest first; pairs of letters are taken where they tell
-    enough, single letters below a threshold of 0.6.
+    hold a shared part among their first (all - that + 1) by any one order; pairs of letters are taken where they tell enough, single letters below
+    a threshold of 0.6. The order is rarest first among the distinct texts of all groups, so parts are made and placed once a text and not once a group
+    that holds it; pairs are told before they are made distinct, so only near ones are shuffled.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
@@ -118,15 +122,31 @@ def near_texts(texts: DataFrame, threshold: float) -> DataFrame:
     parts = F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.substring(padded, i, F.lit(2))) if pairs else letters(F.col("text"))
     all_of = n + 1 if pairs else n
     shared = F.ceil(F.lit(2 * threshold - 1) * n + 1 - 1e-9) if pairs else F.ceil(F.lit(threshold) * n - 1e-9)
-    held = texts.select("group", "text").distinct().where(n > 0)
-    each = held.select("group", "text", n.alias("n"), (all_of - shared + 1).alias("first"), F.explode(_numbered(parts) if pairs else parts).alias("key"))
-    counts = each.groupBy("group", "key").agg(F.count("*").alias("df"))
-    place = F.row_number().over(W.partitionBy("group", "text").orderBy("df", "key"))
-    first = each.join(counts, ["group", "key"]).withColumn("place", place).where("place <= first and df > 1")
-    x, y = (first.select("group", "key", F.col("text").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
-    met = x.join(y, ["group", "key"]).where((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.lit(threshold - 1e-9) * F.greatest("n_a", "n_b"))).select("group", "a", "b", F.greatest("n_a", "n_b").alias("longer")).distinct()
-    told = met.withColumn("similarity", 1 - F.levenshtein("a", "b") / F.col("longer")).where(F.col("similarity") >= threshold - 1e-12).select("group", "a", "b", "similarity")
-    return told.unionByName(held.select("group", F.col("text").alias("a"), F.col("text").alias("b"), F.lit(1.0).alias("similarity")))
+    edits = lambda longer: F.floor(F.lit(1 - threshold) * longer + 1e-6)
+    # texts that are too short for one edit, with the longest partner too, are near no other
+    held = texts.select("group", "text").where((n > 0) & (edits(F.floor(n / threshold + 1e-6)) >= 1))
+    each = held.select("text").distinct().select("text", n.alias("n"), (all_of - shared + 1).alias("first"), F.explode(_numbered(parts) if pairs else parts).alias("key"))
+    counts = each.groupBy("key").agg(F.count("*").alias("df"))
+    place = F.row_number().over(W.partitionBy("text").orderBy("df", "key"))
+    first = each.join(counts, "key").withColumn("place", place).where("place <= first and df > 1").select("text", "n", "key")
+    placed = held.join(first, "text").select("group", "key", "text", "n")
+    longer = F.greatest("x.n", "y.n")
+    near = (F.col("x.text") < F.col("y.text")) & (F.least("x.n", "y.n") >= F.lit(threshold - 1e-9) * longer) & (edits(longer) >= 1)
+    met = placed.alias("x").join(placed.alias("y"), (F.col("x.group") == F.col("y.group")) & (F.col("x.key") == F.col("y.key")) & near)
+    told = met.select("x.group", F.col("x.text").alias("a"), F.col("y.text").alias("b"), longer.alias("longer"))
+    # few edits are counted up to their number only, which takes a band of the table
+    distance = F.levenshtein("a", "b")
+    for most in range(BANDED, 0, -1):
+        distance = F.when(edits(F.col("longer")) == most, F.levenshtein("a", "b", most)).otherwise(distance)
+    told = told.withColumn("distance", distance).where("distance >= 0")
+    told = told.select("group", "a", "b", (1 - F.col("distance") / F.col("longer")).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+    return told.distinct()
+
+
+def near_texts(texts: DataFrame, threshold: float) -> DataFrame:
+    """(group, a, b, similarity): near_pairs, and each text with itself."""
+    held = texts.select("group", "text").where(F.char_length("text") > 0).distinct()
+    return near_pairs(held, threshold).unionByName(held.select("group", F.col("text").alias("a"), F.col("text").alias("b"), F.lit(1.0).alias("similarity")))
 
 
 def two_stage(left: DataFrame, right: DataFrame, cutoff: float = 0.8) -> DataFrame:

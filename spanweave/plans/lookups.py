@@ -9,7 +9,8 @@ from spanweave.operators.automaton import within_edits
 from spanweave.plans.measures import _LATIN
 from spanweave.plans.queries import query
 from spanweave.session import table
-from spanweave.streaming.matching import matches, stored_batch
+from spanweave.streaming.matching import place_matches, places, stored_batch
+from spanweave.workspace import Workspace
 
 _SPLIT = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
@@ -20,12 +21,13 @@ SELECT a.conv_id, a.doc AS doc_a, b.doc AS doc_b, a.id AS entity_a, b.id AS enti
 FROM d a JOIN d b ON a.conv_id = b.conv_id AND a.doc < b.doc WHERE 1 - levenshtein(a.x, b.x)::DOUBLE / greatest(length(a.x), length(b.x)) >= 0.8 - 1e-9""")
 def two_phase_match(spark, sf_dir):
     """A conversation is a pipeline, its turns are documents and their words entities: those of similarity 0.8 between turns."""
-    words = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("pipeline_id"), F.col("turn").alias("seq"), F.posexplode_outer(matching.tokens(F.col("text"))).alias("pos", "word"))
-    each = words.groupBy("pipeline_id", "seq", "word").agg(F.min("pos").cast("long").alias("entity_id"))
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("pipeline_id"), F.col("turn").alias("seq"), "text")
+    each = turns.select("pipeline_id", "seq", F.posexplode_outer(matching.tokens(F.col("text"))).alias("pos", "word")).groupBy("pipeline_id", "seq", "word").agg(F.min("pos").cast("long").alias("entity_id"))
     entities = F.collect_list(F.when(F.col("word").isNotNull(), F.struct("entity_id", F.col("word").alias("text"))))
     stored = each.groupBy("pipeline_id", "seq").agg(entities.alias("entities")).select("pipeline_id", "seq", F.lit("process").alias("event"), F.lit("Word").alias("selection"), "entities", F.lit(True).alias("clear"))
-    ends = stored.select("pipeline_id").distinct().select("pipeline_id", F.lit(1 << 60).alias("seq"), F.lit("finalize").alias("event"), F.lit(None).cast("string").alias("selection"), F.lit(None).cast(stored.schema["entities"].dataType).alias("entities"), F.lit(True).alias("clear"))
-    found = matches(stored_batch(stored.unionByName(ends)), 0.8)
+    ends = turns.select("pipeline_id").distinct().select("pipeline_id", F.lit(1 << 60).alias("seq"), F.lit("finalize").alias("event"), F.lit(None).cast("string").alias("selection"), F.lit(None).cast(stored.schema["entities"].dataType).alias("entities"), F.lit(True).alias("clear"))
+    # several joins read the places: they are made once
+    found = place_matches(Workspace(spark, "two_phase").write(places(stored_batch(stored.unionByName(ends))), "places"), 0.8)
     return found.select(F.col("pipeline_id").cast("long").alias("conv_id"), F.col("doc_a").cast("long").alias("doc_a"), F.col("doc_b").cast("long").alias("doc_b"), "entity_a", "entity_b", F.round("similarity", 6).alias("similarity"))
 
 

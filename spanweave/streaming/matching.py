@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from spanweave.operators.matching import near_texts
+from spanweave.operators.matching import near_pairs
 from spanweave.session import ship_package
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -96,24 +97,40 @@ def stored(events: DataFrame) -> DataFrame:
 
 
 def stored_batch(events: DataFrame) -> DataFrame:
-    """What a stream of these events emits as `entity` rows if each pipeline has one finalising event and one selection: a plain query."""
+    """What a stream of these events emits as `entity` rows if each pipeline has one finalising event and one selection: a plain query. Documents are
+    numbered as they stream by in their order; no pipeline is gathered."""
     last = events.where("event = 'finalize'").groupBy("pipeline_id").agg(F.min("seq").alias("last"))
-    docs = events.where("event = 'process'").join(last, "pipeline_id").where("seq < last")
-    docs = docs.groupBy("pipeline_id").agg(F.array_sort(F.collect_list(F.struct("seq", "entities", "last"))).alias("d")).select("pipeline_id", F.posexplode("d").alias("doc_index", "d"))
-    return docs.select("pipeline_id", F.col("d.last").alias("seq"), F.col("doc_index").cast("long").alias("doc_index"), F.inline("d.entities"))
+    docs = events.where("event = 'process'").select("pipeline_id", "seq", "entities").join(last, "pipeline_id").where("seq < last")
+    docs = docs.withColumn("doc_index", F.row_number().over(W.partitionBy("pipeline_id").orderBy("seq", "entities")).cast("long") - 1)
+    return docs.select("pipeline_id", F.col("last").alias("seq"), "doc_index", F.inline("entities"))
+
+
+def places(entities: DataFrame) -> DataFrame:
+    """(pipeline_id, seq, text, at): the distinct texts of each pipeline in lower case, with the documents and numbers of their entities. Null and empty texts match nothing."""
+    named = entities.where("text <> ''").select("pipeline_id", "seq", F.lower("text").alias("text"), F.struct("doc_index", "entity_id").alias("at"))
+    return named.groupBy("pipeline_id", "seq", "text").agg(F.collect_list("at").alias("at"))
 
 
 def matches(entities: DataFrame, threshold: float) -> DataFrame:
     """(pipeline_id, seq, doc_a, doc_b, entity_a, entity_b, similarity) of entities (pipeline_id, seq, doc_index, entity_id, text) of different documents of
     one pipeline, doc_a < doc_b, with 1 - edit distance / longer length >= threshold > 0, ignoring case. No pair is lost: near texts
-    are found among the distinct ones, then told for every pair of their entities."""
+    are found among the distinct ones, then told for every pair of their entities. A text's places lie in one row, so pairs of equal texts, the most by
+    far, are told out of it without a join."""
+    return place_matches(places(entities), threshold)
+
+
+def place_matches(held: DataFrame, threshold: float) -> DataFrame:
+    """matches of texts with their places, which several joins read."""
     keys = ["pipeline_id", "seq"]
-    named = entities.where("text is not null").select(*keys, "doc_index", "entity_id", F.lower("text").alias("text"))
-    near = near_texts(named.select(F.struct(*keys).alias("group"), "text"), threshold).select(F.col("group.pipeline_id").alias("pipeline_id"), F.col("group.seq").alias("seq"), "a", "b", "similarity")
-    both = near.unionByName(near.where("a <> b").select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    x = named.select(*keys, F.col("doc_index").alias("doc_a"), F.col("entity_id").alias("entity_a"), F.col("text").alias("a"))
-    y = named.select(*keys, F.col("doc_index").alias("doc_b"), F.col("entity_id").alias("entity_b"), F.col("text").alias("b"))
-    return x.join(both, [*keys, "a"]).join(y, [*keys, "b"]).where("doc_a < doc_b").select(*keys, "doc_a", "doc_b", "entity_a", "entity_b", "similarity")
+    near = near_pairs(held.select(F.struct(*keys).alias("group"), "text"), threshold).select("group.*", "a", "b", "similarity")
+    side = lambda k: held.select(*keys, F.col("text").alias(k), F.col("at").alias(f"at_{k}"))
+    apart = near.join(side("a"), [*keys, "a"]).join(side("b"), [*keys, "b"])
+    equal = held.where("size(at) > 1").select(*keys, F.lit(1.0).alias("similarity"), F.explode("at").alias("x"), F.col("at").alias("others"))
+    equal = equal.select(*keys, "similarity", "x", F.explode("others").alias("y")).where("x.doc_index < y.doc_index")
+    apart = apart.select(*keys, "similarity", F.explode("at_a").alias("x"), "at_b").select(*keys, "similarity", "x", F.explode("at_b").alias("y")).where("x.doc_index <> y.doc_index")
+    apart = apart.select(*keys, "similarity", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    told = {"doc_a": "x.doc_index", "doc_b": "y.doc_index", "entity_a": "x.entity_id", "entity_b": "y.entity_id"}
+    return equal.unionByName(apart).select(*keys, *[F.col(v).alias(k) for k, v in told.items()], "similarity")
 
 
 def start(spark: SparkSession, events: DataFrame, out: str, checkpoint: str, threshold: float, available_now: bool = True):

@@ -129,3 +129,15 @@ def test_selection_and_missing_pipelines_are_told(spark, tmp_path):
         (0, "error", None, None, "pipeline not found"), (1, "stored", 0, 1, None), (2, "error", None, None, "selection mismatch: expected Token, got Lemma"), (3, "entity", 0, 1, None),
         (4, "entity", 0, 1, None), (5, "error", None, None, "unknown event other"), (6, "error", None, None, "pipeline not found"), (7, "stored", 0, 0, None),
     ]
+
+
+def test_equal_texts_are_told_without_a_join_and_only_near_ones_are_shuffled(spark):
+    """Of 40 documents with the same five words and a word of their own all pairs come; what is joined and shuffled is the distinct texts, not their entities."""
+    entities = [("p", 9, d, i, w) for d in range(40) for i, w in enumerate(["one", "two", "three", "four", "FIVE", f"single{d:04d}"])]
+    df = spark.createDataFrame(entities, "pipeline_id string, seq bigint, doc_index bigint, entity_id bigint, text string")
+    told = M.matches(df, 0.8)
+    got = [tuple(r) for r in told.select("doc_a", "doc_b", "entity_a", "entity_b").collect()]
+    want = [(a, b, i, i) for a, b in itertools.combinations(range(40), 2) for i in range(6) if i < 5 or edits(f"{a:04d}", f"{b:04d}") <= 2]
+    assert sorted(got) == sorted(want)
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 7
