@@ -1,6 +1,7 @@
 """Time expressions of English and German texts: found by a finite-state matcher over classes of tokens, with a type and a value.
 
-Each token becomes one letter, its class, by a join with a word list; the rules are regular expressions over a text's string of classes. Values
+Each token becomes one letter, its class, by a look into a word list; the rules are regular expressions over a text's string of classes. A text's
+expressions are found in its own row, so nothing is shuffled and texts that share a doc_id stay apart. Values
 are dates reckoned from the document's reference time in its zone, by Spark's own date functions: DATE 2024-03-12, 2024-W11, 2024-03 or
 2024; TIME 2024-03-12T14:30; DURATION P3D, PT2H; SET P1W or XXXX-WXX-1.
 
@@ -11,10 +12,14 @@ reference gives null values where one is needed.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.operators.patterns import positions
+from spanweave.session import ship_package
 
 TOKEN = r"\d+|[^\W\d_]+|[^\w\s]"
 _UNITS = "second seconds sekunde sekunden|minute minutes minuten|hour hours stunde stunden|day days tag tage tagen|week weeks woche wochen|month months monat monate monaten|year years jahr jahre jahren"
@@ -43,31 +48,73 @@ def word_classes() -> list[tuple[str, str, int]]:
     return [(w, c, first + k) for c, (groups, first) in WORDS.items() for k, group in enumerate(groups.split("|")) for w in group.split()]
 
 
+_TOKENS = re.compile(TOKEN)
+_RULES = re.compile("|".join(f"(?P<{k}>{v})" for k, v in RULES.items()))
+_KNOWN = {w: (c, v) for w, c, v in word_classes()}
+#: Values that the rules take from an expression's tokens: the first of one or two classes, N2 the second number.
+VALUES = ("N", "N2", "Nn", "U", "W", "Mm", "Y", "V", "L", "D", "P", "Q", "colon")
+_NAMES = {"N": ("N", "Nn"), "n": ("Nn",), "M": ("Mm",), "m": ("Mm",), ":": ("colon",)}
+#: Rows given on at once.
+CHUNK = 10_000
+
+
+def _classed(token: str) -> tuple[str, int | None]:
+    if token.isascii() and token.isdigit():
+        return {1: "N", 2: "N", 4: "Y"}.get(len(token), "x"), int(token) if len(token) <= 4 else None
+    return (token, None) if token in ".,:-/" else _KNOWN.get(token.lower(), ("x", None))
+
+
+def _found(text: str) -> Iterator[tuple]:
+    """(begin, end, text, rule, VALUES) of each expression."""
+    tokens = list(_TOKENS.finditer(text))
+    classed = [_classed(m[0]) for m in tokens]
+    for m in _RULES.finditer("".join(c for c, _ in classed)):
+        values: dict[str, int | None] = {}
+        for c, v in classed[m.start() : m.end()]:
+            if c == "N" and "N" in values:
+                values.setdefault("N2", v)
+            for name in _NAMES.get(c, (c,)):
+                values.setdefault(name, v)
+        begin, end = tokens[m.start()].start(), tokens[m.end() - 1].end()
+        yield begin, end, text[begin:end], m.lastgroup, *[1 if k == "colon" and k in values else values.get(k) for k in VALUES]
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Expressions of docs (doc_id, now, text), with doc_id and now of their row."""
+    types = [pa.int32(), pa.int32(), pa.string(), pa.string()] + [pa.int32()] * len(VALUES)
+    names = ["doc_id", "now", "begin", "end", "text", "rule", *VALUES]
+
+    def told(given: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*given.columns, *[pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]], names)
+
+    for batch in batches:
+        kept, at, rows = batch.select(["doc_id", "now"]), [], []
+        column = batch.column("text")
+        for i in range(len(column)):
+            text = column[i].as_py()
+            for row in _found(text) if text else ():
+                at.append(i)
+                rows.append(row)
+            if rows and (len(rows) >= CHUNK or i == len(column) - 1):
+                yield told(kept.take(pa.array(at)), rows)
+                at, rows = [], []
+
+
 def expressions(docs: DataFrame, reference: str = "reference_time", zone: str = "UTC") -> DataFrame:
     """(doc_id, begin, end, text, rule, type, value) of docs (doc_id, text, reference time: a timestamp)."""
-    spark = docs.sparkSession
-    known = F.broadcast(spark.createDataFrame(word_classes(), "word string, class string, value int"))  # the word list above
-    tokens = positions(docs.select("doc_id", "text"), TOKEN).select("doc_id", "begin", "end", "match")
-    digits = F.col("match").rlike("^[0-9]+$")
-    size = F.char_length("match")
-    kind = F.when(digits & (size <= 2), "N").when(digits & (size == 4), "Y").when(F.col("match").isin(*".,:-/"), F.col("match")).otherwise(F.coalesce("class", F.lit("x")))
-    each = tokens.join(known, F.lower("match") == F.col("word"), "left").select("doc_id", "begin", "end", kind.alias("class"), F.when(digits & (size <= 4), F.col("match").try_cast("int")).otherwise(F.col("value")).alias("value"))
-    lines = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "class", "value"))).alias("t"))
-    lines = lines.select("doc_id", "t", F.array_join(F.transform("t", lambda x: x["class"]), "").alias("classes"))
-    rules = "|".join(f"(?P<{k}>{v})" for k, v in RULES.items())
-    found = positions(lines, rules, "classes").select("doc_id", F.slice("t", F.col("begin") + 1, F.col("end") - F.col("begin")).alias("t"), F.map_keys("groups")[0].alias("rule"))
-    found = found.select("doc_id", "rule", "t", F.col("t")[0]["begin"].alias("begin"), F.element_at("t", -1)["end"].alias("end"))
-    told = found.join(docs.select("doc_id", F.col("text").alias("whole"), F.from_utc_timestamp(F.col(reference), zone).alias("now")), "doc_id")
-    unit = _value("U")
-    kind = F.when((F.col("rule") == "shift") & (unit < 3), "TIME")
+    ship_package(docs.sparkSession)
+    given = docs.select("doc_id", F.from_utc_timestamp(F.col(reference), zone).alias("now"), "text")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, now timestamp, begin int, end int, text string, rule string, " + ", ".join(f"{k} int" for k in VALUES)
+    told = given.mapInArrow(_rows, schema)
+    kind = F.when((F.col("rule") == "shift") & (_value("U") < 3), "TIME")
     for rule, name in TYPES.items():
         kind = kind.when(F.col("rule") == rule, name)
-    return told.select("doc_id", "begin", "end", F.substring("whole", F.col("begin") + 1, F.col("end") - F.col("begin")).alias("text"), "rule", kind.otherwise("DATE").alias("type"), _normalised().alias("value"))
+    return told.select("doc_id", "begin", "end", "text", "rule", kind.otherwise("DATE").alias("type"), _normalised().alias("value"))
 
 
 def _value(classes: str, nth: int = 0) -> Column:
     """The value of the nth token of some classes, null if there is none."""
-    return F.get(F.filter("t", lambda x: x["class"].isin(*classes)), F.lit(nth))["value"]
+    return F.col(classes if nth == 0 else f"{classes}{nth + 1}")
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
@@ -93,7 +140,7 @@ def _normalised() -> Column:
     turn = _value("L")
     there = F.when(turn > 0, F.date_add(day, F.when(ahead == 0, 7).otherwise(ahead))).when(turn < 0, F.date_add(day, F.when(ahead == 0, -7).otherwise(ahead - 7))).otherwise(F.date_add(day, ahead))
     whole = F.when(unit == 4, week(F.date_add(day, turn * 7))).when(unit == 5, F.date_format(F.add_months(day, turn), "yyyy-MM")).when(unit == 6, F.date_format(F.add_months(day, turn * 12), "yyyy")).when(unit == 3, F.date_format(F.date_add(day, turn), "yyyy-MM-dd"))
-    hour, minute, half = _value("N"), F.coalesce(F.when(F.exists("t", lambda x: x["class"] == ":"), _value("N", 1)), F.lit(0)), _value("P")
+    hour, minute, half = _value("N"), F.coalesce(F.when(F.col("colon").isNotNull(), _value("N", 1)), F.lit(0)), _value("P")
     hour = F.when(half.isNull(), hour).otherwise(hour % 12 + 12 * half)
     clock = F.when((hour <= 24) & (minute < 60), F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T"), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.lpad(minute.cast("string"), 2, "0")))
     month_of = F.when(month.between(1, 12), F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0")))

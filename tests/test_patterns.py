@@ -55,3 +55,13 @@ def test_time_expressions(spark):
             got.setdefault(r.doc_id, []).append((r.text, r.type, r.value))
         for i, text, _, want in mine:
             assert got.get(i, []) == want, text
+
+
+def test_time_expressions_of_a_text_are_found_in_its_row(spark):
+    """Texts that share a doc_id are not read as one, and nothing is shuffled."""
+    now = datetime(2024, 3, 12)
+    docs = spark.createDataFrame([(1, "in 1999 on 3", now), (1, "May 2020; 14:30 Uhr", now), (None, "heute", now)], "doc_id int, text string, reference_time timestamp")
+    found = timex.expressions(docs)
+    got = sorted((r.doc_id or 0, r.begin, r.end, r.text, r.rule, r.value) for r in found.collect())
+    assert got == [(0, 0, 5, "heute", "day", "2024-03-12"), (1, 0, 8, "May 2020", "month_year", "2020-05"), (1, 3, 7, "1999", "year", "1999"), (1, 10, 19, "14:30 Uhr", "clock", "2024-03-12T14:30")]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
