@@ -94,21 +94,29 @@ def descriptive(tokens: DataFrame) -> DataFrame:
     return rows_of(d, ["DESPC", "DESSC", "DESWC", "DESPL", "DESPLd", "DESSL", "DESSLd", "DESWLsy", "DESWLsyd", "DESWLlt", "DESWLltd"])
 
 
+def _each_token(tokens: DataFrame) -> DataFrame:
+    """Token rows of either form, in the partitions of sentence rows."""
+    return tokens.select("doc_id", F.inline("toks")) if "toks" in tokens.columns else tokens
+
+
 def word_information(tokens: DataFrame) -> DataFrame:
-    """WRD incidences a 1000 words, type-token ratios, and the share of the most frequent tense."""
-    word = ~F.col("is_punct")
+    """WRD incidences a 1000 words, type-token ratios, and the share of the most frequent tense. Tokens are counted once, a row a document, kind and
+    word, so that distinct counts need no sets; sentence rows that are dealt by document stay where they are."""
+    word, alpha, pos, low = ~F.col("is_punct"), F.col("text").rlike(ALPHA), F.col("pos_coarse"), F.lower("text")
     coarse = {"WRDNOUN": NOUNS, "WRDVERB": ("VERB",), "WRDADJ": ("ADJ",), "WRDADV": ("ADV",), "WRDPRO": ("PRON",)}
-    per = lambda c: 1000 * F.count_if(c) / F.nullif(F.count_if(word), F.lit(0))
-    counts = [per(F.col("pos_coarse").isin(*v)).alias(k) for k, v in coarse.items()]
-    counts += [per((F.col("pos_coarse") == "PRON") & F.lower("text").isin(*v)).alias(k) for k, v in PERSONS.items()]
-    alpha = F.col("text").rlike(ALPHA)
-    content = F.when(alpha & F.col("pos_coarse").isin(*CONTENT), F.lower(F.coalesce(F.nullif("lemma", F.lit("")), "text")))
-    # first a row a word and document, so that the distinct counts need no sets
-    types = tokens.where(alpha).groupBy("doc_id", F.lower("text").alias("text")).agg(F.count("*").alias("n")).groupBy("doc_id").agg((F.count("*") / F.sum("n")).alias("LDTTRa"))
-    lemmas = tokens.select("doc_id", content.alias("lemma")).where("lemma is not null").groupBy("doc_id", "lemma").agg(F.count("*").alias("n")).groupBy("doc_id").agg((F.count("*") / F.sum("n")).alias("LDTTRc"))
-    tense = tokens.where("tense is not null").groupBy("doc_id", "tense").agg(F.count("*").alias("n")).groupBy("doc_id").agg((F.max("n") / F.sum("n")).alias("SMTEMP"))
-    wide = tokens.groupBy("doc_id").agg(*counts).join(types, "doc_id", "left").join(lemmas, "doc_id", "left").join(tense, "doc_id", "left")
-    return rows_of(wide, [*coarse, *PERSONS, "LDTTRa", "LDTTRc", "SMTEMP"])
+    kinds = {
+        "word": F.when(word, F.lit("")), "pos": pos, "pronoun": F.when(pos == "PRON", low), "type": F.when(alpha, low), "tense": F.col("tense"),
+        "lemma": F.when(alpha & pos.isin(*CONTENT), F.lower(F.coalesce(F.nullif("lemma", F.lit("")), "text"))),
+    }
+    each = _each_token(tokens).select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("of")) for k, v in kinds.items()])).alias("x"))
+    # a document of no counted token keeps its row
+    counted = each.groupBy("doc_id", "x.kind", "x.of").agg(F.count("*").alias("n"))
+    of = lambda kind, told=F.lit(True): F.when((F.col("kind") == kind) & F.col("of").isNotNull() & told, F.col("n"))
+    per = lambda c: 1000 * F.coalesce(F.sum(c), F.lit(0)) / F.sum(of("word"))
+    values = [per(of("pos", F.col("of").isin(*v))).alias(k) for k, v in coarse.items()] + [per(of("pronoun", F.col("of").isin(*v))).alias(k) for k, v in PERSONS.items()]
+    ratio = lambda kind: F.count(of(kind)) / F.sum(of(kind))
+    values += [ratio("type").alias("LDTTRa"), ratio("lemma").alias("LDTTRc"), (F.max(of("tense")) / F.sum(of("tense"))).alias("SMTEMP")]
+    return rows_of(counted.groupBy("doc_id").agg(*values), [*coarse, *PERSONS, "LDTTRa", "LDTTRc", "SMTEMP"])
 
 
 def densities(tokens: DataFrame, lang: str = "en") -> DataFrame:
@@ -188,7 +196,7 @@ def ratio(found: DataFrame, label: str, over: str, under: str) -> DataFrame:
 def word_means(tokens: DataFrame, norms: DataFrame, measures: dict[str, str], coarse: tuple[str, ...] = CONTENT) -> DataFrame:
     """Means of norms (word, measures...) over the words of some parts of speech that have a rating: age of acquisition, familiarity,
     concreteness, imagery, meaningfulness, polysemy, hypernymy. measures: label -> column."""
-    counts = tokens.where(F.col("pos_coarse").isin(*coarse)).select("doc_id", F.lower("text").alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("times"))
+    counts = _each_token(tokens).where(F.col("pos_coarse").isin(*coarse)).select("doc_id", F.lower("text").alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("times"))
     rated = counts.join(norms, "word")
     # words are counted a document before they are looked up
     return rows_of(rated.groupBy("doc_id").agg(*[(F.sum(F.col(c) * F.col("times")) / F.nullif(F.sum(F.when(F.col(c).isNotNull(), F.col("times"))), F.lit(0))).alias(k) for k, c in measures.items()]), list(measures))

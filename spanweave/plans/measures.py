@@ -113,7 +113,7 @@ _CONTENT = "pos_coarse IN ('NOUN', 'VERB', 'ADJ', 'ADV')"
  greatest(count(*) FILTER (WHERE tense = 'Past'), count(*) FILTER (WHERE tense = 'Pres'), count(*) FILTER (WHERE tense = 'Inf')) AS tm FROM tok GROUP BY doc_id) """
        + _union("d", {k: f"1000 * {k}::DOUBLE / nullif(w, 0)" for k in _COARSE} | {"LDTTRa": "t::DOUBLE / nullif(tw, 0)", "LDTTRc": "ct::DOUBLE / nullif(cn, 0)", "SMTEMP": "tm::DOUBLE / nullif(tn, 0)"}))
 def cohmetrix_words(spark, sf_dir):
-    return _rounded(cohesion.word_information(_tokens(spark, sf_dir)))
+    return _rounded(cohesion.word_information(_sentences(spark, sf_dir, "text", "lemma", "pos_coarse", "is_punct", "tense")))
 
 
 _DENSE = {
