@@ -212,8 +212,8 @@ _RATE = {c: f"CASE WHEN length(word) % {k + 2} > 0 THEN cast(length(word) * {k +
 d AS (SELECT doc_id, {", ".join(f"avg({c}) AS {c}" for c in _NORMS.values())} FROM tok JOIN norms ON text = word WHERE {_CONTENT} GROUP BY doc_id) """ + _union("d", _NORMS))
 def cohmetrix_norms(spark, sf_dir):
     """Made-up norms: numbers from the lengths of the documents' words of five letters or more."""
-    tokens = _tokens(spark, sf_dir)
-    norms = tokens.select(F.col("text").alias("word")).where("length(word) > 4").distinct().select("word", *[F.expr(v).alias(c) for c, v in _RATE.items()])
+    tokens = _sentences(spark, sf_dir, "text", "pos_coarse")
+    norms = _sentences(spark, sf_dir, "text").select(F.explode("toks.text").alias("word")).where("length(word) > 4").distinct().select("word", *[F.expr(v).alias(c) for c, v in _RATE.items()])
     return _rounded(cohesion.word_means(tokens, norms, _NORMS))
 
 
