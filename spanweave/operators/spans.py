@@ -15,8 +15,10 @@ BIN = 4096
 
 
 def tile(docs: DataFrame, pattern: str, order: str = "pos", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Cut each text into consecutive pieces: (doc_id, pos, begin, end, piece). Offsets are a running sum of lengths."""
-    pieces = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(text_col, F.lit(pattern), 0)).alias(order, "piece"))
+    """Cut each text into consecutive pieces: (doc_id, pos, begin, end, piece). Offsets are a running sum of lengths. Texts are dealt over the tasks, once
+    and as they are, and their pieces stay with them."""
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).repartition("doc_id")
+    pieces = whole.select("doc_id", F.posexplode(F.regexp_extract_all("_text", F.lit(pattern), 0)).alias(order, "piece"))
     before = W.partitionBy("doc_id").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     begin = F.coalesce(F.sum(F.char_length("piece")).over(before), F.lit(0)).cast("long")
     return pieces.select("doc_id", order, begin.alias("begin"), (begin + F.char_length("piece")).alias("end"), "piece")

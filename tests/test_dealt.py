@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from spanweave.operators import cohesion, tagging
+from spanweave.operators import cohesion, spans, tagging
 
 TEXTS = [(1, "They walked slowly and the red dogs barked. He is talking, not walking!\nWir gehen nicht"), (2, "1999. 7!"), (3, "walked Walked walking dogs dog"), (4, None)]
 #: Plans are read as they are before they run.
@@ -28,3 +28,9 @@ def test_word_means_of_sentence_rows_equal_those_of_token_rows(spark):
     norms = spark.createDataFrame([("walked", 2.0), ("dogs", 4.0), ("talking", None)], "word string, x double")
     of = lambda tokens: cohesion.word_means(tokens, norms.select("word", F.col("x")), {"X": "x"})
     assert rows(of(tagging.rule_sentences(dealt(spark)))) == rows(of(tagging.rule_tokens(dealt(spark)))) == [(1, "X", None, 3.0), (3, "X", None, round(8 / 3, 9))]
+
+
+def test_texts_are_dealt_before_they_are_cut(spark):
+    docs = spark.createDataFrame(TEXTS, "doc_id bigint, text string")
+    plan = spans.tokens(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(EXCHANGE) == 1 and plan.index("Generate") < plan.index(EXCHANGE)
