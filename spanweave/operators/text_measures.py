@@ -142,9 +142,11 @@ def osman(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     t = F.coalesce(text_col, F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), t.alias("t"), F.explode(F.array(F.filter(F.split(t, "\\s+"), lambda w: w != ""))).alias("ws")).where("size(ws) > 0")
     many = lambda f: F.size(F.filter("ws", f))
-    long = many(lambda w: F.char_length(F.regexp_replace(F.regexp_replace(w, f"[{_MARKS}]", ""), "[^\\p{L}\\p{N}_]", "")) > 5)
-    complex_ = many(lambda w: F.size(F.regexp_extract_all(w, F.lit("[ً-ّ]"), 0)) > 5)
-    classical = many(lambda w: (_arabic_syllables(w) > 5) & w.rlike(_CLASSICAL))
+    # what is cheap to tell comes first: most words are too short, or not classical, and need no more
+    over = lambda w: F.char_length(w) > 5
+    long = many(lambda w: over(w) & (F.char_length(F.regexp_replace(F.regexp_replace(w, f"[{_MARKS}]", ""), "[^\\p{L}\\p{N}_]", "")) > 5))
+    complex_ = many(lambda w: over(w) & w.rlike("[ً-ّ]") & (F.size(F.regexp_extract_all(w, F.lit("[ً-ّ]"), 0)) > 5))
+    classical = many(lambda w: w.rlike(_CLASSICAL) & (_arabic_syllables(w) > 5))
     s = F.greatest(F.size(F.regexp_extract_all("t", F.lit("[.!?]+"), 0)), F.lit(1))
     of = (complex_ + long + _arabic_syllables(F.col("t")) + classical) / F.size("ws")
     return d.select("doc_id", (200.791 - 1.015 * (F.size("ws") / s) - 24.181 * of).alias("value"))
