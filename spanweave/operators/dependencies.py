@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ["doc_id", "sent"]
@@ -60,38 +60,38 @@ def syntactic_complexity(words: DataFrame) -> DataFrame:
     structs of the other fields), which are taken where they are, among the sentence's own words."""
     if "ws" in words.columns:
         heads = lambda kinds: F.transform(F.filter("ws", lambda w: w["deprel"].isin(*kinds)), lambda w: w["head"])
-        lists = words.select(*KEYS, "ws", F.explode(F.array(F.struct(heads(CLAUSES).alias("clauses"), heads(MODIFIERS).alias("modified")))).alias("heads"))
-        count = lambda told: F.size(F.filter("ws", told))
-        told = {
-            "W": lambda w: w["upos"] != "PUNCT",
-            "VP": lambda w: (w["upos"] == "VERB") & w["feats"].contains("VerbForm=Fin"),
-            "C": lambda w: (w["upos"] == "VERB") & w["deprel"].isin("root", *CLAUSES),
-            "DC": lambda w: (w["upos"] == "VERB") & w["deprel"].isin(*CLAUSES),
-            "T": lambda w: w["deprel"] == "root",
-            "CT": lambda w: (w["deprel"] == "root") & F.array_contains(F.col("heads.clauses"), w["id"]),
-            "CP": lambda w: w["deprel"].isin("cc", "conj"),
-            "CN": lambda w: (w["upos"] == "NOUN") & F.array_contains(F.col("heads.modified"), w["id"]),
-        }
-        return _ratios(lists.select(*KEYS, *[count(c).alias(k) for k, c in told.items()]), list(told))
+        # the heads are made in a step of their own, once a sentence; its words come as rows after it, so that they are counted in compiled code
+        listed = words.select("doc_id", "ws", heads(CLAUSES).alias("clauses"), heads(MODIFIERS).alias("modifiers"))
+        each = listed.select("doc_id", "clauses", "modifiers", F.posexplode_outer("ws").alias("place", "w"))
+        of = {k: F.col(f"w.{k}") for k in ("id", "upos", "feats", "deprel")}
+        counts = _kinds(of["upos"], of["feats"], of["deprel"], F.array_contains("clauses", of["id"]), F.array_contains("modifiers", of["id"]))
+        # a sentence without words counts as one
+        return _ratios(each, {k: F.count_if(c) for k, c in ({"S": F.coalesce("place", F.lit(0)) == 0} | counts).items()})
     child = lambda kinds, flag: words.where(F.col("deprel").isin(*kinds)).select(*KEYS, F.col("head").alias("id")).distinct().withColumn(flag, F.lit(1))
     w = words.join(child(CLAUSES, "clause"), [*KEYS, "id"], "left").join(child(MODIFIERS, "modified"), [*KEYS, "id"], "left")
-    verb, rel, root = F.col("upos") == "VERB", F.col("deprel"), F.col("deprel") == "root"
-    counts = {
-        "W": F.col("upos") != "PUNCT",
-        "VP": verb & F.coalesce(F.col("feats"), F.lit("")).contains("VerbForm=Fin"),
+    counts = _kinds(F.col("upos"), F.col("feats"), F.col("deprel"), F.col("clause").isNotNull(), F.col("modified").isNotNull())
+    sents = w.groupBy(*KEYS).agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in counts.items()])
+    return _ratios(sents, {"S": F.count("*")} | {k: F.sum(k) for k in counts})
+
+
+def _kinds(upos: Column, feats: Column, rel: Column, clause: Column, modified: Column) -> dict[str, Column]:
+    """Which words each count is of."""
+    verb, root = upos == "VERB", rel == "root"
+    return {
+        "W": upos != "PUNCT",
+        "VP": verb & F.coalesce(feats, F.lit("")).contains("VerbForm=Fin"),
         "C": verb & rel.isin("root", *CLAUSES),
         "DC": verb & rel.isin(*CLAUSES),
         "T": root,
-        "CT": root & F.col("clause").isNotNull(),
+        "CT": root & clause,
         "CP": rel.isin("cc", "conj"),
-        "CN": (F.col("upos") == "NOUN") & F.col("modified").isNotNull(),
+        "CN": (upos == "NOUN") & modified,
     }
-    sents = w.groupBy(*KEYS).agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in counts.items()])
-    return _ratios(sents, list(counts))
 
 
-def _ratios(sents: DataFrame, counts: list[str]) -> DataFrame:
-    d = sents.groupBy("doc_id").agg(F.count("*").alias("S"), *[F.sum(k).alias(k) for k in counts])
+def _ratios(rows: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    """counts: the aggregate of each count."""
+    d = rows.groupBy("doc_id").agg(*[c.alias(k) for k, c in counts.items()])
     ratios = {"MLC": ("W", "C"), "MLS": ("W", "S"), "MLT": ("W", "T")} | {f"{a}/{b}": (a, b) for a, b in (("C", "S"), ("C", "T"), ("CT", "T"), ("DC", "C"), ("DC", "T"), ("CP", "C"), ("CP", "T"), ("T", "S"), ("CN", "C"), ("CN", "T"), ("VP", "T"))}
     rows = F.array(*[F.struct(F.lit(k).alias("label"), F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0)).alias("value")) for k, (a, b) in ratios.items()])
     return d.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*")

@@ -46,28 +46,42 @@ _FIELDS = {"lemma": LEMMA, "tag": TAG, "dep_type": DEP.replace("verb_no = 1", "p
 FIELDS = ("pos", "text", "lemma", "pos_coarse", "tag", "dep_type", "is_punct", "tense")
 
 
-def _words(docs: DataFrame) -> DataFrame:
-    """A row a sentence: (doc_id, n, para, sent, ts), ts its tokens' texts. Arrays come out of an explode, so that each is made once."""
+def _sentences(docs: DataFrame) -> DataFrame:
+    """A row a sentence: (doc_id, n, x), x its paragraph, its number there and its text."""
     lower = F.lower(F.coalesce("text", F.lit("")))
     lettered = lambda parts: F.filter(parts, lambda x: x.rlike(LETTER))
     within = lambda p, i: F.transform(lettered(F.split(p, "[.!?]+")), lambda s, j: F.struct(i.alias("para"), j.alias("sent"), s.alias("s")))
     sents = docs.select("doc_id", F.posexplode(F.flatten(F.transform(lettered(F.split(lower, "\n")), within))).alias("n", "x"))
-    return sents.select("doc_id", (F.col("n") + 1).alias("n"), "x.para", "x.sent", F.explode(F.array(F.regexp_extract_all("x.s", F.lit(TOKEN), 0))).alias("ts"))
+    return sents.select("doc_id", (F.col("n") + 1).alias("n"), "x")
+
+
+def _words(docs: DataFrame) -> DataFrame:
+    """A row a sentence: (doc_id, n, para, sent, ts), ts its tokens' texts. Arrays come out of an explode, so that each is made once."""
+    return _sentences(docs).select("doc_id", "n", "x.para", "x.sent", F.explode(F.array(F.regexp_extract_all("x.s", F.lit(TOKEN), 0))).alias("ts"))
+
+
+def _bound(value: str, name: str, then: str) -> str:
+    """`then`, an expression over `name`, with the value made once. It is no column, so that no row is copied for it."""
+    return f"get(transform(array({value}), {name} -> {then}), 0)"
 
 
-def rule_sentences(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def rule_sentences(docs: DataFrame, fields: tuple[str, ...] = FIELDS, into: dict[str, str] | None = None) -> DataFrame:
     """docs (doc_id, text) -> a row a sentence: (doc_id, n, para, sent, toks), n its number in the document from 1, toks the named fields of its tokens. Paragraphs
     are lines with a letter of any script, sentences with one end in marks; both are numbered from 0 within the document. The sentences of a document are
-    made out of its row, lie together and come in order; nothing is shuffled. A doc_id is one row's."""
-    keys = ["doc_id", "n", "para", "sent"]
-    classed = F.transform("ts", lambda text, pos: F.struct(pos.alias("pos"), text.alias("text")))
-    if {"pos_coarse", "dep_type"} & {*fields}:
-        classed = F.expr(f"transform(ts, (text, pos) -> named_struct('pos', pos, 'text', text, 'pos_coarse', {_CLASS}))")
-    each = _words(docs).select(*keys, F.explode(F.array(classed)).alias("classed"))
-    if "dep_type" in fields:
-        each = each.withColumn("root_at", F.array_position(F.col("classed.pos_coarse"), "VERB").cast("int") - 1)
-    given = {k: re.sub(r"\b(text|pos_coarse|pos)\b", r"t.\1", _FIELDS.get(k, k)) for k in fields}
-    return each.select(*keys, F.expr("transform(classed, t -> named_struct(" + ", ".join(f"'{k}', {v}" for k, v in given.items()) + "))").alias("toks"))
+    made out of its row, lie together and come in order; nothing is shuffled. A doc_id is one row's. `into` gives other fields of toks, as rules over the
+    named ones and root_at, the place of the sentence's first verb. A sentence's arrays are copied into rows once, when its tokens are done."""
+    classes = bool({"pos_coarse", "dep_type"} & {*fields}) or into is not None
+    given = {k: re.sub(r"\bpos_coarse\b", "get(classes, pos)", _FIELDS.get(k, k)) for k in fields}
+    toks = "transform(ts, (text, pos) -> named_struct(" + ", ".join(f"'{k}', {v}" for k, v in given.items()) + "))"
+    if into is not None:
+        named = {k: re.sub(rf"\b({'|'.join(fields)})\b", r"t.\1", v) for k, v in into.items()}
+        toks = f"transform({toks}, t -> named_struct(" + ", ".join(f"'{k}', {v}" for k, v in named.items()) + "))"
+    if classes:
+        toks = _bound("cast(nullif(array_position(classes, 'VERB'), 0) - 1 as int)", "root_at", toks)
+        toks = _bound(f"transform(ts, text -> {_CLASS})", "classes", toks)
+    pattern = TOKEN.replace("\\", "\\\\")
+    made = _bound(f"regexp_extract_all(x.s, '{pattern}', 0)", "ts", toks)
+    return _sentences(docs).select("doc_id", "n", "x.para", "x.sent", F.explode(F.array(F.expr(made))).alias("toks"))
 
 
 def rule_tokens(docs: DataFrame) -> DataFrame:

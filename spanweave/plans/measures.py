@@ -36,8 +36,10 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def _docs(spark, sf_dir) -> DataFrame:
-    """The texts, dealt over the tasks: what is made out of a text takes long, and a file may have few parts."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    """The texts, dealt over the tasks: what is made out of a text takes long, and a file may have few parts. The number of parts is given, since Spark would
+    put parts that are small in bytes together, to hardly more than one a core, and the longest would be waited for."""
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return table(spark, sf_dir, "documents").select("doc_id", "text").repartition(parts, "doc_id")
 
 
 def _tokens(spark, sf_dir) -> DataFrame:
@@ -241,8 +243,6 @@ def syntactic_complexity(spark, sf_dir):
 
 def _words(spark, sf_dir) -> DataFrame:
     """Dependency words of rule-tagged sentences (doc_id, sent, ws): the sentence's first verb is the root, adjectives hang on the next word."""
-    rooted = _sentences(spark, sf_dir, "pos", "text", "pos_coarse", "tag", "dep_type").withColumn("root_at", F.expr("cast(nullif(array_position(toks.dep_type, 'ROOT'), 0) - 1 as int)"))
     fields = {"id": "pos + 1", "head": _L2, "upos": "pos_coarse", "feats": _FEATS, "deprel": _REL, "text": "text"}
-    of = lambda rule: re.sub(r"\b(pos_coarse|dep_type|text|tag|pos)\b", r"t.\1", rule)
-    ws = F.expr("transform(toks, t -> named_struct(" + ", ".join(f"'{k}', {of(v)}" for k, v in fields.items()) + "))")
-    return rooted.select("doc_id", F.expr("para * 100000 + sent").alias("sent"), F.explode(F.array(ws)).alias("ws"))
+    rooted = tagging.rule_sentences(_docs(spark, sf_dir), ("pos", "text", "pos_coarse", "tag", "dep_type"), fields)
+    return rooted.select("doc_id", F.expr("para * 100000 + sent").alias("sent"), F.col("toks").alias("ws"))

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from spanweave.operators import cohesion, spans, tagging
+from spanweave.operators import cohesion, dependencies, spans, tagging
+from spanweave.plans import measures
 
 TEXTS = [(1, "They walked slowly and the red dogs barked. He is talking, not walking!\nWir gehen nicht"), (2, "1999. 7!"), (3, "walked Walked walking dogs dog"), (4, None)]
 #: Plans are read as they are before they run.
@@ -34,3 +35,20 @@ def test_texts_are_dealt_before_they_are_cut(spark):
     docs = spark.createDataFrame(TEXTS, "doc_id bigint, text string")
     plan = spans.tokens(docs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count(EXCHANGE) == 1 and plan.index("Generate") < plan.index(EXCHANGE)
+
+
+def test_texts_of_the_queries_on_sentences_are_dealt_over_several_tasks_a_core(spark):
+    docs = measures._docs(spark, "/root/testdata/sf0.001")
+    assert docs.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_ratios_of_sentence_rows_shuffle_nothing_and_equal_those_of_word_rows(spark):
+    into = {"id": "pos + 1", "head": measures._L2, "upos": "pos_coarse", "feats": measures._FEATS, "deprel": measures._REL}
+    rooted = tagging.rule_sentences(dealt(spark), ("pos", "text", "pos_coarse", "tag", "dep_type"), into)
+    sents = rooted.select("doc_id", F.expr("para * 100000 + sent").alias("sent"), F.col("toks").alias("ws"))
+    got = dependencies.syntactic_complexity(sents)
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count(EXCHANGE) == 1
+    value = lambda df: sorted((r.doc_id, r.label, r.value) for r in df.collect())
+    assert value(got) == value(dependencies.syntactic_complexity(sents.select("doc_id", "sent", F.inline("ws")))) and got.count() == 28
+    empty = spark.createDataFrame([(1, 0, [])], "doc_id bigint, sent bigint, ws array<struct<id int, head int, upos string, feats string, deprel string>>")
+    assert {r.value for r in dependencies.syntactic_complexity(empty).collect()} == {0.0}
