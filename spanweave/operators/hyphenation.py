@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.operators.lookup import lookup
+from spanweave.session import tasks
 
 #: Letters from which the patterns of open syllables are made.
 VOWELS = "aeiouyäöüáéíóúàèêôû"
@@ -36,23 +37,31 @@ def pattern_points(patterns: DataFrame) -> DataFrame:
     return points.groupBy("letters", "at").agg(F.max("level").alias("level"))
 
 
-def break_places(words: DataFrame, patterns: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
-    """(word, places): the sorted offsets in code points at which each distinct word may be broken, at least `left` letters from its begin and `right`
-    from its end."""
-    points = pattern_points(patterns).groupBy("letters").agg(F.collect_list(F.struct("at", "level")).alias("points"))
+def _breaks(words: DataFrame, patterns: DataFrame, left: int, right: int) -> DataFrame:
+    """(word, place): the offsets of each distinct word's breaks, and rows of null, one at least."""
+    points = pattern_points(patterns).where("letters != ''").groupBy("letters").agg(F.collect_list(F.struct("at", "level")).alias("points"))
     longest = points.agg(F.max(F.char_length("letters"))).first()[0] or 1
-    distinct = words.select("word").where("word IS NOT NULL").distinct()
+    # a word makes many pieces, so words are dealt over a given number of tasks, not by their bytes
+    distinct = words.select("word").where("word IS NOT NULL").distinct().repartition(tasks(words.sparkSession), "word")
     edged = distinct.withColumn("edged", F.concat(F.lit("."), F.lower("word"), F.lit(".")))
     starts = edged.select("word", "edged", F.explode(F.sequence(F.lit(1), F.char_length("edged"))).alias("from"))
     most = F.least(F.lit(longest), F.char_length("edged") - F.col("from") + 1)
-    pieces = starts.select("word", "from", F.explode(F.transform(F.sequence(F.lit(1), most), lambda n: F.substring("edged", F.col("from"), n))).alias("letters"))
-    met = lookup(pieces, points, "letters").select("word", "from", F.explode_outer("points").alias("p"))
+    # a word's first place has an empty piece as well, which no pattern has: a row that stays where no piece meets a pattern
+    sizes = starts.select("word", "edged", "from", F.explode(F.sequence(F.when(F.col("from") == 1, 0).otherwise(1), most)).alias("size"))
+    pieces = sizes.select("word", "from", F.substring("edged", F.col("from"), F.col("size")).alias("letters"))
+    met = lookup(pieces, points, "letters").where("points IS NOT NULL OR letters = ''").select("word", "from", F.explode_outer("points").alias("p"))
     # a place in the word is one less than in the edged word, whose offsets begin at 1
     levels = met.groupBy("word", (F.col("from") + F.col("p.at") - 2).alias("place")).agg(F.max("p.level").alias("level"))
     good = (F.col("level") % 2 == 1) & F.col("place").between(F.lit(left), F.char_length("word") - right)
-    return levels.groupBy("word").agg(F.array_sort(F.collect_list(F.when(good, F.col("place")))).alias("places"))
+    return levels.select("word", F.when(good, F.col("place")).alias("place"))
+
+
+def break_places(words: DataFrame, patterns: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
+    """(word, places): the sorted offsets in code points at which each distinct word may be broken, at least `left` letters from its begin and `right`
+    from its end."""
+    return _breaks(words, patterns, left, right).groupBy("word").agg(F.array_sort(F.collect_list("place")).alias("places"))
 
 
 def syllable_counts(words: DataFrame, patterns: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
     """(word, syllables): places of a break, and one."""
-    return break_places(words, patterns, left, right).select("word", (F.size("places") + 1).alias("syllables"))
+    return _breaks(words, patterns, left, right).groupBy("word").agg((F.count("place") + 1).cast("int").alias("syllables"))

@@ -26,6 +26,12 @@ def ship_package(spark: SparkSession) -> None:
     context._spanweave_shipped = True
 
 
+def tasks(spark: SparkSession) -> int:
+    """Parts to deal rows over whose work or state is far larger than their bytes, by which Spark would put parts together. One more than its own number: it
+    leaves out a deal equal to the one before, and then puts those parts together."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism) + 1
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

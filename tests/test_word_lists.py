@@ -68,6 +68,33 @@ def test_readability_with_tables(spark):
     assert doubled[1] == 18
 
 
+def test_rare_and_common_words_count_alike(spark):
+    texts = [(1, "the cat the reading reading reading."), (1, "The tables. zzz!"), (None, "reading the"), (2, "unknown unknown"), (3, "# 1 2")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    easy = spark.createDataFrame([("the",), ("cat",)], "word string")
+    syll = spark.createDataFrame([("reading", 2), ("tables", 2), ("unknown", 3)], "word string, syllables int")
+    of = lambda bound, counts=None: sorted(map(str, word_lists.list_counts(docs, easy, syll, counts, bound).collect()))
+    every = of(100)
+    assert len(every) == 3 and of(0) == of(2) == of(3) == of(100, word_lists.occurrences(docs)) == every
+    one = word_lists.list_counts(docs, easy, syll, bound=2).where("doc_id = 1").first().asDict()
+    assert {k: one[k] for k in ("w", "s", "syll", "mono", "poly", "long7", "new", "hard")} == {"w": 9, "s": 3, "syll": 13, "mono": 5, "poly": 0, "long7": 3, "new": 3, "hard": 2}
+
+
+def test_a_text_is_one_row_of_its_common_words_before_it_is_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"the reading of the tables {'abcdefgh'[i]}x") for i in range(8)], "doc_id bigint, text string")
+    words = spark.createDataFrame([("the", 1)], "word string, syllables int")
+    plan = word_lists.list_counts(docs, words, words)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 1 and plan.count("BroadcastHashJoin") >= 1
+    assert word_lists.word_counts(docs.repartition(5, "doc_id"))._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_words_are_dealt_over_many_tasks_before_they_are_cut(spark):
+    words = spark.createDataFrame([(w,) for w in WORDS], "word string")
+    counts = hyphenation.syllable_counts(words, spark.createDataFrame([("1na",)], "pattern string"))
+    assert counts.rdd.getNumPartitions() >= 16 * spark.sparkContext.defaultParallelism
+    assert {r.word: r.syllables for r in counts.collect()} == {w: len(plain_places(w, ["1na"])) + 1 for w in WORDS}
+
+
 def test_commonest_words(spark):
     docs = spark.createDataFrame([("b a b c.",), ("C b",), (None,)], "text string")
     assert [r.word for r in word_lists.commonest_words(docs, 2).collect()] == ["b", "c"]
