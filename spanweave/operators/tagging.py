@@ -37,12 +37,14 @@ DEP = f"""CASE WHEN {_among(NEG)} THEN 'NEG' WHEN pos_coarse = 'VERB' AND verb_n
  WHEN pos_coarse = 'ADP' THEN 'PREP' WHEN pos_coarse = 'CCONJ' THEN 'CC' ELSE 'DEP' END"""
 
 
-#: The same classes, with one look into the set of all closed words in place of one into each.
+#: The same classes, with one look into the set of all closed words in place of one into each. A word's first character is a digit if it stands from 0 up to the
+#: character after 9, so it isn't cut out.
 _CLOSED = " ".join([", ; :", DET, PRON, ADP, CCONJ, NEG, "to"])
-_CLASS = f"CASE WHEN {_among(_CLOSED)} THEN {COARSE} ELSE CASE WHEN substring(text, 1, 1) BETWEEN '0' AND '9' THEN 'NUM'" + COARSE[COARSE.index(" WHEN text LIKE '%ly'") :] + " END"
+_CLASS = f"CASE WHEN {_among(_CLOSED)} THEN {COARSE} ELSE CASE WHEN text >= '0' AND text < ':' THEN 'NUM'" + COARSE[COARSE.index(" WHEN text LIKE '%ly'") :] + " END"
 _VERB = f"{_CLASS} = 'VERB'"
-#: The fields of a token but for its place, text and part of speech. verb_no = 1 at a sentence's first verb alone, whose place is `root_at`.
-_FIELDS = {"lemma": LEMMA, "tag": TAG, "dep_type": DEP.replace("verb_no = 1", "pos = root_at"), "is_punct": "text IN (',', ';', ':')", "tense": TENSE}
+#: The fields of a token but for its place, text and part of speech. verb_no = 1 at a sentence's first verb alone, whose place is `root_at`;
+#: words of negation are particles, so others aren't looked up among them.
+_FIELDS = {"lemma": LEMMA, "tag": TAG, "dep_type": DEP.replace("verb_no = 1", "pos = root_at").replace(_among(NEG), f"pos_coarse = 'PART' AND {_among(NEG)}"), "is_punct": "text IN (',', ';', ':')", "tense": TENSE}
 FIELDS = ("pos", "text", "lemma", "pos_coarse", "tag", "dep_type", "is_punct", "tense")
 
 

@@ -238,11 +238,11 @@ k AS (SELECT doc_id, count(DISTINCT sent) AS S, count(*) FILTER (WHERE upos <> '
  count(*) FILTER (WHERE upos = 'VERB' AND deprel IN ('advcl', 'ccomp', 'acl', 'xcomp')) AS DC, count(*) FILTER (WHERE deprel = 'root') AS T, count(*) FILTER (WHERE deprel = 'root' AND clause) AS CT, count(*) FILTER (WHERE deprel IN ('cc', 'conj')) AS CP, count(*) FILTER (WHERE upos = 'NOUN' AND modified) AS CN FROM x GROUP BY doc_id) """
        + _union("k", {k: f"CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0.0 END" for k, (a, b) in _RATIOS.items()}, False))
 def syntactic_complexity(spark, sf_dir):
-    return _rounded(dependencies.syntactic_complexity(_words(spark, sf_dir)))
+    return _rounded(dependencies.syntactic_complexity(_words(spark, sf_dir, "id", "head", "upos", "feats", "deprel")))
 
 
-def _words(spark, sf_dir) -> DataFrame:
-    """Dependency words of rule-tagged sentences (doc_id, sent, ws): the sentence's first verb is the root, adjectives hang on the next word."""
-    fields = {"id": "pos + 1", "head": _L2, "upos": "pos_coarse", "feats": _FEATS, "deprel": _REL, "text": "text"}
-    rooted = tagging.rule_sentences(_docs(spark, sf_dir), ("pos", "text", "pos_coarse", "tag", "dep_type"), fields)
+def _words(spark, sf_dir, *fields: str) -> DataFrame:
+    """Dependency words of rule-tagged sentences (doc_id, sent, ws), with some fields: the sentence's first verb is the root, adjectives hang on the next word."""
+    rules = {"id": "pos + 1", "head": _L2, "upos": "pos_coarse", "feats": _FEATS, "deprel": _REL, "text": "text"}
+    rooted = tagging.rule_sentences(_docs(spark, sf_dir), ("pos", "text", "pos_coarse", "tag", "dep_type"), {k: rules[k] for k in fields})
     return rooted.select("doc_id", F.expr("para * 100000 + sent").alias("sent"), F.col("toks").alias("ws"))
