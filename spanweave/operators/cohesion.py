@@ -2,16 +2,16 @@
 rows (doc_id, label, value, error). An index that a document gives no number for is null with an error, and removes no other.
 
 Tokens are first gathered a sentence (one shuffle by document, whose sentences then lie together); what compares
-neighbours is a lag over them. Texts without a pair of neighbours or paragraphs, and without a root, have SYNMED*, SYNSTRUT* and SYNLE 0. All-pairs indices count within a document over sets of word numbers, in blocks of sentences.
+neighbours is a lag over them. Texts without a pair of neighbours or paragraphs, and without a root, have SYNMED*, SYNSTRUT* and SYNLE 0. All-pairs indices count the pairs
+of sentences that share a word, over word numbers, in bounded blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,6 +21,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from spanweave.functions.metrics import jaccard, normalised_levenshtein, syllables
 from spanweave.operators.lookup import lookup
 from spanweave.operators.matching import phrases
+from spanweave.operators.sentence_pairs import HELD, TOKENS, Pairs, Tokens, distinct, stretches
+from spanweave.session import ship_package
 
 NOUNS, CONTENT = ("NOUN", "PROPN"), ("NOUN", "VERB", "ADJ", "ADV")
 ROOTS = ("--", "ROOT", "root")
@@ -237,81 +239,43 @@ def adjacent(tokens: DataFrame) -> DataFrame:
     return rows_of(wide.withColumns(zeros), [*value, "CRFCWO1d", "SYNLE"])
 
 
-#: Cells of a sentence by word matrix that is multiplied as a whole; a document with more is counted through the sentences of each word.
-DENSE = 1 << 22
+#: Tokens of whole documents that are counted together.
+DENSE = TOKENS
 
 
-def _meetings(left: list[np.ndarray], right: list[np.ndarray], n_codes: int, dense: int) -> Callable[[np.ndarray], np.ndarray]:
-    """For given rows, how many codes each left row has in common with every right row. Codes of a row are distinct."""
-    if max(len(left), len(right)) * n_codes <= dense:
-
-        def matrix(rows: list[np.ndarray]) -> np.ndarray:
-            m = np.zeros((len(rows), max(n_codes, 1)), np.float32)
-            m[np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)] = 1
-            return m
-
-        a, b = matrix(left), matrix(right)
-        return lambda rows: a[rows] @ b.T
-    codes = np.concatenate(right)
-    order = np.argsort(codes, kind="stable")
-    holders = np.repeat(np.arange(len(right)), [len(r) for r in right])[order]
-    starts = np.searchsorted(codes[order], np.arange(n_codes + 1))
-
-    def count(rows: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(rows), len(right)), np.float32)
-        for k, i in enumerate(rows):
-            for c in left[i]:
-                out[k, holders[starts[c] : starts[c + 1]]] += 1
-        return out
-
-    return count
-
-
-def all_pairs(tokens: DataFrame, block: int = 256, dense: int = DENSE) -> DataFrame:
+def all_pairs(tokens: DataFrame, block: int = HELD, dense: int = DENSE) -> DataFrame:
     """Indices over all pairs of a document's sentences, and the syntax similarity of all pairs of its paragraphs, each the union of its sentences'
-    nodes. A document is one task; of its pairs `block` rows are held at once, and memory grows with its words, not with sentences times words."""
-    s = gathered(tokens).select("doc_id", "n", "para", _pick("text", *NOUNS).alias("nouns"), _pick("lemma", *NOUNS).alias("stems"), _pick("text", "PRON").alias("prons"), _pick("lemma", *CONTENT).alias("content"),
-                               _nodes().alias("syntax"))
+    nodes. Documents are read as streams of sentence rows, whole ones together up to `dense` tokens; of their pairs with their common words `block` are held at
+    once. Only pairs that share a word are looked at, and memory grows with a document's words, not with its pairs."""
     labels = ["CRFNOa", "CRFAOa", "CRFSOa", "CRFCWOa", "CRFCWOad", "SYNSTRUTt"]
+    ship_package(tokens.sparkSession)
+
+    def measured(rows: pa.RecordBatch) -> tuple[pa.Array, list[np.ndarray]]:
+        t, n, para = Tokens(rows), rows.column("n").to_numpy(), rows.column("para").to_numpy()
+        firsts = np.flatnonzero(n == 1)
+        stems, content = t.held("lemma", *NOUNS), t.held("lemma", *CONTENT)
+        either = np.append(stems, t.held("text", "PRON", base=len(t.codes("lemma")[1])))
+        pairs = Pairs(firsts, t.rows, block)
+        some = np.maximum(pairs.pairs, 1)
+        binary = [pairs.meeting(a, b) / some for a, b in ((t.held("text", *NOUNS),) * 2, (either,) * 2, (stems, content))]
+        total, squares = pairs.shares(content)
+        mean = total / some
+        values = [*binary, mean, np.sqrt(np.maximum(squares / some - mean**2, 0))]
+        # paragraphs are rows of their own
+        begins = (n == 1) | np.append(True, para[1:] != para[:-1])
+        number, (node, _) = np.cumsum(begins) - 1, t.nodes()
+        n_paras = int(number[-1]) + 1
+        across = Pairs(number[firsts], n_paras, block)
+        alike = across.shares(distinct(node * n_paras + number[t.row[t.word]]))[0] / np.maximum(across.pairs, 1)
+        return rows.column("doc_id").take(pa.array(firsts)), [*[pa.array(v, mask=pairs.pairs == 0) for v in values], pa.array(alike)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in stretches(batches, dense):
+            doc, values = measured(rows)
+            yield pa.RecordBatch.from_arrays([doc, *values], ["doc_id", *labels])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("n")
-        size, para = len(group), group["para"].to_numpy()
-
-        def coded(*columns: str) -> tuple[list[list[np.ndarray]], int]:
-            codes: dict[str, int] = {}
-            out = [[np.array(sorted({codes.setdefault(w, len(codes)) for w in row}), np.int64) for row in group[c]] for c in columns]
-            return out, len(codes)
-
-        ((nouns,), n1), ((stems, content), n2), ((prons,), n3), ((syntax,), n4) = coded("nouns"), coded("stems", "content"), coded("prons"), coded("syntax")
-        shared = [_meetings(a, b, n, dense) for a, b, n in ((nouns, nouns, n1), (stems, stems, n2), (prons, prons, n3), (stems, content, n2), (content, content, n2))]
-        n_content = np.array([len(r) for r in content], np.float32)
-        sums, pairs = np.zeros(5), 0
-        for at in range(0, size, block):
-            rows = np.arange(at, min(at + block, size))
-            later = np.arange(size)[None, :] > rows[:, None]
-            noun, stem, pron, reach, over = [f(rows) for f in shared]
-            either = n_content[rows][:, None] + n_content[None, :] - over
-            share = np.divide(over, either, out=np.zeros_like(over), where=either > 0)[later].astype(np.float64)
-            binary = [(noun > 0)[later], ((stem > 0) | (pron > 0))[later], (reach > 0)[later]]
-            sums[:5] += [*[b.sum() for b in binary], share.sum(), (share**2).sum()]
-            pairs += int(later.sum())
-        united: dict[int, set[int]] = {}
-        for p, row in zip(para, syntax, strict=True):
-            united.setdefault(p, set()).update(row)
-        nodes = [np.array(sorted(u), np.int64) for u in united.values()]
-        alike, across, same_nodes = 0.0, len(nodes) * (len(nodes) - 1) // 2, _meetings(nodes, nodes, n4, dense)
-        n_nodes = np.array([len(u) for u in nodes], np.float32)
-        for at in range(0, len(nodes), block):
-            rows = np.arange(at, min(at + block, len(nodes)))
-            same = same_nodes(rows)
-            either = np.maximum(n_nodes[rows][:, None] + n_nodes[None, :] - same, 1)
-            alike += (same / either)[np.arange(len(nodes))[None, :] > rows[:, None]].astype(np.float64).sum()
-        mean = sums[:4] / pairs if pairs else [None] * 4
-        values = [*mean, float(np.sqrt(max(sums[4] / pairs - mean[3] ** 2, 0))) if pairs else None, alike / across if across else 0.0]
-        return pd.DataFrame([[group["doc_id"].iloc[0], *values]], columns=["doc_id", *labels])
-
-    wide = s.groupBy("doc_id").applyInPandas(run, f"doc_id {dict(tokens.dtypes)['doc_id']}, " + ", ".join(f"{k} double" for k in labels))
+    s = gathered(tokens).select("doc_id", F.col("n").cast("long").alias("n"), F.col("para").cast("long").alias("para"), "toks")
+    wide = s.mapInArrow(run, f"doc_id {dict(tokens.dtypes)['doc_id']}, " + ", ".join(f"{k} double" for k in labels))
     return rows_of(wide, labels)
 
 

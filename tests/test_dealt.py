@@ -52,3 +52,34 @@ def test_ratios_of_sentence_rows_shuffle_nothing_and_equal_those_of_word_rows(sp
     assert value(got) == value(dependencies.syntactic_complexity(sents.select("doc_id", "sent", F.inline("ws")))) and got.count() == 28
     empty = spark.createDataFrame([(1, 0, [])], "doc_id bigint, sent bigint, ws array<struct<id int, head int, upos string, feats string, deprel string>>")
     assert {r.value for r in dependencies.syntactic_complexity(empty).collect()} == {0.0}
+
+
+def test_all_pairs_of_sentence_rows_shuffle_nothing_and_equal_those_of_token_rows(spark):
+    texts = [*TEXTS, (5, "Dogs barked. Cats ran and dogs walked! It barked, it ran.\nDogs. Cats saw it? They.\nRed dogs barked")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = cohesion.all_pairs(tagging.rule_sentences(docs))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got) == rows(cohesion.all_pairs(tagging.rule_tokens(docs))) == rows(cohesion.all_pairs(tagging.rule_sentences(docs), 1, 1))
+    # seven sentences: dogs are in four, cats and ran in two each, in other pairs
+    assert {r.label: round(r.value, 6) for r in got.where("doc_id = 5").collect()}["CRFNOa"] == round(8 / 21, 6)
+
+
+def test_pairs_that_share_no_word_are_not_looked_at():
+    import numpy as np
+
+    from spanweave.operators.sentence_pairs import Pairs, distinct
+
+    pick, size = np.random.default_rng(3), 60
+    sets, firsts = pick.random((size, 12)) < 0.2, np.array([0, 1, 23])
+    doc = np.repeat([0, 1, 2], [1, 22, 37])
+    held = distinct(np.nonzero(sets.T)[0] * size + np.nonzero(sets.T)[1])
+    common = (sets.astype(int) @ sets.T) * np.triu(doc[:, None] == doc, 1)
+    either = np.maximum(sets.sum(1)[:, None] + sets.sum(1) - common, 1)
+    of = lambda x: [x[doc == d].sum() for d in range(3)]
+    for most in (1, 50, 1 << 20):
+        pairs = Pairs(firsts, size, most)
+        assert pairs.meeting(held, held).tolist() == of(common > 0)
+        assert np.allclose(pairs.shares(held), [of(common / either), of((common / either) ** 2)])
+        # what is held is words that are met, block by block
+        assert sum(len(cell) for *_, cell in pairs._met(held, held)) == common.sum()
+    assert pairs.pairs.tolist() == [0, 231, 666]
