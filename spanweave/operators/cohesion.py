@@ -2,7 +2,7 @@
 rows (doc_id, label, value, error). An index that a document gives no number for is null with an error, and removes no other.
 
 Tokens are first gathered a sentence (one shuffle by document, whose sentences then lie together); what compares
-neighbours is a lag over them. Texts without a pair of neighbours or paragraphs, and without a root, have SYNMED*, SYNSTRUT* and SYNLE 0. All-pairs indices count the pairs
+neighbours streams through a worker. Texts without a pair of neighbours or paragraphs, and without a root, have SYNMED*, SYNSTRUT* and SYNLE 0. All-pairs indices count the pairs
 of sentences that share a word, over word numbers, in bounded blocks.
 """
 
@@ -18,10 +18,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from spanweave.functions.metrics import jaccard, normalised_levenshtein, syllables
+from spanweave.functions.metrics import syllables
+from spanweave.operators.edits import edit_distances
 from spanweave.operators.lookup import lookup
 from spanweave.operators.matching import phrases
-from spanweave.operators.sentence_pairs import HELD, TOKENS, Pairs, Tokens, distinct, stretches
+from spanweave.operators.sentence_pairs import HELD, TOKENS, Pairs, Tokens, distinct, neighbours, stretches
 from spanweave.session import ship_package
 
 NOUNS, CONTENT = ("NOUN", "PROPN"), ("NOUN", "VERB", "ADJ", "ADV")
@@ -215,28 +216,47 @@ def frequency_means(tokens: DataFrame, frequencies: DataFrame, floor: float = 1e
 
 
 def adjacent(tokens: DataFrame) -> DataFrame:
-    """Indices over neighbouring sentences: overlap of nouns, arguments, stems and content words, edit distance, syntax similarity."""
-    s = gathered(tokens).select(
-        "doc_id", "n", _pick("text", *NOUNS).alias("nouns"), _pick("lemma", *NOUNS).alias("stems"), _pick("text", "PRON").alias("prons"), _pick("lemma", *CONTENT).alias("content"),
-        _nodes().alias("syntax"),
-        *[F.array_join(_field(c), " ").alias(k) for k, c in (("p", "pos_coarse"), ("x", "text"), ("l", "lemma"))],
-        F.transform(F.filter("toks", lambda t: ~t["is_punct"]), lambda t: t["dep_type"].isin(*ROOTS)).alias("roots"),
-    )
-    cols = ("nouns", "stems", "prons", "content", "syntax", "p", "x", "l")
-    before = W.partitionBy("doc_id").orderBy("n")
-    b = s.select("doc_id", "n", "roots", *cols, *[F.lag(c).over(before).alias(f"{c}_0") for c in cols])
-    both = lambda c, d=None: F.size(F.array_intersect(c, f"{d or c}_0")) > 0
-    pair = F.col("n") > 1
-    value = {
-        "CRFNO1": both("nouns").cast("double"), "CRFAO1": (both("stems") | both("prons")).cast("double"), "CRFSO1": both("stems", "content").cast("double"),
-        "CRFCWO1": jaccard(F.col("content"), F.col("content_0")), "SYNSTRUTa": jaccard(F.col("syntax"), F.col("syntax_0")),
-        "SYNMEDpos": normalised_levenshtein(F.col("p"), F.col("p_0")), "SYNMEDwrd": normalised_levenshtein(F.col("x"), F.col("x_0")), "SYNMEDlem": normalised_levenshtein(F.col("l"), F.col("l_0")),
-    }
-    aggs = [F.avg(F.when(pair, c)).alias(k) for k, c in value.items()] + [F.stddev_pop(F.when(pair, value["CRFCWO1"])).alias("CRFCWO1d")]
-    place = F.array_position("roots", True) - 1
-    wide = b.groupBy("doc_id").agg(*aggs, F.avg(F.when(place >= 0, place)).alias("SYNLE"))
+    """Indices over neighbouring sentences: overlap of nouns, arguments, stems and content words, edit distance, syntax similarity. Sentences stream through a
+    worker in order, many pairs at once; only the values of a pair leave it."""
+    labels = ["CRFNO1", "CRFAO1", "CRFSO1", "CRFCWO1", "SYNSTRUTa", "SYNMEDpos", "SYNMEDwrd", "SYNMEDlem"]
+    ship_package(tokens.sparkSession)
+
+    def measured(rows: pa.RecordBatch, known: int) -> list[pa.Array]:
+        t, pair = Tokens(rows), rows.column("n").to_numpy() > 1
+        pair[0] = False
+        second = np.flatnonzero(pair)
+
+        def share(of: np.ndarray) -> np.ndarray:
+            size, common = np.bincount(of % t.rows, minlength=t.rows), neighbours(of, of, t.rows)
+            return common / np.maximum(size + np.append(0, size[:-1]) - common, 1)
+
+        def edits(field: str) -> np.ndarray:
+            code, texts = t.joined(field)
+            both, inverse = np.unique(code[second] * len(texts) + code[second - 1], return_inverse=True)
+            left, right = both // len(texts), both % len(texts)
+            found, size = edit_distances(texts, left, right)
+            out = np.zeros(t.rows)
+            out[second] = (found / np.maximum(np.maximum(size[left], size[right]), 1))[inverse]
+            return out
+
+        met = lambda a, b: neighbours(a, b, t.rows) > 0
+        nouns, stems, prons, content = t.held("text", *NOUNS), t.held("lemma", *NOUNS), t.held("text", "PRON"), t.held("lemma", *CONTENT)
+        node, _ = t.nodes()
+        values = [met(nouns, nouns), met(stems, stems) | met(prons, prons), met(stems, content), share(content), share(distinct(node * t.rows + t.row[t.word]))]
+        values += [edits(c) for c in ("pos_coarse", "text", "lemma")]
+        place = t.roots(ROOTS)
+        made = [*[pa.array(v.astype(np.float64), mask=~pair) for v in values], pa.array(place.astype(np.float64), mask=place < 0)]
+        return [rows.column("doc_id").slice(known), *[v.slice(known) for v in made]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, rows in enumerate(stretches(batches, 4 * TOKENS, False)):
+            yield pa.RecordBatch.from_arrays(measured(rows, int(k > 0)), ["doc_id", *labels, "place"])
+
+    s = gathered(tokens).select("doc_id", F.col("n").cast("long").alias("n"), "toks")
+    b = s.mapInArrow(run, f"doc_id {dict(tokens.dtypes)['doc_id']}, " + ", ".join(f"{k} double" for k in [*labels, "place"]))
+    wide = b.groupBy("doc_id").agg(*[F.avg(k).alias(k) for k in labels], F.stddev_pop("CRFCWO1").alias("CRFCWO1d"), F.avg("place").alias("SYNLE"))
     zeros = {k: F.coalesce(k, F.lit(0.0)) for k in ("SYNSTRUTa", "SYNMEDpos", "SYNMEDwrd", "SYNMEDlem", "SYNLE")}
-    return rows_of(wide.withColumns(zeros), [*value, "CRFCWO1d", "SYNLE"])
+    return rows_of(wide.withColumns(zeros), [*labels, "CRFCWO1d", "SYNLE"])
 
 
 #: Tokens of whole documents that are counted together.

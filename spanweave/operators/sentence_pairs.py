@@ -16,17 +16,21 @@ import pyarrow.compute as pc
 TOKENS, HELD = 1 << 17, 1 << 20
 
 
-def stretches(batches: Iterator[pa.RecordBatch], most: int = TOKENS) -> Iterator[pa.RecordBatch]:
-    """Whole documents of sentence rows, together of some `most` tokens; a document begins where n is 1."""
+def stretches(batches: Iterator[pa.RecordBatch], most: int = TOKENS, whole: bool = True) -> Iterator[pa.RecordBatch]:
+    """Whole documents of sentence rows, together of some `most` tokens; a document begins where n is 1. If they need not be whole, each stretch but the first
+    begins with the last row of the one before."""
 
     def joined() -> pa.RecordBatch:
         return pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
 
     kept, size = [], 0
     for batch in batches:
+        if not whole and size >= most and batch.num_rows:
+            yield joined()
+            kept, size = [kept[-1].slice(kept[-1].num_rows - 1)], 0
         firsts = np.flatnonzero(batch.column("n").to_numpy() == 1)
         cut = int(firsts[-1]) if len(firsts) else 0
-        if size >= most and len(firsts):
+        if whole and size >= most and len(firsts):
             kept.append(batch.slice(0, cut))
             yield joined()
             kept, size, batch = [], 0, batch.slice(cut)
@@ -77,6 +81,29 @@ class Tokens:
         told = self.among("pos_coarse", coarse)
         return distinct((self.codes(field)[0][told] + base) * self.rows + self.row[told])
 
+    def roots(self, labels: tuple[str, ...]) -> np.ndarray:
+        """The number of words before each row's first root, -1 without one."""
+        before, out = np.cumsum(self.word) - self.word, np.full(self.rows, -1)
+        at = np.flatnonzero(self.word & self.among("dep_type", labels))[::-1]
+        out[self.row[at]] = before[at] - before[np.searchsorted(self.row, self.row[at])]
+        return out
+
+    def joined(self, field: str) -> tuple[np.ndarray, list[str]]:
+        """The numbers of the rows' texts, a field's values with blanks between them, and the texts."""
+        values = self._toks.field(field)
+        given = self.row[values.is_valid().to_numpy(zero_copy_only=False)]
+        ends = np.searchsorted(given, np.arange(self.rows + 1)).astype(np.int32)
+        of = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), values.drop_null()), " ").dictionary_encode()
+        return of.indices.to_numpy(zero_copy_only=False).astype(np.int64), of.dictionary.to_pylist()
+
+
+def neighbours(of: np.ndarray, before: np.ndarray, rows: int) -> np.ndarray:
+    """How many words of each row the row before it has in the other set; the first row's number means nothing."""
+    if not len(before):
+        return np.zeros(rows, np.int64)
+    at = np.minimum(np.searchsorted(before, of - 1), len(before) - 1)
+    return np.bincount(of[before[at] == of - 1] % rows, minlength=rows)
+
 
 class Pairs:
     """Pairs of a row and a later one of the same document; documents are the stretches of rows that begin at `firsts`."""

@@ -83,3 +83,47 @@ def test_pairs_that_share_no_word_are_not_looked_at():
         # what is held is words that are met, block by block
         assert sum(len(cell) for *_, cell in pairs._met(held, held)) == common.sum()
     assert pairs.pairs.tolist() == [0, 231, 666]
+
+
+def test_neighbouring_sentences_stream_without_a_window(spark):
+    docs = spark.createDataFrame(TEXTS, "doc_id bigint, text string")
+    got = cohesion.adjacent(tagging.rule_sentences(docs))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "MapInArrow" in plan and plan.index("HashAggregate") < plan.index("MapInArrow")
+    assert rows(got) == rows(cohesion.adjacent(tagging.rule_tokens(docs)))
+
+
+def test_stretches_carry_a_row_or_keep_documents_whole():
+    import pyarrow as pa
+
+    from spanweave.operators.sentence_pairs import stretches
+
+    batch = pa.RecordBatch.from_pydict({"n": [1, 2, 3, 1, 1, 2], "toks": [["a"]] * 6})
+    batches = [batch.slice(0, 2), batch.slice(2, 0), batch.slice(2, 3), batch.slice(5)]
+    of = lambda **k: [b.column("n").to_pylist() for b in stretches(iter(batches), 2, **k)]
+    assert of() == [[1, 2, 3, 1], [1, 2]] and of(whole=False) == [[1, 2], [2, 3, 1, 1], [1, 2]]
+
+
+def test_edit_distances_of_many_pairs_at_once(monkeypatch):
+    import numpy as np
+
+    from spanweave.operators import edits
+
+    def brute(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            made = [i]
+            for j, d in enumerate(b, 1):
+                made.append(min(row[j] + 1, made[-1] + 1, row[j - 1] + (c != d)))
+            row = made
+        return row[-1]
+
+    pick = np.random.default_rng(5)
+    for few in (1, 1 << 20):
+        monkeypatch.setattr(edits, "FEW", few)
+        for letters in ("ab", "abc dé", [chr(0x4E00 + i) for i in range(300)] + ["😀"]):
+            texts = ["".join(pick.choice(list(letters), n)) for n in (0, 1, 7, 63, 64, 65, 100, 127, 128, 129, 200, 600)]
+            left, right = (x.ravel() for x in np.meshgrid(np.arange(12), np.arange(12)))
+            got, sizes = edits.edit_distances(texts, left, right)
+            assert sizes.tolist() == [len(t) for t in texts]
+            assert got.tolist() == [brute(texts[i], texts[j]) for i, j in zip(left, right, strict=True)]
