@@ -20,10 +20,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from spanweave.functions.metrics import syllables
 from spanweave.operators.edits import edit_distances
-from spanweave.operators.lookup import lookup
+from spanweave.operators.lookup import BOUND, most_frequent
 from spanweave.operators.matching import phrases
 from spanweave.operators.sentence_pairs import HELD, TOKENS, Pairs, Tokens, distinct, neighbours, stretches
 from spanweave.session import ship_package
+from spanweave.workspace import dealt
 
 NOUNS, CONTENT = ("NOUN", "PROPN"), ("NOUN", "VERB", "ADJ", "ADV")
 ROOTS = ("--", "ROOT", "root")
@@ -205,12 +206,27 @@ def word_means(tokens: DataFrame, norms: DataFrame, measures: dict[str, str], co
     return rows_of(rated.groupBy("doc_id").agg(*[(F.sum(F.col(c) * F.col("times")) / F.nullif(F.sum(F.when(F.col(c).isNotNull(), F.col("times"))), F.lit(0))).alias(k) for k, c in measures.items()]), list(measures))
 
 
-def frequency_means(tokens: DataFrame, frequencies: DataFrame, floor: float = 1e-5) -> DataFrame:
-    """WRDFRQ indices over a frequency list (word, f); words that it lacks count 0."""
-    each = tokens.where(~F.col("is_punct")).select("doc_id", "para", "sent", "pos_coarse", F.lower("text").alias("word"))
-    each = lookup(each, frequencies.select("word", "f"), "word").withColumn("f", F.coalesce(F.col("f").cast("double"), F.lit(0.0)))
-    log, content = F.log(F.col("f") + F.lit(floor)), F.col("pos_coarse").isin(*CONTENT)
-    s = each.groupBy("doc_id", "para", "sent").agg(F.sum(F.when(content, F.col("f"))).alias("cf"), F.count_if(content).alias("cn"), F.sum(log).alias("al"), F.count("*").alias("an"), F.min(F.when(content, log)).alias("low"))
+def frequency_means(tokens: DataFrame, frequencies: DataFrame, floor: float = 1e-5, bound: int = BOUND) -> DataFrame:
+    """WRDFRQ indices over a frequency list (word, f), which has a word once; words that it lacks count 0. The most frequent words, at most `bound`, meet their
+    frequencies where the sentences lie, by a broadcast, and are added up there to one row a sentence; only the others are shuffled, a row a sentence and word."""
+    sent = ["doc_id", "para", "sent"]
+    each = tokens.select(*sent, F.inline("toks")) if "toks" in tokens.columns else tokens
+    content = F.coalesce(F.col("pos_coarse").isin(*CONTENT), F.lit(False))
+    each = each.where(~F.col("is_punct")).select(*sent, content.alias("content"), F.coalesce(F.lower("text"), F.lit("")).alias("word"))
+    listed = frequencies.select("word", F.coalesce(F.col("f").cast("double"), F.lit(0.0)).alias("f"))
+    common, rare = most_frequent(listed, bound)
+    met = each.join(F.broadcast(common), "word", "left")
+    log = lambda f: F.log(f + F.lit(floor))
+    # the common words of a sentence become one row, under a key of their document's, so that they are dealt over the tasks too
+    told = F.col("f").isNotNull().alias("told")
+    key = F.when(F.col("f").isNull(), F.col("word")).otherwise(F.concat(F.lit("#"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("word")
+    sums = [F.sum(F.when(F.col("content"), F.col("f"))).alias("cf"), F.count_if("content").alias("cn"), F.sum(log(F.col("f"))).alias("al"), F.count("*").alias("an"), F.min(F.when(F.col("content"), log(F.col("f")))).alias("low")]
+    firsts = met.groupBy(*sent, told, key).agg(*sums)
+    looked = dealt(firsts).join(dealt(rare), "word", "left").withColumn("f", F.coalesce("f", F.lit(0.0)))
+    own = lambda c, v: F.when(F.col("told"), F.col(c)).otherwise(v).alias(c)
+    some = F.col("cn") > 0
+    values = [own("cf", F.when(some, F.col("f") * F.col("cn"))), own("al", log(F.col("f")) * F.col("an")), own("low", F.when(some, log(F.col("f"))))]
+    s = looked.select(*sent, "cn", "an", *values).groupBy(*sent).agg(*[F.sum(c).alias(c) for c in ("cf", "cn", "al", "an")], F.min("low").alias("low"))
     d = s.groupBy("doc_id").agg((F.sum("cf") / F.nullif(F.sum("cn"), F.lit(0))).alias("WRDFRQc_wiki10000"), (F.sum("al") / F.sum("an")).alias("WRDFRQa_wiki10000"), F.avg("low").alias("WRDFRQmc_wiki10000"))
     return rows_of(d, ["WRDFRQc_wiki10000", "WRDFRQa_wiki10000", "WRDFRQmc_wiki10000"])
 

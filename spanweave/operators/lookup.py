@@ -18,3 +18,15 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, bound: int = BOUND, salt
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salt)).cast("int"))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     return dealt.join(copies, [key, "_salt"], "left").drop("_salt")
+
+
+def most_frequent(words: DataFrame, bound: int = BOUND) -> tuple[DataFrame, DataFrame]:
+    """words (word, f) in two: the most frequent, at most `bound`, and the others. The line between them is one of a few steps of f, so no rows are ordered."""
+    step = F.floor(F.log2(F.greatest("f", F.lit(1.0))) * 8)
+    least, held = None, 0
+    for r in sorted(words.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        held += r.words
+        if held > bound:
+            break
+        least = r.step
+    return (words.where(F.lit(False)), words) if least is None else (words.where(step >= least), words.where(step < least))

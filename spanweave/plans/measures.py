@@ -200,10 +200,10 @@ j AS (SELECT t.doc_id, t.para, t.sent, ({_CONTENT}) AS c, coalesce(f, 0) AS f, l
 s AS (SELECT doc_id, sum(CASE WHEN c THEN f END) AS cf, count(*) FILTER (WHERE c) AS cn, sum(lf) AS al, count(*) AS an, min(CASE WHEN c THEN lf END) AS low FROM j GROUP BY doc_id, para, sent),
 d AS (SELECT doc_id, sum(cf) / nullif(sum(cn), 0) AS a, sum(al) / sum(an) AS b, avg(low) AS c FROM s GROUP BY doc_id) """ + _union("d", {"WRDFRQc_wiki10000": "a", "WRDFRQa_wiki10000": "b", "WRDFRQmc_wiki10000": "c"}))
 def cohmetrix_frequencies(spark, sf_dir):
-    """The frequency list is that of the documents' own words."""
-    tokens = _tokens(spark, sf_dir)
-    counts = tokens.where(~F.col("is_punct")).groupBy(F.col("text").alias("word")).agg(F.count("*").alias("f"))
-    return _rounded(cohesion.frequency_means(tokens, counts))
+    """The frequency list is that of the documents' own words; it is written, as tokens are not."""
+    words = _sentences(spark, sf_dir, "text", "is_punct").select(F.explode(F.filter("toks", lambda t: ~t["is_punct"])["text"]).alias("word"))
+    counts = Workspace(spark, "frequencies").write(words.groupBy("word").agg(F.count("*").alias("f")), "words")
+    return _rounded(cohesion.frequency_means(_sentences(spark, sf_dir, "text", "pos_coarse", "is_punct"), counts))
 
 
 _NORMS = {"WRDAOAc": "aoa", "WRDFAMc": "fam", "WRDCNCc": "cnc", "WRDIMGc": "img", "WRDMEAc": "mea", "WRDPOLc": "pol", "WRDHYPnv": "hyp"}

@@ -127,3 +127,13 @@ def test_edit_distances_of_many_pairs_at_once(monkeypatch):
             got, sizes = edits.edit_distances(texts, left, right)
             assert sizes.tolist() == [len(t) for t in texts]
             assert got.tolist() == [brute(texts[i], texts[j]) for i, j in zip(left, right, strict=True)]
+
+
+def test_common_words_meet_their_frequencies_where_sentences_lie(spark):
+    listed = spark.createDataFrame([("walking", 9.0), ("dogs", 5.0), ("dog", None), ("walked", 2.0), ("#3", 7.0), ("they", 0.5)], "word string, f double")
+    of = lambda tokens, **k: rows(cohesion.frequency_means(tokens, listed, **k))
+    want = of(tagging.rule_tokens(dealt(spark)))
+    for bound in (0, 1, 2, 100):
+        assert of(tagging.rule_sentences(dealt(spark)), bound=bound) == want
+    # of text 3: walked, walked, walking, dogs, dog; dog has no frequency
+    assert [v for d, k, _, v in want if d == 3 and k == "WRDFRQc_wiki10000"] == [(2 + 2 + 9 + 5 + 0) / 5]
